@@ -25,12 +25,11 @@ def publisher_domain(site, url):
     """Lower-case host of the site, else of the review address, without `www.`."""
 
     def host(c):
-        found = F.regexp_extract(
+        return tx.non_blank(F.regexp_extract(
             F.lower(F.trim(_col(c))),
             r"^(?:[a-z][a-z0-9+.-]*://)?(?:[^/@?#]*@)?(?:www\.)?([^/:?#]+)",
             1,
-        )
-        return F.when(found != "", found)
+        ))
 
     return F.coalesce(host(site), host(url))
 
@@ -38,8 +37,7 @@ def publisher_domain(site, url):
 def rating_clean(col):
     """Lower case, single spaces, no punctuation at the end; blank becomes null."""
     flat = F.lower(F.trim(F.regexp_replace(_col(col), tx.SPACE, " ")))
-    bare = F.trim(F.regexp_replace(flat, r"[.!?,;:। ]+$", ""))
-    return F.when(bare != "", bare)
+    return tx.non_blank(F.trim(F.regexp_replace(flat, r"[.!?,;:। ]+$", "")))
 
 
 def language_name(col, names=schemas.LANGUAGE_NAMES):

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from claimloom.functions.text import _col, clean_text
+from claimloom.functions.text import _col, clean_text, non_blank, once
 
 HIDDEN = r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->|<head\b.*?</head\s*>"
 BLOCK_TAG = (
@@ -18,32 +18,39 @@ def _code_point(n):
     return F.when(valid, F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32"))
 
 
-def _numeric_entities(col):
+def _after_marker(part):
+    """Text behind `&#`, its leading code point decoded if there is one."""
+    digits = F.regexp_extract(part, r"^([0-9]{1,7});", 1)
+    hexed = F.regexp_extract(part, r"^[xX]([0-9A-Fa-f]{1,6});", 1)
+    number = F.when(digits != "", digits.try_cast("bigint")).when(
+        hexed != "", F.conv(hexed, 16, 10).try_cast("bigint")
+    )
+    rest = F.regexp_replace(part, r"^[xX]?[0-9A-Fa-f]+;", "")
+    return F.coalesce(F.concat(_code_point(number), rest), F.concat(F.lit("&#"), part))
+
+
+def _numeric_entities(text):
     """Replace `&#2709;` and `&#xA95;`; anything else after `&#` is kept."""
-    parts = F.split(col, "&#")
 
-    def one(part):
-        digits = F.regexp_extract(part, r"^([0-9]{1,7});", 1)
-        hexed = F.regexp_extract(part, r"^[xX]([0-9A-Fa-f]{1,6});", 1)
-        number = F.when(digits != "", digits.try_cast("bigint")).when(
-            hexed != "", F.conv(hexed, 16, 10).try_cast("bigint")
-        )
-        rest = F.regexp_replace(part, r"^[xX]?[0-9A-Fa-f]+;", "")
-        return F.coalesce(F.concat(_code_point(number), rest), F.concat(F.lit("&#"), part))
+    def decoded(parts):
+        tail = F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0)))
+        return F.concat(F.get(parts, 0), F.array_join(F.transform(tail, _after_marker), ""))
 
-    decoded = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), one)
-    return F.when(
-        F.contains(col, F.lit("&#")), F.concat(parts[0], F.array_join(decoded, ""))
-    ).otherwise(col)
+    return F.when(F.contains(text, F.lit("&#")), once(F.split(text, "&#"), decoded)).otherwise(text)
 
 
-def unescape(col):
-    out = _numeric_entities(_col(col))
+def _entities(text):
+    out = _numeric_entities(text)
     for entity, char in NAMED_ENTITIES.items():
         out = F.replace(out, F.lit(entity), F.lit(char))
     return F.replace(out, F.lit("&amp;"), F.lit("&"))
 
 
+def unescape(col):
+    """Replace character entities; text without any is passed on."""
+    return once(col, lambda t: F.when(F.contains(t, F.lit("&")), _entities(t)).otherwise(t))
+
+
 def fragment_text(col):
     """Visible text of an HTML fragment on one line; blank becomes null."""
     spaced = F.regexp_replace(_col(col), BLOCK_TAG, " ")
@@ -58,8 +65,7 @@ def visible_lines(html):
 
 
 def _found(col, pattern):
-    hit = F.regexp_extract(col, pattern, 1)
-    return F.when(hit != "", hit)
+    return non_blank(F.regexp_extract(col, pattern, 1))
 
 
 CLAIM_BOX = r"(?is)(?:^|\n)claim ?[:–—-]? ?\n(.+?)\nfact ?[:–—-]? ?\n"
@@ -71,13 +77,14 @@ CLAIM_LABEL = (
 RESULT = r"(?:^|\n)(?:RESULT|Result)(?: ?[:–—-] ?\n?|\n)([^\n]+)"
 
 
-def page_result(html):
-    return clean_text(unescape(_found(visible_lines(html), RESULT)))
+def result_of(lines):
+    """Value behind the result label, from `visible_lines`."""
+    return clean_text(unescape(_found(_col(lines), RESULT)))
 
 
-def template_a_claim(html):
-    """Claim of a "Claim / Fact" box, else null."""
-    return clean_text(unescape(_found(visible_lines(html), CLAIM_BOX)))
+def template_a_claim(lines):
+    """Claim of a "Claim / Fact" box, from `visible_lines`; else null."""
+    return clean_text(unescape(_found(_col(lines), CLAIM_BOX)))
 
 
 def template_b_claim(html):

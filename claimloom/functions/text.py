@@ -9,6 +9,7 @@ TOKEN = r"[\p{L}\p{M}\p{Nd}\x{200C}\x{200D}]+"
 # Latin sentence ends, danda and double danda, line breaks.
 SENTENCE_END = r"[.!?।॥\n]+"
 SPACE = r"[ \t\n\r\f\x{00A0}]+"
+WORD = r"[^ \t\n\r\f\x{00A0}]+"
 
 # Order decides ties.
 SCRIPTS = (("Devanagari", "IsDevanagari"), ("Gujarati", "IsGujarati"), ("Latin", "IsLatin"))
@@ -18,10 +19,23 @@ def _col(c):
     return F.col(c) if isinstance(c, str) else c
 
 
+def once(col, use):
+    """`use(value)` with the value computed once per row.
+
+    A costly expression that is named in several branches of a CASE is evaluated
+    again in each; a lambda variable is not.
+    """
+    return F.get(F.transform(F.array(_col(col)), use), 0)
+
+
+def non_blank(col):
+    """Null instead of the empty string."""
+    return F.get(F.filter(F.array(_col(col)), lambda v: v != ""), 0)
+
+
 def clean_text(col):
     """Collapse white space and trim; blank becomes null."""
-    flat = F.trim(F.regexp_replace(_col(col), SPACE, " "))
-    return F.when(flat != "", flat)
+    return non_blank(F.trim(F.regexp_replace(_col(col), SPACE, " ")))
 
 
 def tokenize(col):
@@ -43,13 +57,7 @@ def char_len(col):
 
 def word_len(col):
     """Words between white space; blank text has none."""
-    text = clean_text(col)
-    return (
-        F.when(_col(col).isNull(), F.lit(None))
-        .when(text.isNull(), F.lit(0))
-        .otherwise(F.size(F.split(text, " ")))
-        .cast("int")
-    )
+    return F.regexp_count(_col(col), F.lit(WORD)).cast("int")
 
 
 def detect_script(col):
@@ -58,12 +66,15 @@ def detect_script(col):
     Hindi and Marathi share Devanagari, so a language can not be read off this.
     """
     text = _col(col)
-    counts = {
-        name: F.char_length(F.regexp_replace(text, r"[^\p{" + cls + r"}]", ""))
-        for name, cls in SCRIPTS
-    }
-    top = F.greatest(*counts.values())
-    out = F.when(text.isNull(), F.lit(None)).when(top == 0, F.lit("Other"))
-    for name, count in counts.items():
-        out = out.when(count == top, F.lit(name))
-    return out
+    # A run of other letters is dropped as one match. One maximum over all scripts
+    # counts each script once per row.
+    ranked = [
+        F.struct(
+            F.char_length(F.regexp_replace(text, r"[^\p{" + cls + r"}]+", "")).alias("n"),
+            F.lit(-i).alias("order"),
+            F.lit(name).alias("name"),
+        )
+        for i, (name, cls) in enumerate(SCRIPTS)
+    ]
+    none = F.struct(F.lit(0).alias("n"), F.lit(1).alias("order"), F.lit("Other").alias("name"))
+    return F.when(text.isNotNull(), F.array_max(F.array(*ranked, none))["name"])

@@ -20,20 +20,25 @@ def extract_jsonld(pages):
 
 
 def _template(pages, claim):
-    candidates = pages.filter(F.col("html").rlike(_HAS_CLAIM))
-    return candidates.select(
-        "url", claim("html").alias("claim_text"), hx.page_result("html").alias("rating")
-    ).filter(F.col("claim_text").isNotNull())
+    """`claim` sees the page as `html` and as `lines`, which is built once per page."""
+    read = pages.filter(F.col("html").rlike(_HAS_CLAIM)).withColumn(
+        "lines", hx.visible_lines("html")
+    )
+    found = F.struct(claim.alias("claim_text"), hx.result_of("lines").alias("rating"))
+    # Filtering inside the array keeps Catalyst from evaluating the claim twice,
+    # once for a pushed-down filter and once for the output.
+    hits = F.filter(F.array(found), lambda c: c["claim_text"].isNotNull())
+    return read.select("url", F.inline(hits))
 
 
 def extract_template_a(pages):
     """Claim and result of pages with a "Claim / Fact" box."""
-    return _template(pages, hx.template_a_claim)
+    return _template(pages, hx.template_a_claim("lines"))
 
 
 def extract_template_b(pages):
     """Claim and result of pages with inline strong labels."""
-    return _template(pages, hx.template_b_claim)
+    return _template(pages, hx.template_b_claim("html"))
 
 
 def extract_claims(pages, language=None, keep_empty=False):
@@ -48,12 +53,20 @@ def extract_claims(pages, language=None, keep_empty=False):
         else language if language is not None
         else hx.page_language("html")
     )
-    found = jsonld.claim_reviews("html")
-    structured = F.coalesce(F.size(found) > 0, F.lit(False))
-    fallback_text = F.coalesce(hx.template_a_claim("html"), hx.template_b_claim("html"))
+    read = pages.select(
+        "url", "html", edition.alias("edition"), jsonld.claim_reviews("html").alias("found")
+    )
+    structured = F.coalesce(F.size("found") > 0, F.lit(False))
+    # Null where the JSON-LD branch holds or no template can match, so that the
+    # HTML work is done only for the pages that need it, and once.
+    read = read.withColumn(
+        "lines",
+        F.when(~structured & F.col("html").rlike(_HAS_CLAIM), hx.visible_lines("html")),
+    )
+    needs_html = F.col("lines").isNotNull()
     null = F.lit(None).cast("string")
     fallback = F.struct(
-        fallback_text.alias("claim_text"),
+        F.coalesce(hx.template_a_claim("lines"), hx.template_b_claim("html")).alias("claim_text"),
         null.alias("claimant"),
         null.alias("claim_date"),
         null.alias("publisher_name"),
@@ -61,16 +74,15 @@ def extract_claims(pages, language=None, keep_empty=False):
         hx.page_title("html").alias("review_title"),
         F.col("url").alias("review_url"),
         null.alias("review_date"),
-        hx.page_result("html").alias("rating"),
+        hx.result_of("lines").alias("rating"),
         null.alias("language"),
     )
-    # CASE evaluates the HTML branch only for pages without structured claims.
-    claims = F.when(structured, found).when(F.col("html").rlike(_HAS_CLAIM), F.array(fallback))
+    claims = F.when(needs_html, F.array(fallback)).otherwise(F.col("found"))
     explode = F.explode_outer if keep_empty else F.explode
-    rows = pages.select(
+    rows = read.select(
         "url",
-        edition.alias("edition"),
-        F.when(structured, F.lit(JSON_LD)).otherwise(F.lit(HTML_FALLBACK)).alias("method"),
+        "edition",
+        F.when(needs_html, F.lit(HTML_FALLBACK)).otherwise(F.lit(JSON_LD)).alias("method"),
         explode(claims).alias("c"),
     )
     has_claim = F.col("c.claim_text").isNotNull()

@@ -33,9 +33,13 @@ def yake_batches(docs, size=1000, id="doc_id", languages=schemas.LANGUAGES):
     )
 
 
-def _sentences(batches, id):
-    """One row per sentence: (lang, batch, sent, s), `sent` counted over the batch."""
+def _sentences(batches, id, numbered=True):
+    """One row per sentence: (lang, batch, s), with `sent` counted over the batch."""
     docs = batches.select("lang", "batch", id, sentence_tokens("text").alias("sents"))
+    # The one large shuffle: whole documents, placed by batch.
+    docs = docs.repartition("lang", "batch")
+    if not numbered:
+        return docs.select("lang", "batch", F.explode("sents").alias("s"))
     before = Window.partitionBy("lang", "batch").orderBy(id).rowsBetween(
         Window.unboundedPreceding, -1
     )
@@ -45,42 +49,78 @@ def _sentences(batches, id):
     ).select("lang", "batch", (F.col("start") + F.col("pos")).alias("sent"), "s")
 
 
-def _occurrences(sentences):
-    """One row per token: term, neighbours within the sentence, case marks."""
-    return (
-        sentences.withColumn("t", F.transform("s", lambda x: F.lower(x)))
-        .selectExpr(
-            "lang", "batch", "sent",
-            "posexplode(arrays_zip(s, t, slice(t, 2, size(t)), "
-            "concat(array(cast(null as string)), t))) as (pos, z)",
-        )
-        .select(
-            "lang", "batch", "sent",
-            F.col("z.s").alias("raw"),
-            F.col("z.t").alias("term"),
-            F.col("z.`2`").alias("right"),
-            F.col("z.`3`").alias("left"),
-            "pos",
-        )
-        .filter(F.col("term").isNotNull())
+PLACE, LEFT, RIGHT = 0, 1, 2
+
+
+def _marks(sentences):
+    """Per token: one row for its place and one for each neighbour in the sentence."""
+    occurrences = sentences.withColumn("t", F.transform("s", lambda x: F.lower(x))).selectExpr(
+        "lang", "batch", "sent",
+        "posexplode(arrays_zip(s, t, slice(t, 2, size(t)), "
+        "concat(array(cast(null as string)), t))) as (pos, z)",
+    ).selectExpr(
+        "lang", "batch", "sent", "pos",
+        "z.s as raw", "z.t as term", "z.`2` as right", "z.`3` as left",
     )
+    capital = (F.col("pos") > 0) & F.col("raw").rlike(CAPITAL)
+    zero = F.lit(0)
+
+    def mark(kind, at, near, acronym=zero, capital=zero):
+        return F.struct(
+            F.lit(kind).alias("kind"), "term", at.cast("bigint").alias("at"),
+            near.cast("string").alias("near"), acronym.alias("acronym"), capital.alias("capital"),
+        )
+
+    rows = occurrences.filter(F.col("term").isNotNull()).select("lang", "batch", F.inline(F.array(
+        mark(
+            PLACE, F.col("sent"), F.lit(None),
+            F.col("raw").rlike(ACRONYM).cast("int"), capital.cast("int"),
+        ),
+        mark(LEFT, F.lit(None), F.col("left")),
+        mark(RIGHT, F.lit(None), F.col("right")),
+    )))
+    return rows.filter((F.col("kind") == PLACE) | F.col("near").isNotNull())
 
 
 def yake_terms(batches, id="doc_id"):
     """Features and score of each term of each batch; a lower score is better."""
-    occ = _occurrences(_sentences(batches, id))
-    capital = (F.col("pos") > 0) & F.col("raw").rlike(CAPITAL)
-    stats = occ.groupBy("lang", "batch", "term").agg(
-        F.count(F.lit(1)).alias("tf"),
-        F.count_if(F.col("raw").rlike(ACRONYM)).alias("acronyms"),
-        F.count_if(capital).alias("capitals"),
-        F.median("sent").alias("median_sent"),
-        F.count_distinct("sent").alias("sents"),
-        F.count("left").alias("lefts"),
-        F.count_distinct("left").alias("distinct_lefts"),
-        F.count("right").alias("rights"),
-        F.count_distinct("right").alias("distinct_rights"),
-        F.max("sent").alias("last_sent"),
+    # One row per term and sentence, and per term and neighbour: distinct counts
+    # become plain counts of these rows.
+    seen = _marks(_sentences(batches, id)).groupBy(
+        "lang", "batch", "term", "kind", "at", "near"
+    ).agg(
+        F.count(F.lit(1)).alias("c"),
+        F.sum("acronym").alias("acronyms"),
+        F.sum("capital").alias("capitals"),
+    )
+    by_place = Window.partitionBy("lang", "batch", "term", "kind").orderBy("at")
+    upto = F.sum("c").over(by_place.rowsBetween(Window.unboundedPreceding, 0))
+    of_kind = F.sum("c").over(Window.partitionBy("lang", "batch", "term", "kind"))
+    placed = seen.withColumns({"upto": upto, "total": of_kind})
+
+    def middle(offset):
+        # Sentence of the occurrence at this place when all are in order.
+        place = F.floor((F.col("total") - 1 + offset) / 2)
+        here = (F.col("upto") > place) & (F.col("upto") - F.col("c") <= place)
+        return F.max(F.when((F.col("kind") == PLACE) & here, F.col("at")))
+
+    def total(kind):
+        return F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("c"))), F.lit(0))
+
+    def distinct(kind):
+        return F.count_if(F.col("kind") == kind)
+
+    stats = placed.groupBy("lang", "batch", "term").agg(
+        total(PLACE).alias("tf"),
+        F.sum("acronyms").alias("acronyms"),
+        F.sum("capitals").alias("capitals"),
+        ((middle(0) + middle(1)) / 2).alias("median_sent"),
+        distinct(PLACE).alias("sents"),
+        total(LEFT).alias("lefts"),
+        distinct(LEFT).alias("distinct_lefts"),
+        total(RIGHT).alias("rights"),
+        distinct(RIGHT).alias("distinct_rights"),
+        F.max("at").alias("last_sent"),
     )
     batch = Window.partitionBy("lang", "batch")
     # Each sentence holds a token, so the last index counts the sentences.
@@ -113,7 +153,7 @@ def yake_terms(batches, id="doc_id"):
 
 def yake_candidates(batches, stopwords=None, ns=(1, 2, 3), id="doc_id"):
     """Candidate phrases per batch with their frequency, within sentences."""
-    lowered = _sentences(batches, id).select(
+    lowered = _sentences(batches, id, numbered=False).select(
         "lang", "batch", F.transform("s", lambda x: F.lower(x)).alias("t")
     )
     rows = gram_rows(lowered, ns, keep=["lang", "batch"])

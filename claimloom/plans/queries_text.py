@@ -8,6 +8,7 @@ from claimloom.operators import yake
 from claimloom.plans import seeds as seed_plan
 from claimloom.plans import views
 from claimloom.plans.views import with_views
+from claimloom.session import stored
 
 LANGS = ("hi", "gu", "mr", "es")
 STOPWORDS = 25
@@ -131,7 +132,8 @@ FREQUENT = [("doc_grams", G[1]), ("counts_v", COUNTS[1].replace("gram_rows", "do
 def stopwords(spark, sf):
     """Stopword table: what dominates the corpus itself."""
     counts = ph.ngram_counts(views.corpus(spark, sf), (1,))
-    return ph.top_phrases(counts, STOPWORDS).select("lang", F.col("phrase").alias("token"))
+    top = ph.top_phrases(counts, STOPWORDS).select("lang", F.col("phrase").alias("token"))
+    return stored(top, "stopwords")
 
 
 def batches(spark, sf):

@@ -9,6 +9,8 @@ import os
 
 from pyspark.sql import functions as F
 
+from claimloom.sizing import spread
+
 # One letter or vowel sign for each of a..z.
 LATIN = "abcdefghijklmnopqrstuvwxyz"
 DEVANAGARI = "ािकखेगघचीछजलमनोपतरसटुवयहडझ"
@@ -123,7 +125,7 @@ def _select(df, exprs):
 
 
 def documents(spark, sf_dir):
-    return table(spark, sf_dir, "documents")
+    return spread(table(spark, sf_dir, "documents"), "doc_id")
 
 
 def corpus(spark, sf_dir):

@@ -53,3 +53,14 @@ def shared_dir(spark):
 def new_path(spark, name):
     """A fresh path under the shared folder."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df, name):
+    """`df` written once to the shared folder and read back.
+
+    For small tables that are derived and then used several times: nothing is
+    computed twice, a lost executor loses nothing, and the size is known.
+    """
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -20,3 +20,13 @@ def broadcast_if_small(df, max_rows=MAX_ROWS, max_bytes=MAX_BYTES):
         df.limit(max_rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0))).first()
     )
     return F.broadcast(df) if rows <= max_rows and size <= max_bytes else df
+
+
+def spread(df, *keys):
+    """Spread a scan that has fewer partitions than the session has cores.
+
+    A small table may be one row group, which is one task however heavy the text
+    work behind it. Inputs with enough partitions are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
