@@ -1,4 +1,9 @@
-"""Claims from landed article pages. One pass over the pages, no join, no shuffle."""
+"""Claims from landed article pages. One pass over the pages, no join, no shuffle.
+
+Arrays that are costly to build are exploded with the `_outer` generators and
+filtered afterwards: for the plain ones Catalyst infers a `size(..) > 0` filter,
+pushes it to the scan and so builds every array twice.
+"""
 
 from pyspark.sql import functions as F
 
@@ -15,8 +20,8 @@ _HAS_CLAIM = r"(?i)claim"
 
 def extract_jsonld(pages):
     """One row per ClaimReview object of each page."""
-    found = pages.select("url", F.explode(jsonld.claim_reviews("html")).alias("c"))
-    return found.select("url", "c.*")
+    found = pages.select("url", F.explode_outer(jsonld.claim_reviews("html")).alias("c"))
+    return found.select("url", "c.*").filter(F.col("claim_text").isNotNull())
 
 
 def _template(pages, claim):
@@ -25,10 +30,9 @@ def _template(pages, claim):
         "lines", hx.visible_lines("html")
     )
     found = F.struct(claim.alias("claim_text"), hx.result_of("lines").alias("rating"))
-    # Filtering inside the array keeps Catalyst from evaluating the claim twice,
-    # once for a pushed-down filter and once for the output.
-    hits = F.filter(F.array(found), lambda c: c["claim_text"].isNotNull())
-    return read.select("url", F.inline(hits))
+    # A filter right on the claim would be pushed down and evaluate it twice.
+    rows = read.select("url", F.inline_outer(F.array(found)))
+    return rows.filter(F.col("claim_text").isNotNull())
 
 
 def extract_template_a(pages):
@@ -78,12 +82,11 @@ def extract_claims(pages, language=None, keep_empty=False):
         null.alias("language"),
     )
     claims = F.when(needs_html, F.array(fallback)).otherwise(F.col("found"))
-    explode = F.explode_outer if keep_empty else F.explode
     rows = read.select(
         "url",
         "edition",
         F.when(needs_html, F.lit(HTML_FALLBACK)).otherwise(F.lit(JSON_LD)).alias("method"),
-        explode(claims).alias("c"),
+        F.explode_outer(claims).alias("c"),
     )
     has_claim = F.col("c.claim_text").isNotNull()
     if not keep_empty:

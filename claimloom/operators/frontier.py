@@ -15,7 +15,7 @@ def page_links(pages):
     """Absolute links of each page (root-relative and absolute `href`s)."""
     links = pages.select(
         F.col("url").alias("page_url"),
-        F.explode(F.regexp_extract_all("html", F.lit(HREF), F.lit(1))).alias("href"),
+        F.explode_outer(F.regexp_extract_all("html", F.lit(HREF), F.lit(1))).alias("href"),
     ).withColumn("href", F.trim(unescape("href")))
     origin = F.regexp_extract("page_url", ORIGIN, 1)
     scheme = F.regexp_extract("page_url", r"^([A-Za-z][A-Za-z0-9+.-]*:)", 1)

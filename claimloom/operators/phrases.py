@@ -50,52 +50,80 @@ def sample_lines(df, n=300_000, key="line_no", languages=schemas.LANGUAGES):
 
 def token_rows(docs, id="doc_id"):
     """One row per token: (lang, id, pos, token)."""
-    return docs.select("lang", id, F.posexplode(tokenize("text")).alias("pos", "token"))
+    rows = docs.select("lang", id, F.posexplode_outer(tokenize("text")).alias("pos", "token"))
+    return rows.filter(F.col("token").isNotNull())
 
 
-def drop_stopwords(rows, stopwords, columns=("token",)):
-    """Rows none of whose `columns` holds a stopword of the row's language.
+def _stop_table(stopwords):
+    return broadcast_if_small(stopwords.select("lang", "token").distinct())
 
-    `stopwords`: (lang, token). Null never matches, so shorter grams are kept.
+
+def drop_stopwords(rows, stopwords):
+    """Token rows without those that are a stopword of their language.
+
+    `stopwords`: (lang, token).
     """
-    stop = broadcast_if_small(stopwords.select("lang", "token").distinct())
+    return rows.join(_stop_table(stopwords), ["lang", "token"], "left_anti")
+
+
+def _blank_stopwords(rows, stopwords, columns):
+    """Null instead of a stopword in each of `columns`."""
+    stop = _stop_table(stopwords)
     for c in columns:
-        rows = rows.join(
-            stop.withColumnRenamed("token", c), ["lang", c], "left_anti"
+        marked = stop.select("lang", F.col("token").alias(c), F.lit(True).alias("is_stop"))
+        rows = rows.join(marked, ["lang", c], "left").select(
+            *(
+                F.when(F.col("is_stop").isNull(), F.col(c)).alias(c) if name == c else name
+                for name in rows.columns
+            )
         )
     return rows
 
 
-def gram_rows(tokens, ns=(1, 2, 3), keep=()):
-    """Rows with an array column `t` → one row per 1-, 2- or 3-gram (n, t1, t2, t3)."""
+def gram_rows(tokens, ns=(1, 2, 3), keep=("lang",), stopwords=None):
+    """Rows with a token array `t` → one row (n, t1, t2, t3) per 1-, 2- or 3-gram.
+
+    A gram that holds a stopword is left out. Stopwords are looked up per token
+    position, before the grams multiply the rows.
+    """
     if not set(ns) <= {1, 2, 3}:
         raise ValueError("grams of one to three tokens are supported")
-    at = tokens.selectExpr(
-        *keep, "inline(arrays_zip(t, slice(t, 2, size(t)), slice(t, 3, size(t)))) as (t1, t2, t3)"
+    rows = tokens.selectExpr(
+        *keep,
+        "inline_outer(arrays_zip(t, slice(t, 2, size(t)), slice(t, 3, size(t)))) as (t1, t2, t3)",
+    ).filter("t1 is not null")
+    if stopwords is not None:
+        rows = _blank_stopwords(rows, stopwords, ("t1", "t2", "t3")[: max(ns)])
+    none = F.lit(None).cast("string")
+
+    def gram(n):
+        parts = [F.col(f"t{i}") if i <= n else none for i in (1, 2, 3)]
+        whole = F.col(f"t{n}").isNotNull()
+        if n == 3:
+            whole = whole & F.col("t2").isNotNull()
+        struct = F.struct(F.lit(n).alias("n"), *(p.alias(f"t{i}") for i, p in enumerate(parts, 1)))
+        return F.when(whole, struct)
+
+    grams = F.array(*(gram(n) for n in sorted(ns)))
+    return (
+        rows.filter(F.col("t1").isNotNull())
+        .select(*keep, F.explode_outer(grams).alias("g"))
+        .filter(F.col("g").isNotNull())
+        .select(*keep, "g.*")
     )
-    shapes = {
-        1: "struct(1 as n, t1, cast(null as string) as t2, cast(null as string) as t3)",
-        2: "struct(2 as n, t1, t2, cast(null as string) as t3)",
-        3: "struct(3 as n, t1, t2, t3)",
-    }
-    grams = at.selectExpr(*keep, f"inline(array({', '.join(shapes[n] for n in sorted(ns))}))")
-    complete = (F.col("n") == 1) | F.col("t2").isNotNull()
-    complete = complete & ((F.col("n") < 3) | F.col("t3").isNotNull())
-    return grams.filter(complete)
 
 
 def ngram_counts(docs, ns=(1, 2, 3), stopwords=None):
     """Frequency of each gram per language, over whole lines.
 
-    Grams that hold a stopword are dropped before counting. Counts are summed in
-    the map tasks first, so frequent grams do not make a large partition.
+    Counts are summed in the map tasks first, so a frequent gram or a large
+    language does not make a large partition.
     """
     tokens = docs.select("lang", tokenize("text").alias("t"))
-    rows = gram_rows(tokens, ns, keep=["lang"])
-    if stopwords is not None:
-        rows = drop_stopwords(rows, stopwords, ("t1", "t2", "t3")[: max(ns)])
-    gram = F.concat_ws(" ", "t1", "t2", "t3").alias("phrase")
-    return rows.groupBy("lang", "n", gram).agg(F.count(F.lit(1)).alias("freq"))
+    counts = gram_rows(tokens, ns, ["lang"], stopwords).groupBy("lang", "n", "t1", "t2", "t3").agg(
+        F.count(F.lit(1)).alias("freq")
+    )
+    return counts.select("lang", "n", F.concat_ws(" ", "t1", "t2", "t3").alias("phrase"), "freq")
 
 
 def top_phrases(counts, n=200):

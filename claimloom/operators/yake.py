@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from claimloom import schemas
 from claimloom.functions.text import sentence_tokens
 from claimloom.operators.dedupe import top_k
-from claimloom.operators.phrases import drop_stopwords, gram_rows, line_digest
+from claimloom.operators.phrases import gram_rows, line_digest
 
 ACRONYM = r"^\p{Lu}[\p{Lu}\p{Nd}]+$"
 CAPITAL = r"^\p{Lu}"
@@ -39,14 +39,17 @@ def _sentences(batches, id, numbered=True):
     # The one large shuffle: whole documents, placed by batch.
     docs = docs.repartition("lang", "batch")
     if not numbered:
-        return docs.select("lang", "batch", F.explode("sents").alias("s"))
+        rows = docs.select("lang", "batch", F.explode_outer("sents").alias("s"))
+        return rows.filter(F.col("s").isNotNull())
     before = Window.partitionBy("lang", "batch").orderBy(id).rowsBetween(
         Window.unboundedPreceding, -1
     )
     placed = docs.withColumn("start", F.coalesce(F.sum(F.size("sents")).over(before), F.lit(0)))
     return placed.select(
-        "lang", "batch", "start", F.posexplode("sents").alias("pos", "s")
-    ).select("lang", "batch", (F.col("start") + F.col("pos")).alias("sent"), "s")
+        "lang", "batch", "start", F.posexplode_outer("sents").alias("pos", "s")
+    ).filter(F.col("s").isNotNull()).select(
+        "lang", "batch", (F.col("start") + F.col("pos")).alias("sent"), "s"
+    )
 
 
 PLACE, LEFT, RIGHT = 0, 1, 2
@@ -56,7 +59,7 @@ def _marks(sentences):
     """Per token: one row for its place and one for each neighbour in the sentence."""
     occurrences = sentences.withColumn("t", F.transform("s", lambda x: F.lower(x))).selectExpr(
         "lang", "batch", "sent",
-        "posexplode(arrays_zip(s, t, slice(t, 2, size(t)), "
+        "posexplode_outer(arrays_zip(s, t, slice(t, 2, size(t)), "
         "concat(array(cast(null as string)), t))) as (pos, z)",
     ).selectExpr(
         "lang", "batch", "sent", "pos",
@@ -71,7 +74,7 @@ def _marks(sentences):
             near.cast("string").alias("near"), acronym.alias("acronym"), capital.alias("capital"),
         )
 
-    rows = occurrences.filter(F.col("term").isNotNull()).select("lang", "batch", F.inline(F.array(
+    rows = occurrences.filter(F.col("term").isNotNull()).select("lang", "batch", F.inline_outer(F.array(
         mark(
             PLACE, F.col("sent"), F.lit(None),
             F.col("raw").rlike(ACRONYM).cast("int"), capital.cast("int"),
@@ -93,10 +96,13 @@ def yake_terms(batches, id="doc_id"):
         F.sum("acronym").alias("acronyms"),
         F.sum("capital").alias("capitals"),
     )
-    by_place = Window.partitionBy("lang", "batch", "term", "kind").orderBy("at")
-    upto = F.sum("c").over(by_place.rowsBetween(Window.unboundedPreceding, 0))
-    of_kind = F.sum("c").over(Window.partitionBy("lang", "batch", "term", "kind"))
-    placed = seen.withColumns({"upto": upto, "total": of_kind})
+    # The digest comes first so that the sort compares numbers; the term follows,
+    # so that equal digests do not mix terms.
+    group = Window.partitionBy("digest", "lang", "batch", "term", "kind")
+    upto = F.sum("c").over(group.orderBy("at").rowsBetween(Window.unboundedPreceding, 0))
+    placed = seen.withColumn("digest", F.xxhash64("lang", "batch", "term")).withColumns(
+        {"upto": upto, "total": F.sum("c").over(group)}
+    )
 
     def middle(offset):
         # Sentence of the occurrence at this place when all are in order.
@@ -156,9 +162,7 @@ def yake_candidates(batches, stopwords=None, ns=(1, 2, 3), id="doc_id"):
     lowered = _sentences(batches, id, numbered=False).select(
         "lang", "batch", F.transform("s", lambda x: F.lower(x)).alias("t")
     )
-    rows = gram_rows(lowered, ns, keep=["lang", "batch"])
-    if stopwords is not None:
-        rows = drop_stopwords(rows, stopwords, ("t1", "t2", "t3")[: max(ns)])
+    rows = gram_rows(lowered, ns, ["lang", "batch"], stopwords)
     return rows.groupBy("lang", "batch", "t1", "t2", "t3").agg(F.count(F.lit(1)).alias("kf"))
 
 

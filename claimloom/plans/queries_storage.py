@@ -49,7 +49,7 @@ def ragged_csv(spark, sf):
 
 def corpus_lines(spark, sf):
     path = new_path(spark, "corpus")
-    lines = views.corpus(spark, sf).select("lang", F.explode(F.split("text", "\n")).alias("value"))
+    lines = views.corpus(spark, sf).select("lang", F.explode_outer(F.split("text", "\n")).alias("value"))
     lines.write.partitionBy("lang").text(path)
     return scans.read_corpus(spark, {lang: f"{path}/lang={lang}" for lang in LANGS})
 

@@ -67,8 +67,8 @@ def flatten_responses(df, response="response", query="matched_query"):
     """
     claims = df.select(
         F.col(query).alias("matched_query"),
-        F.explode(F.from_json(response, RESPONSE)["claims"]).alias("c"),
-    )
+        F.explode_outer(F.from_json(response, RESPONSE)["claims"]).alias("c"),
+    ).filter(F.col("c").isNotNull())
     reviews = claims.select("matched_query", "c", F.explode_outer("c.claimReview").alias("r"))
     return reviews.select(
         F.col("c.text").alias("claim_text"),
