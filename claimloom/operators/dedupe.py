@@ -4,7 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from claimloom import schemas
-from claimloom.sizing import broadcast_if_small
+from claimloom.sizing import is_small
 
 
 def source_rank(priority=schemas.SOURCE_PRIORITY, column="data_source"):
@@ -50,10 +50,10 @@ def skip_collected(new, done, key="review_url"):
     batch is measured to be small.
     """
     wanted = new.select(key).where(F.col(key).isNotNull()).distinct()
-    known = (
-        done.select(key).join(broadcast_if_small(wanted), key, "left_semi").distinct()
-    )
-    return new.join(known, key, "left_anti")
+    hint = F.broadcast if is_small(wanted) else (lambda df: df)
+    # At most the keys of `wanted`, so the same bound holds.
+    known = done.select(key).join(hint(wanted), key, "left_semi").distinct()
+    return new.join(hint(known), key, "left_anti")
 
 
 def source_overlap(df):

@@ -54,6 +54,7 @@ def allowed_urls(urls, rules):
         (F.col("host") == F.col("rule_host")) & F.col("path").startswith(F.col("prefix")),
         "left",
     )
-    strength = F.struct(F.char_length("prefix"), F.col("allow"))
-    verdict = matched.groupBy("url").agg(F.max_by("allow", strength).alias("allow"))
-    return verdict.filter(F.coalesce("allow", F.lit(True))).select("url")
+    # Length and verdict in one number, so that the aggregate is a plain maximum.
+    strength = F.char_length("prefix") * 2 + F.col("allow").cast("int")
+    verdict = matched.groupBy("url").agg(F.max(strength).alias("strongest"))
+    return verdict.filter(F.coalesce(F.col("strongest") % 2 == 1, F.lit(True))).select("url")

@@ -6,12 +6,8 @@ MAX_ROWS = 200_000
 MAX_BYTES = 32 * 1024 * 1024
 
 
-def broadcast_if_small(df, max_rows=MAX_ROWS, max_bytes=MAX_BYTES):
-    """Hint a broadcast when `df` is measured to be small, else return it as is.
-
-    The probe reads at most `max_rows + 1` rows. Beyond the bound the join is left
-    to Catalyst and AQE, which shuffle it and split skewed partitions.
-    """
+def is_small(df, max_rows=MAX_ROWS, max_bytes=MAX_BYTES):
+    """Whether `df` is within both bounds; reads at most `max_rows + 1` rows."""
     width = sum(
         (F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in df.columns),
         F.lit(16),
@@ -19,7 +15,16 @@ def broadcast_if_small(df, max_rows=MAX_ROWS, max_bytes=MAX_BYTES):
     rows, size = (
         df.limit(max_rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0))).first()
     )
-    return F.broadcast(df) if rows <= max_rows and size <= max_bytes else df
+    return rows <= max_rows and size <= max_bytes
+
+
+def broadcast_if_small(df, max_rows=MAX_ROWS, max_bytes=MAX_BYTES):
+    """Hint a broadcast when `df` is measured to be small, else return it as is.
+
+    Beyond the bounds the join is left to Catalyst and AQE, which shuffle it and
+    split skewed partitions.
+    """
+    return F.broadcast(df) if is_small(df, max_rows, max_bytes) else df
 
 
 def spread(df, *keys):

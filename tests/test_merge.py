@@ -1,0 +1,131 @@
+"""De-duplication, accounting and streaming: invariants and skew."""
+
+import random
+from collections import Counter
+
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from claimloom import schemas
+from claimloom.operators import dedupe, reports
+from claimloom.plans import merge, views
+from claimloom.session import new_path
+from claimloom.streaming import ingest
+
+SOURCED = T.StructType([*schemas.RAW.fields, T.StructField("data_source", T.StringType())])
+
+
+def claim(url, source, date="2023-01-01", language="hi", title="t"):
+    row = {c: None for c in schemas.RAW_COLUMNS}
+    row.update(claim_text="c", review_url=url, review_date=date, language=language,
+               review_title=title, data_source=source)
+    return tuple(row[f.name] for f in SOURCED.fields)
+
+
+def accounting_rows(existing, added, removed, language):
+    """Rows whose merge gives the stated figures."""
+    rows = [claim(f"{language}/{i}", schemas.EXTERNAL, language=language) for i in range(existing)]
+    fresh = added - removed
+    rows += [claim(f"{language}/new/{i}", schemas.API, language=language) for i in range(fresh)]
+    rows += [claim(f"{language}/{i % existing}", schemas.API, language=language) for i in range(removed)]
+    return rows
+
+
+# Published accounting of an earlier merge.
+GOLDEN = {
+    "hi": (4090, 8624, 2259, 10455, 155.6),
+    "gu": (146, 10, 0, 156, 6.8),
+    "mr": (161, 273, 62, 372, 131.1),
+}
+
+
+def test_published_accounting(spark):
+    rows = [r for lang, g in GOLDEN.items() for r in accounting_rows(*g[:3], lang)]
+    before = spark.createDataFrame(rows, SOURCED)
+    got = {r["language"]: tuple(r)[1:] for r in reports.merge_summary(before).collect()}
+    assert got == GOLDEN
+    after = {r["language"]: r["count"] for r in dedupe.dedupe_by_url(before).groupBy("language").count().collect()}
+    assert after == {lang: g[3] for lang, g in GOLDEN.items()}
+
+
+def test_dedupe_precedence_and_nulls(spark):
+    rows = [
+        claim("u", schemas.API, "2020-01-01", title="api"),
+        claim("u", schemas.EXTERNAL, "2023-01-01", title="late"),
+        claim("u", schemas.EXTERNAL, "2021-01-01", title="early"),
+        claim("u", schemas.EXTERNAL, None, title="undated"),
+        claim("u", schemas.API, language="mr", title="other language"),
+        claim(None, schemas.API, title="null"), claim(None, schemas.API, title="null"),
+    ]
+    df = spark.createDataFrame(rows, SOURCED)
+    once = dedupe.dedupe_by_url(df)
+    assert sorted(r["review_title"] for r in once.collect()) == ["early", "null", "null", "other language"]
+    assert sorted(map(str, dedupe.dedupe_by_url(once).collect())) == sorted(map(str, once.collect()))
+
+
+def test_hot_url_leaves_the_map_tasks_as_one_row(spark):
+    """A third of all rows share one URL: each map task passes on one of them."""
+    df = spark.range(0, 90_000, numPartitions=8).select(
+        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("u"), F.col("id") % 20_000)).alias("review_url"),
+        F.lit("hi").alias("language"), F.lit(schemas.API).alias("data_source"),
+        F.col("id").cast("string").alias("review_date"),
+    )
+    out = dedupe.dedupe_by_url(df)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") == 2
+    want = {}
+    for i in range(90_000):
+        url = "hot" if i % 3 == 0 else f"u{i % 20_000}"
+        want[url] = min(want.get(url, str(i)), str(i))
+    assert {r["review_url"]: r["review_date"] for r in out.collect()} == want
+
+
+def test_skip_collected(spark):
+    rows = [claim("a", "x"), claim("b", "x"), claim("b", "x"), claim(None, "x")]
+    df = spark.createDataFrame(rows, SOURCED)
+    assert [r["review_url"] for r in dedupe.skip_collected(df, df).collect()] == [None]
+    left = dedupe.skip_collected(df, df.filter("review_url = 'a'")).collect()
+    assert Counter(r["review_url"] for r in left) == {"b": 2, None: 1}
+
+
+def test_large_side_is_not_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(dedupe, "is_small", lambda df: False)
+    df = spark.range(1000).select(F.col("id").cast("string").alias("review_url"))
+    out = dedupe.skip_collected(df, df.filter("review_url < '5'"))
+    assert "hint" not in out._jdf.queryExecution().analyzed().toString().lower()
+    assert out.count() == sum(str(i) >= "5" for i in range(1000))
+
+
+def test_missing_from_counts_copies(spark):
+    full = spark.createDataFrame([("a", 1), ("a", 1), ("b", 2)], "k string, q int")
+    snap = spark.createDataFrame([("a",), ("a",), ("a",), ("c",)], "k string")
+    assert Counter(r["k"] for r in dedupe.missing_from(full, snap).collect()) == {"a": 1, "c": 1}
+
+
+def test_uniqueness_against_brute_force(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice([None, "u1", "u2", "u3"]), rng.choice(["x", "y", None])) for _ in range(300)]
+    df = spark.createDataFrame(rows, "review_url string, v string")
+    want = (300, len(set(rows)), len({u for u, _ in rows if u}))
+    assert tuple(reports.uniqueness(df).first()) == want
+    assert tuple(reports.uniqueness(df, approximate=True).first()) == want
+
+
+def test_stream_equals_batch_and_survives_a_rerun(spark, path):
+    claims = views.claims(spark, path).drop("doc_id")
+    src, table, ckpt, fresh = (new_path(spark, f"stream-{n}") for n in ("src", "table", "ckpt", "fresh"))
+    claims.repartition(4).write.parquet(src)
+    ingest.ingest_stream(spark, src, table, ckpt, SOURCED, files_per_batch=1).awaitTermination()
+    read = spark.read.schema(SOURCED).parquet(table)
+    batch = dedupe.dedupe_by_url(claims, ("review_url",))
+    assert Counter(r["review_url"] for r in read.collect()) == Counter(r["review_url"] for r in batch.collect())
+    # Nothing new, then the same files read again without the checkpoint.
+    ingest.ingest_stream(spark, src, table, ckpt, SOURCED).awaitTermination()
+    ingest.ingest_stream(spark, src, table, fresh, SOURCED).awaitTermination()
+    assert spark.read.schema(SOURCED).parquet(table).count() == batch.count()
+
+
+def test_merged_schema(spark, path):
+    out = merge.merge_claims([views.claims(spark, path)])
+    assert [(f.name, f.dataType) for f in out.schema] == [(f.name, f.dataType) for f in schemas.MERGED]
+    assert len(out.columns) == 22
