@@ -35,7 +35,11 @@ def top_k(df, by, order, k, rank="rank"):
 
 
 def dedupe_by_url(df, keys=("language", "review_url"), order=None):
-    """One row per key; rows without a URL are all kept and never shuffled."""
+    """One row per key; rows without a URL are all kept and never shuffled.
+
+    Both parts read `df`, each with its own filter pushed down; store `df` first if
+    it is costly to compute.
+    """
     url = F.col(keys[-1])
     known = df.filter(url.isNotNull())
     first = top_k(known, keys, order or default_order(df, keys), 1, rank="_rank").drop("_rank")

@@ -11,20 +11,53 @@ HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)"
 PATH = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+([^#]*)"
 
 
+SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:"
+
+
+def _without_dots(path):
+    """Resolve `.` and `..` segments of a path that starts with a slash."""
+
+    def step(done, part):
+        up = F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(1)))
+        return F.when(part == "..", up).when(part == ".", done).otherwise(
+            F.concat(done, F.array(part))
+        )
+
+    start = F.array(F.lit(""))
+    parts = F.aggregate(F.slice(F.split(path, "/"), 2, F.char_length(path)), start, step)
+    directory = F.when(path.rlike(r"/\.{1,2}$"), F.lit("/")).otherwise(F.lit(""))
+    return F.concat(F.array_join(parts, "/"), directory)
+
+
+def absolute_url(page_url, href):
+    """`href` as seen from `page_url`; null for other schemes such as `mailto:`."""
+    origin = F.regexp_extract(page_url, ORIGIN, 1)
+    scheme = F.regexp_extract(page_url, r"^([A-Za-z][A-Za-z0-9+.-]*:)", 1)
+    folder = F.regexp_extract(page_url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+((?:/[^/?#]*)*/)", 1)
+    folder = F.when(folder == "", F.lit("/")).otherwise(folder)
+    page = F.regexp_extract(page_url, r"^([^?#]*)", 1)
+    path = F.when(href.startswith("/"), href).otherwise(F.concat(folder, href))
+    plain = F.regexp_extract(path, r"^([^?]*)", 1)
+    query = F.regexp_extract(path, r"(\?.*)$", 1)
+    dotted = plain.rlike(r"/\.{1,2}(?:/|$)")
+    return (
+        F.when(href.rlike(SCHEME + "//"), href)
+        .when(href.rlike(SCHEME), F.lit(None))
+        .when(href.startswith("//"), F.concat(scheme, href))
+        .when(href.startswith("?"), F.concat(page, href))
+        .when(dotted, F.concat(origin, _without_dots(plain), query))
+        .otherwise(F.concat(origin, path))
+    )
+
+
 def page_links(pages):
-    """Absolute links of each page (root-relative and absolute `href`s)."""
+    """Absolute links of each page."""
     links = pages.select(
         F.col("url").alias("page_url"),
         F.explode_outer(F.regexp_extract_all("html", F.lit(HREF), F.lit(1))).alias("href"),
     ).withColumn("href", F.trim(unescape("href")))
-    origin = F.regexp_extract("page_url", ORIGIN, 1)
-    scheme = F.regexp_extract("page_url", r"^([A-Za-z][A-Za-z0-9+.-]*:)", 1)
-    absolute = (
-        F.when(F.col("href").rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), F.col("href"))
-        .when(F.col("href").startswith("//"), F.concat(scheme, "href"))
-        .when(F.col("href").startswith("/"), F.concat(origin, "href"))
-    )
-    return links.select("page_url", absolute.alias("url")).filter(F.col("url").isNotNull())
+    url = absolute_url(F.col("page_url"), F.col("href"))
+    return links.select("page_url", url.alias("url")).filter(F.col("url").isNotNull())
 
 
 def article_frontier(pages, pattern, landed=None):

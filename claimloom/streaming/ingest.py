@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from claimloom import schemas
-from claimloom.operators.dedupe import dedupe_by_url, default_order, skip_collected
+from claimloom.operators.dedupe import default_order, skip_collected, top_k
 from claimloom.operators.extract import extract_claims
 
 KEY = "record_key"
@@ -38,8 +38,8 @@ def append_new(batch, table, key=record_key):
     """Append the rows of `batch` that the table lacks."""
     spark = batch.sparkSession
     keyed = batch.withColumn(KEY, key(batch.columns))
-    order = default_order(keyed, (KEY,))
-    first = dedupe_by_url(keyed, (KEY,), order).persist(StorageLevel.MEMORY_AND_DISK)
+    first = top_k(keyed, [KEY], default_order(keyed, (KEY,)), 1, rank="_rank").drop("_rank")
+    first = first.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         done = spark.read.schema(first.schema).parquet(table)
         skip_collected(first, done, KEY).select(*first.columns).write.mode("append").parquet(table)

@@ -1,8 +1,11 @@
 """Extraction on literal pages."""
 
+from urllib.parse import urljoin
+
 import pytest
+from pyspark.sql import functions as F
 
-from claimloom.operators import extract
+from claimloom.operators import extract, frontier
 from claimloom.operators.frontier import allowed_urls, article_frontier
 
 BOX = (
@@ -97,3 +100,27 @@ def test_rules_longest_prefix_wins(spark):
     )
     got = {r["url"] for r in allowed_urls(df, rules).collect()}
     assert got == set(urls) - {"https://A.org/x/1"}
+
+
+def test_links_resolve_as_in_a_browser(spark):
+    pages = ["https://a.org", "https://a.org/", "http://a.org/x/y?p=1/2", "https://a.org/x/y/#f", "https://a.org/x/y/z.html"]
+    hrefs = ["/p", "p", "./p", "../p", "../../../p", "p/./q/../r", "//b.org/p", "https://c.org/p", "?page=2", "/p?u=../x", "a/..", "."]
+    df = spark.createDataFrame([(p, h) for p in pages for h in hrefs], "page string, href string")
+    out = df.withColumn("url", frontier.absolute_url(F.col("page"), F.col("href"))).collect()
+    assert {(r["page"], r["href"]): r["url"] for r in out} == {(p, h): urljoin(p, h) for p in pages for h in hrefs}
+    other = spark.createDataFrame([("https://a.org", h) for h in ("mailto:x@y", "javascript:go()", "tel:1")], "page string, href string")
+    assert {r["url"] for r in other.select(frontier.absolute_url(F.col("page"), F.col("href")).alias("url")).collect()} == {None}
+
+
+def test_rules_without_broadcast(spark, monkeypatch):
+    """A host with most of the URLs, and rules too large to broadcast."""
+    urls = spark.range(5000).select(F.concat(
+        F.when(F.col("id") % 3 == 0, "https://b.org/p/").otherwise("https://hot.org/p/"), F.col("id")
+    ).alias("url"))
+    rules = spark.range(10).select(
+        F.lit("hot.org").alias("host"), F.concat(F.lit("/p/"), "id").alias("prefix"), (F.col("id") % 2 == 0).alias("allow")
+    )
+    want = {r["url"] for r in allowed_urls(urls, rules).collect()}
+    monkeypatch.setattr(frontier, "broadcast_if_small", lambda df: df)
+    assert {r["url"] for r in allowed_urls(urls, rules).collect()} == want
+    assert len(want) == sum(i % 3 == 0 or int(str(i)[0]) % 2 == 0 for i in range(5000))

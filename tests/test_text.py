@@ -145,3 +145,10 @@ def test_seeds_prefer_phrases(spark):
     )
     got = Counter((r["query"], r["query_lang"]) for r in ph.build_seeds(seeds, lists, 2).collect())
     assert got == Counter([("seed", "en"), ("a b", "hi"), ("c d", "hi"), ("one", "gu")])
+
+
+def test_large_stopword_table_gives_the_same_grams(spark, docs, monkeypatch):
+    stop = spark.createDataFrame([("hi", "है"), ("gu", "આ")], "lang string, token string")
+    want = Counter(map(tuple, ph.ngram_counts(docs, stopwords=stop).collect()))
+    monkeypatch.setattr(ph, "broadcast_if_small", lambda df: df)
+    assert Counter(map(tuple, ph.ngram_counts(docs, stopwords=stop).collect())) == want
