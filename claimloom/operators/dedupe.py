@@ -53,8 +53,9 @@ def skip_collected(new, done, key="review_url"):
     `done` are first cut to those in `new`, without shuffling `done` when the
     batch is measured to be small.
     """
-    wanted = new.select(key).where(F.col(key).isNotNull()).distinct()
-    hint = F.broadcast if is_small(wanted) else (lambda df: df)
+    keys = new.select(key).where(F.col(key).isNotNull())
+    hint = F.broadcast if is_small(keys) else (lambda df: df)
+    wanted = keys.distinct()
     # At most the keys of `wanted`, so the same bound holds.
     known = done.select(key).join(hint(wanted), key, "left_semi").distinct()
     return new.join(hint(known), key, "left_anti")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from claimloom import schemas
 from claimloom.functions.text import tokenize
 from claimloom.operators.dedupe import top_k
-from claimloom.sizing import broadcast_if_small
+from claimloom.sizing import is_small
 
 
 def line_digest(*key):
@@ -55,7 +55,8 @@ def token_rows(docs, id="doc_id"):
 
 
 def _stop_table(stopwords):
-    return broadcast_if_small(stopwords.select("lang", "token").distinct())
+    table = stopwords.select("lang", "token")
+    return F.broadcast(table.distinct()) if is_small(table) else table.distinct()
 
 
 def drop_stopwords(rows, stopwords):

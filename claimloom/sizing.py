@@ -2,20 +2,23 @@
 
 from pyspark.sql import functions as F
 
-MAX_ROWS = 200_000
+MAX_ROWS = 100_000
 MAX_BYTES = 32 * 1024 * 1024
 
 
 def is_small(df, max_rows=MAX_ROWS, max_bytes=MAX_BYTES):
-    """Whether `df` is within both bounds; reads at most `max_rows + 1` rows."""
+    """Whether `df` is within both bounds.
+
+    `take` scans partitions step by step and stops at the bound, so a large table
+    is not read through; one number per row, at most `max_rows + 1`, is returned.
+    Pass rows as they are stored: a `distinct` before the probe would run in full.
+    """
     width = sum(
         (F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in df.columns),
         F.lit(16),
     )
-    rows, size = (
-        df.limit(max_rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0))).first()
-    )
-    return rows <= max_rows and size <= max_bytes
+    widths = df.select(width.alias("width")).take(max_rows + 1)
+    return len(widths) <= max_rows and sum(r["width"] for r in widths) <= max_bytes
 
 
 def broadcast_if_small(df, max_rows=MAX_ROWS, max_bytes=MAX_BYTES):

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from claimloom import schemas
 from claimloom.operators.dedupe import default_order, skip_collected, top_k
 from claimloom.operators.extract import extract_claims
+from claimloom.sources.scans import flatten_responses
 
 KEY = "record_key"
 KEY_FIELD = T.StructField(KEY, T.StringType())
@@ -72,6 +73,13 @@ def ingest_stream(spark, src, table, checkpoint, schema=schemas.RAW, files_per_b
     return _run(stream, table, checkpoint, record_key, lambda df: df)
 
 
+def response_stream(spark, src, table, checkpoint, files_per_batch=None):
+    """Claims of landed search responses not read before: (matched_query, response)."""
+    create_table(spark, T.StructType([*schemas.RAW.fields, KEY_FIELD]), table)
+    stream = _source(spark, src, schemas.strings(["matched_query", "response"]), files_per_batch)
+    return _run(stream, table, checkpoint, record_key, flatten_responses)
+
+
 def extract_stream(spark, src, table, checkpoint, language=None, files_per_batch=None):
     """Claims of landed pages not read before."""
     create_table(spark, T.StructType([*schemas.SCRAPED.fields, KEY_FIELD]), table)

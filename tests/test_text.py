@@ -150,5 +150,5 @@ def test_seeds_prefer_phrases(spark):
 def test_large_stopword_table_gives_the_same_grams(spark, docs, monkeypatch):
     stop = spark.createDataFrame([("hi", "है"), ("gu", "આ")], "lang string, token string")
     want = Counter(map(tuple, ph.ngram_counts(docs, stopwords=stop).collect()))
-    monkeypatch.setattr(ph, "broadcast_if_small", lambda df: df)
+    monkeypatch.setattr(ph, "is_small", lambda df: False)
     assert Counter(map(tuple, ph.ngram_counts(docs, stopwords=stop).collect())) == want
