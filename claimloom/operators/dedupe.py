@@ -24,14 +24,27 @@ def default_order(df, keys=("language", "review_url")):
     return order + [F.col(c).asc_nulls_first() for c in rest]
 
 
+# Below this Spark limits a ranked group within the map tasks by itself.
+MAP_SIDE_LIMIT = 1000
+PARTS = 64
+
+
 def top_k(df, by, order, k, rank="rank"):
     """First `k` rows per group with their rank.
 
     Spark limits each group within the map tasks first (WindowGroupLimit), so at
-    most `k` rows per group and task are shuffled, however large the group is.
+    most `k` rows per group and task are shuffled, however large the group is. For
+    a large `k` it does not; then a group is first cut to its first `k` rows within
+    each of 64 parts, whose union holds the result.
     """
-    w = Window.partitionBy(*by).orderBy(*order)
-    return df.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= k)
+    def first(rows, keys, name):
+        w = Window.partitionBy(*keys).orderBy(*order)
+        return rows.withColumn(name, F.row_number().over(w)).filter(F.col(name) <= k)
+
+    if k >= MAP_SIDE_LIMIT:
+        parts = df.withColumn("_part", F.spark_partition_id() % PARTS)
+        df = first(parts, [*by, "_part"], "_first").drop("_part", "_first")
+    return first(df, by, rank)
 
 
 def dedupe_by_url(df, keys=("language", "review_url"), order=None):

@@ -15,6 +15,9 @@ from claimloom.operators.extract import extract_claims
 from claimloom.sources.scans import flatten_responses
 
 KEY = "record_key"
+# Bounds a micro-batch. Each one reads the key column of the table, so use as large
+# batches as the cluster can hold.
+FILES_PER_BATCH = 1000
 KEY_FIELD = T.StructField(KEY, T.StringType())
 
 
@@ -60,27 +63,25 @@ def _run(stream, table, checkpoint, key, transform):
 
 
 def _source(spark, src, schema, files_per_batch):
-    reader = spark.readStream.schema(schema)
-    if files_per_batch:
-        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
     return reader.parquet(src)
 
 
-def ingest_stream(spark, src, table, checkpoint, schema=schemas.RAW, files_per_batch=None):
+def ingest_stream(spark, src, table, checkpoint, schema=schemas.RAW, files_per_batch=FILES_PER_BATCH):
     """Landed claim files not read before; URLs already stored are skipped."""
     create_table(spark, T.StructType([*schema.fields, KEY_FIELD]), table)
     stream = _source(spark, src, schema, files_per_batch)
     return _run(stream, table, checkpoint, record_key, lambda df: df)
 
 
-def response_stream(spark, src, table, checkpoint, files_per_batch=None):
+def response_stream(spark, src, table, checkpoint, files_per_batch=FILES_PER_BATCH):
     """Claims of landed search responses not read before: (matched_query, response)."""
     create_table(spark, T.StructType([*schemas.RAW.fields, KEY_FIELD]), table)
     stream = _source(spark, src, schemas.strings(["matched_query", "response"]), files_per_batch)
     return _run(stream, table, checkpoint, record_key, flatten_responses)
 
 
-def extract_stream(spark, src, table, checkpoint, language=None, files_per_batch=None):
+def extract_stream(spark, src, table, checkpoint, language=None, files_per_batch=FILES_PER_BATCH):
     """Claims of landed pages not read before."""
     create_table(spark, T.StructType([*schemas.SCRAPED.fields, KEY_FIELD]), table)
     stream = _source(spark, src, schemas.PAGE, files_per_batch)

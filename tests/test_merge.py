@@ -129,3 +129,40 @@ def test_merged_schema(spark, path):
     out = merge.merge_claims([views.claims(spark, path)])
     assert [(f.name, f.dataType) for f in out.schema] == [(f.name, f.dataType) for f in schemas.MERGED]
     assert len(out.columns) == 22
+
+
+def test_large_k_cuts_hot_groups_in_parts(spark):
+    df = spark.range(0, 40_000, numPartitions=8).select(
+        F.when(F.col("id") % 3 == 0, F.col("id") % 50).otherwise(-1).alias("g"), (F.col("id") * 7919 % 40_009).alias("v"), "id"
+    )
+    got = {(r["g"], r["rank"]): r["id"] for r in dedupe.top_k(df, ["g"], ["v", "id"], 1500).collect()}
+    want, groups = {}, {}
+    for i in range(40_000):
+        groups.setdefault(i % 50 if i % 3 == 0 else -1, []).append((i * 7919 % 40_009, i))
+    for g, rows in groups.items():
+        want.update({(g, n): i for n, (_, i) in enumerate(sorted(rows)[:1500], 1)})
+    assert got == want
+
+
+def test_shared_folder_is_the_named_one():
+    from claimloom import session
+
+    class Named:
+        class conf:
+            get = staticmethod(lambda key, default: {"spark.checkpoint.dir": "hdfs://shared/ckpt/"}.get(key, default))
+
+    assert session.shared_dir(Named) == "hdfs://shared/ckpt"
+
+    class Cluster:
+        class conf:
+            get = staticmethod(lambda key, default: default)
+
+        class sparkContext:
+            master = "yarn"
+
+    try:
+        session.shared_dir(Cluster)
+    except ValueError as e:
+        assert "spark.checkpoint.dir" in str(e)
+    else:
+        raise AssertionError("a cluster without a named folder must be refused")
