@@ -2,10 +2,10 @@
 
 One pass over the corpus stores the postings (document, position, term) of every
 term that some test item uses. The number of postings of a term tells how rare it
-is; each window of an item is looked up by its rarest term only. A posting less the
+is; each window of an item is looked up by its two rarest terms. A posting less the
 term's place in the item is a diagonal: where the item would lie in the document.
-The diagonals found are intersected with the lists of all other terms of the item,
-adjusted by their offsets, and runs of consecutive places are exact phrase matches.
+The diagonals on which two lists meet are intersected with those of all other terms of
+the item, adjusted by their offsets, and runs of consecutive places are exact phrase matches.
 
 Only built-in expressions are used. The corpus is never shuffled by term, so a
 passage or word that a third of all documents share lands in no single task.
@@ -23,6 +23,8 @@ from claimloom.sizing import broadcast_if_small, spread
 WORD = r"([0-9A-Za-z\x{80}-\x{10FFFF}]+)"
 #: The posting that closes a document; no word is empty.
 END = ""
+#: Up to so many documents with candidates (two numbers each) are broadcast; more are joined by a shuffle.
+BROADCAST_DOCS = 500_000
 
 
 def same_doc():
@@ -73,27 +75,33 @@ def postings(docs, terms, doc_id="doc_id", text="text"):
 
 
 def anchors(index, terms, window):
-    """Rarest term of each window: distinct (item, place, term), windows with an unseen term left out."""
+    """The two rarest words of each window: distinct (item, n, place, term); windows with an unseen term are left out."""
     counts = index.filter(F.col("term") != END).groupBy("term").agg(F.count("*").alias("seen"))
     span = Window.partitionBy("item").orderBy("place").rangeBetween(0, window - 1)
+    word = F.struct(F.coalesce("seen", F.lit(0)).alias("seen"), "place", "term")
     rarest = terms.join(counts, "term", "left").select(
-        "item", "place", "n", F.min(F.struct(F.coalesce("seen", F.lit(0)).alias("seen"), "place", "term")).over(span).alias("best"),
+        "item", "place", "n", F.slice(F.array_sort(F.collect_list(word).over(span)), 1, 2).alias("two"),
     )
-    starts = rarest.filter((F.col("place") <= F.greatest(F.col("n") - window, F.lit(0))) & (F.col("best.seen") > 0))
-    return starts.select("item", "best.place", "best.term").distinct()
+    starts = rarest.filter((F.col("place") <= F.greatest(F.col("n") - window, F.lit(0))) & (F.col("two")[0]["seen"] > 0))
+    return starts.select("item", "n", F.inline("two")).select("item", "n", "place", "term").distinct()
+
+
+def diagonals(index, terms, window):
+    """(doc_id, version, item, diagonal) where both rarest words of some window may lie in place."""
+    near = broadcast_if_small(stored(anchors(index, terms, window), "anchors"))
+    line = ["doc_id", "version", "item", "n", (F.col("pos") - F.col("place")).alias("diagonal")]
+    seen = index.join(near, "term").groupBy(*line).agg(F.count_distinct("place").alias("places"))
+    return seen.filter(F.col("places") >= F.least("n", F.lit(2))).drop("n", "places")
 
 
 def matches(index, terms, window):
     """(doc_id, version, item, item_id, n, diagonal, place, pos) of all item words found in place."""
-    near = broadcast_if_small(stored(anchors(index, terms, window), "anchors"))
-    diagonals = stored(
-        index.join(near, "term")
-        .select("doc_id", "version", "item", (F.col("pos") - F.col("place")).alias("diagonal")).distinct(),
-        "diagonals",
-    )
-    docs = diagonals.select("doc_id", "version").distinct()
-    wanted = diagonals.join(broadcast_if_small(terms), "item").withColumn("pos", F.col("diagonal") + F.col("place"))
-    there = index.alias("a").join(broadcast_if_small(stored(docs, "candidates")).alias("b"), same_doc(), "left_semi")
+    lines = stored(diagonals(index, terms, window), "diagonals")
+    docs = stored(lines.select("doc_id", "version").distinct(), "candidates")
+    if docs.count() <= BROADCAST_DOCS:
+        docs = F.broadcast(docs)
+    there = index.alias("a").join(docs.alias("b"), same_doc(), "left_semi")
+    wanted = lines.join(broadcast_if_small(terms), "item").withColumn("pos", F.col("diagonal") + F.col("place"))
     hit = (F.col("a.pos") == F.col("b.pos")) & (F.col("a.term") == F.col("b.term"))
     return wanted.alias("a").join(there.alias("b"), same_doc() & hit, "left_semi").distinct()
 
