@@ -63,7 +63,7 @@ def postings(docs, terms, doc_id="doc_id", text="text"):
     known = terms.select("term").distinct().union(docs.sparkSession.range(1).select(F.lit(END)))
     tokens = spread(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))).select(
         "doc_id", F.xxhash64("text").alias("version"),
-        F.posexplode(F.concat(words(F.col("text")), F.array(F.lit(END)))).alias("pos", "word"),
+        F.posexplode_outer(F.concat(words(F.col("text")), F.array(F.lit(END)))).alias("pos", "word"),
     )
     same = F.when(
         F.octet_length("word") == F.char_length("word"), F.lower("word") == F.col("term")
