@@ -87,8 +87,12 @@ def joined(spans):
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
+def number_of(spans, kind):
+    return F.size(F.filter(spans, lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+
 def secret_columns(found):
-    counted = [F.size(F.filter("secrets", lambda x, k=kind: x["kind"] == k)).cast("long").alias(f"n_{kind}") for kind in secrets.BASE]
+    counted = [number_of("secrets", kind) for kind in secrets.BASE]
     base = F.filter("secrets", lambda x: x["kind"] != "entropy")
     return found.select("doc_id", *counted, F.sha2(joined(base), 256).alias("base_sha256"), joined("secrets").alias("spans"))
 
@@ -128,7 +132,7 @@ def op10_pii(spark, sf):
 
 
 def pii_columns(found):
-    counted = [F.size(F.filter("spans", lambda x, k=kind: x["kind"] == k)).cast("long").alias(f"n_{kind}") for kind in pii.BASE]
+    counted = [number_of("spans", kind) for kind in pii.BASE]
     base = F.filter("spans", lambda x: x["kind"].isin(pii.BASE))
     return found.select("doc_id", *counted, F.sha2(joined(base), 256).alias("base_sha256"), joined("spans").alias("spans"))
 

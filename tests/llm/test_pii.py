@@ -18,7 +18,7 @@ def luhn(digits):
 def plain(text):
     out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
     for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text):
-        if all(int(x) <= 255 for x in m[0].split(".")):
+        if all(len(x.lstrip("0")) < 4 and int(x[-4:]) <= 255 for x in m[0].split(".")):
             out.append(("ip", *m.span()))
     for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
         digits = re.sub(r"[^0-9]", "", m[0])
