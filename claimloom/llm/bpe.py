@@ -106,39 +106,44 @@ def _encoder(shared, pattern):
     return _workers[key]
 
 
-def encode(docs, ranks, pattern, doc_id="doc_id", text="text"):
-    """Token ids of every text: doc_id, version (digest of the text), text, ids; one row per row of `docs`.
+def with_ids(rows, ranks, pattern, text="text", into="ids"):
+    """`rows` with the token ids of their texts in the column `into`; a null or empty text has none.
 
     `ranks`: token bytes → rank, with all 256 single bytes; a vocabulary, whose size
     does not depend on the data, sent once to each executor. `pattern` cuts the text
     into pieces that are merged apart. No string is a special token.
-
-    A null or empty text has no ids. A null doc_id keeps its row, repeated rows give equal
-    rows. Whole texts are encoded, and pieces of any length. Only the named columns are
-    read. An empty table gives an empty result.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(ranks)
-    texts = keyed(spread(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))))
-    kind = texts.schema["doc_id"].dataType.simpleString()
+    shared = rows.sparkSession.sparkContext.broadcast(ranks)
+    rows = spread(rows.drop(into))
 
     def run(batches):
         own = _encoder(shared, pattern)
         for batch in batches:
-            ids = pa.array((own.encode(x.as_py()) for x in batch.column("text")), pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, ids], [*batch.schema.names, "ids"])
+            ids = pa.array((own.encode(x.as_py() or "") for x in batch.column(text)), pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, ids], [*batch.schema.names, into])
+
+    return rows.mapInArrow(run, rows.withColumn(into, F.array().cast("array<int>")).schema)
+
 
-    return texts.mapInArrow(run, f"doc_id {kind}, version long, text string, ids array<int>")
+def encode(docs, ranks, pattern, doc_id="doc_id", text="text"):
+    """Token ids of every text: doc_id, version (digest of the text), text, ids; one row per row of `docs`.
+
+    A null or empty text has no ids. A null doc_id keeps its row, repeated rows give equal
+    rows. Whole texts are encoded, and pieces of any length. Only the named columns are
+    read. An empty table gives an empty result. `with_ids` has the vocabulary's form.
+    """
+    return with_ids(keyed(docs, doc_id, text), ranks, pattern)
 
 
-def decode(encoded, ranks):
-    """`encoded` with the column `decoded`, the bytes of `ids`; null ids give null, an unknown id is an error."""
+def decode(encoded, ranks, ids="ids", into="decoded"):
+    """`encoded` with the bytes of `ids` in the column `into`; null ids give null, an unknown id is an error."""
     shared = encoded.sparkSession.sparkContext.broadcast({rank: token for token, rank in ranks.items()})
-    schema = encoded.withColumn("decoded", F.lit(None).cast("binary")).schema
+    encoded = encoded.drop(into)
 
     def run(batches):
         token = shared.value.__getitem__
         for batch in batches:
-            out = (None if x is None else b"".join(map(token, x)) for x in (x.as_py() for x in batch.column("ids")))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [*batch.schema.names, "decoded"])
+            out = (None if x is None else b"".join(map(token, x)) for x in (x.as_py() for x in batch.column(ids)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [*batch.schema.names, into])
 
-    return encoded.mapInArrow(run, schema)
+    return encoded.mapInArrow(run, encoded.withColumn(into, F.lit(None).cast("binary")).schema)

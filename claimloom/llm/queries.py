@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from claimloom.llm import bpe, chat, langid, pii, secrets, simhash, urlfilter
+from claimloom.llm import bpe, chat, embeddings, langid, pii, secrets, simhash, toxicity, urlfilter
 from claimloom.llm import decontaminate as decontamination
 
 
@@ -65,6 +65,17 @@ from d left join pos using (r) left join ids using (r)
 """
 
 
+#: From this score on a document counts as toxic.
+TOXIC = 0.3
+
+
+def op6_toxicity(spark, sf):
+    docs = read(spark, sf, "documents")
+    found = toxicity.score(docs, toxicity.train(docs, read(spark, sf, "labels")))
+    held_out = F.coalesce(toxicity.held_out(), F.lit(False)).alias("held_out")
+    return found.select("doc_id", held_out, "score", (F.col("score") >= TOXIC).cast("int").alias("predicted"))
+
+
 #: The vocabulary that texts are encoded with.
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -127,6 +138,22 @@ from r
 """
 
 
+def op9_embedding_dedup(spark, sf):
+    return embeddings.near_duplicates(read(spark, sf, "embeddings"))
+
+
+OP9_SQL = """
+with recursive v as (select vec_id, label, [cast(x as double) for x in embedding] as e from embeddings
+  where label is not null and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0 and len(list_filter(embedding, x -> x <> 0)) > 0),
+link as (select a.vec_id as a, b.vec_id as b from v a join v b
+  on a.label = b.label and a.vec_id <> b.vec_id and len(a.e) = len(b.e) and list_cosine_similarity(a.e, b.e) >= 0.98),
+reach as (select vec_id as a, vec_id as b from embeddings union select r.a, l.b from reach r join link l on r.b = l.a)
+select e.vec_id, coalesce(n, 0) as n_links, component_id, e.vec_id = component_id as kept
+from embeddings e left join (select a, count(*) as n from link group by a) n on e.vec_id = n.a
+join (select a, min(b) as component_id from reach group by a) c on e.vec_id = c.a
+"""
+
+
 def op10_pii(spark, sf):
     return pii_columns(pii.scan(read(spark, sf, "documents")))
 
@@ -144,7 +171,9 @@ QUERIES = {
     "op3_simhash": (op3_simhash, None),
     "op4_decontamination": (op4_decontamination, OP4_SQL),
     "op5_url_filter": (op5_url_filter, OP5_SQL),
+    "op6_toxicity": (op6_toxicity, None),
     "op7_bpe": (op7_bpe, None),
     "op8_secrets": (op8_secrets, None),
+    "op9_embedding_dedup": (op9_embedding_dedup, OP9_SQL),
     "op10_pii": (op10_pii, None),
 }

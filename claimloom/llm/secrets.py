@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from claimloom.llm.spans import keyed, matches
 from claimloom.session import stored
-from claimloom.sizing import spread
+from claimloom.sizing import broadcast_if_small, spread
 
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 #: Runs shorter than the bound would be dropped, so they need not match: within one run no later start does better.
@@ -101,3 +101,28 @@ def scan(docs, window=20, classes=CLASSES, allowed=ALLOWED, doc_id="doc_id", tex
     secrets = F.transform(F.coalesce("b.found", F.array().cast("array<struct<start:long,rank:long,end:long,kind:string>>")),
                           lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
     return a.join(b, same, "left").select("a.doc_id", "a.version", secrets.alias("secrets"))
+
+
+def redacted(docs, **params):
+    """Rows of `docs` with every secret in `text` replaced by its kind in brackets; n_chars, where there is one, follows.
+
+    Secrets that overlap become one, named after the first. Texts without a secret, null ones too, stay as they are.
+    """
+    found = scan(docs, **params).filter(F.size("secrets") > 0).dropDuplicates(["doc_id", "version"])
+    found = broadcast_if_small(stored(found.toDF("_id", "_version", "_secrets"), "secrets"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_version"))
+    start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
+
+    def replace(done, x):
+        gap = F.substr(F.col("text"), (done["at"] + 1).cast("int"), (x["start"] - done["at"]).cast("int"))
+        out = F.when(x["start"] >= done["at"], F.concat(done["out"], gap, F.lit("["), x["kind"], F.lit("]"))).otherwise(done["out"])
+        return F.struct(out.alias("out"), F.greatest(done["at"], x["end"]).alias("at"))
+
+    rest = lambda done: F.concat(done["out"], F.substr(F.col("text"), (done["at"] + 1).cast("int")))
+    hit = F.col("_version").isNotNull()
+    out = docs.join(found, same, "left").withColumn(
+        "text", F.when(hit, F.aggregate("_secrets", start, replace, rest)).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        count = F.char_length("text").cast(docs.schema["n_chars"].dataType)
+        out = out.withColumn("n_chars", F.when(hit, count).otherwise(F.col("n_chars")))
+    return out.select(docs.columns)
