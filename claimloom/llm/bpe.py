@@ -7,7 +7,9 @@ left - each in logarithmic time, so a piece of n bytes takes n log n however lon
 """
 
 import base64
+from array import array
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import functions as F
@@ -16,7 +18,9 @@ from claimloom.llm.spans import keyed
 from claimloom.sizing import spread
 
 #: Pieces that a worker remembers in each of two generations; a bound on memory only.
-CACHED = 250_000
+CACHED = 200_000
+#: The leaf of a byte that starts no pair of a rank; beyond every rank times every length.
+NO_PAIR = 1 << 62
 #: Longer pieces are not remembered.
 CACHED_LENGTH = 64
 
@@ -30,40 +34,44 @@ def load_ranks(path):
 
 
 def merge(piece, ranks):
-    """Ids of one piece of bytes."""
-    n = len(piece)
+    """Ids of one piece of bytes.
+
+    A leaf is rank * n + place, so the least of a range is its leftmost pair of lowest rank.
+    """
+    n, get = len(piece), ranks.get
     if n < 2:
         return [ranks[piece]] if n else []
-    leaves = 1 << (n - 2).bit_length()
-    none = len(ranks) * n + n << 1
-    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    rank = lambda i: r * n + i if (r := ranks.get(piece[i:after[after[i]]] if after[i] < n else b"")) is not None else none
+    leaves, none = 1 << (n - 2).bit_length(), NO_PAIR
     tree = [none] * (2 * leaves)
-    tree[leaves:leaves + n - 1] = map(rank, range(n - 1))
+    for i in range(n - 1):
+        if (rank := get(piece[i:i + 2])) is not None:
+            tree[leaves + i] = rank * n + i
     for node in range(leaves - 1, 0, -1):
-        tree[node] = min(tree[2 * node], tree[2 * node + 1])
-
-    def update(i, value):
-        node = leaves + i
-        tree[node] = value
-        while node > 1:
-            node >>= 1
-            least = min(tree[2 * node], tree[2 * node + 1])
-            if tree[node] == least:
-                return
-            tree[node] = least
-
+        a, b = tree[2 * node], tree[2 * node + 1]
+        tree[node] = b if b < a else a
+    after, before = list(range(1, n + 2)), list(range(-1, n))
     while (best := tree[1]) < none:
         left = best % n
         gone = after[left]
         after[left] = end = after[gone]
-        if end < n:
-            before[end] = left
-        if gone < n - 1:
-            update(gone, none)
-        update(left, rank(left))
+        before[end] = left
+        rank = get(piece[left:after[end]]) if end < n else None
+        changes = [(gone, none), (left, none if rank is None else rank * n + left)]
         if left:
-            update(before[left], rank(before[left]))
+            i = before[left]
+            rank = get(piece[i:end])
+            changes.append((i, none if rank is None else rank * n + i))
+        for i, value in changes:
+            node = leaves + i
+            if node < len(tree):  # the last byte starts no pair
+                tree[node] = value
+                while node := node >> 1:
+                    a, b = tree[2 * node], tree[2 * node + 1]
+                    if b < a:
+                        a = b
+                    if tree[node] == a:
+                        break
+                    tree[node] = a
     out, i = [], 0
     while i < n:
         out.append(ranks[piece[i:after[i]]])
@@ -79,22 +87,23 @@ class Encoder:
         self.new, self.old = {}, {}
 
     def piece(self, text):
+        """Ids of a piece as 32-bit numbers; of bytes, so that many of them cost little to keep."""
         found = self.old.get(text)
         if found is None:
             raw = text.encode()
-            found = [self.ranks[raw]] if raw in self.ranks else merge(raw, self.ranks)
+            found = array("i", [self.ranks[raw]] if raw in self.ranks else merge(raw, self.ranks)).tobytes()
         if len(text) <= CACHED_LENGTH:
             if len(self.new) >= CACHED:
                 self.old, self.new = self.new, {}
             self.new[text] = found
         return found
 
+    def packed(self, text):
+        """Ids of a text as 32-bit numbers."""
+        return b"".join([self.new.get(piece) or self.piece(piece) for piece in self.pieces(text)])
+
     def encode(self, text):
-        ids, add = [], None
-        add = ids.extend
-        for piece in self.pieces(text):
-            add(self.new.get(piece) or self.piece(piece))
-        return ids
+        return array("i", self.packed(text)).tolist()
 
 
 def _encoder(shared, pattern):
@@ -119,7 +128,9 @@ def with_ids(rows, ranks, pattern, text="text", into="ids"):
     def run(batches):
         own = _encoder(shared, pattern)
         for batch in batches:
-            ids = pa.array((own.encode(x.as_py() or "") for x in batch.column(text)), pa.list_(pa.int32()))
+            packed = [own.packed(x or "") for x in batch.column(text).to_pylist()]
+            ends = np.cumsum([0, *map(len, packed)]) // 4
+            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(packed), np.int32)))
             yield pa.RecordBatch.from_arrays([*batch.columns, ids], [*batch.schema.names, into])
 
     return rows.mapInArrow(run, rows.withColumn(into, F.array().cast("array<int>")).schema)
@@ -143,7 +154,9 @@ def decode(encoded, ranks, ids="ids", into="decoded"):
     def run(batches):
         token = shared.value.__getitem__
         for batch in batches:
-            out = (None if x is None else b"".join(map(token, x)) for x in (x.as_py() for x in batch.column(ids)))
+            lists = batch.column(ids)
+            numbers, ends, null = lists.values.to_numpy(), lists.offsets.to_pylist(), lists.is_null().to_pylist()
+            out = (None if no else b"".join(map(token, numbers[a:b].tolist())) for no, a, b in zip(null, ends, ends[1:]))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [*batch.schema.names, into])
 
     return encoded.mapInArrow(run, encoded.withColumn(into, F.lit(None).cast("binary")).schema)
