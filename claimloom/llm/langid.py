@@ -57,7 +57,7 @@ def grams(codes):
 def codewords(count):
     """One row of ±1 for each of `count` languages: all ways to part up to 7, else the best of random codes."""
     if count <= 7:
-        bits = [b for b in product((1, -1), repeat=count) if b[0] == 1 and -1 in b]
+        bits = [(1, *b) for b in product((1, -1), repeat=count - 1) if -1 in b] if count else []
         return np.array(bits, np.float64).reshape(len(bits), count).T
     rng, best, far = np.random.default_rng(7), None, -1
     for _ in range(50):
@@ -127,10 +127,13 @@ class Model:
     def __init__(self, found):
         self.langs = list(found)
         self.code = codewords(len(self.langs))
-        p = np.array([x * len(ORDERS) for x in found.values()]).reshape(len(self.langs), -1)
+        if not found:
+            self.weights, self.worth = np.zeros((len(ORDERS) * BUCKETS, 0), np.float32), np.zeros(0)
+            return
+        p = np.array([x * len(ORDERS) for x in found.values()]).reshape(len(self.langs), len(ORDERS) * BUCKETS)
         p = (p + SMOOTH / BUCKETS) / (1 + SMOOTH)
         ones = (self.code > 0).astype(float)
-        with np.errstate(invalid="ignore"):
+        with np.errstate(invalid="ignore", divide="ignore"):
             yes, no = (ones.T @ p) / ones.sum(0)[:, None], ((1 - ones).T @ p) / (1 - ones).sum(0)[:, None]
         weights = np.clip(np.log(yes / no), -6, 6).T
         margin = self.code * (p @ weights) / len(ORDERS)

@@ -31,6 +31,20 @@ def op2_chat_format(spark, sf):
     return chat.digests(chat.render(chat.streamed(turns.unionByName(added))))
 
 
+OP2_SQL = rf"""
+with t as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -1, x, case x when 0 then 'user' else 'assistant' end, '{CONTROL}' from range(2) r(x)),
+f as (select *, concat(role, chr(10), text, chr(10)) as line, length(concat('<|im_start|>',
+  replace(replace(replace(role, '%', '%25'), chr(10), '%0A'), '|', '%7C'), chr(10),
+  regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g'), '<|im_end|>', chr(10))) as n from t)
+select conv_id, count(*) as n_turns, sha256(string_agg(line, '' order by turn nulls first, role, text)) as turns_sha256,
+  cast(coalesce(sum(length(text)) filter (role = 'assistant'), 0) as bigint) as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+  cast(sum(n) as bigint) as formatted_chars
+from f group by conv_id
+"""
+
+
 def op3_simhash(spark, sf):
     found = simhash.near_duplicates(read(spark, sf, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -167,7 +181,7 @@ def pii_columns(found):
 #: Name → (query, SQL or None).
 QUERIES = {
     "op1_language_id": (op1_language_id, None),
-    "op2_chat_format": (op2_chat_format, None),
+    "op2_chat_format": (op2_chat_format, OP2_SQL),
     "op3_simhash": (op3_simhash, None),
     "op4_decontamination": (op4_decontamination, OP4_SQL),
     "op5_url_filter": (op5_url_filter, OP5_SQL),

@@ -40,10 +40,13 @@ CLEAN_STRINGS, TOXIC_STRINGS = 300_000, 3000
 LANDMARKS = 256
 COUNTER_EXAMPLES = 4000
 ROUNDS = 3
+#: Strings of a toxic document, the most toxic ones, that are taken to make it so.
+BLAMED = 3
 #: Toxic strings that are also learned with a letter put in.
 STRETCHED = 100
-#: Least log ratio of a string's shares of the toxic and the clean documents to stand for toxicity; labels may be wrong.
-TELLING = 1.6
+#: Least worth of a string that may stand for a toxic document: the log ratio of its shares of toxic and clean
+#: documents times the root of the number of toxic ones. Lower values arise by chance, and labels may be wrong.
+TELLING = 8.0
 COST = 10.0
 
 _symbols = None
@@ -267,9 +270,9 @@ def train(docs, labels, per_label=PER_LABEL, landmarks=LANDMARKS):
         return Model(blank, -1.0, (0.0, 0.0, 30.0 if size.get(1) else -30.0))
     counts = string_counts(sample)
     tell = F.log((F.col("toxic") + 0.5) / size[1]) - F.log((F.col("clean") + 0.5) / size[0])
-    top = counts.filter("toxic > 0").select("word", tell.alias("tell"), (tell * F.sqrt("toxic")).alias("worth")).orderBy(F.desc("worth"), "word").limit(TOXIC_STRINGS).collect()
+    top = counts.filter("toxic > 0").select("word", (tell * F.sqrt("toxic")).alias("worth")).orderBy(F.desc("worth"), "word").limit(TOXIC_STRINGS).collect()
     clean = counts.filter("clean > 0").orderBy(F.desc("clean"), "word").limit(CLEAN_STRINGS).select("word").collect()
-    words, worth = [bytes(r["word"]) for r in top], np.array([r["worth"] if r["tell"] > TELLING else -np.inf for r in top])
+    words, worth = [bytes(r["word"]) for r in top], np.array([r["worth"] for r in top])
     bags = document_strings(sample, words)
     negative = [bytes(r["word"]) for r in clean]
     common = negative[:landmarks // 2]
@@ -297,30 +300,29 @@ def fit(words, worth, bags, negative, landmarks):
     """Alternates between the toxic documents' telling strings and the machine."""
     number = {w: i for i, w in enumerate(words)}
     clean = [w for w in negative if w not in number]
-    both = ~np.isfinite(worth)
+    known = worth >= TELLING
     everything = words + clean
     gram, table = kernel(landmarks, landmarks)
     value, vector = np.linalg.eigh(gram)
     root = vector[:, value > 1e-4] / np.sqrt(value[value > 1e-4])
     z_toxic = kernel(words, landmarks)[0] @ root
     sign, start, length = as_strings(everything)
-    rank = worth
+    rank = np.where(known, worth, -np.inf)
     chosen = np.arange(min(COUNTER_EXAMPLES // 2, len(clean)))
     for _ in range(ROUNDS):
         picked = np.zeros(len(words))
         for bag in bags:
-            best = max(bag, key=lambda i: rank[i], default=None)
-            if best is not None and np.isfinite(rank[best]):
-                picked[best] += 1
-        known = stretched([words[i] for i in np.argsort(-picked, kind="stable")[:STRETCHED] if picked[i] > 1])
+            for i in sorted(bag, key=lambda i: -rank[i])[:BLAMED]:
+                picked[i] += np.isfinite(rank[i])
+        longer = stretched([words[i] for i in np.argsort(-picked, kind="stable")[:STRETCHED] if picked[i] > 1])
         counter = [clean[i] for i in chosen]
-        z = np.vstack([z_toxic, kernel(known + counter, landmarks)[0] @ root])
-        y = np.concatenate([np.where(picked > 0, 1.0, -1.0), np.ones(len(known)), -np.ones(len(counter))])
-        weight = np.concatenate([np.where(picked > 0, np.sqrt(picked), both.astype(float)), np.full(len(known), 0.5), np.ones(len(counter))])
+        z = np.vstack([z_toxic, kernel(longer + counter, landmarks)[0] @ root])
+        y = np.concatenate([np.where(picked > 0, 1.0, -1.0), np.ones(len(longer)), -np.ones(len(counter))])
+        weight = np.concatenate([np.sqrt(picked), np.full(len(longer), 0.5), np.ones(len(counter))])
         w, bias = fit_machine(z, y, weight)
         weights = table @ (root @ w)
         found = scores(weights, bias, sign, start, length)
-        rank = np.where(both, -np.inf, found[:len(words)])
+        rank = np.where(known | (found[:len(words)] > 0), found[:len(words)], -np.inf)
         hardest = np.argsort(-found[len(words):], kind="stable")[:COUNTER_EXAMPLES // 2]
         chosen = np.union1d(chosen, hardest)[:2 * COUNTER_EXAMPLES]
     return Model(weights, bias, (0.0, 0.0, 0.0))

@@ -69,7 +69,7 @@ def listed_urls(urls, listed):
     broadcast, and only what passes it is ever shuffled; beyond that bound URLs meet
     their block in a shuffle join, whose hot partitions AQE splits.
     """
-    distinct = stored(listed.toDF("listed").filter("listed is not null").distinct(), "listed")
+    distinct = stored(listed.toDF("listed").filter("listed != ''").distinct(), "listed")
     blocks = distinct.count() * BITS_PER_URL // 64 + 1
     words = broadcast_if_small(stored(bloom(distinct, blocks), "bloom"))
     known = urls.select("url", canonical(F.col("url")).alias("canonical")).filter("url is not null")
@@ -85,7 +85,7 @@ def judge(pages, rules, listed, page_id="page_id", url="url"):
     `rules`: list of (verdict, rule), rule as `host/path`; a rule fits its host and
     all subdomains where the path starts with the rule's path. The rule with the most
     code points wins, the last of the list among equals. Without a rule the verdict is
-    `block` if the canonical URL is in the one-column frame `listed`, else `allow`.
+    `block` if the canonical URL is in the one-column frame `listed`, else `allow`; null and empty entries list nothing.
 
     Columns: page_id, host, path, rule (null without one), verdict. A null URL or
     one without `://` has an empty host and path, fits no rule and is allowed. A null

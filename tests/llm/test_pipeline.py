@@ -10,8 +10,8 @@ import corpus_pipeline
 import test_decontaminate
 import test_secrets
 import test_simhash
-from claimloom.llm import secrets
-from claimloom.llm.queries import read
+from claimloom.llm import secrets, toxicity
+from claimloom.llm.queries import TOXIC, read
 from claimloom.session import stored
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -35,7 +35,6 @@ def redacted(text):
 
 def test_every_stage(spark, path):
     docs, kept = read(spark, path, "documents"), {}
-    toxic = {r["doc_id"] for r in read(spark, path, "labels").collect() if r["toxic"] == 1}
     for name, stage in corpus_pipeline.STAGES:
         out = stored(stage(spark, docs, path), name)
         if name != "tokens":
@@ -45,7 +44,8 @@ def test_every_stage(spark, path):
         ids = {r["doc_id"] for r in after}
         if name == "toxicity":
             dropped = {r["doc_id"] for r in before} - ids
-            assert len(dropped - toxic) <= 2 and len(dropped & toxic) >= 0.6 * len(toxic)
+            model = toxicity.train(docs, read(spark, path, "labels"))
+            assert dropped == {r["doc_id"] for r in toxicity.score(docs, model).collect() if r["score"] >= TOXIC}
         elif name == "near_duplicates":
             assert ids == {c for _, _, c in test_simhash.grouped(before)} and len(after) == len(ids)
         elif name == "decontamination":
@@ -68,6 +68,15 @@ CASES = [
 ]
 
 
+def test_toxic_documents_go(spark):
+    path = "/root/testdata/sf0.01"
+    docs = read(spark, path, "documents")
+    insults = {r["doc_id"] for r in docs.filter(r"text rlike '\\b(?i:idiot|clown|moron|scum|trash|loser|stupid|pathetic|worthless|disgusting)\\b'").collect()}
+    kept = {r["doc_id"] for r in corpus_pipeline.toxicity(spark, docs, path).collect()}
+    dropped = {r["doc_id"] for r in docs.collect()} - kept
+    assert len(dropped & insults) >= 0.95 * len(insults) and len(dropped - insults) <= 0.01 * len(kept)
+
+
 def test_edge_rows_pass_every_stage(spark, path):
     rows = [Row(doc_id=i, text=t, lang=None, source=None, n_chars=None, ids="x", tokens="y", version="z") for i, t in CASES]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, ids string, tokens string, version string")
