@@ -84,6 +84,7 @@ class Encoder:
 
     def __init__(self, ranks, pattern):
         self.ranks, self.pieces = ranks, regex.compile(pattern).findall
+        self.tokens = {rank: token for token, rank in ranks.items()}
         self.new, self.old = {}, {}
 
     def piece(self, text):
@@ -108,55 +109,63 @@ class Encoder:
 
 def _encoder(shared, pattern):
     """The worker's encoder for a vocabulary, kept from task to task."""
-    key = (shared.id if hasattr(shared, "id") else id(shared), pattern)
+    key = (id(shared), pattern)
     if key not in _workers:
         _workers.clear()
         _workers[key] = Encoder(shared.value, pattern)
     return _workers[key]
 
 
-def with_ids(rows, ranks, pattern, text="text", into="ids"):
+def _encoded(batches, own, text, into):
+    for batch in batches:
+        packed = [own.packed(x or "") for x in batch.column(text).to_pylist()]
+        ends = np.cumsum([0, *map(len, packed)]) // 4
+        ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(packed), np.int32)))
+        yield pa.RecordBatch.from_arrays([*batch.columns, ids], [*batch.schema.names, into])
+
+
+def _decoded(batches, tokens, ids, into):
+    token = tokens.__getitem__
+    for batch in batches:
+        lists = batch.column(ids)
+        numbers, ends, null = lists.values.to_numpy(), lists.offsets.to_pylist(), lists.is_null().to_pylist()
+        out = (None if no else b"".join(map(token, numbers[a:b].tolist())) for no, a, b in zip(null, ends, ends[1:]))
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [*batch.schema.names, into])
+
+
+def with_ids(rows, ranks, pattern, text="text", into="ids", decoded=None):
     """`rows` with the token ids of their texts in the column `into`; a null or empty text has none.
 
     `ranks`: token bytes → rank, with all 256 single bytes; a vocabulary, whose size
     does not depend on the data, sent once to each executor. `pattern` cuts the text
-    into pieces that are merged apart. No string is a special token.
+    into pieces that are merged apart. No string is a special token. With `decoded`, a column of that
+    name holds what the ids decode to, in the same pass; a worker then keeps the pieces it has learned.
     """
     shared = rows.sparkSession.sparkContext.broadcast(ranks)
-    rows = spread(rows.drop(into))
+    rows = spread(rows.drop(into, decoded or into))
 
     def run(batches):
         own = _encoder(shared, pattern)
-        for batch in batches:
-            packed = [own.packed(x or "") for x in batch.column(text).to_pylist()]
-            ends = np.cumsum([0, *map(len, packed)]) // 4
-            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(packed), np.int32)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, ids], [*batch.schema.names, into])
+        batches = _encoded(batches, own, text, into)
+        return _decoded(batches, own.tokens, into, decoded) if decoded else batches
 
-    return rows.mapInArrow(run, rows.withColumn(into, F.array().cast("array<int>")).schema)
+    kinds = rows.withColumn(into, F.array().cast("array<int>"))
+    return rows.mapInArrow(run, (kinds.withColumn(decoded, F.lit(None).cast("binary")) if decoded else kinds).schema)
 
 
-def encode(docs, ranks, pattern, doc_id="doc_id", text="text"):
+def encode(docs, ranks, pattern, doc_id="doc_id", text="text", decoded=None):
     """Token ids of every text: doc_id, version (digest of the text), text, ids; one row per row of `docs`.
 
     A null or empty text has no ids. A null doc_id keeps its row, repeated rows give equal
     rows. Whole texts are encoded, and pieces of any length. Only the named columns are
-    read. An empty table gives an empty result. `with_ids` has the vocabulary's form.
+    read. An empty table gives an empty result. `with_ids` tells of the vocabulary and of `decoded`.
     """
-    return with_ids(keyed(docs, doc_id, text), ranks, pattern)
+    return with_ids(keyed(docs, doc_id, text), ranks, pattern, decoded=decoded)
 
 
 def decode(encoded, ranks, ids="ids", into="decoded"):
     """`encoded` with the bytes of `ids` in the column `into`; null ids give null, an unknown id is an error."""
     shared = encoded.sparkSession.sparkContext.broadcast({rank: token for token, rank in ranks.items()})
     encoded = encoded.drop(into)
-
-    def run(batches):
-        token = shared.value.__getitem__
-        for batch in batches:
-            lists = batch.column(ids)
-            numbers, ends, null = lists.values.to_numpy(), lists.offsets.to_pylist(), lists.is_null().to_pylist()
-            out = (None if no else b"".join(map(token, numbers[a:b].tolist())) for no, a, b in zip(null, ends, ends[1:]))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [*batch.schema.names, into])
-
-    return encoded.mapInArrow(run, encoded.withColumn(into, F.lit(None).cast("binary")).schema)
+    schema = encoded.withColumn(into, F.lit(None).cast("binary")).schema
+    return encoded.mapInArrow(lambda batches: _decoded(batches, shared.value, ids, into), schema)

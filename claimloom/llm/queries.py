@@ -96,8 +96,8 @@ RANKS = "byte_bpe_multi_50k.tiktoken"
 
 def op7_bpe(spark, sf, path=None):
     ranks = bpe.load_ranks(path or public_tokenizers.path(RANKS))
-    encoded = bpe.encode(read(spark, sf, "documents"), ranks, public_tokenizers.PATTERN)
-    return bpe.decode(encoded.select("doc_id", "ids"), ranks).select(
+    encoded = bpe.encode(read(spark, sf, "documents"), ranks, public_tokenizers.PATTERN, decoded="decoded")
+    return encoded.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
