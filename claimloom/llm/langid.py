@@ -9,10 +9,10 @@ from itertools import product
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from claimloom.llm.codes import chunks
+from claimloom.llm.sample import first_by_digest
 from claimloom.llm.spans import keyed
 from claimloom.sizing import spread
 
@@ -85,9 +85,8 @@ def profiles(rows, per_lang=PER_LANG, langs=LANGS):
     Spark; what comes to the driver is one number per language and bucket.
     """
     counted = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(langs)
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     ids = rows.select("doc_id", "lang").join(F.broadcast(counted.select("lang")), "lang", "left_semi")
-    chosen = ids.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= per_lang).select("doc_id").distinct()
+    chosen = first_by_digest(ids, "lang", "doc_id", per_lang).select("doc_id").distinct()
     sample = rows.join(F.broadcast(chosen), "doc_id", "left_semi").select("lang", "text")
 
     def run(batches):

@@ -16,10 +16,10 @@ fitting the machine, with the clean strings that score highest added as countere
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from claimloom.llm.codes import chunks
+from claimloom.llm.sample import first_by_digest
 from claimloom.llm.spans import keyed
 from claimloom.sizing import spread
 
@@ -200,8 +200,7 @@ def held_out():
 def labelled_sample(docs, labels, per_label=PER_LABEL):
     """(text, toxic) of up to `per_label` documents of each label that are not held out, first by a digest of the id."""
     known = labels.filter("toxic in (0, 1)").filter(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    first = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = known.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= per_label).select("doc_id", "toxic")
+    chosen = first_by_digest(known, "toxic", "doc_id", per_label)
     return docs.filter("text is not null").select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic")
 
 
