@@ -36,7 +36,7 @@ LEET = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t"}
 
 #: Documents learned from at most, of each label; strings taken from them at most; landmarks.
 PER_LABEL = 3000
-CLEAN_STRINGS, TOXIC_STRINGS = 300_000, 3000
+CLEAN_STRINGS, TOXIC_STRINGS = 150_000, 3000
 LANDMARKS = 256
 COUNTER_EXAMPLES = 4000
 ROUNDS = 3
@@ -131,22 +131,41 @@ def as_strings(words):
     return numbers, np.cumsum(length) - length, length
 
 
-def kernel(words, landmarks):
-    """Kernel of each word and each landmark."""
-    table = np.zeros((ALPHABET ** 3, len(landmarks)), np.float32)
-    sign, start, length = as_strings(landmarks)
-    for of, code, weight in subsequences(sign, start, length):
-        np.add.at(table, (code, of), weight)
-    table /= scale(length)
-    out = np.zeros((len(words), len(landmarks)))
-    for s in range(0, len(words), 2000):
-        sign, start, length = as_strings(words[s:s + 2000])
-        for of, code, weight in subsequences(sign, start, length):
-            first = np.flatnonzero(np.diff(of, prepend=-1))
-            if len(first):
-                out[s + of[first]] += weight * np.add.reduceat(table[code], first, axis=0)
-        out[s:s + len(start)] /= scale(length)[:, None]
-    return out, table
+class Landmarks:
+    """Landmark strings as scaled subsequence weights; row 0 stands for subsequences that none has."""
+
+    def __init__(self, words):
+        sign, start, length = as_strings(words)
+        parts = list(subsequences(sign, start, length))
+        self.codes = np.unique(np.concatenate([code for _, code, _ in parts]))
+        self.row = np.zeros(ALPHABET ** 3, np.int32)
+        self.row[self.codes] = np.arange(1, len(self.codes) + 1)
+        self.table = np.zeros((len(self.codes) + 1, len(words)), np.float32)
+        for of, code, weight in parts:
+            np.add.at(self.table, (self.row[code], of), weight)
+        self.table /= scale(length)
+
+    def kernel(self, words, size=250):
+        """Kernel of each word and each landmark, `size` words at a time."""
+        out = np.zeros((len(words), self.table.shape[1]), np.float32)
+        for s in range(0, len(words), size):
+            sign, start, length = as_strings(words[s:s + size])
+            for of, code, weight in subsequences(sign, start, length):
+                first = np.flatnonzero(np.diff(of, prepend=-1))
+                if len(first):
+                    out[s + of[first]] += weight * np.add.reduceat(self.table[self.row[code]], first, axis=0)
+            out[s:s + len(start)] /= scale(length)[:, None]
+        return out
+
+    def fold(self, coefficients):
+        """Weight of every subsequence in the sum of the landmarks' kernels with these coefficients."""
+        weights = np.zeros(ALPHABET ** 3)
+        weights[self.codes] = self.table[1:] @ coefficients
+        return weights
+
+
+def kernel(words, others):
+    return Landmarks(others).kernel(words)
 
 
 def fit_machine(z, y, weight):
@@ -249,8 +268,7 @@ def landmarks_of(words, worth, count):
     for i in np.argsort(-worth, kind="stable"):
         if len(chosen) >= count // 2:
             break
-        k, _ = kernel([words[i]], [words[c] for c in chosen] or [words[i]])
-        if not chosen or k.max() < 0.75:
+        if not chosen or kernel([words[i]], [words[c] for c in chosen]).max() < 0.75:
             chosen.append(i)
     return [words[i] for i in chosen]
 
@@ -270,10 +288,10 @@ def train(docs, labels, per_label=PER_LABEL, landmarks=LANDMARKS):
     counts = string_counts(sample)
     tell = F.log((F.col("toxic") + 0.5) / size[1]) - F.log((F.col("clean") + 0.5) / size[0])
     top = counts.filter("toxic > 0").select("word", (tell * F.sqrt("toxic")).alias("worth")).orderBy(F.desc("worth"), "word").limit(TOXIC_STRINGS).collect()
-    clean = counts.filter("clean > 0").orderBy(F.desc("clean"), "word").limit(CLEAN_STRINGS).select("word").collect()
+    clean = counts.filter("clean > 0").orderBy(F.desc("clean"), "word").limit(CLEAN_STRINGS).select("word").toArrow()
     words, worth = [bytes(r["word"]) for r in top], np.array([r["worth"] for r in top])
     bags = document_strings(sample, words)
-    negative = [bytes(r["word"]) for r in clean]
+    negative = clean.column("word").to_pylist()
     common = negative[:landmarks // 2]
     model = fit(words, worth, bags, negative, landmarks_of(words, worth, landmarks) + common)
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -295,16 +313,16 @@ def stretched(words):
     return [w[:i] + bytes([rng.integers(1, 27)]) + w[i:] for w in words for i in range(1, len(w))]
 
 
-def fit(words, worth, bags, negative, landmarks):
+def fit(words, worth, bags, negative, chosen_landmarks):
     """Alternates between the toxic documents' telling strings and the machine."""
     number = {w: i for i, w in enumerate(words)}
     clean = [w for w in negative if w not in number]
     known = worth >= TELLING
     everything = words + clean
-    gram, table = kernel(landmarks, landmarks)
-    value, vector = np.linalg.eigh(gram)
+    landmarks = Landmarks(chosen_landmarks)
+    value, vector = np.linalg.eigh(landmarks.kernel(chosen_landmarks).astype(np.float64))
     root = vector[:, value > 1e-4] / np.sqrt(value[value > 1e-4])
-    z_toxic = kernel(words, landmarks)[0] @ root
+    z_toxic = landmarks.kernel(words) @ root
     sign, start, length = as_strings(everything)
     rank = np.where(known, worth, -np.inf)
     chosen = np.arange(min(COUNTER_EXAMPLES // 2, len(clean)))
@@ -315,11 +333,11 @@ def fit(words, worth, bags, negative, landmarks):
                 picked[i] += np.isfinite(rank[i])
         longer = stretched([words[i] for i in np.argsort(-picked, kind="stable")[:STRETCHED] if picked[i] > 1])
         counter = [clean[i] for i in chosen]
-        z = np.vstack([z_toxic, kernel(longer + counter, landmarks)[0] @ root])
+        z = np.vstack([z_toxic, landmarks.kernel(longer + counter) @ root])
         y = np.concatenate([np.where(picked > 0, 1.0, -1.0), np.ones(len(longer)), -np.ones(len(counter))])
         weight = np.concatenate([np.sqrt(picked), np.full(len(longer), 0.5), np.ones(len(counter))])
         w, bias = fit_machine(z, y, weight)
-        weights = table @ (root @ w)
+        weights = landmarks.fold(root @ w)
         found = scores(weights, bias, sign, start, length)
         rank = np.where(known | (found[:len(words)] > 0), found[:len(words)], -np.inf)
         hardest = np.argsort(-found[len(words):], kind="stable")[:COUNTER_EXAMPLES // 2]
