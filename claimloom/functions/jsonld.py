@@ -21,23 +21,36 @@ PATHS = {
 }
 
 
+# Where an article keeps the review it is about.
+INSIDE = ["$['@graph']", "$.review", "$.mainEntity"]
+
+
+def _listed(item, path="$"):
+    """What is at `path`: the elements of an array, or one value, null if there is none."""
+    return F.coalesce(F.try_variant_get(item, path, "array<variant>"), F.array(F.try_variant_get(item, path, "variant")))
+
+
+def _each(items, more):
+    """Each of `items` followed by what `more` finds in it."""
+    return F.flatten(F.transform(items, lambda x: F.concat(F.array(x), more(x))))
+
+
+def _inner(item):
+    """What the object holds at the INSIDE paths."""
+    return F.concat(*(_listed(item, p) for p in INSIDE))
+
+
 def _items(block):
-    """Objects of one block: a `@graph`, a top-level array, or the object itself."""
-    doc = F.try_parse_json(block)
-    return F.coalesce(
-        F.try_variant_get(doc, "$['@graph']", "array<variant>"),
-        F.try_variant_get(doc, "$", "array<variant>"),
-        F.when(doc.isNotNull(), F.array(doc)),
-        F.array().cast("array<variant>"),
-    )
+    """Objects of one block: the object or the array of them, what their `@graph`, `review` or
+    `mainEntity` holds, and what those hold in turn."""
+    return _each(_listed(F.try_parse_json(block)), lambda x: _each(_inner(x), _inner))
 
 
 def _is_claim_review(item):
-    single = F.try_variant_get(item, "$['@type']", "string") == "ClaimReview"
-    several = F.array_contains(
-        F.try_variant_get(item, "$['@type']", "array<string>"), "ClaimReview"
-    )
-    return F.coalesce(single, F.lit(False)) | F.coalesce(several, F.lit(False))
+    """`@type` is or lists ClaimReview, as a name or as the last part of an address."""
+    one = F.try_variant_get(item, "$['@type']", "string")
+    kinds = F.coalesce(F.try_variant_get(item, "$['@type']", "array<string>"), F.array(one))
+    return F.exists(kinds, lambda k: F.coalesce(k.rlike(r"^(?:.*[/#:])?ClaimReview$"), F.lit(False)))
 
 
 def claim_reviews(html):

@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 from claimloom.functions.html import unescape
 from claimloom.sizing import broadcast_if_small
 
-HREF = r"(?i)<a\b[^>]*?\bhref=[\"']([^\"'#]+)"
+# The value as it is written: in double quotes, in single ones, or bare.
+HREF = r"""(?i)<a\b[^>]*?\shref\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
 ORIGIN = r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]+)"
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)"
 PATH = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+([^#]*)"
@@ -50,12 +51,20 @@ def absolute_url(page_url, href):
     )
 
 
+def _value(written):
+    """An attribute's value without its quotes and without a fragment."""
+    bare = F.when(written.rlike("^[\"']"), F.substr(written, F.lit(2), F.char_length(written) - 2)).otherwise(written)
+    return F.regexp_replace(bare, "(?s)#.*$", "")
+
+
 def page_links(pages):
     """Absolute links of each page."""
     links = pages.select(
         F.col("url").alias("page_url"),
-        F.explode_outer(F.regexp_extract_all("html", F.lit(HREF), F.lit(1))).alias("href"),
-    ).withColumn("href", F.trim(unescape("href")))
+        F.explode_outer(F.transform(
+            F.regexp_extract_all("html", F.lit(HREF), F.lit(1)), lambda x: F.trim(unescape(_value(x)))
+        )).alias("href"),
+    ).filter("href != ''")
     url = absolute_url(F.col("page_url"), F.col("href"))
     return links.select("page_url", url.alias("url")).filter(F.col("url").isNotNull())
 
@@ -70,7 +79,8 @@ def article_frontier(pages, pattern, landed=None):
 def allowed_urls(urls, rules):
     """Drop URLs that robots rules (host, prefix, allow) disallow.
 
-    The longest matching prefix wins, allow wins a tie, no match allows. Only
+    The longest matching prefix wins, allow wins a tie, no match allows; a rule that
+    disallows the empty prefix disallows nothing. Only
     matching pairs leave the join; the aggregate is keyed by URL, so a host with
     most of the URLs is spread over all tasks.
     """
@@ -80,7 +90,7 @@ def allowed_urls(urls, rules):
         "url", host.alias("host"), F.when(path == "", F.lit("/")).otherwise(path).alias("path")
     )
     rule = broadcast_if_small(
-        rules.select(F.lower("host").alias("rule_host"), "prefix", "allow")
+        rules.filter((F.col("prefix") != "") | F.col("allow")).select(F.lower("host").alias("rule_host"), "prefix", "allow")
     )
     matched = targets.join(
         rule,

@@ -116,9 +116,12 @@ ALLOWED_SQL = (
     "when url like '%.example.org/b/%' then false else true end"
 )
 
-_LINK = r"(?i)<a\b[^>]*?\bhref=[\"'']([^\"''#]+)"
+# Cut at the tag, at the attribute and at the quote that opens the value: no pattern in common with the operator.
 PAGE_LINKS_SQL = (
-    f"select url as page_url, trim(replace(unnest(regexp_extract_all(html, '{_LINK}', 1)), '&amp;', '&')) as href from pages"
+    "select page_url, trim(replace(string_split(case left(v, 1) when '\"' then string_split(v, '\"')[2] "
+    "when '''' then string_split(v, '''')[2] else string_split(v, ' ')[1] end, '#')[1], '&amp;', '&')) as href "
+    "from (select page_url, string_split(string_split(tag, '>')[1], ' href=')[2] as v from "
+    "(select url as page_url, unnest(string_split(html, '<a')[2:]) as tag from pages) where starts_with(tag, ' ')) where v is not null"
 )
 PAGE_FRONTIER_SQL = (
     "select distinct link as url from (select case when href like 'http%' then href else "

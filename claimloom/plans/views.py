@@ -90,9 +90,9 @@ CLAIM_PAGES = {
     "url": "concat('https://', source, '.example.org/a/', cast(doc_id as STRING))",
     "html": (
         "case doc_id % 8 "
-        "when 0 then concat('<html lang=\"hi\"><script type=\"application/ld+json\">"
-        "{{\"@graph\":[{{\"@type\":\"ClaimReview\",\"reviewRating\":{{\"alternateName\":\"False\"}},', "
-        "substr({review}, 2), ',{{\"@type\":\"WebPage\"}}]}}</script></html>') "
+        "when 0 then concat('<html lang=\"hi\"><script type=\"application/ld+json\">', case when doc_id % 16 = 8 then '[' else '' end, "
+        "'{{\"@graph\":[{{\"@type\":\"ClaimReview\",\"reviewRating\":{{\"alternateName\":\"False\"}},', "
+        "substr({review}, 2), ',{{\"@type\":\"WebPage\"}}]}}', case when doc_id % 16 = 8 then ']' else '' end, '</script></html>') "
         "when 1 then concat('<html lang=\"gu\"><div><b>Claim</b><p>', {escaped}, "
         "'</p><b>Fact</b><p>f</p></div><p>RESULT</p><p>False</p></html>') "
         "when 2 then concat('<html lang=\"mr\"><h1>Fact check</h1><p><strong>Claim –</strong> ', {escaped}, "
@@ -103,9 +103,11 @@ CLAIM_PAGES = {
         "when 5 then concat('<html><script type=''application/ld+json''>[{{\"@type\":\"ClaimReview\","
         "\"inLanguage\":\"gu\",', substr({review}, 2), ',{{\"@type\":[\"Review\",\"ClaimReview\"],"
         "\"claimReviewed\":\"second claim\"}}]</script></html>') "
-        "when 6 then concat('<html><script type=\"application/ld+json\">{{\"@type\":[\"ClaimReview\"],"
-        "\"url\":\"https://f.example.org/', cast(doc_id as STRING), '\",\"author\":{{\"name\":\"', source, '\"}},', "
-        "substr({review}, 2), '</script><p><strong>Claim –</strong> unused</p></html>') "
+        "when 6 then concat('<html><script type=\"application/ld+json\">', case doc_id % 24 when 6 then '{{\"@graph\":' "
+        "when 14 then '{{\"@type\":\"Article\",\"review\":' else '' end, '{{\"@type\":', case when doc_id % 16 = 6 then "
+        "'[\"ClaimReview\"]' else '\"https://schema.org/ClaimReview\"' end, ',\"url\":\"https://f.example.org/', cast(doc_id as STRING), '\",\"author\":{{\"name\":\"', source, '\"}},', "
+        "substr({review}, 2), case when doc_id % 24 in (6, 14) then '}}' else '' end, "
+        "'</script><p><strong>Claim –</strong> unused</p></html>') "
         "else concat('<html lang=\"gu\"><div><b>Claim</b><p>{boilerplate}</p><b>Fact</b><p>', "
         "{escaped}, '</p></div></html>') end"
     ),

@@ -124,3 +124,36 @@ def test_rules_without_broadcast(spark, monkeypatch):
     monkeypatch.setattr(frontier, "broadcast_if_small", lambda df: df)
     assert {r["url"] for r in allowed_urls(urls, rules).collect()} == want
     assert len(want) == sum(i % 3 == 0 or int(str(i)[0]) % 2 == 0 for i in range(5000))
+
+
+def test_links_as_they_are_quoted(spark):
+    html = """<a href="/a/o'neil-claim">x</a><a href='/a/"b"#f'>y</a><a class=n href=/a/bare>z</a><A HREF = "/a/c?d=e&amp;f">w</A>
+        <a href="#top">t</a><a href="">e</a><a data-href="/no">n</a><link href="/css">"""
+    pages = spark.createDataFrame([("https://h.org/list", html)], "url string, html string")
+    got = {r["url"] for r in frontier.page_links(pages).collect()}
+    assert got == {"https://h.org/a/o'neil-claim", 'https://h.org/a/"b"', "https://h.org/a/bare", "https://h.org/a/c?d=e&f"}
+
+
+def test_an_empty_disallow_disallows_nothing(spark):
+    urls = spark.createDataFrame([("https://h.org/a",), ("https://g.org/x/1",)], "url string")
+    rules = spark.createDataFrame([("h.org", "", False), ("g.org", "", True), ("g.org", "/x", False), ("h.org", None, False)], "host string, prefix string, allow boolean")
+    assert {r["url"] for r in allowed_urls(urls, rules).collect()} == {"https://h.org/a"}
+
+
+REVIEW = '{"@type":"ClaimReview","claimReviewed":"c"}'
+
+
+@pytest.mark.parametrize("block", [
+    REVIEW, f"[{REVIEW}]", f'{{"@graph":[{REVIEW}]}}', f'[{{"@graph":[{REVIEW}]}}]', f'{{"@graph":{REVIEW}}}',
+    f'{{"@type":"Article","review":{REVIEW}}}', f'{{"@type":"Article","review":[{REVIEW}]}}', f'{{"@graph":[{{"@type":"WebPage","mainEntity":{REVIEW}}}]}}',
+    REVIEW.replace("ClaimReview\"", "https://schema.org/ClaimReview\""), REVIEW.replace('"ClaimReview"', '["Review","http://schema.org/ClaimReview"]'),
+])
+def test_shapes_of_claim_reviews(spark, block):
+    page = f'<script type="application/ld+json">{block}</script>'
+    df = spark.createDataFrame([("https://h.org/1", page)], "url string, html string")
+    assert [r["claim_text"] for r in extract.extract_jsonld(df).collect()] == ["c"]
+
+
+def test_other_types_are_no_claim_reviews(spark):
+    page = '<script type="application/ld+json">{"@type":"NotClaimReview","claimReviewed":"c"}</script>'
+    assert extract.extract_jsonld(spark.createDataFrame([("u", page)], "url string, html string")).count() == 0
