@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from claimloom import schemas
 from claimloom.functions.text import tokenize
-from claimloom.operators.dedupe import top_k
+from claimloom.operators.dedupe import PARTS, top_k
 from claimloom.sizing import is_small
 
 
@@ -14,18 +14,19 @@ def line_digest(*key):
     return F.md5(F.concat_ws(":", *key))
 
 
-def sample_lines(df, n=300_000, key="line_no", languages=schemas.LANGUAGES):
+def sample_lines(df, n=300_000, key="text", languages=schemas.LANGUAGES):
     """At most `n` lines per language, exact and repeatable, spread over the corpus.
 
-    Takes the `n` lowest digests of (lang, key); `key` must identify a line within
-    its language. No task ever ranks a whole language: the language is cut into
-    16^5 digest buckets, their counts tell the bucket with the n-th line, and only
-    that bucket is ranked. Both passes read the key columns only.
+    Takes the `n` lowest digests of (lang, key). The default key is the line itself, so
+    the sample does not depend on files, splits or tasks; of equal lines as many are
+    taken as there is room for. No task ever ranks a whole language: the language
+    is cut into 16^5 digest buckets, their counts tell the bucket with the n-th line, and
+    only lines up to that bucket are shuffled, each bucket ranked by itself. The input is read twice.
     """
     lines = df.filter(F.col("lang").isin(*languages)).withColumn(
         "_digest", line_digest("lang", key)
     )
-    keys = lines.select("lang", "_digest", F.substring("_digest", 1, 5).alias("_bucket"))
+    keys = lines.select("lang", F.substring("_digest", 1, 5).alias("_bucket"))
     counts = keys.groupBy("lang", "_bucket").agg(F.count(F.lit(1)).alias("c"))
     upto = F.sum("c").over(Window.partitionBy("lang").orderBy("_bucket"))
     edge = (
@@ -33,19 +34,19 @@ def sample_lines(df, n=300_000, key="line_no", languages=schemas.LANGUAGES):
         .filter((F.col("upto") >= n) & (F.col("upto") - F.col("c") < n))
         .select("lang", "_bucket", (n - F.col("upto") + F.col("c")).alias("left"))
     )
-    # One row per language of `languages`.
-    in_edge = keys.join(F.broadcast(edge), ["lang", "_bucket"])
-    position = F.row_number().over(Window.partitionBy("lang").orderBy("_digest"))
-    last = (
-        in_edge.withColumn("pos", position)
-        .filter(F.col("pos") == F.col("left"))
-        .select("lang", F.col("_digest").alias("_last"))
-    )
-    return (
-        lines.join(F.broadcast(last), "lang", "left")
-        .filter(F.col("_last").isNull() | (F.col("_digest") <= F.col("_last")))
-        .select(*df.columns)
-    )
+    # One row per language of `languages`; none for a language with fewer lines.
+    edge = edge.withColumnRenamed("_bucket", "_edge")
+    bucket = F.substring("_digest", 1, 5)
+    near = lines.withColumn("_bucket", bucket).join(F.broadcast(edge), "lang", "left")
+    near = near.filter(F.col("_edge").isNull() | (F.col("_bucket") <= F.col("_edge")))
+    inner = F.coalesce(F.col("_bucket") < F.col("_edge"), F.lit(True))
+    ties = [F.col(c) for c in sorted(df.columns)]
+    near = near.withColumn("_part", F.spark_partition_id() % PARTS)
+    # A line that fills the last bucket is cut in parts first.
+    for group in (["lang", "_bucket", "_part"], ["lang", "_bucket"]):
+        position = F.row_number().over(Window.partitionBy(*group).orderBy("_digest", *ties))
+        near = near.withColumn("_pos", position).filter(inner | (F.col("_pos") <= F.col("left")))
+    return near.select(*df.columns)
 
 
 def token_rows(docs, id="doc_id"):
@@ -54,7 +55,7 @@ def token_rows(docs, id="doc_id"):
     return rows.filter(F.col("token").isNotNull())
 
 
-def _stop_table(stopwords):
+def stop_table(stopwords):
     table = stopwords.select("lang", "token")
     return F.broadcast(table.distinct()) if is_small(table) else table.distinct()
 
@@ -64,12 +65,12 @@ def drop_stopwords(rows, stopwords):
 
     `stopwords`: (lang, token).
     """
-    return rows.join(_stop_table(stopwords), ["lang", "token"], "left_anti")
+    return rows.join(stop_table(stopwords), ["lang", "token"], "left_anti")
 
 
 def _blank_stopwords(rows, stopwords, columns):
     """Null instead of a stopword in each of `columns`."""
-    stop = _stop_table(stopwords)
+    stop = stop_table(stopwords)
     for c in columns:
         marked = stop.select("lang", F.col("token").alias(c), F.lit(True).alias("is_stop"))
         rows = rows.join(marked, ["lang", c], "left").select(
@@ -127,15 +128,18 @@ def ngram_counts(docs, ns=(1, 2, 3), stopwords=None):
     return counts.select("lang", "n", F.concat_ws(" ", "t1", "t2", "t3").alias("phrase"), "freq")
 
 
-def top_phrases(counts, n=200):
-    """The `n` most frequent grams per language and length."""
-    return top_k(counts, ["lang", "n"], [F.col("freq").desc(), F.col("phrase")], n)
+def top_phrases(counts, n=200, per_length=False):
+    """The `n` most frequent grams per language, or per language and length."""
+    by = ["lang", "n"] if per_length else ["lang"]
+    return top_k(counts, by, [F.col("freq").desc(), F.col("phrase")], n)
 
 
 def build_seeds(seeds, phrases, k=100):
-    """Query list: given seeds and at most `k` phrases per list, each query once.
+    """Query list: given seeds and at most `k` phrases per list, each query text once.
 
-    Multi-word phrases are taken before single tokens, which are mostly function
+    Columns: query, query_lang, query_langs. A text from several lists is one search: it keeps the language
+    of a given seed, else of its best rank (then the first by name), and `query_langs`
+    names all, comma-joined. Multi-word phrases are taken before single tokens, which are mostly function
     words. `seeds`: (query, query_lang); `phrases`: (lang, method, phrase, rank).
     """
     single = ~F.contains(F.trim("phrase"), F.lit(" "))
@@ -145,5 +149,9 @@ def build_seeds(seeds, phrases, k=100):
         [single, F.col("rank"), F.col("phrase")],
         k,
         rank="_pick",
-    ).select(F.trim("phrase").alias("query"), F.col("lang").alias("query_lang"))
-    return seeds.select("query", "query_lang").unionByName(picked).distinct()
+    ).select(F.trim("phrase").alias("query"), F.col("lang").alias("query_lang"), F.col("_pick").alias("place"))
+    both = seeds.select("query", "query_lang", F.lit(0).alias("place")).unionByName(picked)
+    return both.groupBy("query").agg(
+        F.min_by("query_lang", F.struct("place", "query_lang")).alias("query_lang"),
+        F.array_join(F.array_sort(F.collect_set("query_lang")), ",").alias("query_langs"),
+    )

@@ -2,8 +2,8 @@
 
 A sample is cut into batches and each batch is scored as one document. Sizes are
 bounded by the batch, so no group grows with the corpus: more text means more
-batches, spread over more tasks. Token rows are placed by (lang, batch) once and
-the term and phrase aggregates reuse that placement.
+batches, spread over more tasks. Documents are placed by (lang, batch) once; terms,
+their lookup and the phrases all work on that placement.
 """
 
 from pyspark.sql import Window
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from claimloom import schemas
 from claimloom.functions.text import sentence_tokens
 from claimloom.operators.dedupe import top_k
-from claimloom.operators.phrases import gram_rows, line_digest
+from claimloom.operators.phrases import stop_table, line_digest
 
 ACRONYM = r"^\p{Lu}[\p{Lu}\p{Nd}]+$"
 CAPITAL = r"^\p{Lu}"
@@ -33,14 +33,11 @@ def yake_batches(docs, size=1000, id="doc_id", languages=schemas.LANGUAGES):
     )
 
 
-def _sentences(batches, id, numbered=True):
+def _sentences(batches, id):
     """One row per sentence: (lang, batch, s), with `sent` counted over the batch."""
     docs = batches.select("lang", "batch", id, sentence_tokens("text").alias("sents"))
-    # The one large shuffle: whole documents, placed by batch.
+    # The one shuffle before the phrases are merged: whole documents, placed by batch.
     docs = docs.repartition("lang", "batch")
-    if not numbered:
-        rows = docs.select("lang", "batch", F.explode_outer("sents").alias("s"))
-        return rows.filter(F.col("s").isNotNull())
     before = Window.partitionBy("lang", "batch").orderBy(id).rowsBetween(
         Window.unboundedPreceding, -1
     )
@@ -52,6 +49,15 @@ def _sentences(batches, id, numbered=True):
     )
 
 
+def _stop_marks(rows, stopwords, name="term"):
+    """`rows` with `stop`: whether the column `name` is a stopword of its language."""
+    if stopwords is None:
+        return rows.withColumn("stop", F.lit(False))
+    table = stop_table(stopwords).select("lang", F.col("token").alias(name), F.lit(True).alias("_stop"))
+    marked = rows.join(table, ["lang", name], "left")
+    return marked.withColumn("stop", F.col("_stop").isNotNull()).drop("_stop")
+
+
 PLACE, LEFT, RIGHT = 0, 1, 2
 
 
@@ -85,11 +91,19 @@ def _marks(sentences):
     return rows.filter((F.col("kind") == PLACE) | F.col("near").isNotNull())
 
 
-def yake_terms(batches, id="doc_id"):
-    """Features and score of each term of each batch; a lower score is better."""
+def yake_terms(batches, id="doc_id", stopwords=None):
+    """Features and score of each term of each batch; a lower score is better.
+
+    The mean and deviation of the frequency are those of the terms that are no stopwords,
+    if the batch has any.
+    """
+    return _terms(_sentences(batches, id), stopwords)
+
+
+def _terms(sentences, stopwords):
     # One row per term and sentence, and per term and neighbour: distinct counts
     # become plain counts of these rows.
-    seen = _marks(_sentences(batches, id)).groupBy(
+    seen = _marks(sentences).groupBy(
         "lang", "batch", "term", "kind", "at", "near"
     ).agg(
         F.count(F.lit(1)).alias("c"),
@@ -130,9 +144,10 @@ def yake_terms(batches, id="doc_id"):
     )
     batch = Window.partitionBy("lang", "batch")
     # Each sentence holds a token, so the last index counts the sentences.
-    spread = stats.withColumns({
-        "mean_tf": F.avg("tf").over(batch),
-        "sd_tf": F.stddev_pop("tf").over(batch),
+    content = F.when(~F.col("stop"), F.col("tf"))
+    spread = _stop_marks(stats, stopwords).withColumns({
+        "mean_tf": F.coalesce(F.avg(content).over(batch), F.avg("tf").over(batch)),
+        "sd_tf": F.coalesce(F.stddev_pop(content).over(batch), F.stddev_pop("tf").over(batch)),
         "max_tf": F.max("tf").over(batch),
         "n_sents": F.max("last_sent").over(batch) + 1,
     })
@@ -157,24 +172,40 @@ def yake_terms(batches, id="doc_id"):
     )
 
 
-def yake_candidates(batches, stopwords=None, ns=(1, 2, 3), id="doc_id"):
-    """Candidate phrases per batch with their frequency, within sentences."""
-    lowered = _sentences(batches, id, numbered=False).select(
-        "lang", "batch", F.transform("s", lambda x: F.lower(x)).alias("t")
-    )
-    rows = gram_rows(lowered, ns, ["lang", "batch"], stopwords)
-    return rows.groupBy("lang", "batch", "t1", "t2", "t3").agg(F.count(F.lit(1)).alias("kf"))
-
-
-def yake_phrases(terms, candidates):
-    """Score of each candidate: product of its term scores over kf * (1 + their sum)."""
-    words = F.array(*(F.struct(F.lit(i).alias("i"), F.col(f"t{i}").alias("term")) for i in (1, 2, 3)))
-    parts = candidates.select("*", F.inline(words)).filter(F.col("term").isNotNull())
-    scored = parts.join(terms.select("lang", "batch", "term", "score"), ["lang", "batch", "term"])
-    at = {i: F.max(F.when(F.col("i") == i, F.col("score"))).alias(f"s{i}") for i in (1, 2, 3)}
-    per_phrase = scored.groupBy("lang", "batch", "t1", "t2", "t3").agg(
-        F.max("kf").alias("kf"), *at.values()
+def yake_phrases(batches, stopwords=None, ns=(1, 2, 3), id="doc_id"):
+    """Score of each candidate phrase of each batch: the product of its terms' scores over kf * (1 + their sum).
+
+    A candidate lies within a sentence and neither begins nor ends with a stopword; one in
+    the middle adds nothing to product and sum. Each token gets its term's score, then
+    the tokens are lined up: every step works on the placement by (lang, batch), as
+    long as the session lets a join do with part of its keys (`session.get_spark`).
+    """
+    if not set(ns) <= {1, 2, 3}:
+        raise ValueError("phrases of one to three tokens are supported")
+    sentences = _sentences(batches, id)
+    tokens = sentences.select("lang", "batch", "sent", F.posexplode_outer("s").alias("pos", "raw"))
+    tokens = tokens.select("lang", "batch", "sent", "pos", F.lower("raw").alias("term"))
+    scores = _stop_marks(_terms(sentences, stopwords).select("lang", "batch", "term", "score"), stopwords)
+    scored = tokens.join(scores.hint("merge"), ["lang", "batch", "term"])
+    line = Window.partitionBy("lang", "batch", "sent").orderBy("pos")
+    near = scored.select(
+        "lang", "batch",
+        *(F.lead(c, i).over(line).alias(f"{name}{i + 1}") for c, name in (("term", "t"), ("score", "s"), ("stop", "stop")) for i in range(3)),
     )
+    none = F.lit(None)
+
+    def phrase(n):
+        inner = F.when(~F.col("stop2"), F.col("s2")) if n == 3 else F.col("s2")
+        return F.when(~F.col("stop1") & F.col(f"t{n}").isNotNull() & ~F.col(f"stop{n}"), F.struct(
+            *((F.col(f"t{i}") if i <= n else none.cast("string")).alias(f"t{i}") for i in (1, 2, 3)),
+            F.col("s1"), (inner if n > 1 else none.cast("double")).alias("s2"),
+            (F.col("s3") if n > 2 else none.cast("double")).alias("s3"),
+        ))
+
+    rows = near.select("lang", "batch", F.explode_outer(F.array(*(phrase(n) for n in sorted(ns)))).alias("p"))
+    per_phrase = rows.filter(F.col("p").isNotNull()).select("lang", "batch", "p.*").groupBy(
+        "lang", "batch", "t1", "t2", "t3"
+    ).agg(F.count(F.lit(1)).alias("kf"), *(F.max(f"s{i}").alias(f"s{i}") for i in (1, 2, 3)))
     product = F.col("s1") * F.coalesce("s2", F.lit(1.0)) * F.coalesce("s3", F.lit(1.0))
     total = F.col("s1") + F.coalesce("s2", F.lit(0.0)) + F.coalesce("s3", F.lit(0.0))
     return per_phrase.select(

@@ -8,7 +8,8 @@ from claimloom.operators import yake
 from claimloom.plans import seeds as seed_plan
 from claimloom.plans import views
 from claimloom.plans.views import with_views
-from claimloom.session import stored
+from claimloom.session import new_path, stored
+from claimloom.sources import scans
 
 LANGS = ("hi", "gu", "mr", "es")
 STOPWORDS = 25
@@ -53,7 +54,7 @@ S = ("stop_v", STOP_SQL)
 G = ("gram_rows", _grams_sql("token_rows", "lang", "lang, doc_id"))
 COUNTS = ("counts_v", GRAM_COUNTS_SQL.format(where=f"where {NO_STOP}"))
 TOP_SQL = (
-    "select lang, n, phrase, freq, cast(row_number() over (partition by lang, n order by freq desc, "
+    "select lang, n, phrase, freq, cast(row_number() over (partition by lang order by freq desc, "
     f"phrase) as integer) as rank from counts_v qualify rank <= {TOP}"
 )
 
@@ -84,9 +85,10 @@ STATS_SQL = (
 )
 FEATURES_SQL = (
     "select lang, batch, term, tf, greatest(acr, cap) / (1 + ln(tf)) as f_case, ln(ln(3 + med)) as f_pos, "
-    "tf / (avg(tf) over b + stddev_pop(tf) over b) as f_norm, "
+    "tf / (avg(tf) filter (content) over b + stddev_pop(tf) filter (content) over b) as f_norm, "
     "1 + (case when nl > 0 then dl / nl else 0 end + case when nr > 0 then dr / nr else 0 end) * tf / max(tf) over b as f_rel, "
-    "sf / n_sents as f_sent from stats_v join (select lang, batch, count(*) as n_sents from sent_v "
+    "sf / n_sents as f_sent from (select *, not exists (select 1 from stop_v x where x.lang = st.lang "
+    "and x.token = st.term) as content from stats_v st) join (select lang, batch, count(*) as n_sents from sent_v "
     "group by all) using (lang, batch) window b as (partition by lang, batch)"
 )
 TERMS_SQL = (
@@ -97,7 +99,9 @@ Y = [
     ("features_v", FEATURES_SQL), ("terms_v", TERMS_SQL),
 ]
 CAND_SQL = (
-    f"select lang, batch, t1, t2, t3, count(*) as kf from gram_rows g where {NO_STOP} group by all"
+    "select lang, batch, t1, t2, t3, count(*) as kf, exists (select 1 from stop_v x where x.lang = g.lang and "
+    "x.token = g.t2) and t3 is not null as inner_stop from gram_rows g where not exists (select 1 from stop_v x "
+    "where x.lang = g.lang and x.token in (g.t1, coalesce(g.t3, g.t2, g.t1))) group by all"
 )
 YP = [
     T, S, *Y,
@@ -108,7 +112,7 @@ YP = [
         "a.score * coalesce(b.score, 1) * coalesce(d.score, 1) / (kf * (1 + a.score + "
         "coalesce(b.score, 0) + coalesce(d.score, 0))) as score from cand_v c "
         "join terms_v a on (a.lang, a.batch, a.term) = (c.lang, c.batch, c.t1) "
-        "left join terms_v b on b.lang = c.lang and b.batch = c.batch and b.term = c.t2 "
+        "left join terms_v b on b.lang = c.lang and b.batch = c.batch and b.term = c.t2 and not c.inner_stop "
         "left join terms_v d on d.lang = c.lang and d.batch = c.batch and d.term = c.t3"
     )),
 ]
@@ -122,10 +126,15 @@ PICKED = ("picked_v", (
     "select lang, 'yake_phrases', phrase, rank from yake_v"
 ))
 SEEDS_SQL = (
-    "select distinct * from (select source as query, 'en' as query_lang from documents union all "
-    "select phrase, lang from (select lang, phrase, row_number() over (partition by lang, method order by "
-    "case when phrase like '% %' then 0 else 1 end, rank, phrase) as r from picked_v) where r <= 100)"
+    "select query, query_lang, (select string_agg(distinct a.query_lang, ',' order by a.query_lang) from all_v a "
+    "where a.query = b.query) as query_langs from all_v b qualify row_number() over (partition by query "
+    "order by r, query_lang) = 1"
 )
+ALL_QUERIES = ("all_v", (
+    "select source as query, 'en' as query_lang, 0 as r from documents union all "
+    "select phrase, lang, r from (select lang, phrase, row_number() over (partition by lang, method order by "
+    "case when phrase like '% %' then 0 else 1 end, rank, phrase) as r from picked_v) where r <= 100"
+))
 FREQUENT = [("doc_grams", G[1]), ("counts_v", COUNTS[1].replace("gram_rows", "doc_grams")), ("top_v", TOP_SQL)]
 
 
@@ -147,8 +156,7 @@ def frequent(spark, sf):
 
 
 def phrase_scores(spark, sf):
-    b = batches(spark, sf)
-    return yake.yake_phrases(yake.yake_terms(b), yake.yake_candidates(b, stopwords(spark, sf)))
+    return yake.yake_phrases(batches(spark, sf), stopwords(spark, sf))
 
 
 def seed_terms(spark, sf):
@@ -164,6 +172,17 @@ def seed_list(spark, sf):
     return ph.build_seeds(seed_terms(spark, sf), phrases, 100)
 
 
+def corpus_lines(spark, sf):
+    """The corpus as text files, read back as lines."""
+    path = new_path(spark, "corpus")
+    lines = views.corpus(spark, sf).select("lang", F.explode_outer(F.split("text", "\n")).alias("value"))
+    lines.write.partitionBy("lang").text(path)
+    return scans.read_corpus(spark, {lang: f"{path}/lang={lang}" for lang in LANGS})
+
+
+LINES = ("lines_v", "select lang, unnest(string_split(text, chr(10))) as text from corpus_v")
+
+
 def _rounded(df, *columns):
     return df.withColumns({c: F.round(c, 6) for c in columns})
 
@@ -180,6 +199,13 @@ QUERIES = {
             f"md5(concat_ws(':', lang, cast(doc_id as varchar)))) as r from corpus_v) where r <= {SAMPLE}"
         ),
     ),
+    "corpus_line_cap_text": (
+        lambda s, d: ph.sample_lines(corpus_lines(s, d), SAMPLE, languages=LANGS),
+        with_views(
+            "select lang, text, md5(concat(lang, ':', text)) as line_id from (select lang, text, row_number() over (partition "
+            "by lang order by md5(concat(lang, ':', text))) as r from lines_v) where r <= " + str(SAMPLE), LINES,
+        ),
+    ),
     "stopword_removal": (
         lambda s, d: ph.drop_stopwords(ph.token_rows(views.corpus(s, d)), stopwords(s, d)),
         with_views(
@@ -198,13 +224,13 @@ QUERIES = {
     ),
     "yake_term_scores": (
         lambda s, d: _rounded(
-            yake.yake_terms(batches(s, d)),
+            yake.yake_terms(batches(s, d), stopwords=stopwords(s, d)),
             "f_case", "f_pos", "f_norm", "f_rel", "f_sent", "score",
         ),
         with_views(
             "select lang, batch, term, tf, round(f_case, 6) as f_case, round(f_pos, 6) as f_pos, "
             "round(f_norm, 6) as f_norm, round(f_rel, 6) as f_rel, round(f_sent, 6) as f_sent, "
-            "round(score, 6) as score from terms_v", *Y,
+            "round(score, 6) as score from terms_v", T, S, *Y,
         ),
     ),
     "yake_phrase_scores": (
@@ -216,6 +242,6 @@ QUERIES = {
         with_views("select * from yake_v", *YP, MERGED_YAKE),
     ),
     "query_seed_list": (
-        seed_list, with_views(SEEDS_SQL, *YP, *FREQUENT, MERGED_YAKE, PICKED),
+        seed_list, with_views(SEEDS_SQL, *YP, *FREQUENT, MERGED_YAKE, PICKED, ALL_QUERIES),
     ),
 }

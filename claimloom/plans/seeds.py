@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from claimloom import schemas
 from claimloom.operators.phrases import build_seeds, ngram_counts, sample_lines, top_phrases
 from claimloom.operators.yake import (
-    merge_yake, yake_batches, yake_candidates, yake_phrases, yake_terms,
+    merge_yake, yake_batches, yake_phrases,
 )
 
 
@@ -13,9 +13,7 @@ def ranked_phrases(docs, stopwords, top=200, batch_size=1000, id="doc_id",
                    languages=schemas.LANGUAGES):
     """Both phrase lists of every language in one frame."""
     batches = yake_batches(docs, batch_size, id, languages)
-    scores = yake_phrases(
-        yake_terms(batches, id), yake_candidates(batches, stopwords, id=id)
-    )
+    scores = yake_phrases(batches, stopwords, id=id)
     keyed = merge_yake(scores, top).select(
         "lang", F.lit("yake_phrases").alias("method"), "phrase",
         F.lit(None).cast("int").alias("n"), F.lit(None).cast("bigint").alias("freq"),

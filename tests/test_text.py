@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from claimloom.operators import phrases as ph
 from claimloom.operators import yake
 from claimloom.plans import views
+from claimloom.sources import scans
 
 DOCS = [
     (1, "hi", "यह दावा झूठा है। यह दावा BJP का है"),
@@ -54,13 +55,32 @@ def test_sample_lines_is_exact(spark, n):
         F.lit("t").alias("text"),
     )
     got = defaultdict(set)
-    for r in ph.sample_lines(df, n).collect():
+    for r in ph.sample_lines(df, n, "line_no").collect():
         got[r["lang"]].add(r["line_no"])
     for lang, ids in (("gu", range(0, 300, 3)), ("hi", [i for i in range(300) if i % 3])):
         order = sorted(ids, key=lambda i: hashlib.md5(f"{lang}:{i}".encode()).hexdigest())
         assert got[lang] == set(order[:n])
 
 
+def test_sample_of_equal_lines_is_exact(spark):
+    df = spark.range(5000).select(F.lit("hi").alias("lang"), F.when(F.col("id") % 3 == 0, "same").otherwise(F.col("id").cast("string")).alias("text"))
+    texts = ["same" if i % 3 == 0 else str(i) for i in range(5000)]
+    order = sorted(texts, key=lambda t: hashlib.md5(f"hi:{t}".encode()).hexdigest())
+    for n in (10, 1000, 3000, 4999, 6000):
+        assert sorted(r["text"] for r in ph.sample_lines(df, n).collect()) == sorted(order[:n])
+
+
+def test_sample_does_not_depend_on_splits(spark, tmp_path):
+    (tmp_path / "hi.txt").write_text("\n".join(f"line {i % 4000}" for i in range(9000)), encoding="utf-8")
+    taken = []
+    for size in ("4k", "1m"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        lines = scans.read_corpus(spark, {"hi": str(tmp_path / "hi.txt")})
+        taken.append(sorted(map(tuple, ph.sample_lines(lines, 100).collect())))
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert taken[0] == taken[1] and len(taken[0]) == 100
+
+
 def test_top_phrases_limits_in_the_map_tasks(spark, path):
     top = ph.top_phrases(ph.ngram_counts(views.corpus(spark, path)))
     plan = top._jdf.queryExecution().executedPlan().toString()
@@ -73,7 +93,7 @@ def test_text_is_tokenised_once(spark, path):
     assert plan.count("regexp_extract_all") == 1
 
 
-def brute_yake(docs):
+def brute_yake(docs, stop=()):
     """Term scores of one batch, straight from the published formulas."""
     sents = []
     for _, _, text in sorted(docs):
@@ -92,7 +112,8 @@ def brute_yake(docs):
                 left[t].append(s[p - 1].lower())
             if p + 1 < len(s):
                 right[t].append(s[p + 1].lower())
-    mean, sd, top = statistics.mean(tf.values()), statistics.pstdev(tf.values()), max(tf.values())
+    content = [n for t, n in tf.items() if t not in stop]
+    mean, sd, top = statistics.mean(content), statistics.pstdev(content), max(tf.values())
     out = {}
     for t, n in tf.items():
         c = max(case[t].values()) / (1 + math.log(n))
@@ -113,7 +134,7 @@ def test_yake_terms_and_phrases(spark, docs):
     assert got.keys() == want.keys()
     assert all(abs(got[k] - want[k]) < 1e-9 for k in got)
 
-    phrases = yake.yake_phrases(yake.yake_terms(batches), yake.yake_candidates(batches)).collect()
+    phrases = yake.yake_phrases(batches).collect()
     by = {(r["lang"], r["phrase"]): r for r in phrases}
     a, b = want["hi", "दावा"], want["hi", "झूठा"]
     assert by["hi", "दावा झूठा"]["kf"] == 2
@@ -122,6 +143,20 @@ def test_yake_terms_and_phrases(spark, docs):
     assert ("hi", "है यह") not in by
 
 
+def test_yake_stopwords(spark, docs):
+    """Content words alone make the mean; an inner stopword is passed over, one at an end rules out."""
+    stop = {"है", "ने"}
+    batches = docs.filter("lang = 'hi'").withColumn("batch", F.lit(0).cast("bigint"))
+    table = spark.createDataFrame([("hi", t) for t in stop], "lang string, token string")
+    want = brute_yake([d for d in DOCS if d[1] == "hi"], stop)
+    got = {r["term"]: r["score"] for r in yake.yake_terms(batches, stopwords=table).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in got)
+    by = {r["phrase"]: r for r in yake.yake_phrases(batches, table).collect()}
+    a, b = want["modi"], want["कहा"]
+    assert abs(by["modi ने कहा"]["score"] - a * b / (1 + a + b)) < 1e-9
+    assert not {"है", "ने", "modi ने", "ने कहा", "दावा झूठा है", "झूठा है"} & by.keys()
+
+
 def test_batches_are_bounded_per_language(spark, path):
     rows = yake.yake_batches(views.corpus(spark, path), 10, languages=("hi", "gu", "mr", "es")).groupBy("lang", "batch").count().collect()
     per_lang = Counter(r["lang"] for r in rows)
@@ -137,6 +172,21 @@ def test_terms_are_placed_once(spark, path):
     assert sum("batch" in line for line in shuffles) == 1
 
 
+def test_phrases_take_one_document_shuffle(spark, path):
+    """Sentences are cut and placed once; terms, lookup and phrases stay where they are."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    spark.conf.set("spark.sql.adaptive.enabled", False)
+    try:
+        b = yake.yake_batches(views.corpus(spark, path), 10, languages=("hi", "gu", "mr", "es"))
+        plan = yake.merge_yake(yake.yake_phrases(b))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    shuffles = [line for line in plan.splitlines() if "Exchange hashpartitioning(lang" in line and "ReusedExchange" not in line]
+    assert sum("batch" in line.split("Exchange")[1] for line in shuffles) == 1
+    assert not any("term" in line or " t1" in line for line in shuffles)
+
+
 def test_seeds_prefer_phrases(spark):
     seeds = spark.createDataFrame([("seed", "en"), ("a b", "hi")], "query string, query_lang string")
     lists = spark.createDataFrame(
@@ -147,6 +197,16 @@ def test_seeds_prefer_phrases(spark):
     assert got == Counter([("seed", "en"), ("a b", "hi"), ("c d", "hi"), ("one", "gu")])
 
 
+def test_each_query_text_once(spark):
+    seeds = spark.createDataFrame([("a b", "en")], "query string, query_lang string")
+    lists = spark.createDataFrame(
+        [("hi", "m", "a b", 1), ("mr", "m", "a b", 1), ("hi", "m", "c d", 2), ("mr", "k", "c d", 1)],
+        "lang string, method string, phrase string, rank int",
+    )
+    got = {tuple(r) for r in ph.build_seeds(seeds, lists, 5).collect()}
+    assert got == {("a b", "en", "en,hi,mr"), ("c d", "mr", "hi,mr")}
+
+
 def test_large_stopword_table_gives_the_same_grams(spark, docs, monkeypatch):
     stop = spark.createDataFrame([("hi", "है"), ("gu", "આ")], "lang string, token string")
     want = Counter(map(tuple, ph.ngram_counts(docs, stopwords=stop).collect()))
