@@ -47,23 +47,44 @@ def drop_boilerplate(df, patterns=BOILERPLATE, column="claim_text"):
     return flagged.filter(~F.col("is_boilerplate")).drop("is_boilerplate")
 
 
-def shifted(language="language"):
-    """A row read with fewer fields than the header, so its last field is null.
+def row_kind(width=len(schemas.WIDE_COLUMNS)):
+    """What the number of fields says of a row read under a header of `width` names.
 
-    Both conditions are needed: a complete row may have an empty language.
+    `complete`; `shifted` (exactly one field short: the old layout); `short` (more are
+    missing); `long`; `unreadable` (the right number, and yet not read).
     """
-    return F.col(schemas.CORRUPT).isNotNull() & F.col(language).isNull()
+    bare = F.regexp_replace(schemas.CORRUPT, r'"[^"]*"', "")
+    fields = F.size(F.split(bare, ",", -1))
+    return (
+        F.when(F.col(schemas.CORRUPT).isNull(), "complete")
+        .when(fields == width - 1, "shifted").when(fields < width, "short")
+        .when(fields > width, "long").otherwise("unreadable")
+    )
+
+
+def shifted(width=len(schemas.WIDE_COLUMNS)):
+    """A row with exactly one field less than the header; a complete row may have an empty language."""
+    return row_kind(width) == "shifted"
+
+
+def malformed(df, width=len(schemas.WIDE_COLUMNS)):
+    """Rows that no repair puts right, with the `reason`."""
+    kind = row_kind(width)
+    return df.withColumn("reason", kind).filter(~F.col("reason").isin("complete", "shifted"))
 
 
 def is_shifted(df):
     return df.withColumn("is_shifted", shifted())
 
 
-def repair_shift(df, columns=schemas.WIDE_COLUMNS, insert_after="query"):
+def repair_shift(df, columns=None, insert_after="query"):
     """Move the fields after `insert_after` one place right in shifted rows.
 
-    The column right of it, absent from the old layout, becomes null.
+    The column right of it, absent from the old layout, becomes null. `columns`: the
+    header in file order, by default the order of `df`. Rows that `malformed` names are left out.
     """
+    columns = columns or [c for c in df.columns if c in schemas.WIDE_COLUMNS]
+    df = df.filter(row_kind(len(columns)).isin("complete", "shifted"))
     at = columns.index(insert_after) + 1
     out = []
     for i, name in enumerate(columns):
@@ -71,7 +92,7 @@ def repair_shift(df, columns=schemas.WIDE_COLUMNS, insert_after="query"):
             out.append(F.col(name))
         else:
             moved = F.lit(None).cast("string") if i == at else F.col(columns[i - 1])
-            out.append(F.when(shifted(), moved).otherwise(F.col(name)).alias(name))
+            out.append(F.when(shifted(len(columns)), moved).otherwise(F.col(name)).alias(name))
     extra = [c for c in df.columns if c not in columns and c != schemas.CORRUPT]
     return df.select(*out, *extra)
 

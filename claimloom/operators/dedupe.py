@@ -24,8 +24,8 @@ def default_order(df, keys=("language", "review_url")):
     return order + [F.col(c).asc_nulls_first() for c in rest]
 
 
-# Below this Spark limits a ranked group within the map tasks by itself.
-MAP_SIDE_LIMIT = 1000
+# Up to this many rows of a ranked group Spark limits it within the map tasks by itself.
+MAP_SIDE_LIMIT = "spark.sql.optimizer.windowGroupLimitThreshold"
 PARTS = 64
 
 
@@ -41,22 +41,21 @@ def top_k(df, by, order, k, rank="rank"):
         w = Window.partitionBy(*keys).orderBy(*order)
         return rows.withColumn(name, F.row_number().over(w)).filter(F.col(name) <= k)
 
-    if k >= MAP_SIDE_LIMIT:
+    if k >= int(df.sparkSession.conf.get(MAP_SIDE_LIMIT)):
         parts = df.withColumn("_part", F.spark_partition_id() % PARTS)
         df = first(parts, [*by, "_part"], "_first").drop("_part", "_first")
     return first(df, by, rank)
 
 
 def dedupe_by_url(df, keys=("language", "review_url"), order=None):
-    """One row per key; rows without a URL are all kept and never shuffled.
+    """One row per key; rows without a URL are all kept.
 
-    Both parts read `df`, each with its own filter pushed down; store `df` first if
-    it is costly to compute.
+    One pass: a number of its own makes each row without a URL a group of its own, so
+    such rows are spread over all tasks however many there are.
     """
-    url = F.col(keys[-1])
-    known = df.filter(url.isNotNull())
-    first = top_k(known, keys, order or default_order(df, keys), 1, rank="_rank").drop("_rank")
-    return first.unionByName(df.filter(url.isNull()))
+    own = F.when(F.col(keys[-1]).isNull(), F.monotonically_increasing_id()).otherwise(F.lit(-1))
+    ordered = order or default_order(df, keys)
+    return top_k(df.withColumn("_own", own), [*keys, "_own"], ordered, 1, rank="_rank").drop("_rank", "_own")
 
 
 def skip_collected(new, done, key="review_url"):

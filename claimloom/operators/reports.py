@@ -4,7 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from claimloom import schemas
-from claimloom.operators.clean import shifted
+from claimloom.operators.clean import row_kind
 
 
 def _pct(part, whole):
@@ -20,30 +20,35 @@ def with_share(df, column, by=()):
     return df.withColumn("share", _pct(F.col(column), total))
 
 
-def merge_summary(before, existing=schemas.EXTERNAL):
+def merge_summary(before, existing=schemas.EXTERNAL, archive=schemas.ARCHIVE):
     """Accounting of a URL merge per language, from the rows before it.
 
+    Rows of the existing set, of the archive, without a source and of all others (the
+    search interface) are counted apart; they add up to `final_rows` and the duplicates removed.
+
     Counting per (language, URL) gives the same figures as counting the merged
     rows, with partial sums in the map tasks and no sort: `final_rows` is the
-    number of distinct URLs plus the rows without a URL. `api_rows_added` counts
-    rows before de-duplication.
+    number of distinct URLs plus the rows without a URL. The figures of rows added
+    are those before de-duplication.
     """
-    is_existing = F.coalesce(F.col("data_source") == existing, F.lit(False))
-    per_url = before.groupBy("language", "review_url").agg(
-        F.count_if(is_existing).alias("old"), F.count_if(~is_existing).alias("new")
-    )
-    kept = F.when(F.col("review_url").isNull(), F.col("old") + F.col("new")).otherwise(1)
+    source = F.col("data_source")
+    counts = {
+        "existing_rows": F.count_if(source == existing),
+        "api_rows_added": F.count_if((source != existing) & (source != archive)),
+        "archive_rows_added": F.count_if(source == archive),
+        "unlabelled_rows": F.count_if(source.isNull()),
+    }
+    per_url = before.groupBy("language", "review_url").agg(*(c.alias(n) for n, c in counts.items()))
+    rows = sum((F.col(n) for n in counts), F.lit(0))
+    kept = F.when(F.col("review_url").isNull(), rows).otherwise(1)
     totals = per_url.groupBy("language").agg(
-        F.sum("old").alias("existing_rows"),
-        F.sum("new").alias("api_rows_added"),
-        F.sum(kept).alias("final_rows"),
+        *(F.sum(n).alias(n) for n in counts), F.sum(kept).alias("final_rows"),
     )
-    removed = F.col("existing_rows") + F.col("api_rows_added") - F.col("final_rows")
+    removed = rows - F.col("final_rows")
     gained = F.col("final_rows") - F.col("existing_rows")
     return totals.select(
         "language",
-        "existing_rows",
-        "api_rows_added",
+        *counts,
         removed.alias("duplicates_removed"),
         "final_rows",
         _pct(gained, F.col("existing_rows")).alias("growth"),
@@ -51,9 +56,12 @@ def merge_summary(before, existing=schemas.EXTERNAL):
 
 
 def corruption_report(df):
-    """Total rows, shifted rows and their share of a ragged scan."""
-    counts = df.select(shifted().alias("s")).agg(
-        F.count(F.lit(1)).alias("total_rows"), F.count_if("s").alias("shifted_rows")
+    """Total rows, shifted rows and their share, and malformed rows of a ragged scan."""
+    last = [c for c in df.columns if c != schemas.CORRUPT][-1]  # null in a row that lacks a field
+    counts = df.select(row_kind().alias("kind"), F.col(last).alias("last")).agg(
+        F.count(F.lit(1)).alias("total_rows"),
+        F.count_if((F.col("kind") == "shifted") & F.col("last").isNull()).alias("shifted_rows"),
+        F.count_if(~F.col("kind").isin("complete", "shifted")).alias("malformed_rows"),
     )
     return counts.withColumn("share", _pct(F.col("shifted_rows"), F.col("total_rows")))
 

@@ -6,16 +6,17 @@ from pyspark.sql import functions as F
 
 from claimloom import schemas
 from claimloom.functions.claims import derive_claims
-from claimloom.operators.clean import align, keep_languages, shifted
+from claimloom.operators.clean import align, keep_languages
 from claimloom.operators.dedupe import dedupe_by_url
 
 
 def refuse_shifted(df):
-    """Fail the job on the first shifted row of an unrepaired ragged scan."""
+    """Fail the job on the first row of a CSV scan that does not fit its header."""
     if schemas.CORRUPT not in df.columns:
         return df
-    error = F.raise_error(F.lit("shifted rows: run repair_shift before the merge"))
-    return df.filter(F.when(shifted(), error.cast("boolean")).otherwise(F.lit(True)))
+    error = F.raise_error(F.lit("shifted rows: fields do not fit the header, run repair_shift first"))
+    bad = F.col(schemas.CORRUPT).isNotNull()
+    return df.filter(F.when(bad, error.cast("boolean")).otherwise(F.lit(True))).drop(schemas.CORRUPT)
 
 
 def union_sources(sources, languages=schemas.LANGUAGES):

@@ -7,6 +7,7 @@ from claimloom.functions.claims import derive_claims
 from claimloom.operators import clean, dedupe
 from claimloom.plans import merge, views
 from claimloom.plans.views import with_views
+from claimloom.session import stored
 from claimloom.sizing import broadcast_if_small
 from claimloom.sources import scans
 
@@ -97,6 +98,10 @@ def _external(spark, sf):
 
 
 def _response(spark, sf):
+    return _responses(spark, sf).drop("doc_id")
+
+
+def _responses(spark, sf):
     """One search response per document: a claim with two reviews, one without
     reviews; one response in seven has no claims."""
     c = views.claims(spark, sf)
@@ -123,7 +128,7 @@ def _response(spark, sf):
     )
     body = F.to_json(F.struct(F.array(full, bare).alias("claims")))
     response = F.when(F.col("doc_id") % 7 == 0, F.lit("{}")).otherwise(body)
-    return c.select("matched_query", response.alias("response"))
+    return c.select("doc_id", "matched_query", response.alias("response"))
 
 
 def full_type(_):
@@ -133,6 +138,22 @@ def full_type(_):
     )
 
 
+def _landing(spark, sf):
+    """The responses, some cut off, some error envelopes, some not objects."""
+    broken = (
+        "case doc_id % 11 when 0 then substr(response, 1, length(response) - 1) "
+        "when 1 then '{\"error\":{\"code\":429}}' when 2 then '[1]' when 3 then '{\"claims\":7}' else response end"
+    )
+    return _responses(spark, sf).selectExpr("matched_query", f"{broken} as response")
+
+
+def _reject_counts(spark, sf):
+    """Landed responses, and those that are rejected, by reason."""
+    landed = _landing(spark, sf)
+    rejects = scans.response_rejects(landed).groupBy("reason").agg(F.count(F.lit(1)).alias("rows"))
+    return landed.agg(F.lit("landed").alias("reason"), F.count(F.lit(1)).alias("rows")).unionByName(rejects)
+
+
 RESPONSES_SQL = (
     f"select {RAW} from claims_v where doc_id % 7 <> 0 union all "
     "select claim_text, claimant, claim_date, publisher_name, null, null, "
@@ -154,7 +175,7 @@ def _rating_labels(spark, sf):
 
 def _mapped_ratings(spark, sf):
     rows = derive_claims(views.claims(spark, sf)).select("doc_id", "rating_clean")
-    labels = broadcast_if_small(_rating_labels(spark, sf))
+    labels = broadcast_if_small(stored(_rating_labels(spark, sf), "rating-labels"))
     return rows.join(labels, "rating_clean", "left").select("doc_id", "rating_clean", "label")
 
 
@@ -171,6 +192,11 @@ QUERIES = {
     "api_response_flatten": (
         lambda s, d: scans.flatten_responses(_response(s, d)), with_views(RESPONSES_SQL),
     ),
+    "response_rejects": (
+        _reject_counts,
+        "select 'landed' as reason, count(*) as rows from documents union all select 'unreadable', count(*) from documents "
+        "where doc_id % 11 in (0, 2, 3) union all select 'error', count(*) from documents where doc_id % 11 = 1",
+    ),
     "external_dataset_map": (
         _external,
         "select text as claim_text, cast(null as varchar) as claimant, cast(null as varchar) as "

@@ -10,14 +10,18 @@ from claimloom.plans.queries_pages import BOILERPLATE_TEXT, C, E
 from claimloom.plans.views import with_views
 
 SUMMARY_SQL = (
-    "select language, existing_rows, api_rows_added, existing_rows + api_rows_added - final_rows "
-    "as duplicates_removed, final_rows, round((final_rows - existing_rows) * 100.0 / "
+    "select language, existing_rows, api_rows_added, archive_rows_added, unlabelled_rows, existing_rows + "
+    "api_rows_added + archive_rows_added + unlabelled_rows - final_rows as duplicates_removed, final_rows, round((final_rows - existing_rows) * 100.0 / "
     "nullif(existing_rows, 0), 1) as growth from (select language, "
     "count(*) filter (data_source = 'xfact_2021') as existing_rows, "
-    "count(*) filter (data_source <> 'xfact_2021') as api_rows_added, "
+    "count(*) filter (data_source = 'google_factcheck_api') as api_rows_added, "
+    "count(*) filter (data_source = 'regional_archive') as archive_rows_added, "
+    "count(*) filter (data_source is null) as unlabelled_rows, "
     "count(distinct review_url) + count(*) filter (review_url is null) as final_rows "
-    f"from claims_v where {KEPT} group by language)"
+    f"from {{source}} where {KEPT} group by language)"
 )
+# Every eleventh row has lost its source.
+UNLABELLED = "case when doc_id % 11 = 0 then null else data_source end"
 
 
 def merge_accounting(spark, sf):
@@ -38,7 +42,13 @@ def _balance_sql(by, source):
 
 
 QUERIES = {
-    "merge_summary": (merge_accounting, with_views(SUMMARY_SQL)),
+    "merge_summary": (merge_accounting, with_views(SUMMARY_SQL.format(source="claims_v"))),
+    "merge_summary_unlabelled": (
+        lambda s, d: reports.merge_summary(clean.keep_languages(
+            views.claims(s, d).withColumn("data_source", F.expr(UNLABELLED))
+        )),
+        with_views(SUMMARY_SQL.format(source=f"(select * replace ({UNLABELLED} as data_source) from claims_v)")),
+    ),
     "dataset_size_table": (
         lambda s, d: reports.size_table(views.claims(s, d)),
         with_views(
@@ -55,6 +65,14 @@ QUERIES = {
             "union all select 'none' from expected_v where claim_text is null) group by 1", E,
         ),
     ),
+    "uniqueness_of_all_columns": (
+        lambda s, d: reports.uniqueness(views.claims(s, d).drop("doc_id").unionByName(views.claims(s, d).drop("doc_id"))),
+        with_views(
+            "select cast(2 * (select count(*) from claims_v) as bigint) as rows, (select count(*) from "
+            "(select distinct * exclude (doc_id) from claims_v)) as unique_rows, "
+            "(select count(distinct review_url) from claims_v) as unique_urls"
+        ),
+    ),
     "qc_report": (
         lambda s, d: reports.qc_report(archive.archive_claims(views.claim_pages(s, d))),
         with_views(

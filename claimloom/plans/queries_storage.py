@@ -6,11 +6,12 @@ from pyspark.sql import types as T
 from claimloom import schemas
 from claimloom.operators import clean, reports
 from claimloom.plans import archive, views
+from claimloom.plans.merge import merge_claims
 from claimloom.plans.queries_claims import KEPT, KEPT_SQL, MERGED_SQL, PRIORITY, RAW, TIES, merged
 from claimloom.plans.queries_pages import BOILERPLATE_TEXT, C, E
 from claimloom.plans.queries_text import (
-    FREQUENT, LANGS, MERGED_YAKE, PICKED, TOP, YP,
-    frequent, phrase_scores,
+    FREQUENT, LINES, MERGED_YAKE, PICKED, TOP, YP,
+    corpus_lines, frequent, phrase_scores,
 )
 from claimloom.operators.yake import merge_yake
 from claimloom.plans.views import with_views
@@ -29,7 +30,27 @@ def claims_csv(spark, sf):
         .write.options(escape='"', header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
         .csv(path)
     )
-    return scans.read_claims(spark, path)
+    return scans.read_claims(spark, path).select(*schemas.RAW_COLUMNS, F.col(schemas.CORRUPT).isNotNull().alias("is_malformed"))
+
+
+def reordered_csv(spark, sf):
+    """The claims under a header in another order, with a column that is not asked for."""
+    path = new_path(spark, "claims-reordered")
+    turned = views.claims(spark, sf).select("doc_id", *reversed(schemas.RAW_COLUMNS))
+    turned.write.options(escape='"', header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+    return scans.read_claims(spark, path).drop(schemas.CORRUPT)
+
+
+def mixed_merge(spark, sf):
+    """The mixed file put right and merged."""
+    fixed = clean.repair_shift(ragged_csv(spark, sf))
+    return merge_claims([fixed.withColumn("data_source", F.lit(schemas.API))])
+
+
+def merged_csv(spark, sf):
+    path = new_path(spark, "merged-csv")
+    sinks.write_merged(merged(spark, sf), path, "csv")
+    return sinks.read_written(spark, path, schemas.MERGED, "csv")
 
 
 def ragged_csv(spark, sf):
@@ -47,13 +68,6 @@ def ragged_csv(spark, sf):
     return scans.read_claims_ragged(spark, path, header=False)
 
 
-def corpus_lines(spark, sf):
-    path = new_path(spark, "corpus")
-    lines = views.corpus(spark, sf).select("lang", F.explode_outer(F.split("text", "\n")).alias("value"))
-    lines.write.partitionBy("lang").text(path)
-    return scans.read_corpus(spark, {lang: f"{path}/lang={lang}" for lang in LANGS})
-
-
 def appended(spark, sf):
     table = new_path(spark, "claims-table")
     claims = views.claims(spark, sf)
@@ -126,9 +140,20 @@ INGESTED_SQL = (
     "from claims_v) where rn = 1 or review_url is null"
 )
 
+CSV_CLAIMS_SQL = f"select * replace (nullif(claim_date, '') as claim_date) from (select {RAW} from claims_v)"
+MIXED = ("mixed_v", (
+    f"select {RAW}, 'google_factcheck_api' as data_source from (select *, query as matched_query from wide_csv_v)"
+))
+
 QUERIES = {
-    "claims_csv_scan": (claims_csv, with_views(
-        f"select * replace (nullif(claim_date, '') as claim_date) from (select {RAW} from claims_v)"
+    "claims_csv_scan": (claims_csv, with_views(f"select *, false as is_malformed from ({CSV_CLAIMS_SQL})")),
+    "claims_csv_by_name": (reordered_csv, with_views(CSV_CLAIMS_SQL)),
+    "mixed_layout_merge": (mixed_merge, with_views(
+        MERGED_SQL, MIXED, ("claims_kept", KEPT_SQL.replace("claims_v", "mixed_v")), ("kept_v", "select * from claims_kept"),
+    )),
+    "merged_csv_output": (merged_csv, with_views(
+        "select * replace (nullif(claim_text, '') as claim_text, nullif(claim_date, '') as claim_date) from "
+        f"({MERGED_SQL})", ("claims_kept", KEPT_SQL), ("kept_v", "select * from claims_kept"),
     )),
     "ragged_csv_scan": (
         lambda s, d: ragged_csv(s, d).select(
@@ -146,13 +171,12 @@ QUERIES = {
     "corruption_report": (
         lambda s, d: reports.corruption_report(ragged_csv(s, d)),
         with_views(
-            "select count(*) as total_rows, count(*) filter (s) as shifted_rows, "
+            "select count(*) as total_rows, count(*) filter (s) as shifted_rows, cast(0 as bigint) as malformed_rows, "
             "round(count(*) filter (s) * 100.0 / count(*), 1) as share from shifted_v"
         ),
     ),
     "corpus_scan": (
-        lambda s, d: corpus_lines(s, d).drop("line_no"),
-        with_views("select lang, unnest(string_split(text, chr(10))) as text from corpus_v"),
+        corpus_lines, with_views("select lang, md5(concat(lang, ':', text)) as line_id, text from lines_v", LINES),
     ),
     "crash_safe_append": (appended, with_views("select * from claims_v")),
     "language_split_output": (

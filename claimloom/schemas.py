@@ -44,6 +44,8 @@ MERGED_COLUMNS = MERGED.fieldNames()
 
 SCRAPED = T.StructType(RAW.fields + [T.StructField("extraction_method", T.StringType())])
 
+REJECT = strings(["matched_query", "response", "reason"])
+
 PAGE = T.StructType([
     T.StructField("page_id", T.LongType()),
     T.StructField("url", T.StringType()),

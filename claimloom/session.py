@@ -6,6 +6,7 @@ import uuid
 from pyspark.sql import SparkSession
 
 _local_base = None
+_scratch = {}
 
 
 def get_spark(app="claimloom", cpus=None, **conf):
@@ -19,6 +20,8 @@ def get_spark(app="claimloom", cpus=None, **conf):
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        # Rows placed by part of a join's keys on both sides are joined where they are.
+        .config("spark.sql.requireAllClusterKeysForCoPartition", "false")
     )
     if cpus:
         builder = (
@@ -51,8 +54,20 @@ def shared_dir(spark):
 
 
 def new_path(spark, name):
-    """A fresh path under the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A fresh path in the application's own part of the shared folder."""
+    return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def scratch_dir(spark):
+    """The application's own folder in the shared one; it is deleted when the driver ends."""
+    context = spark.sparkContext
+    if context.applicationId not in _scratch:
+        path = context._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/claimloom-{uuid.uuid4().hex}")
+        files = path.getFileSystem(context._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        _scratch[context.applicationId] = path.toString()
+    return _scratch[context.applicationId]
 
 
 def stored(df, name):

@@ -16,33 +16,52 @@ CSV_OPTIONS = {
 }
 
 
-def read_claims(spark, path, columns=schemas.RAW_COLUMNS, header=True):
-    """Claims CSV; an empty field is null.
+def csv_header(spark, path):
+    """Column names in the header of a CSV file, or of the first file of a folder."""
+    return spark.read.options(**CSV_OPTIONS).csv(path, header=True, inferSchema=False).columns
 
-    A quoted value may span lines, so one file is one task: land many files, or
-    convert to Parquet once and work from there.
+
+def _marked_csv(spark, path, names, header):
+    """All columns in file order and `_corrupt_record`, the raw text of a row with too few or too many fields.
+
+    Every file's header must read the same: another one fails the job.
     """
     return (
-        spark.read.schema(schemas.strings(columns))
+        spark.read.schema(schemas.strings([*names, schemas.CORRUPT]))
         .options(**CSV_OPTIONS)
-        .csv(path, header=header, enforceSchema=True)
+        .option("mode", "PERMISSIVE")
+        .option("columnNameOfCorruptRecord", schemas.CORRUPT)
+        .csv(path, header=header, enforceSchema=not header)
     )
 
 
+def read_claims(spark, path, columns=schemas.RAW_COLUMNS, header=True):
+    """Claims CSV: `columns`, found by name, and `_corrupt_record`; an empty field is null.
+
+    A file whose header lacks one of the columns is refused; others it has are left out.
+    Without a header the columns are those given, in order. A row with too few or too
+    many fields keeps its raw text in `_corrupt_record`, so it can be counted or refused.
+
+    A quoted value may span lines, so one file is one task: land many files, or
+    convert to Parquet once and work from there.
+    """
+    names = csv_header(spark, path) if header else list(columns)
+    missing = [c for c in columns if c not in names]
+    if missing:
+        raise ValueError(f"{path} has no column {', '.join(missing)}; its header is {', '.join(names)}")
+    return _marked_csv(spark, path, names, header).select(*columns, schemas.CORRUPT)
+
+
 def read_claims_ragged(spark, path, columns=schemas.WIDE_COLUMNS, header=True):
-    """Claims CSV whose rows may hold fewer fields than the header.
+    """Claims CSV whose rows may hold fewer or more fields than the header, in file order.
 
     A short row keeps its fields, gets nulls at the end and its raw text in
-    `_corrupt_record`; no row is dropped.
+    `_corrupt_record`; no row is dropped. The header may have `columns` in any order.
     """
-    schema = schemas.strings([*columns, schemas.CORRUPT])
-    return (
-        spark.read.schema(schema)
-        .options(**CSV_OPTIONS)
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", schemas.CORRUPT)
-        .csv(path, header=header, enforceSchema=True)
-    )
+    names = csv_header(spark, path) if header else list(columns)
+    if sorted(names) != sorted(columns):
+        raise ValueError(f"{path} has the header {', '.join(names)}, not {', '.join(columns)}")
+    return _marked_csv(spark, path, names, header)
 
 
 REVIEW = T.StructType([
@@ -85,6 +104,24 @@ def flatten_responses(df, response="response", query="matched_query"):
     )
 
 
+def response_rejects(df, response="response", query="matched_query"):
+    """Landed responses that hold no answer: (matched_query, response, reason).
+
+    `unreadable`: not a JSON object, or its claims are no array; `error`: an error envelope.
+    A readable response without claims is an answer. Every response is either here or read
+    by `flatten_responses`.
+    """
+    body = F.try_parse_json(response)
+    known = F.schema_of_variant(body).startswith("OBJECT")
+    claims = F.schema_of_variant(F.try_variant_get(body, "$.claims", "variant"))
+    listed = F.coalesce(claims.startswith("ARRAY") | (claims == "VOID"), F.lit(True))
+    reason = F.when(
+        F.coalesce(known, F.lit(False)) & F.try_variant_get(body, "$.error", "variant").isNotNull(), F.lit("error")
+    ).when(~F.coalesce(known & listed, F.lit(False)), F.lit("unreadable"))
+    marked = df.select(F.col(query).alias("matched_query"), F.col(response).alias("response"), reason.alias("reason"))
+    return marked.filter("reason is not null")
+
+
 def read_pages(spark, path, schema=schemas.PAGE):
     """Landed archive pages."""
     return spark.read.schema(schema).parquet(path)
@@ -93,14 +130,15 @@ def read_pages(spark, path, schema=schemas.PAGE):
 def read_corpus(spark, paths):
     """Text lines tagged by the language given per path: `{lang: path}`.
 
-    `line_no` identifies a line (file order within a split); it is not consecutive.
+    `line_id` is a digest of language and text, so it does not depend on how the files
+    are split; equal lines share it.
     """
 
     def one(lang, path):
         lines = spark.read.text(path, lineSep="\n")
         return lines.select(
             F.lit(lang).alias("lang"),
-            F.monotonically_increasing_id().alias("line_no"),
+            F.md5(F.concat_ws(":", F.lit(lang), F.col("value"))).alias("line_id"),
             F.col("value").alias("text"),
         )
 
@@ -110,14 +148,15 @@ def read_corpus(spark, paths):
 def read_phrases(spark, path):
     """Phrase lists; language and method come from `{lang}_{method}` in the path.
 
-    Reads both flat files (`hi_frequent_ngrams.csv`) and what `write_phrases` wrote.
+    Reads both flat files (`hi_frequent_ngrams.csv`) and what `write_phrases` wrote. The
+    columns are checked by name: a file with another header fails the job.
     """
     name = r"([a-z]{2,3})_(frequent_ngrams|yake_phrases)"
     lists = (
         spark.read.schema(schemas.PHRASE)
         .options(**CSV_OPTIONS)
         .option("recursiveFileLookup", True)
-        .csv(path, header=True)
+        .csv(path, header=True, enforceSchema=False)
     )
     file = F.col("_metadata.file_path")
     return lists.select(

@@ -12,31 +12,48 @@ def append_claims(df, table):
     df.write.mode("append").parquet(table)
 
 
-def write_by_language(df, path):
-    """One partition folder per language.
+# Written so that every value reads back as it was; only null and empty become one.
+CSV = {
+    "header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False,
+}
+
+
+def _write(df, path, by, format):
+    options = CSV if format == "csv" else {}
+    df.write.mode("overwrite").partitionBy(by).format(format).options(**options).save(path)
+
+
+def read_written(spark, path, schema, format="parquet"):
+    """What one of the sinks wrote, as Parquet or CSV."""
+    options = {**CSV, "multiLine": True} if format == "csv" else {}
+    return spark.read.schema(schema).format(format).options(**options).load(path)
+
+
+def write_by_language(df, path, format="parquet"):
+    """One partition folder per language, as Parquet or CSV.
 
     Each task writes its own file per language: no shuffle by language, which
     would put the largest language into one task.
     """
-    df.write.mode("overwrite").partitionBy("language").parquet(path)
+    _write(df, path, "language", format)
 
 
-def write_qc(df, path, flag="is_boilerplate"):
+def write_qc(df, path, flag="is_boilerplate", format="parquet"):
     """Clean copy and flagged rows, under `clean` and `flagged`.
 
     One pass: the flag becomes the partition folder.
     """
     kind = F.when(F.col(flag), "flagged").otherwise("clean")
-    df.withColumn("part", kind).write.mode("overwrite").partitionBy("part").parquet(path)
+    _write(df.withColumn("part", kind), path, "part", format)
 
 
-def read_qc(spark, path, part, schema):
-    return spark.read.schema(schema).parquet(f"{path}/part={part}")
+def read_qc(spark, path, part, schema, format="parquet"):
+    return read_written(spark, f"{path}/part={part}", schema, format)
 
 
-def write_merged(df, path):
+def write_merged(df, path, format="parquet"):
     """Final per-language files with the 22 merged columns."""
-    write_by_language(align(df, schemas.MERGED), path)
+    write_by_language(align(df, schemas.MERGED), path, format)
 
 
 def write_phrases(df, path):

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from claimloom import schemas
 from claimloom.operators.dedupe import default_order, skip_collected, top_k
 from claimloom.operators.extract import extract_claims
-from claimloom.sources.scans import flatten_responses
+from claimloom.sources.scans import flatten_responses, response_rejects
 
 KEY = "record_key"
 # Bounds a micro-batch. Each one reads the key column of the table, so use as large
@@ -74,11 +74,24 @@ def ingest_stream(spark, src, table, checkpoint, schema=schemas.RAW, files_per_b
     return _run(stream, table, checkpoint, record_key, lambda df: df)
 
 
-def response_stream(spark, src, table, checkpoint, files_per_batch=FILES_PER_BATCH):
-    """Claims of landed search responses not read before: (matched_query, response)."""
+def whole_row(columns):
+    return F.sha2(F.to_json(F.struct(*columns)), 256)
+
+
+def response_stream(spark, src, table, checkpoint, rejects, files_per_batch=FILES_PER_BATCH):
+    """Claims of landed search responses not read before: (matched_query, response).
+
+    Responses that hold no answer go to the table `rejects` with the reason, in the same micro-batch.
+    """
     create_table(spark, T.StructType([*schemas.RAW.fields, KEY_FIELD]), table)
+    create_table(spark, T.StructType([*schemas.REJECT.fields, KEY_FIELD]), rejects)
     stream = _source(spark, src, schemas.strings(["matched_query", "response"]), files_per_batch)
-    return _run(stream, table, checkpoint, record_key, flatten_responses)
+
+    def transform(batch):
+        append_new(response_rejects(batch), rejects, whole_row)
+        return flatten_responses(batch)
+
+    return _run(stream, table, checkpoint, record_key, transform)
 
 
 def extract_stream(spark, src, table, checkpoint, language=None, files_per_batch=FILES_PER_BATCH):

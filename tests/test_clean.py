@@ -32,7 +32,7 @@ def test_repair(ragged):
 
 
 def test_report_and_predicate(ragged):
-    assert tuple(reports.corruption_report(ragged).first()) == (3, 1, 33.3)
+    assert tuple(reports.corruption_report(ragged).first()) == (3, 1, 0, 33.3)
     marked = {r["query"]: r["is_shifted"] for r in clean.is_shifted(ragged).collect()}
     assert marked == {"q1": False, "q2": True, "q3": False}
 
@@ -47,10 +47,70 @@ def test_merge_refuses_shifted_rows(ragged):
 
 def test_published_shape_of_the_corruption_share(spark):
     df = spark.range(166_696).select(
-        F.when(F.col("id") < 124_413, "raw").alias(schemas.CORRUPT),
+        F.when(F.col("id") < 124_413, ",".join("abcdefghijk")).alias(schemas.CORRUPT),
         F.when(F.col("id") >= 124_413, "hi").alias("language"),
     )
-    assert tuple(reports.corruption_report(df).first()) == (166_696, 124_413, 74.6)
+    assert tuple(reports.corruption_report(df).first()) == (166_696, 124_413, 0, 74.6)
+
+
+def write(path, *lines):
+    path.write_text("\n".join(lines) + "\n", encoding="utf-8")
+    return str(path)
+
+
+def test_rows_that_no_repair_puts_right(spark, tmp_path):
+    short, long = "q,only,ten,d,pn,ps,rt,u,rd,True", 'q,hi,"a,b",c,d,pn,ps,rt,u,rd,False,gu,more'
+    ragged = scans.read_claims_ragged(spark, write(tmp_path / "x.csv", HEADER, FULL, OLD, short, long))
+    assert tuple(reports.corruption_report(ragged).first()) == (4, 1, 2, 25.0)
+    assert sorted(r["reason"] for r in clean.malformed(ragged).collect()) == ["long", "short"]
+    assert {r["query"] for r in clean.repair_shift(ragged).collect()} == {"q1", "q2"}
+
+
+def test_claims_are_read_by_name(spark, tmp_path):
+    names = [*reversed(schemas.RAW_COLUMNS), "extra"]
+    path = write(tmp_path / "x.csv", ",".join(names), ",".join(f"v_{n}" for n in names), "too,few")
+    good, bad = sorted(scans.read_claims(spark, path).collect(), key=lambda r: r[schemas.CORRUPT] is not None)
+    assert good.asDict() == {n: f"v_{n}" for n in schemas.RAW_COLUMNS} | {schemas.CORRUPT: None}
+    assert bad[schemas.CORRUPT] == "too,few"
+
+
+def test_a_header_without_a_column_is_refused(spark, tmp_path):
+    with pytest.raises(ValueError, match="matched_query"):
+        scans.read_claims(spark, write(tmp_path / "x.csv", HEADER, FULL))
+    with pytest.raises(ValueError, match="header"):
+        scans.read_claims_ragged(spark, write(tmp_path / "y.csv", ",".join(schemas.RAW_COLUMNS), "a"))
+
+
+def test_files_with_different_headers_fail(spark, tmp_path):
+    write(tmp_path / "a.csv", ",".join(schemas.RAW_COLUMNS), ",".join("abcdefghijk"))
+    write(tmp_path / "b.csv", ",".join(reversed(schemas.RAW_COLUMNS)), ",".join("abcdefghijk"))
+    with pytest.raises(Exception, match="(?i)header"):
+        scans.read_claims(spark, str(tmp_path)).collect()
+
+
+def test_phrase_columns_are_checked(spark, tmp_path):
+    write(tmp_path / "hi_frequent_ngrams.csv", "n,phrase,freq,score,rank", "2,a b,7,,1")
+    with pytest.raises(Exception, match="(?i)header"):
+        scans.read_phrases(spark, str(tmp_path)).collect()
+
+
+@pytest.mark.parametrize("format", ["parquet", "csv"])
+def test_formats_read_back_alike(spark, tmp_path, format):
+    rows = [('a "quoted"\nline, with comma', " u ", "hi"), (None, "é", "gu")]
+    df = spark.createDataFrame(rows, "claim_text string, review_url string, language string")
+    sinks.write_by_language(df, str(tmp_path / "t"), format)
+    back = sinks.read_written(spark, str(tmp_path / "t"), df.schema, format)
+    assert sorted(map(tuple, back.select(df.columns).collect()), key=repr) == sorted(rows, key=repr)
+
+
+def test_every_response_is_read_or_rejected(spark):
+    body = '{"claims":[{"text":"t"}]}'
+    rows = [("q", body), ("q", "{}"), ("q", "broken"), ("q", body[:-1]), ("q", '{"error":{"code":429}}'), ("q", None), ("q", "[1]"), ("q", '{"claims":7}'), ("q", '{"claims":null}')]
+    landed = spark.createDataFrame(rows, "matched_query string, response string")
+    reasons = sorted((r["reason"], r["response"] or "") for r in scans.response_rejects(landed).collect())
+    assert reasons == sorted([("unreadable", "broken"), ("unreadable", body[:-1]), ("error", '{"error":{"code":429}}'),
+                              ("unreadable", ""), ("unreadable", "[1]"), ("unreadable", '{"claims":7}')])
+    assert scans.flatten_responses(landed).count() == 1
 
 
 def test_drop_missing_markers(spark):

@@ -42,6 +42,8 @@ def test_collect_split_merge(spark, run, tmp_path):
         landed.write.mode("append").parquet(str(tmp_path / "landing"))
         run("collect", "--landing", tmp_path / "landing", "--table", tmp_path / "api", "--checkpoint", tmp_path / "ckpt")
     assert spark.read.parquet(str(tmp_path / "api")).count() == 3
+    rejected = spark.read.parquet(str(tmp_path / "api-rejects")).collect()
+    assert [(r["response"], r["reason"]) for r in rejected] == [("broken", "unreadable")]
     run("split", "--input", tmp_path / "api", "--outdir", tmp_path / "split")
     split = spark.read.parquet(str(tmp_path / "split"))
     assert {(r["language"], r["query"]) for r in split.collect()} == {("hi", "q"), ("mr", "q")}
@@ -77,3 +79,26 @@ def test_repair(spark, run, tmp_path):
         ",".join(schemas.WIDE_COLUMNS) + "\nq,text,c,d,pn,ps,rt,u,rd,False,gu\n", encoding="utf-8")
     run("repair", "--input", tmp_path / "claims.csv", "--outdir", tmp_path / "fixed")
     assert spark.read.parquet(str(tmp_path / "fixed")).first()["language"] == "gu"
+
+
+def test_mixed_layouts_are_never_merged_as_they_are(spark, run, tmp_path):
+    header, full, old = ",".join(schemas.WIDE_COLUMNS), "q,hi,t1,c,d,pn,ps,rt,u1,rd,False,gu", "q,t2,c,d,pn,ps,rt,u2,rd,False,mr"
+    path = tmp_path / "claims.csv"
+    path.write_text("\n".join([header, full, old]) + "\n", encoding="utf-8")
+    merge = ["merge", "--source", f"google_factcheck_api={path}", "--outdir", tmp_path / "merged"]
+    with pytest.raises(SystemExit, match="twelve-column"):
+        run(*merge)
+    run(*merge, "--repair", "--format", "csv")
+    merged = spark.read.csv(str(tmp_path / "merged"), header=True)
+    assert {(r["review_url"], r["claim_text"], r["language"]) for r in merged.collect()} == {("u1", "t1", "gu"), ("u2", "t2", "mr")}
+    run("split", "--input", path, "--repair", "--outdir", tmp_path / "split")
+    assert {(r["language"], r["query"]) for r in spark.read.parquet(str(tmp_path / "split")).collect()} == {("gu", "q"), ("mr", "q")}
+    path.write_text("\n".join([header, full, full + ",more"]) + "\n", encoding="utf-8")
+    with pytest.raises(SystemExit, match="no repair"):
+        run(*merge, "--repair")
+    run("repair", "--input", path, "--outdir", tmp_path / "fixed")
+    assert [r["reason"] for r in spark.read.parquet(str(tmp_path / "fixed-malformed")).collect()] == ["long"]
+    wrong = tmp_path / "wrong.csv"
+    wrong.write_text("claim_text,url\na,b\n", encoding="utf-8")
+    with pytest.raises(ValueError, match="no column"):
+        run("qc", "--input", wrong, "--outdir", tmp_path / "qc")

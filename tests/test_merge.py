@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from claimloom import schemas
 from claimloom.operators import dedupe, reports
 from claimloom.plans import merge, views
+from claimloom.plans.queries_claims import merged
 from claimloom.session import new_path
 from claimloom.streaming import ingest
 
@@ -42,12 +43,35 @@ GOLDEN = {
 def test_published_accounting(spark):
     rows = [r for lang, g in GOLDEN.items() for r in accounting_rows(*g[:3], lang)]
     before = spark.createDataFrame(rows, SOURCED)
-    got = {r["language"]: tuple(r)[1:] for r in reports.merge_summary(before).collect()}
+    summary = reports.merge_summary(before).collect()
+    got = {r["language"]: (r["existing_rows"], r["api_rows_added"], *tuple(r)[-3:]) for r in summary}
     assert got == GOLDEN
+    assert all(r["archive_rows_added"] == r["unlabelled_rows"] == 0 for r in summary)
     after = {r["language"]: r["count"] for r in dedupe.dedupe_by_url(before).groupBy("language").count().collect()}
     assert after == {lang: g[3] for lang, g in GOLDEN.items()}
 
 
+def test_each_source_is_counted_apart(spark):
+    rows = [claim("u1", schemas.EXTERNAL), claim("u1", schemas.ARCHIVE), claim("u2", schemas.ARCHIVE), claim("u2", schemas.API), claim(None, None), claim("u3", None)]
+    row = reports.merge_summary(spark.createDataFrame(rows, SOURCED)).first()
+    assert tuple(row)[1:-1] == (1, 1, 2, 2, 2, 4)
+
+
+def test_merge_reads_each_source_once(spark, path):
+    plan = merged(spark, path)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == len(schemas.SOURCE_PRIORITY)
+
+
+def test_rows_without_url_are_spread(spark):
+    df = spark.range(20_000).selectExpr("'hi' as language", "cast(null as string) as review_url", "cast(id as string) as claim_text")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+    try:
+        counts = [r["count"] for r in dedupe.dedupe_by_url(df.repartition(8)).groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sum(counts) == 20_000 and max(counts) < 5_000
+
+
 def test_dedupe_precedence_and_nulls(spark):
     rows = [
         claim("u", schemas.API, "2020-01-01", title="api"),

@@ -23,4 +23,5 @@ def test_entry_file(spark):
     rows = {r["language"]: r for r in entry_file.entry(spark).collect()}
     assert set(rows) == {"hi", "gu", "mr"}
     for r in rows.values():
-        assert r["final_rows"] == r["existing_rows"] + r["api_rows_added"] - r["duplicates_removed"]
+        added = r["api_rows_added"] + r["archive_rows_added"] + r["unlabelled_rows"]
+        assert r["final_rows"] == r["existing_rows"] + added - r["duplicates_removed"]
