@@ -4,7 +4,6 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from claimloom import schemas
-from claimloom.sizing import is_small
 
 
 def source_rank(priority=schemas.SOURCE_PRIORITY, column="data_source"):
@@ -58,19 +57,24 @@ def dedupe_by_url(df, keys=("language", "review_url"), order=None):
     return top_k(df.withColumn("_own", own), [*keys, "_own"], ordered, 1, rank="_rank").drop("_rank", "_own")
 
 
+# Digests of so many keys, 8 bytes each, are broadcast at most.
+MAX_KEYS = 2_000_000
+
+
 def skip_collected(new, done, key="review_url"):
     """Rows of `new` whose key is not in `done`; null keys are kept.
 
-    `done` grows without bound and `new` is mostly a small batch. So the keys of
-    `done` are first cut to those in `new`, without shuffling `done` when the
-    batch is measured to be small.
+    `done` grows without bound and `new` is mostly a batch. So the keys of `done` are
+    first cut to those whose digest occurs in `new`. The digests of a batch of up to MAX_KEYS keys
+    are broadcast: `done` is then read by its key column and never shuffled, and only what
+    passes meets the batch, key by key. Beyond that both sides are shuffled, and AQE splits skewed partitions.
     """
-    keys = new.select(key).where(F.col(key).isNotNull())
-    hint = F.broadcast if is_small(keys) else (lambda df: df)
-    wanted = keys.distinct()
-    # At most the keys of `wanted`, so the same bound holds.
-    known = done.select(key).join(hint(wanted), key, "left_semi").distinct()
-    return new.join(hint(known), key, "left_anti")
+    digest = F.xxhash64(key).alias("_digest")
+    wanted = new.filter(F.col(key).isNotNull()).select(digest).distinct()
+    if wanted.limit(MAX_KEYS + 1).count() <= MAX_KEYS:
+        wanted = F.broadcast(wanted)
+    known = done.select(key, digest).join(wanted, "_digest", "left_semi").select(key).distinct()
+    return new.join(known, key, "left_anti")
 
 
 def source_overlap(df):

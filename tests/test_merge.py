@@ -113,13 +113,33 @@ def test_skip_collected(spark):
 
 
 def test_large_side_is_not_broadcast(spark, monkeypatch):
-    monkeypatch.setattr(dedupe, "is_small", lambda df: False)
+    monkeypatch.setattr(dedupe, "MAX_KEYS", 10)
     df = spark.range(1000).select(F.col("id").cast("string").alias("review_url"))
     out = dedupe.skip_collected(df, df.filter("review_url < '5'"))
     assert "hint" not in out._jdf.queryExecution().analyzed().toString().lower()
     assert out.count() == sum(str(i) >= "5" for i in range(1000))
 
 
+def test_history_is_not_shuffled_for_a_batch(spark, tmp_path):
+    """A batch beyond the row bound of a plain broadcast, and a history that does not fit one."""
+    spark.range(400_000).select(F.concat(F.lit("https://h.org/"), "id").alias("review_url"), F.lit("x").alias("rest")).write.parquet(str(tmp_path / "t"))
+    new = spark.range(300_000, 450_000).select(F.concat(F.lit("https://h.org/"), "id").alias("review_url"))
+    names = ["spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold"]
+    for name, value in zip(names, ["false", "-1"]):
+        spark.conf.set(name, value)
+    try:
+        out = dedupe.skip_collected(new, spark.read.parquet(str(tmp_path / "t")))
+        lines = out._jdf.queryExecution().executedPlan().toString().splitlines()
+        assert out.count() == 50_000
+    finally:
+        for name in names:
+            spark.conf.unset(name)
+    scan = next(i for i, line in enumerate(lines) if "FileScan parquet" in line)
+    semi = max(i for i, line in enumerate(lines[:scan]) if "LeftSemi" in line)
+    assert "BroadcastHashJoin" in lines[semi] and not any("Exchange" in line for line in lines[semi:scan])
+    assert "ReadSchema: struct<review_url:string>" in "".join(lines)
+
+
 def test_missing_from_counts_copies(spark):
     full = spark.createDataFrame([("a", 1), ("a", 1), ("b", 2)], "k string, q int")
     snap = spark.createDataFrame([("a",), ("a",), ("a",), ("c",)], "k string")
