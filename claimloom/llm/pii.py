@@ -26,7 +26,7 @@ CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 NUMBERS = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 URL_REST = re.compile(r"[^\s<>\"'`{}|\\^]+")
-SCHEMES = {"http", "https", "ftp"}
+SCHEMES = ("https", "http", "ftp")
 HANDLE = re.compile(r"@[A-Za-z_][A-Za-z0-9_]{1,30}(?![A-Za-z0-9_.@-])")
 ACCOUNT = re.compile(r"(?i:\s?(?:no|nr|number|id))?[.:#=\s]{0,3}([A-Za-z0-9][A-Za-z0-9._-]{3,33}[A-Za-z0-9])")
 LOCAL_CHARS = frozenset(string.ascii_letters + string.digits + "._%+-")
@@ -91,11 +91,9 @@ def phone(text, start):
 
 def url(text, at, free):
     """The address around `://` at `at`, without closing punctuation."""
-    start = at
-    while start > free and start > at - 5 and "a" <= text[start - 1].lower() <= "z":
-        start -= 1
-    rest = URL_REST.match(text, at + 3)
-    if text[start:at].lower() not in SCHEMES or not rest:
+    scheme = next((s for s in SCHEMES if text[at - len(s):at].lower() == s), "")
+    start, rest = at - len(scheme), URL_REST.match(text, at + 3)
+    if not scheme or start < free or (start and text[start - 1].isalpha()) or not rest:
         return None
     end = rest.end() - (len(rest[0]) - len(rest[0].rstrip(".,;:!?)]")))
     return (start, end) if end > at + 3 else None

@@ -152,6 +152,44 @@ from r
 """
 
 
+def either_case(word):
+    """Pattern of a word in ASCII letters of either case; the flag of the other engine also folds beyond ASCII."""
+    return "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in word)
+
+
+ASSIGN_SQL = (
+    "(" + "|".join(map(either_case, ("password", "passwd", "secret", "token", "api_?key"))) + ")"
+    r"""["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+)
+CLASS_SQL = " ".join(f"when regexp_matches(m, '{pattern}') then {bits}" for _, pattern, bits in secrets.CLASSES)
+ALLOWED_SQL = " or ".join(f"regexp_matches(m, '{pattern}')" for pattern in secrets.ALLOWED)
+OP8_SQL = f"""
+with t as (select row_number() over () as r, doc_id, coalesce(text, '') as text from documents),
+found as (
+  select r, 'assign' as kind, 1 as k, regexp_extract_all(text, '{ASSIGN_SQL}') as ms, string_split_regex(text, '{ASSIGN_SQL}') as gs from t
+  union all select r, 'access', 2, regexp_extract_all(text, 'AKIA[A-Z0-9]{{14,}}'), string_split_regex(text, 'AKIA[A-Z0-9]{{14,}}') from t
+  union all select r, 'hex', 3, regexp_extract_all(text, '[0-9a-f]{{16,}}'), string_split_regex(text, '[0-9a-f]{{16,}}') from t
+  union all select r, 'entropy', 4, regexp_extract_all(text, '[A-Za-z0-9+/_=-]{{20,}}'), string_split_regex(text, '[A-Za-z0-9+/_=-]{{20,}}') from t),
+each as (select *, unnest(range(1, len(ms) + 1)) as i from found where len(ms) > 0),
+placed as (select r, kind, k, ms[i] as m, cast(list_sum(list_transform(gs[1:i], lambda x: length(x)))
+  + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) as bigint) as a from each),
+base as (select r, kind, k, a, a + length(m) as z from placed
+  where k < 4 and (k > 1 or length(regexp_extract(m, '{ASSIGN_SQL}', 2)) >= 12)),
+cand as (select r, a, m, case {CLASS_SQL} end as least from placed p where k = 4 and regexp_matches(m, '[0-9]') and not ({ALLOWED_SQL})
+  and not exists (select 1 from base b where b.r = p.r and b.a < p.a + length(p.m) and p.a < b.z)),
+win as (select r, a, least, w, unnest(string_split(substr(m, w + 1, 20), '')) as c
+  from (select *, unnest(range(0, length(m) - 19)) as w from cand)),
+ent as (select r, a, least, w, -sum(n / 20 * log2(n / 20)) as h from (select r, a, least, w, c, count(*) as n from win group by all) group by all),
+spans as (select r, kind, k, a, z from base union all
+  select r, 'entropy', 4, a + min(w), a + max(w) + 20 from ent where round(h, 9) >= least group by r, a),
+told as (select *, concat(kind, ':', cast(a as varchar), ':', cast(z as varchar)) as s from spans)
+select doc_id, count(*) filter (kind = 'assign') as n_assign, count(*) filter (kind = 'access') as n_access,
+  count(*) filter (kind = 'hex') as n_hex, sha256(coalesce(string_agg(s, ',' order by a, k) filter (k < 4), '')) as base_sha256,
+  coalesce(string_agg(s, ',' order by a, k), '') as spans
+from t left join told using (r) group by r, doc_id
+"""
+
+
 def op9_embedding_dedup(spark, sf):
     return embeddings.near_duplicates(read(spark, sf, "embeddings"))
 
@@ -187,7 +225,7 @@ QUERIES = {
     "op5_url_filter": (op5_url_filter, OP5_SQL),
     "op6_toxicity": (op6_toxicity, None),
     "op7_bpe": (op7_bpe, None),
-    "op8_secrets": (op8_secrets, None),
+    "op8_secrets": (op8_secrets, OP8_SQL),
     "op9_embedding_dedup": (op9_embedding_dedup, OP9_SQL),
     "op10_pii": (op10_pii, None),
 }

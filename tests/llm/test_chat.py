@@ -7,6 +7,7 @@ from pyspark.sql import Row
 
 from claimloom.llm import chat
 from claimloom.llm.queries import CONTROL, QUERIES, read
+from oracle import compare
 
 
 def digest(text):
@@ -34,6 +35,11 @@ def test_query(spark, path):
     assert got[-1]["formatted_chars"] == size
 
 
+def test_query_equals_sql(spark, con, path):
+    diff, rows = compare(spark, con, "op2", *QUERIES["op2_chat_format"], path)
+    assert not diff and rows > 10
+
+
 LOG = [
     (1, 1, 0, "user", "delta", "hel"), (1, 1, 1, None, "delta", "lo"), (1, 2, 2, "assistant", "delta", "wrong"),
     (1, 2, 3, "assistant", "regenerate", None), (1, 2, 4, "assistant", "delta", "rig"), (1, 2, 5, None, "delta", "ht"),

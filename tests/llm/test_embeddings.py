@@ -6,6 +6,7 @@ from pyspark.sql import Row
 
 from claimloom.llm import embeddings
 from claimloom.llm.queries import QUERIES, read
+from oracle import compare
 
 SCHEMA = "vec_id long, embedding array<float>, label int, cls string, h1 int, copies int, cell int"
 
@@ -47,6 +48,11 @@ def test_query(spark, path):
     assert got == brute(rows)
 
 
+def test_query_equals_sql(spark, con, path):
+    diff, rows = compare(spark, con, "op9", *QUERIES["op9_embedding_dedup"], path)
+    assert not diff and rows == 500
+
+
 def clusters(seed, n=400, d=24):
     """Vectors around a few centres, most pairs near the threshold, some of them copies and negatives."""
     rng = np.random.default_rng(seed)

@@ -66,6 +66,7 @@ def test_added_kinds():
     assert kinds("see https://www.example.org/a?b=c. or ftp://x.y") == [("url", "https://www.example.org/a?b=c"), ("url", "ftp://x.y")]
     assert kinds("thanks @some_one, mail a@b.cd") == [("handle", "@some_one")]
     assert kinds("IBAN DE89370400440532013000, account no: 12-345-678") == [("account", "DE89370400440532013000"), ("account", "12-345-678")]
+    assert kinds("xhttp://a.bc xxhttps://d.ef HTTPS://g.hi") == [("url", "HTTPS://g.hi")]
     assert kinds("accounts differ, on account of rain, http:// nothing") == []
 
 

@@ -5,11 +5,12 @@ import math
 import re
 from collections import Counter
 
-import pytest
+import duckdb
 from pyspark.sql import Row
 
 from claimloom.llm import secrets
 from claimloom.llm.queries import QUERIES, read, secret_columns
+from oracle import compare
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 
@@ -75,7 +76,21 @@ def test_empty_table(spark):
     assert secrets.scan(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
 
-@pytest.mark.parametrize("name", ["op8_secrets"])
-def test_query(spark, path, name):
-    got = sorted(map(tuple, QUERIES[name][0](spark, path).collect()))
+def test_query_equals_sql(spark, con, path):
+    diff, rows = compare(spark, con, "op8", *QUERIES["op8_secrets"], path)
+    assert not diff and rows == 200
+
+
+def test_sql_on_the_cases(spark, tmp_path):
+    """The cases as a table, through the query and its SQL."""
+    df = spark.createDataFrame(list(enumerate(CASES)), "doc_id long, text string")
+    df.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    diff, rows = compare(spark, con, "op8", *QUERIES["op8_secrets"], str(tmp_path))
+    assert not diff and rows == len(CASES)
+
+
+def test_query(spark, path):
+    got = sorted(map(tuple, QUERIES["op8_secrets"][0](spark, path).collect()))
     assert got == sorted((r["doc_id"], *expected(r["text"])) for r in read(spark, path, "documents").collect())
