@@ -15,6 +15,7 @@ import regex
 from pyspark.sql import functions as F
 
 from claimloom.llm.spans import keyed
+from claimloom.llm.worker import kept
 from claimloom.sizing import spread
 
 #: Pieces that a worker remembers in each of two generations; a bound on memory only.
@@ -24,9 +25,6 @@ NO_PAIR = 1 << 62
 #: Longer pieces are not remembered.
 CACHED_LENGTH = 64
 
-_workers = {}
-
-
 def load_ranks(path):
     """Token bytes → rank from a file of base64 tokens and ranks."""
     with open(path, "rb") as file:
@@ -109,11 +107,7 @@ class Encoder:
 
 def _encoder(shared, pattern):
     """The worker's encoder for a vocabulary, kept from task to task."""
-    key = (id(shared), pattern)
-    if key not in _workers:
-        _workers.clear()
-        _workers[key] = Encoder(shared.value, pattern)
-    return _workers[key]
+    return kept(("bpe", id(shared), pattern), lambda: Encoder(shared.value, pattern))
 
 
 def _encoded(batches, own, text, into):

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from claimloom.llm.codes import chunks
 from claimloom.llm.sample import first_by_digest
 from claimloom.llm.spans import keyed
+from claimloom.llm.worker import kept
 from claimloom.sizing import spread
 
 UNKNOWN = "und"
@@ -30,20 +31,15 @@ AMBIGUOUS = 0.5
 SURE = 400
 FACTORS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
 
-_letters = None
-
 
 def letters():
-    """Whether each code point is a letter; made once in a worker."""
-    global _letters
-    if _letters is None:
-        _letters = np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
-    return _letters
+    """Whether each code point is a letter."""
+    return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
 
 
 def grams(codes):
     """Places of the letters, and for each n-gram length the buckets of the n-grams that begin there."""
-    is_letter = letters()[codes]
+    is_letter = kept("letters", letters)[codes]
     at = np.flatnonzero(is_letter)
     shown = np.where(is_letter, codes, np.uint32(32)).astype(np.uint32)
     digest, found = np.zeros(len(at), np.uint32), []

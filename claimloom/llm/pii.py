@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from claimloom.llm.spans import keyed
+from claimloom.llm.worker import kept
 from claimloom.sizing import spread
 
 #: In the order of spans in the digest.
@@ -166,7 +167,7 @@ def scan(docs, doc_id="doc_id", text="text"):
     span = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
 
     def run(batches):
-        anchors = automaton()
+        anchors = kept("anchors", automaton)
         for batch in batches:
             spans = ([dict(zip(("kind", "start", "end"), x)) for x in find(t.as_py(), anchors)] for t in batch.column("text"))
             yield pa.RecordBatch.from_arrays(

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from claimloom.llm.codes import chunks
 from claimloom.llm.sample import first_by_digest
 from claimloom.llm.spans import keyed
+from claimloom.llm.worker import kept
 from claimloom.sizing import spread
 
 DECAY = 0.6
@@ -49,29 +50,24 @@ STRETCHED = 100
 TELLING = 8.0
 COST = 10.0
 
-_symbols = None
-
 
 def symbols():
-    """Symbol of each code point: BLANK, DROP, or a letter's number; made once in a worker."""
-    global _symbols
-    if _symbols is None:
-        table = np.full(0x110000, DROP, np.uint8)
-        for c in range(0x110000):
-            letter = chr(c)
-            if letter.isalpha():
-                table[c] = c - 96 if 97 <= c <= 122 else 27 + c % OTHERS
-            elif letter.isspace():
-                table[c] = BLANK
-        for digit, letter in LEET.items():
-            table[ord(digit)] = ord(letter) - 96
-        _symbols = table
-    return _symbols
+    """Symbol of each code point: BLANK, DROP, or a letter's number."""
+    table = np.full(0x110000, DROP, np.uint8)
+    for c in range(0x110000):
+        letter = chr(c)
+        if letter.isalpha():
+            table[c] = c - 96 if 97 <= c <= 122 else 27 + c % OTHERS
+        elif letter.isspace():
+            table[c] = BLANK
+    for digit, letter in LEET.items():
+        table[ord(digit)] = ord(letter) - 96
+    return table
 
 
 def strings(codes, ends):
     """(letters, start, length, part) of the strings in `codes`, whose parts end at `ends`."""
-    sign = symbols()[codes]
+    sign = kept("symbols", symbols)[codes]
     part = np.searchsorted(ends, np.arange(len(codes)), side="right")
     keep = sign != DROP
     sign, part = sign[keep], part[keep]
