@@ -16,6 +16,7 @@ import string
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from claimloom.llm.spans import few, same_doc
 from claimloom.session import stored
 from claimloom.sizing import broadcast_if_small, spread
 
@@ -23,13 +24,6 @@ from claimloom.sizing import broadcast_if_small, spread
 WORD = r"([0-9A-Za-z\x{80}-\x{10FFFF}]+)"
 #: The posting that closes a document; no word is empty.
 END = ""
-#: Up to so many documents with candidates (two numbers each) are broadcast; more are joined by a shuffle.
-BROADCAST_DOCS = 500_000
-
-
-def same_doc():
-    """Join condition of two frames named a and b."""
-    return (F.col("a.version") == F.col("b.version")) & F.col("a.doc_id").eqNullSafe(F.col("b.doc_id"))
 
 
 def ascii_lower(column):
@@ -97,9 +91,7 @@ def diagonals(index, terms, window):
 def matches(index, terms, window):
     """(doc_id, version, item, item_id, n, diagonal, place, pos) of all item words found in place."""
     lines = stored(diagonals(index, terms, window), "diagonals")
-    docs = stored(lines.select("doc_id", "version").distinct(), "candidates")
-    if docs.count() <= BROADCAST_DOCS:
-        docs = F.broadcast(docs)
+    docs = few(stored(lines.select("doc_id", "version").distinct(), "candidates"))
     there = index.alias("a").join(docs.alias("b"), same_doc(), "left_semi")
     wanted = lines.join(broadcast_if_small(terms), "item").withColumn("pos", F.col("diagonal") + F.col("place"))
     hit = (F.col("a.pos") == F.col("b.pos")) & (F.col("a.term") == F.col("b.term"))
@@ -165,4 +157,5 @@ def decontaminate(docs, benchmark, window=10, near=8, slop=2, doc_id="doc_id", t
 def clean_documents(docs, benchmark, **params):
     """Rows of `docs`, unchanged, without those that hold an exact match."""
     bad = decontaminate(docs, benchmark, **params).filter("contaminated").select("doc_id", "version").distinct()
+    bad = few(stored(bad, "contaminated"))
     return docs.alias("a").join(bad.alias("b"), (F.xxhash64("a.text") == F.col("b.version")) & F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")), "left_anti")

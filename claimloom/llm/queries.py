@@ -196,7 +196,7 @@ def op9_embedding_dedup(spark, sf):
 
 OP9_SQL = """
 with recursive v as (select vec_id, label, [cast(x as double) for x in embedding] as e from embeddings
-  where label is not null and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0 and len(list_filter(embedding, x -> x <> 0)) > 0),
+  where label is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
 link as (select a.vec_id as a, b.vec_id as b from v a join v b
   on a.label = b.label and a.vec_id <> b.vec_id and len(a.e) = len(b.e) and list_cosine_similarity(a.e, b.e) >= 0.98),
 reach as (select vec_id as a, vec_id as b from embeddings union select r.a, l.b from reach r join link l on r.b = l.a)

@@ -11,9 +11,9 @@ expressions only.
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from claimloom.llm.spans import keyed, matches
+from claimloom.llm.spans import few, keyed, matches, same_doc
 from claimloom.session import stored
-from claimloom.sizing import broadcast_if_small, spread
+from claimloom.sizing import spread
 
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 #: Runs shorter than the bound would be dropped, so they need not match: within one run no later start does better.
@@ -56,16 +56,14 @@ def entropy_spans(found, base, window, classes, allowed):
     key = ["doc_id", "version"]
     free = found.filter(~F.greatest(*(F.col("match").rlike(x) for x in allowed))) if allowed else found
     a, b = free.alias("a"), base.alias("b")
-    same = (F.col("a.version") == F.col("b.version")) & F.col("a.doc_id").eqNullSafe(F.col("b.doc_id"))
-    free = a.join(b, same & (F.col("a.start") < F.col("b.end")) & (F.col("b.start") < F.col("a.end")), "left_anti")
+    free = a.join(b, same_doc() & (F.col("a.start") < F.col("b.end")) & (F.col("b.start") < F.col("a.end")), "left_anti")
     least = F.lit(classes[-1][2])
     for _, pattern, bits in reversed(classes[:-1]):
         least = F.when(F.col("match").rlike(pattern), F.lit(bits)).otherwise(least)
     free = free.select(*key, F.col("start").alias("first"), least.alias("least"), "match")
     entropy = F.log2(F.lit(float(window))) - F.col("sum") / window
     a, b = windows(free, window).alias("a"), free.alias("b")
-    same = same & (F.col("a.first") == F.col("b.first"))
-    random = a.join(b, same).filter((F.col("i") >= window - 1) & (F.round(entropy, 9) >= F.col("least")))
+    random = a.join(b, same_doc() & (F.col("a.first") == F.col("b.first"))).filter((F.col("i") >= window - 1) & (F.round(entropy, 9) >= F.col("least")))
     ends = random.groupBy("a.doc_id", "a.version", "a.first").agg(F.min("i").alias("lo"), F.max("i").alias("hi"))
     return ends.select(
         *key, F.lit("entropy").alias("kind"), (F.col("first") + F.col("lo") - (window - 1)).alias("start"),
@@ -97,10 +95,9 @@ def scan(docs, window=20, classes=CLASSES, allowed=ALLOWED, doc_id="doc_id", tex
         F.array_sort(F.collect_list(F.struct("start", rank.alias("rank"), "end", "kind"))).alias("found")
     )
     a, b = texts.select(key).alias("a"), spans.alias("b")
-    same = (F.col("a.version") == F.col("b.version")) & F.col("a.doc_id").eqNullSafe(F.col("b.doc_id"))
     secrets = F.transform(F.coalesce("b.found", F.array().cast("array<struct<start:long,rank:long,end:long,kind:string>>")),
                           lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
-    return a.join(b, same, "left").select("a.doc_id", "a.version", secrets.alias("secrets"))
+    return a.join(b, same_doc(), "left").select("a.doc_id", "a.version", secrets.alias("secrets"))
 
 
 def redacted(docs, **params):
@@ -109,7 +106,7 @@ def redacted(docs, **params):
     Secrets that overlap become one, named after the first. Texts without a secret, null ones too, stay as they are.
     """
     found = scan(docs, **params).filter(F.size("secrets") > 0).dropDuplicates(["doc_id", "version"])
-    found = broadcast_if_small(stored(found.toDF("_id", "_version", "_secrets"), "secrets"))
+    found = few(stored(found.toDF("_id", "_version", "_secrets"), "secrets"))
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_version"))
     start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
 

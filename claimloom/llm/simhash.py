@@ -17,9 +17,10 @@ import xxhash
 from pyspark.sql import functions as F
 
 from claimloom.llm.components import components
-from claimloom.llm.spans import keyed
+from claimloom.llm.spans import few, keyed
+from claimloom.llm.worker import kept as kept_by_worker
 from claimloom.session import stored
-from claimloom.sizing import broadcast_if_small, spread
+from claimloom.sizing import spread
 
 SEED = 42
 #: The half's threshold that the cover is built for, by which the whole threshold is bound.
@@ -52,6 +53,7 @@ def fingerprints(docs, size=3, doc_id="doc_id", text="text"):
     texts = keyed(spread(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))))
 
     def run(batches):
+        kept_by_worker("simhash")
         for batch in batches:
             found = [fingerprint(x.as_py(), size) for x in batch.column("text").cast(pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("version"), pa.array(found, pa.int64())], ["doc_id", "version", "fp"])
@@ -129,12 +131,21 @@ def near_duplicates(docs, size=3, distance=2, doc_id="doc_id", text="text"):
 
 
 def first_of_groups(docs, **params):
-    """Rows of `docs`, unchanged: the first document of each group, repeated rows once."""
+    """Rows of `docs`, unchanged: the first document of each group, repeated rows once.
+
+    Only keys of documents that go, and of those that are repeated, meet the texts.
+    """
     key = ["doc_id", "version"]
-    kept = near_duplicates(docs, **params).filter("kept").groupBy(key).agg(F.count("*").alias("times"))
-    kept = broadcast_if_small(stored(kept, "kept-documents"))
-    same = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.xxhash64(F.coalesce("a.text", F.lit(""))) == F.col("b.version"))
-    chosen = docs.alias("a").join(kept.alias("b"), same)
-    once = chosen.filter("b.times = 1").select("a.*")
-    return once.union(chosen.filter("b.times > 1").groupBy("b.doc_id", "b.version").agg(
-        F.first(F.struct("a.*")).alias("row")).select("row.*"))
+    marked = near_duplicates(docs, **params).groupBy(key).agg(F.max("kept").alias("kept"), F.count("*").alias("times"))
+    marked = stored(marked.filter("not kept or times > 1"), "marked-documents")
+    texts = docs.withColumn("_version", F.xxhash64(F.coalesce("text", F.lit("")))).alias("a")
+
+    def beside(keys, how):
+        return texts.join(few(keys).alias("b"), F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a._version") == F.col("b.version")), how)
+
+    once = beside(marked, "left_anti").drop("_version")
+    again = marked.filter("kept")
+    if again.isEmpty():
+        return once
+    return once.union(beside(again, "left_semi").groupBy("doc_id", "_version").agg(
+        F.first(F.struct(*(F.col(f"a.{c}") for c in docs.columns))).alias("row")).select("row.*"))

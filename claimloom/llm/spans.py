@@ -10,6 +10,20 @@ def keyed(docs, doc_id="doc_id", text="text"):
     return docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(body).alias("version"), body.alias("text"))
 
 
+def same_doc():
+    """Join condition of two frames named a and b on (doc_id, version); a null id is one too."""
+    return (F.col("a.version") == F.col("b.version")) & F.col("a.doc_id").eqNullSafe(F.col("b.doc_id"))
+
+
+#: Up to so many keys of documents (two numbers each) are broadcast; more are joined by a shuffle.
+BROADCAST_DOCS = 500_000
+
+
+def few(keys, most=None):
+    """A stored table of document keys, to be broadcast if it has been counted to be within the bound."""
+    return F.broadcast(keys) if keys.count() <= (BROADCAST_DOCS if most is None else most) else keys
+
+
 def matches(texts, patterns):
     """(doc_id, version, kind, start, end, match) for the matches of each pattern.
 

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import Row
 
 from claimloom.llm import decontaminate as de
+from claimloom.llm import spans
 from claimloom.llm.queries import QUERIES
 from oracle import compare
 
@@ -57,7 +58,7 @@ DOCS = [
 @pytest.mark.parametrize("broadcast", [True, False])
 def test_cases(spark, monkeypatch, broadcast):
     if not broadcast:
-        monkeypatch.setattr(de, "BROADCAST_DOCS", 0)
+        monkeypatch.setattr(spans, "BROADCAST_DOCS", 0)
         monkeypatch.setattr(de, "broadcast_if_small", lambda df: df)
     docs, items = frames(spark, DOCS, ITEMS)
     rows = de.decontaminate(docs, items).collect()

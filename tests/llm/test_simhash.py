@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
-from claimloom.llm import simhash
+from claimloom.llm import simhash, spans
 from claimloom.llm.components import components
 from claimloom.llm.queries import QUERIES, read
 
@@ -90,7 +90,9 @@ CASES = [
 ]
 
 
-def test_edge_rows_and_clashing_columns(spark):
+@pytest.mark.parametrize("most", [0, 500_000])
+def test_edge_rows_and_clashing_columns(spark, monkeypatch, most):
+    monkeypatch.setattr(spans, "BROADCAST_DOCS", most)
     rows = [Row(doc_id=i, text=t, fp="x", version=1, root=2, first=3) for i, t in CASES]
     df = spark.createDataFrame(rows, "doc_id long, text string, fp string, version int, root int, first int")
     got = simhash.near_duplicates(df).collect()
