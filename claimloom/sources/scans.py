@@ -111,15 +111,18 @@ def response_rejects(df, response="response", query="matched_query"):
     A readable response without claims is an answer. Every response is either here or read
     by `flatten_responses`.
     """
-    body = F.try_parse_json(response)
-    known = F.schema_of_variant(body).startswith("OBJECT")
-    claims = F.schema_of_variant(F.try_variant_get(body, "$.claims", "variant"))
-    listed = F.coalesce(claims.startswith("ARRAY") | (claims == "VOID"), F.lit(True))
-    reason = F.when(
-        F.coalesce(known, F.lit(False)) & F.try_variant_get(body, "$.error", "variant").isNotNull(), F.lit("error")
-    ).when(~F.coalesce(known & listed, F.lit(False)), F.lit("unreadable"))
-    marked = df.select(F.col(query).alias("matched_query"), F.col(response).alias("response"), reason.alias("reason"))
-    return marked.filter("reason is not null")
+    # The generators keep text and parsed body from being computed for every mention.
+    texts = df.select(F.col(query).alias("matched_query"), F.explode_outer(F.array(response)).alias("response"))
+    body = F.try_parse_json("response")
+    kinds = F.struct(
+        F.schema_of_variant(body).alias("body"), F.schema_of_variant(F.try_variant_get(body, "$.claims", "variant")).alias("claims"),
+        F.try_variant_get(body, "$.error", "variant").isNotNull().alias("error"),
+    )
+    read = texts.select("*", F.inline_outer(F.array(kinds)))
+    listed = F.coalesce(F.col("claims").startswith("ARRAY") | (F.col("claims") == "VOID"), F.lit(True))
+    known = F.coalesce(F.col("body").startswith("OBJECT"), F.lit(False))
+    reason = F.when(known & F.col("error"), "error").when(~(known & listed), "unreadable")
+    return read.select("matched_query", "response", reason.alias("reason")).filter("reason is not null")
 
 
 def read_pages(spark, path, schema=schemas.PAGE):
