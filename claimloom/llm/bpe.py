@@ -15,7 +15,7 @@ import regex
 from pyspark.sql import functions as F
 
 from claimloom.llm.spans import keyed
-from claimloom.llm.worker import kept
+from claimloom.llm.worker import kept, portions
 from claimloom.sizing import spread
 
 #: Pieces that a worker remembers in each of two generations; a bound on memory only.
@@ -140,7 +140,7 @@ def with_ids(rows, ranks, pattern, text="text", into="ids", decoded=None):
 
     def run(batches):
         own = _encoder(shared, pattern)
-        batches = _encoded(batches, own, text, into)
+        batches = _encoded(portions(batches, text), own, text, into)
         return _decoded(batches, own.tokens, into, decoded) if decoded else batches
 
     kinds = rows.withColumn(into, F.array().cast("array<int>"))

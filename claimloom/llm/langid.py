@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from claimloom.llm.codes import chunks
 from claimloom.llm.sample import first_by_digest
 from claimloom.llm.spans import keyed
-from claimloom.llm.worker import kept
+from claimloom.llm.worker import kept, portions
 from claimloom.sizing import spread
 
 UNKNOWN = "und"
@@ -87,7 +87,7 @@ def profiles(rows, per_lang=PER_LANG, langs=LANGS):
 
     def run(batches):
         sums = {}
-        for batch in batches:
+        for batch in portions(batches, "text"):
             langs = batch.column("lang").to_pylist()
             counts = counted_grams(batch.column("text").to_pylist())
             for lang, row in zip(langs, counts):
@@ -186,7 +186,7 @@ def predict(docs, model, doc_id="doc_id", text="text"):
 
     def run(batches):
         own = shared.value
-        for batch in batches:
+        for batch in portions(batches, "text"):
             langs, score, close, n = own.predict(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("version"), pa.array(langs, pa.string()), pa.array(score, pa.float64()), pa.array(close), pa.array(n, pa.int64())],

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from claimloom.llm.spans import keyed
-from claimloom.llm.worker import kept
+from claimloom.llm.worker import kept, portions
 from claimloom.sizing import spread
 
 #: In the order of spans in the digest.
@@ -168,7 +168,7 @@ def scan(docs, doc_id="doc_id", text="text"):
 
     def run(batches):
         anchors = kept("anchors", automaton)
-        for batch in batches:
+        for batch in portions(batches, "text"):
             spans = ([dict(zip(("kind", "start", "end"), x)) for x in find(t.as_py(), anchors)] for t in batch.column("text"))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("version"), pa.array(spans, pa.list_(span))], ["doc_id", "version", "spans"]

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from claimloom.llm.components import components
 from claimloom.llm.spans import few, keyed
 from claimloom.llm.worker import kept as kept_by_worker
+from claimloom.llm.worker import portions
 from claimloom.session import stored
 from claimloom.sizing import spread
 
@@ -54,7 +55,7 @@ def fingerprints(docs, size=3, doc_id="doc_id", text="text"):
 
     def run(batches):
         kept_by_worker("simhash")
-        for batch in batches:
+        for batch in portions(batches, "text"):
             found = [fingerprint(x.as_py(), size) for x in batch.column("text").cast(pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("version"), pa.array(found, pa.int64())], ["doc_id", "version", "fp"])
 

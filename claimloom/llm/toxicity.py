@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from claimloom.llm.codes import chunks
 from claimloom.llm.sample import first_by_digest
 from claimloom.llm.spans import keyed
-from claimloom.llm.worker import kept
+from claimloom.llm.worker import kept, portions
 from claimloom.sizing import spread
 
 DECAY = 0.6
@@ -222,7 +222,7 @@ def labelled_sample(docs, labels, per_label=PER_LABEL):
 def string_counts(sample):
     """(word, toxic, clean): in how many toxic and clean texts each string of three letters or more occurs."""
     def run(batches):
-        for batch in batches:
+        for batch in portions(batches, "text"):
             words, labels = [], []
             toxic = batch.column("toxic").to_pylist()
             for numbers, ends, codes in chunks(batch.column("text").to_pylist()):
@@ -245,7 +245,7 @@ def document_strings(sample, words):
     shared = sample.sparkSession.sparkContext.broadcast(number)
 
     def run(batches):
-        for batch in batches:
+        for batch in portions(batches, "text"):
             found = {}
             for numbers, ends, codes in chunks(batch.column("text").to_pylist()):
                 sign, start, length, part = strings(codes, ends)
@@ -293,7 +293,7 @@ def train(docs, labels, per_label=PER_LABEL, landmarks=LANDMARKS):
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for batch in batches:
+        for batch in portions(batches, "text"):
             best, hits = shared.value.evidence(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([pa.array(best), pa.array(hits), batch.column("toxic")], ["best", "hits", "toxic"])
 
@@ -367,7 +367,7 @@ def score(docs, model, doc_id="doc_id", text="text"):
     kind = texts.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        for batch in batches:
+        for batch in portions(batches, "text"):
             found = shared.value.score(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("version"), pa.array(found)], ["doc_id", "version", "score"])
 
@@ -379,7 +379,7 @@ def below(docs, model, threshold, text="text"):
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for batch in batches:
+        for batch in portions(batches, text):
             texts = [x or "" for x in batch.column(text).to_pylist()]
             yield batch.filter(pa.array(shared.value.score(texts) < threshold))
 

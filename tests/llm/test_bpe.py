@@ -4,11 +4,12 @@ import hashlib
 import random
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import Row
 
-from claimloom.llm import bpe
+from claimloom.llm import bpe, worker
 from claimloom.llm.queries import QUERIES, RANKS, read
 
 PATH = public_tokenizers.path(RANKS)
@@ -69,3 +70,11 @@ def test_remembered_pieces_are_bounded(ranks, theirs, monkeypatch):
 
 def test_empty_table(spark, ranks):
     assert bpe.encode(spark.createDataFrame([], "doc_id long, text string"), ranks, public_tokenizers.PATTERN).collect() == []
+
+
+def test_portions_hold_every_row_once():
+    rows = ["a" * n for n in (0, 3, 10, 1, 1, 25, 0, 2)] + [None]
+    batch = pa.RecordBatch.from_pydict({"text": rows, "id": list(range(9))})
+    got = list(worker.portions([batch, batch.slice(0, 0)], "text", 10))
+    assert [r for part in got for r in part.column("id").to_pylist()] == list(range(9))
+    assert len(got) == 3 and all(part.num_rows for part in got)
