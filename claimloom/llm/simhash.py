@@ -131,13 +131,13 @@ def near_duplicates(docs, size=3, distance=2, doc_id="doc_id", text="text"):
     return rows.join(named, "fp").select("doc_id", "version", "fp", F.col("first.doc_id").alias("component_id"), kept.alias("kept"))
 
 
-def first_of_groups(docs, **params):
-    """Rows of `docs`, unchanged: the first document of each group, repeated rows once.
+def first_of_groups(docs, find=near_duplicates, **params):
+    """Rows of `docs`, unchanged: the first document of each group that `find` makes, repeated rows once.
 
     Only keys of documents that go, and of those that are repeated, meet the texts.
     """
     key = ["doc_id", "version"]
-    marked = near_duplicates(docs, **params).groupBy(key).agg(F.max("kept").alias("kept"), F.count("*").alias("times"))
+    marked = find(docs, **params).groupBy(key).agg(F.max("kept").alias("kept"), F.count("*").alias("times"))
     marked = stored(marked.filter("not kept or times > 1"), "marked-documents")
     texts = docs.withColumn("_version", F.xxhash64(F.coalesce("text", F.lit("")))).alias("a")
 
