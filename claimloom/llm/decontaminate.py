@@ -2,9 +2,9 @@
 
 One pass over the corpus stores the postings (document, position, term) of every
 term that some test item uses. The number of postings of a term tells how rare it
-is; each window of an item is looked up by its two rarest terms. A posting less the
-term's place in the item is a diagonal: where the item would lie in the document.
-The diagonals on which two lists meet are intersected with those of all other terms of
+is; each window of an item is looked up by its rarest terms, two more than a proximity match
+may lack. A posting less the term's place in the item is a diagonal: where the item would lie
+in the document. The groups of diagonals on which two lists meet are intersected with those of all other terms of
 the item, adjusted by their offsets, and runs of consecutive places are exact phrase matches.
 
 Only built-in expressions are used. The corpus is never shuffled by term, so a
@@ -68,29 +68,44 @@ def postings(docs, terms, doc_id="doc_id", text="text"):
     return found.select("doc_id", "version", "pos", "term")
 
 
-def anchors(index, terms, window):
-    """The two rarest words of each window: distinct (item, n, place, term); windows with an unseen term are left out."""
+def anchors(index, terms, window, near):
+    """The words of each window that a proximity match cannot all miss: distinct (item, n, place, term).
+
+    A window may lack `window - near` words, unseen ones among them, so of its rarest that many and
+    two more at least two are in place; windows that lack more in the whole corpus are left out.
+    """
     counts = index.filter(F.col("term") != END).groupBy("term").agg(F.count("*").alias("seen"))
     span = Window.partitionBy("item").orderBy("place").rangeBetween(0, window - 1)
     word = F.struct(F.coalesce("seen", F.lit(0)).alias("seen"), "place", "term")
+    missing = F.least("n", F.lit(window)) - F.least("n", F.lit(near))
     rarest = terms.join(counts, "term", "left").select(
-        "item", "place", "n", F.slice(F.array_sort(F.collect_list(word).over(span)), 1, 2).alias("two"),
+        "item", "place", "n", F.slice(F.array_sort(F.collect_list(word).over(span)), F.lit(1), missing + 2).alias("rare"), missing.alias("missing"),
     )
-    starts = rarest.filter((F.col("place") <= F.greatest(F.col("n") - window, F.lit(0))) & (F.col("two")[0]["seen"] > 0))
-    return starts.select("item", "n", F.inline("two")).select("item", "n", "place", "term").distinct()
+    starts = rarest.filter((F.col("place") <= F.greatest(F.col("n") - window, F.lit(0))) & (F.element_at("rare", F.col("missing") + 1)["seen"] > 0))
+    return starts.select("item", "n", F.inline("rare")).filter("seen > 0").select("item", "n", "place", "term").distinct()
 
 
-def diagonals(index, terms, window):
-    """(doc_id, version, item, diagonal) where both rarest words of some window may lie in place."""
-    near = broadcast_if_small(stored(anchors(index, terms, window), "anchors"))
-    line = ["doc_id", "version", "item", "n", (F.col("pos") - F.col("place")).alias("diagonal")]
-    seen = index.join(near, "term").groupBy(*line).agg(F.count_distinct("place").alias("places"))
-    return seen.filter(F.col("places") >= F.least("n", F.lit(2))).drop("n", "places")
+def diagonals(index, terms, window, near, slop):
+    """(doc_id, version, item, diagonal) in the groups of diagonals where two anchors of some window may lie in place.
 
-
-def matches(index, terms, window):
+    The groups are those of `near_items`: of the diagonals within `slop` of each other, all
+    are returned, also those that hold none of the anchors.
+    """
+    rare = broadcast_if_small(stored(anchors(index, terms, window, near), "anchors"))
+    diagonal = F.col("pos") - F.col("place")
+    group = F.explode(F.sequence(diagonal, diagonal + slop)).alias("group")
+    seen = index.join(rare, "term").select("doc_id", "version", "item", "n", "place", group)
+    seen = seen.groupBy("doc_id", "version", "item", "n", "group").agg(F.sort_array(F.collect_set("place")).alias("places"))
+    steps = F.zip_with(F.slice("places", F.lit(2), F.size("places")), F.slice("places", F.lit(1), F.size("places") - 1), lambda b, a: b - a)
+    close = F.exists(steps, lambda step: step < window)
+    whole = F.least("n", F.lit(near)) < 2
+    line = F.explode(F.sequence(F.col("group") - slop, F.col("group"))).alias("diagonal")
+    return seen.filter(whole | close).select("doc_id", "version", "item", line).distinct()
+
+
+def matches(index, terms, window, near, slop):
     """(doc_id, version, item, item_id, n, diagonal, place, pos) of all item words found in place."""
-    lines = stored(diagonals(index, terms, window), "diagonals")
+    lines = stored(diagonals(index, terms, window, near, slop), "diagonals")
     docs = few(stored(lines.select("doc_id", "version").distinct(), "candidates"))
     there = index.alias("a").join(docs.alias("b"), same_doc(), "left_semi")
     wanted = lines.join(broadcast_if_small(terms), "item").withColumn("pos", F.col("diagonal") + F.col("place"))
@@ -135,7 +150,7 @@ def decontaminate(docs, benchmark, window=10, near=8, slop=2, doc_id="doc_id", t
     """
     terms = item_terms(benchmark, item_id, item_text)
     index = stored(postings(docs, terms, doc_id, text), "postings")
-    found = stored(matches(index, terms, window), "matches")
+    found = stored(matches(index, terms, window, near, slop), "matches")
     key = ["doc_id", "version"]
     hits = exact_hits(found, window).groupBy(key).agg(
         F.size(F.collect_set("pos")).cast("long").alias("n_hit"), F.sort_array(F.collect_set("item_id")).alias("items"),

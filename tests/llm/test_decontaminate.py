@@ -101,3 +101,52 @@ def test_query_equals_sql(spark, con, path):
 def test_digest_of_items(spark, path):
     rows = QUERIES["op4_decontamination"][0](spark, path).collect()
     assert {r["items_sha256"] for r in rows if not r["n_items"]} == {hashlib.sha256(b"").hexdigest()}
+
+
+def plain_near(docs, items, window=10, near=8, slop=2):
+    """(doc_id, n_near) by counting, for every item, window and group of diagonals, the places that match."""
+    out = []
+    for doc_id, text in docs:
+        have, found = words(text), 0
+        for want in map(words, {t for _, t in items}):
+            places = {}
+            for p, a in enumerate(want):
+                for q, b in enumerate(have):
+                    if a == b:
+                        for group in range(q - p, q - p + slop + 1):
+                            places.setdefault(group, set()).add(p)
+            most = max((len(x & set(range(s, s + window))) for x in places.values() for s in range(len(want))), default=0)
+            found += bool(want) and most >= min(len(want), near)
+        out.append((doc_id, found))
+    return sorted(out)
+
+
+def test_near_against_brute_force(spark):
+    """The rarest words replaced, unseen in the corpus, or parted by a word put in."""
+    rng = random.Random(6)
+    common = [f"c{i}" for i in range(12)]
+    items, docs = [], []
+    for i in range(14):
+        item = [rng.choice(common) for _ in range(rng.choice([3, 7, 8, 9, 10, 10, 14, 25]))]
+        for at in rng.sample(range(len(item)), min(2, len(item))):
+            item[at] = f"rare{i}n{at}"
+        items.append((i, " ".join(item)))
+        for k in range(8):
+            copy = list(item)
+            for at in rng.sample(range(len(copy)), min(k % 4, len(copy))):
+                copy[at] = rng.choice(common)
+            if k % 2:
+                copy.insert(rng.randrange(len(copy)), "between")
+            if k == 5:
+                copy = [w for w in copy if not w.startswith("rare")]
+            docs.append((100 * i + k, " ".join([*rng.choices(common, k=5), *copy, *rng.choices(common, k=5)])))
+    item = "r1 r2 a b c d e f g h"
+    items.append((90, item))
+    items.append((91, "u1 a2 b2 c2 d2 e2 f2 g2 h2 i2"))
+    docs += [(9000, item.replace("r1", "x")), (9001, item.replace("r2", "x")), (9002, item.replace("r1 r2", "r1 x r2")),
+             (9003, "u a2 b2 c2 d2 e2 f2 g2 h2 i2"), (9004, "a b c d e f g h"), (9005, "a b c d e f g")]
+    want = plain_near(docs, items)
+    assert dict(want)[9000] == dict(want)[9002] == dict(want)[9003] == 1
+    rows = de.decontaminate(*frames(spark, docs, items)).collect()
+    assert sorted((r["doc_id"], r["n_near"]) for r in rows) == want
+    assert sorted(((r["doc_id"], r["n_words"], r["n_hit"], r["items"]) for r in rows), key=repr) == plain(docs, items)
