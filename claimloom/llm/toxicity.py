@@ -212,9 +212,20 @@ def held_out():
     return F.crc32(F.col("doc_id").cast("string")) % 4 == 2
 
 
+def known_labels(labels):
+    """(doc_id, toxic) of the labelled documents that are not held out."""
+    return labels.filter("toxic in (0, 1)").filter(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+
+
+def label_weights(labels, per_label=PER_LABEL):
+    """Label → how many labelled documents each document of `labelled_sample` stands for."""
+    counts = known_labels(labels).groupBy("toxic").count().collect()
+    return {r["toxic"]: max(r["count"] / per_label, 1.0) for r in counts}
+
+
 def labelled_sample(docs, labels, per_label=PER_LABEL):
     """(text, toxic) of up to `per_label` documents of each label that are not held out, first by a digest of the id."""
-    known = labels.filter("toxic in (0, 1)").filter(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    known = known_labels(labels)
     chosen = first_by_digest(known, "toxic", "doc_id", per_label)
     return docs.filter("text is not null").select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic")
 
@@ -299,7 +310,8 @@ def train(docs, labels, per_label=PER_LABEL, landmarks=LANDMARKS):
 
     rows = np.array(sample.mapInArrow(run, "best double, hits double, toxic int").collect(), np.float64).reshape(-1, 3)
     x = np.column_stack([np.clip(rows[:, 0], -3, 3), np.log1p(rows[:, 1]), np.ones(len(rows))])
-    model.line = calibrated(x, rows[:, 2])
+    stands_for = label_weights(labels, per_label)
+    model.line = calibrated(x, rows[:, 2], np.where(rows[:, 2] > 0, stands_for[1], stands_for[0]))
     return model
 
 
@@ -341,13 +353,16 @@ def fit(words, worth, bags, negative, chosen_landmarks):
     return Model(weights, bias, (0.0, 0.0, 0.0))
 
 
-def calibrated(x, y):
-    """(slope, weight of hits, shift) of a logistic line, both labels weighing as they occur, with a small ridge."""
+def calibrated(x, y, weight):
+    """(slope, weight of hits, shift) of a logistic line with a small ridge, each row as often as `weight` says.
+
+    With `label_weights` both labels weigh as they occur in the whole table, so a score means the same at every size.
+    """
     w = np.zeros(x.shape[1])
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        slope = x.T @ (p - y) + 0.1 * w
-        step = np.linalg.solve((x * (p * (1 - p) + 1e-9)[:, None]).T @ x + 0.1 * np.eye(len(w)), slope)
+        slope = x.T @ (weight * (p - y)) + 0.1 * w
+        step = np.linalg.solve((x * (weight * (p * (1 - p) + 1e-9))[:, None]).T @ x + 0.1 * np.eye(len(w)), slope)
         w = w - step * min(1.0, 5 / max(np.abs(step).max(), 1e-9))
         if np.abs(step).max() < 1e-8:
             break

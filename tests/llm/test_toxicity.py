@@ -79,3 +79,13 @@ def test_small_tables_and_edges(spark):
     assert toxicity.score(frame(spark, []), model).collect() == []
     none = toxicity.train(frame(spark, []), labels.filter("false"))
     assert [r["score"] < 0.3 for r in toxicity.score(frame(spark, tests[:2]), none).collect()] == [True, True]
+
+
+def test_scores_do_not_depend_on_the_size_of_the_sample(spark):
+    """Half of the texts with the word are toxic, of whichever number of clean ones the sample holds."""
+    docs = [(i, f"you blockhead number {'abc'[i % 3]}" if i < 160 else "a plain text about garden and river") for i in range(1600)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 80)) for i, _ in docs], "doc_id long, toxic int")
+    for per_label in (60, 3000):
+        score = toxicity.train(frame, labels, per_label=per_label).score(["you blockhead"])[0]
+        assert 0.35 < score < 0.65
