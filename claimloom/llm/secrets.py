@@ -36,6 +36,28 @@ ALLOWED = [
     r"^[^A-Za-z]*$|^[^0-9]*$",  # one sort of letter only
 ]
 
+#: Of these the ones that may lie inside a longer run: there they cut it, and what is left is looked at by itself.
+PIECES = "|".join(f"(?:{x})" for x in [ALLOWED[0], ALLOWED[1].replace("^", "").replace("$", ""), ALLOWED[2]])
+
+
+def parts(found, base):
+    """(doc_id, version, start, match): what spans of `base` and PIECES leave of each candidate."""
+    run = ["doc_id", "version", "first", "last", "match"]
+    found = found.select("doc_id", "version", F.col("start").alias("first"), F.col("end").alias("last"), "match")
+    a, b = found.alias("a"), base.alias("b")
+    cuts = a.join(b, same_doc() & (F.col("first") < F.col("b.end")) & (F.col("b.start") < F.col("last")))
+    cuts = cuts.select(*(f"a.{c}" for c in run), "b.start", "b.end").union(found.select(*run, "last", "last"))
+    order = Window.partitionBy("doc_id", "version", "first").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
+    left = cuts.withColumn("at", F.coalesce(F.max("end").over(order), "first")).filter("at < start")
+    piece = F.expr("substr(match, int(at - first + 1), int(start - at))")
+    left = left.select("doc_id", "version", "at", piece.alias("part"))
+    gone = F.transform(F.regexp_extract_all("part", F.lit(PIECES), 0), lambda x: F.char_length(x))
+    both = F.arrays_zip(F.split("part", PIECES, -1).alias("match"), gone.alias("gone"))
+    left = left.select("doc_id", "version", "at", F.posexplode_outer(both).alias("i", "x"))
+    before = Window.partitionBy("doc_id", "version", "at").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.col("at") + F.coalesce(F.sum(F.char_length("x.match") + F.coalesce("x.gone", F.lit(0))).over(before), F.lit(0))
+    return left.select("doc_id", "version", start.alias("start"), "x.match")
+
 
 def windows(candidates, window):
     """(doc_id, version, first, i, sum): sum of n * log2(n) over the `window` letters that end at i."""
@@ -71,12 +93,14 @@ def entropy_spans(found, base, window, classes, allowed):
     )
 
 
-def scan(docs, window=20, classes=CLASSES, allowed=ALLOWED, doc_id="doc_id", text="text"):
+def scan(docs, window=20, classes=CLASSES, allowed=ALLOWED, doc_id="doc_id", text="text", cut=False):
     """The secrets of each document, one row per row of `docs`.
 
     Columns: doc_id, version (digest of the text), secrets: array of (kind, start,
     end) by start and then kind as in KINDS; code points, end exclusive. Kind
-    `entropy` never overlaps a span of another kind.
+    `entropy` never overlaps a span of another kind. A candidate that touches another
+    span, or holds something of the allow list, is left out whole; with `cut` it is cut
+    there and its parts are looked at.
 
     A null or empty text has no secret. A null doc_id keeps its row. Repeated rows
     give equal rows; rows with one id and other texts are scanned apart. Whole texts
@@ -89,7 +113,11 @@ def scan(docs, window=20, classes=CLASSES, allowed=ALLOWED, doc_id="doc_id", tex
     hits = stored(matches(texts, [("assign", ASSIGN), ("access", ACCESS), ("hex", HEX), ("candidate", CANDIDATE % window)]), "secret-hits")
     value = F.regexp_extract("match", ASSIGN, 2)
     base = hits.filter((F.col("kind") != "candidate") & ((F.col("kind") != "assign") | (F.char_length(value) >= ASSIGN_CHARS)))
-    more = entropy_spans(hits.filter("kind = 'candidate'"), base, window, classes, allowed)
+    candidates = hits.filter("kind = 'candidate'")
+    if cut:
+        candidates = parts(candidates, base).filter(F.char_length("match") >= window)
+        candidates = stored(candidates.withColumn("end", F.col("start") + F.char_length("match")), "secret-parts")
+    more = entropy_spans(candidates, base, window, classes, allowed)
     rank = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
     spans = base.select(*key, *span).union(more.select(*key, *span)).groupBy(key).agg(
         F.array_sort(F.collect_list(F.struct("start", rank.alias("rank"), "end", "kind"))).alias("found")
