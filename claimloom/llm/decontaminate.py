@@ -170,7 +170,11 @@ def decontaminate(docs, benchmark, window=10, near=8, slop=2, doc_id="doc_id", t
 
 
 def clean_documents(docs, benchmark, **params):
-    """Rows of `docs`, unchanged, without those that hold an exact match."""
-    bad = decontaminate(docs, benchmark, **params).filter("contaminated").select("doc_id", "version").distinct()
+    """Rows of `docs`, unchanged, without those that hold an exact match.
+
+    Proximity does not count here, so words are looked up as exact windows need it: no word missing, none shifted.
+    """
+    exact = {**params, "near": params.get("window", 10), "slop": 0}
+    bad = decontaminate(docs, benchmark, **exact).filter("contaminated").select("doc_id", "version").distinct()
     bad = few(stored(bad, "contaminated"))
     return docs.alias("a").join(bad.alias("b"), (F.xxhash64("a.text") == F.col("b.version")) & F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")), "left_anti")
