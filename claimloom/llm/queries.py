@@ -3,8 +3,9 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from claimloom.llm import bpe, chat, embeddings, langid, pii, secrets, simhash, toxicity, urlfilter
+from claimloom.llm import bpe, chat, embeddings, langid, pii, secrets, simhash, tokenfile, toxicity, urlfilter
 from claimloom.llm import decontaminate as decontamination
+from claimloom.session import new_path
 
 
 def read(spark, sf, table):
@@ -216,6 +217,16 @@ def pii_columns(found):
     return found.select("doc_id", *counted, F.sha2(joined(base), 256).alias("base_sha256"), joined("spans").alias("spans"))
 
 
+#: The vocabulary whose ids are written to files, and the id behind each document.
+TOKENIZER, END = "byte_bpe_50k.json", 2
+
+
+def op11_token_files(spark, sf, tokenizer=None):
+    path = new_path(spark, "token-files")
+    tokenfile.write(read(spark, sf, "documents"), path, tokenizer or public_tokenizers.path(TOKENIZER), END)
+    return tokenfile.documents(tokenfile.read(spark, path))
+
+
 #: Name → (query, SQL or None).
 QUERIES = {
     "op1_language_id": (op1_language_id, None),
@@ -228,4 +239,5 @@ QUERIES = {
     "op8_secrets": (op8_secrets, OP8_SQL),
     "op9_embedding_dedup": (op9_embedding_dedup, OP9_SQL),
     "op10_pii": (op10_pii, None),
+    "op11_token_files": (op11_token_files, None),
 }
