@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from claimloom.llm import bpe, chat, embeddings, langid, pii, secrets, simhash, tokenfile, toxicity, urlfilter
+from claimloom.llm import bpe, chat, collocations, embeddings, langid, pii, secrets, simhash, tokenfile, toxicity, urlfilter
 from claimloom.llm import decontaminate as decontamination
 from claimloom.session import new_path
 
@@ -227,6 +227,35 @@ def op11_token_files(spark, sf, tokenizer=None):
     return tokenfile.documents(tokenfile.read(spark, path))
 
 
+def op12_collocations(spark, sf):
+    return collocations.collocations(read(spark, sf, "documents"))
+
+
+OP12_SQL = r"""
+with p as (select coalesce(lang, 'und') as lang, unnest(string_split_regex(translate(coalesce(text, ''),
+  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece from documents),
+w as (select row_number() over () as id, lang, regexp_extract_all(piece, '[^ \t]+') as ws from p),
+o as (select id, lang, unnest(ws) as w, unnest(range(len(ws))) as i from w),
+o5 as (select lang, w as w1, lead(w, 1) over x as w2, lead(w, 2) over x as w3, lead(w, 3) over x as w4, lead(w, 4) over x as w5
+  from o window x as (partition by id order by i)),
+f as materialized (select lang, phrase, len, count(*) as a from (select lang, len, concat_ws(' ', w1, case when len > 1 then w2 end,
+  case when len > 2 then w3 end, case when len > 3 then w4 end, case when len > 4 then w5 end) as phrase from o5, range(1, 6) t(len)
+  where len = 1 or (len = 2 and w2 is not null) or (len = 3 and w3 is not null) or (len = 4 and w4 is not null) or (len = 5 and w5 is not null))
+  group by all),
+t as (select lang, sum(a) as n from f where len = 1 group by lang),
+c as materialized (select lang, phrase, len, a, string_split(phrase, ' ') as ws from f where len > 1 and a >= 100),
+cuts as (select c.*, k, x.a as l, y.a as r, cast(floor(1000 * cast(c.a as hugeint) * n // (cast(x.a as hugeint) * y.a)) as bigint) as score
+  from (select *, unnest(range(1, len)) as k from c) c join f x on x.lang = c.lang and x.phrase = array_to_string(ws[1:k], ' ')
+  join f y on y.lang = c.lang and y.phrase = array_to_string(ws[k + 1:c.len], ' ') join t on t.lang = c.lang),
+worst as (select * from cuts qualify row_number() over (partition by lang, phrase order by score, k) = 1),
+inner_runs as (select lang, a, len, array_to_string(ws[s:s + m - 1], ' ') as phrase from (
+  select *, unnest(range(1, len - m + 2)) as s from (select *, unnest(range(2, len)) as m from c))),
+kept as (select * from worst c where not exists (select 1 from inner_runs i where i.lang = c.lang and i.phrase = c.phrase and 100 * i.a >= 100 * c.a)),
+ranked as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from kept)
+select c.lang, rank, phrase, a, l, r, cast(n as bigint) as n, score from ranked c join t on t.lang = c.lang where rank <= 2000
+"""
+
+
 #: Name → (query, SQL or None).
 QUERIES = {
     "op1_language_id": (op1_language_id, None),
@@ -240,4 +269,5 @@ QUERIES = {
     "op9_embedding_dedup": (op9_embedding_dedup, OP9_SQL),
     "op10_pii": (op10_pii, None),
     "op11_token_files": (op11_token_files, None),
+    "op12_collocations": (op12_collocations, OP12_SQL),
 }
