@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from claimloom.llm import bpe, chat, collocations, embeddings, langid, pii, secrets, simhash, tokenfile, toxicity, urlfilter
+from claimloom.llm import bpe, chat, collocations, embeddings, langid, metrictree, pii, secrets, simhash, tokenfile, toxicity, urlfilter
 from claimloom.llm import decontaminate as decontamination
 from claimloom.session import new_path
 
@@ -256,6 +256,41 @@ select c.lang, rank, phrase, a, l, r, cast(n as bigint) as n, score from ranked
 """
 
 
+def op13_vector_codes(spark, sf):
+    rows, _ = metrictree.compress(read(spark, sf, "embeddings"))
+    return rows.drop("label")
+
+
+def _rounds_sql():
+    """Assignments a0 .. a4 to the codebooks b0 .. b4, each from the one before."""
+    out = []
+    for k in range(5):
+        out.append(f"""a{k} as materialized (select id, part, arg_min(entry, (far, entry)) as entry, min(far) as far from (
+  select id, p.part, entry, cast(list_inner_product(p.x, p.x) + list_inner_product(e, e) - 2 * list_inner_product(p.x, e) as bigint) as far
+  from p join b{k} on p.part = b{k}.part) group by id, part)""")
+        if k < 4:
+            out.append(f"""b{k + 1} as materialized (select b.part, b.entry, coalesce(m.e, b.e) as e from b{k} b left join (
+  select part, entry, list(v order by i) as e from (select part, entry, i, floor(sum(v) / count(*)) as v from (
+    select a.part, a.entry, unnest(x) as v, unnest(range(len(x))) as i from a{k} a join p on p.id = a.id and p.part = a.part)
+  group by part, entry, i) group by part, entry) m on m.part = b.part and m.entry = b.entry)""")
+    return ",\n".join(out)
+
+
+#: Whole numbers of this size and their products are exact in doubles.
+OP13_SQL = f"""
+with v as (select row_number() over (order by vec_id) as id, vec_id, label, list_transform(embedding, lambda x: floor(1024 * cast(x as double))) as e
+  from embeddings where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+p as materialized (select id, part, e[1 + part * (len(e) // 4):(part + 1) * (len(e) // 4)] as x from v, range(4) t(part)),
+b0 as (select part, id - 1 as entry, x as e from p where id <= 256),
+{_rounds_sql()},
+t as (select id, string_agg(printf('%02x', entry), '' order by part) as code, cast(sum(far) as bigint) as error from a4 group by id),
+h as (select sha256(string_agg(cast(cast(c as bigint) as varchar), ',' order by part, entry, i)) as codebooks_sha256
+  from (select part, entry, unnest(e) as c, unnest(range(len(e))) as i from b4)),
+s as (select label, cast(sum(error) as bigint) as label_error from v join t using (id) group by label)
+select vec_id, code, error, label_error, codebooks_sha256 from v join t using (id) join s on s.label is not distinct from v.label, h
+"""
+
+
 #: Name → (query, SQL or None).
 QUERIES = {
     "op1_language_id": (op1_language_id, None),
@@ -270,4 +305,5 @@ QUERIES = {
     "op10_pii": (op10_pii, None),
     "op11_token_files": (op11_token_files, None),
     "op12_collocations": (op12_collocations, OP12_SQL),
+    "op13_vector_codes": (op13_vector_codes, OP13_SQL),
 }
