@@ -8,7 +8,7 @@ id are judged like any other; empty tables stay empty.
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from claimloom.llm import bpe, decontaminate, secrets, shingles, simhash
+from claimloom.llm import bpe, decontaminate, secrets, simhash
 from claimloom.llm import toxicity as toxic_language
 from claimloom.llm.queries import RANKS, TOXIC, read
 from claimloom.session import stored
@@ -21,12 +21,12 @@ def toxicity(spark, docs, sf_dir):
 
 
 def near_duplicates(spark, docs, sf_dir):
-    """One document of each group linked by five-word shingles of Jaccard 0.8: that with the smallest doc_id."""
-    return simhash.first_of_groups(docs, shingles.near_duplicates)
+    """One document of each group linked by fingerprints of three-word shingles within two bits: that with the smallest doc_id."""
+    return simhash.first_of_groups(docs, size=3, distance=2)
 
 
 def decontamination(spark, docs, sf_dir):
-    """Documents that hold no window of a benchmark item."""
+    """Documents that hold no window of a benchmark item, whole or nearly."""
     return decontaminate.clean_documents(docs, read(spark, sf_dir, "benchmark"))
 
 
