@@ -130,6 +130,8 @@ def _decoded(batches, tokens, ids, into):
 def with_ids(rows, ranks, pattern, text="text", into="ids", decoded=None):
     """`rows` with the token ids of their texts in the column `into`; a null or empty text has none.
 
+    Columns that are already named `into` or `decoded` are replaced, all others stay.
+
     `ranks`: token bytes → rank, with all 256 single bytes; a vocabulary, whose size
     does not depend on the data, sent once to each executor. `pattern` cuts the text
     into pieces that are merged apart. No string is a special token. With `decoded`, a column of that

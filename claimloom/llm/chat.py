@@ -15,7 +15,9 @@ import hashlib
 import re
 
 import pyarrow as pa
+from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 START, END = "<|im_start|>", "<|im_end|>\n"
 LEARNED = "assistant"
@@ -95,20 +97,20 @@ def render(log):
     named = log.select("conv_id", "message", "seq", "role", "kind", "text")
     placed = named.repartition("conv_id").sortWithinPartitions(*order)
     ids = {f.name: f.dataType.simpleString() for f in named.schema.fields}
+    schema = pa.schema([*(as_arrow(named, c) for c in ("conv_id", "message")), ("formatted", pa.string()),
+                        ("loss_start", pa.int64()), ("loss_end", pa.int64())])
 
     def run(batches):
-        schema = None
         events = columns_of(batches, ["conv_id", "message", "role", "kind", "text"])
         rows = (turn(*x) for x in final_messages(events))
-        schema = pa.schema([("conv_id", arrow(ids["conv_id"])), ("message", arrow(ids["message"])), ("formatted", pa.string()),
-                            ("loss_start", pa.int64()), ("loss_end", pa.int64())])
         return batches_of(rows, schema)
 
     return placed.mapInArrow(run, f"conv_id {ids['conv_id']}, message {ids['message']}, formatted string, loss_start long, loss_end long")
 
 
-def arrow(name):
-    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[name]
+def as_arrow(df, column):
+    """Name and Arrow type of a column, which may be of any type that Arrow batches hold."""
+    return column, to_arrow_type(df.schema[column].dataType)
 
 
 def turn(conv, message, role, text):
@@ -124,7 +126,7 @@ def digests(rendered):
     loss_chars and loss_sha256 (of all text under the loss mask, unescaped), formatted_chars.
     """
     kind = rendered.schema["conv_id"].dataType.simpleString()
-    schema = pa.schema([("conv_id", arrow(kind)), ("n_turns", pa.int64()), ("turns_sha256", pa.string()),
+    schema = pa.schema([as_arrow(rendered, "conv_id"), ("n_turns", pa.int64()), ("turns_sha256", pa.string()),
                         ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
 
     def rows(batches):
@@ -158,10 +160,9 @@ def streamed(turns, size=400):
     """A log of the finished `turns` (conv_id, turn, role, text), as a server would have streamed them.
 
     Each text arrives as deltas of `size` code points; a text of more than one is cut off
-    after the first and regenerated. Rows that share a turn are messages of their own, in order of role and text.
+    after the first and regenerated. One text in three, by digest, starts with a wrong draft, which an edit replaces by
+    the first of its deltas. Rows that share a turn are messages of their own, in order of role and text.
     """
-    from pyspark.sql import Window
-
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     rows = turns.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("message", F.row_number().over(order).cast("long"))
@@ -169,10 +170,13 @@ def streamed(turns, size=400):
     cut = F.regexp_extract_all("text", F.lit("(?s)(.{1,%d})" % size), 1)
     again = F.array(event(DELTA, F.substring("text", 1, size)), event(REGENERATE, F.lit("")))
     none = F.array().cast("array<struct<kind:string,text:string>>")
+    drafted = (F.col("text") != "") & (F.pmod(F.xxhash64("text"), F.lit(3)) == 0)
+    deltas = F.transform(cut, lambda x: event(DELTA, x))
+    edited = F.array(event(DELTA, F.concat(F.lit("draft of "), F.col("text"))), event(EDIT, F.get(cut, 0)))
     events = F.concat(
         F.when(F.char_length("text") > size, again).otherwise(none),
         F.when(F.col("text") == "", F.array(event(DELTA, F.lit("")))).otherwise(none),
-        F.transform(cut, lambda x: event(DELTA, x)),
+        F.when(drafted, F.concat(edited, F.slice(deltas, F.lit(2), F.size(deltas)))).otherwise(deltas),
     )
     out = rows.select("conv_id", "message", "role", F.posexplode_outer(events).alias("seq", "e"))
     return out.select("conv_id", "message", F.col("seq").cast("long").alias("seq"), "role", "e.kind", "e.text")

@@ -131,23 +131,25 @@ def scan(docs, window=20, classes=CLASSES, allowed=ALLOWED, doc_id="doc_id", tex
 def redacted(docs, **params):
     """Rows of `docs` with every secret in `text` replaced by its kind in brackets; n_chars, where there is one, follows.
 
-    Secrets that overlap become one, named after the first. Texts without a secret, null ones too, stay as they are.
+    Secrets that overlap become one, named after the first; of spans that start together the first in KINDS counts. Texts without a
+    secret, null ones too, stay as they are, as do all other columns, whatever their names. Repeated rows stay repeated.
     """
     found = scan(docs, **params).filter(F.size("secrets") > 0).dropDuplicates(["doc_id", "version"])
-    found = few(stored(found.toDF("_id", "_version", "_secrets"), "secrets"))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_version"))
+    found = few(stored(found, "secrets")).alias("b")
+    text, spans = F.col("a.text"), F.col("b.secrets")
+    same = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col("b.version"))
     start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
 
     def replace(done, x):
-        gap = F.substr(F.col("text"), (done["at"] + 1).cast("int"), (x["start"] - done["at"]).cast("int"))
+        gap = F.substr(text, (done["at"] + 1).cast("int"), (x["start"] - done["at"]).cast("int"))
         out = F.when(x["start"] >= done["at"], F.concat(done["out"], gap, F.lit("["), x["kind"], F.lit("]"))).otherwise(done["out"])
         return F.struct(out.alias("out"), F.greatest(done["at"], x["end"]).alias("at"))
 
-    rest = lambda done: F.concat(done["out"], F.substr(F.col("text"), (done["at"] + 1).cast("int")))
-    hit = F.col("_version").isNotNull()
-    out = docs.join(found, same, "left").withColumn(
-        "text", F.when(hit, F.aggregate("_secrets", start, replace, rest)).otherwise(F.col("text")))
+    rest = lambda done: F.concat(done["out"], F.substr(text, (done["at"] + 1).cast("int")))
+    hit = F.col("b.version").isNotNull()
+    new = {"text": F.when(hit, F.aggregate(spans, start, replace, rest)).otherwise(text)}
     if "n_chars" in docs.columns:
-        count = F.char_length("text").cast(docs.schema["n_chars"].dataType)
-        out = out.withColumn("n_chars", F.when(hit, count).otherwise(F.col("n_chars")))
-    return out.select(docs.columns)
+        count = F.char_length(new["text"]).cast(docs.schema["n_chars"].dataType)
+        new["n_chars"] = F.when(hit, count).otherwise(F.col("a.n_chars"))
+    same_name = {c: F.col(f"a.`{c}`") for c in docs.columns}
+    return docs.alias("a").join(found, same, "left").select(*({**same_name, **new}[c].alias(c) for c in docs.columns))

@@ -134,19 +134,19 @@ def near_duplicates(docs, size=3, distance=2, doc_id="doc_id", text="text"):
 def first_of_groups(docs, find=near_duplicates, **params):
     """Rows of `docs`, unchanged: the first document of each group that `find` makes, repeated rows once.
 
-    Only keys of documents that go, and of those that are repeated, meet the texts.
+    Only keys of documents that go, and of those that are repeated, meet the texts. Other columns may have any names; of repeated
+    rows that differ in them any one stays. Rows without an id, or with one id and other texts, are told apart by their texts.
     """
     key = ["doc_id", "version"]
     marked = find(docs, **params).groupBy(key).agg(F.max("kept").alias("kept"), F.count("*").alias("times"))
     marked = stored(marked.filter("not kept or times > 1"), "marked-documents")
-    texts = docs.withColumn("_version", F.xxhash64(F.coalesce("text", F.lit("")))).alias("a")
+    version = F.xxhash64(F.coalesce(F.col("a.text"), F.lit("")))
 
     def beside(keys, how):
-        return texts.join(few(keys).alias("b"), F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a._version") == F.col("b.version")), how)
+        return docs.alias("a").join(few(keys).alias("b"), F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (version == F.col("b.version")), how)
 
-    once = beside(marked, "left_anti").drop("_version")
-    again = marked.filter("kept")
+    once, again = beside(marked, "left_anti"), marked.filter("kept")
     if again.isEmpty():
         return once
-    return once.union(beside(again, "left_semi").groupBy("doc_id", "_version").agg(
-        F.first(F.struct(*(F.col(f"a.{c}") for c in docs.columns))).alias("row")).select("row.*"))
+    row = F.first(F.struct(*(F.col(f"a.`{c}`").alias(c) for c in docs.columns))).alias("row")
+    return once.union(beside(again, "left_semi").groupBy(F.col("a.doc_id"), version).agg(row).select("row.*"))

@@ -5,6 +5,8 @@ import hashlib
 import pytest
 from pyspark.sql import Row
 
+from pyspark.sql import functions as F
+
 from claimloom.llm import chat
 from claimloom.llm.queries import CONTROL, QUERIES, read
 from oracle import compare
@@ -82,7 +84,8 @@ def test_streamed_log_folds_to_the_turns(spark):
     turns = [(7, i // 2, "user" if i % 2 else "assistant", t, "clash") for i, t in enumerate(texts)] + [(7, None, None, "no turn", "")] + [(8, 1, "user", "same", "")] * 2
     df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string, seq string")
     events = chat.streamed(df)
-    assert events.filter("kind = 'regenerate'").count() == 2
+    kinds = {r["kind"]: r["count"] for r in events.groupBy("kind").count().collect()}
+    assert kinds["regenerate"] == 2 and kinds["edit"] >= 2
     order = sorted(turns, key=lambda r: (r[0], -1 if r[1] is None else r[1], r[2] or "", r[3] or ""))
     got = {r["conv_id"]: tuple(r)[1:5] for r in chat.digests(chat.render(events)).collect()}
     assert got == summaries([(r[0], r[2], r[3]) for r in order])
@@ -90,3 +93,12 @@ def test_streamed_log_folds_to_the_turns(spark):
 
 def test_empty(spark):
     assert chat.digests(chat.render(log(spark, []))).collect() == []
+
+
+def test_ids_of_other_types(spark):
+    rows = [(1, 1, 1, "user", "delta", "a"), (1, 2, 1, "assistant", "delta", "b"), (2, 1, 1, "user", "edit", "c")]
+    for kind in ("smallint", "string", "decimal(10,0)", "date"):
+        df = spark.createDataFrame(rows, "conv_id int, message int, seq int, role string, kind string, text string")
+        df = df.withColumn("conv_id", df["conv_id"].cast(kind) if kind != "date" else F.date_add(F.lit("2020-01-01").cast("date"), df["conv_id"]))
+        got = chat.digests(chat.render(df.withColumn("message", df["message"].cast("smallint"))))
+        assert got.schema["conv_id"].dataType.simpleString() == kind and sorted(r["n_turns"] for r in got.collect()) == [1, 2]

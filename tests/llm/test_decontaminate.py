@@ -59,7 +59,7 @@ DOCS = [
 def test_cases(spark, monkeypatch, broadcast):
     if not broadcast:
         monkeypatch.setattr(spans, "BROADCAST_DOCS", 0)
-        monkeypatch.setattr(de, "broadcast_if_small", lambda df: df)
+        monkeypatch.setattr(de, "broadcast_if_small", lambda df, **_: df)
     docs, items = frames(spark, DOCS, ITEMS)
     rows = de.decontaminate(docs, items).collect()
     assert sorted(((r["doc_id"], r["n_words"], r["n_hit"], r["items"]) for r in rows), key=repr) == plain(DOCS, ITEMS)
@@ -78,11 +78,17 @@ def test_random_texts(spark):
     assert sorted(((r["doc_id"], r["n_words"], r["n_hit"], r["items"]) for r in rows), key=repr) == plain(docs, items)
 
 
+def leaks(text, items):
+    """Whether a text holds an exact match, or a proximity match of an item of a whole window or more."""
+    return plain([(0, text)], items)[0][2] > 0 or plain_near([(0, text)], [(i, t) for i, t in items if len(words(t)) >= 10])[0][1] > 0
+
+
 def test_clean_documents(spark):
     docs, items = frames(spark, DOCS, ITEMS)
     kept = de.clean_documents(docs, items)
     assert kept.columns == docs.columns
-    bad = {(i, t) for (i, t) in DOCS if plain([(i, t)], ITEMS)[0][2]}
+    bad = {(i, t) for (i, t) in DOCS if leaks(t, ITEMS)}
+    assert (14, DOCS[13][1]) in bad and (3, DOCS[2][1]) in bad and (10, "the " * 9) in bad
     assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=repr) == sorted((d for d in DOCS if d not in bad), key=repr)
 
 
