@@ -3,9 +3,9 @@
 One pass over the corpus stores the postings (document, position, term) of every
 term that some test item uses, with digests of the words that follow. The number of postings of a term
 tells how rare it is. A window of an item is looked up by pairs of neighbouring words, the rarest
-ones and so many that a proximity match cannot lack them all: a word that is missing breaks two pairs at most.
+ones and so many that a proximity match holds two of them: a word that is missing breaks two pairs at most.
 A posting less the term's place in the item is a diagonal: where the item would lie
-in the document. The groups of diagonals that hold both words of a pair are intersected with the lists of all other terms of
+in the document. The groups of diagonals that hold two pairs are intersected with the lists of all other terms of
 the item, adjusted by their offsets, and runs of consecutive places are exact phrase matches.
 
 Only built-in expressions are used. The corpus is never shuffled by term, so a
@@ -51,18 +51,23 @@ def item_terms(benchmark, item_id="item_id", text="text"):
     )
 
 
+def digest(word):
+    """15 bits that words share which differ in case only, and some others."""
+    return F.pmod(F.hash(F.lower(word)), F.lit(1 << 15)).cast("smallint")
+
+
 def postings(docs, terms, reach, doc_id="doc_id", text="text"):
-    """(doc_id, version, pos, term, next) of all words of `docs` in `terms`, and END behind the last word.
+    """(doc_id, version, pos, term, next1, ..) of all words of `docs` in `terms`, and END behind the last word.
 
-    `version` is a digest of the text, so that rows which share an id stay apart. `next`: digests of the `reach`
-    words that follow; digests tell words apart but for the case of letters, so they find all pairs and some others.
+    `version` is a digest of the text, so that rows which share an id stay apart. `next1` ..: digests of the `reach`
+    words that follow; they find all pairs of words, and some others.
     The lookup is by the lower case of all letters, which the engine has ready; the
     few words beyond ASCII are then compared with A-Z alone lower-cased.
     """
     known = terms.select("term").distinct().union(docs.sparkSession.range(1).select(F.lit(END)))
     texts = spread(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")))
     listed = texts.select("doc_id", F.xxhash64("text").alias("version"), F.explode_outer(F.array(F.concat(words(F.col("text")), F.array(F.lit(END))))).alias("words"))
-    own = listed.select("doc_id", "version", "words", F.explode_outer(F.array(F.transform("words", lambda x: F.hash(F.lower(x))))).alias("digests"))
+    own = listed.select("doc_id", "version", "words", F.explode_outer(F.array(F.transform("words", digest))).alias("digests"))
     following = [F.slice("digests", 1 + k, F.size("words")).alias(f"next{k}") for k in range(1, reach + 1)]
     tokens = own.select("doc_id", "version", F.posexplode_outer(F.arrays_zip(F.col("words").alias("word"), *following)).alias("pos", "at"))
     tokens = tokens.select("doc_id", "version", "pos", "at.*")
@@ -76,20 +81,20 @@ def postings(docs, terms, reach, doc_id="doc_id", text="text"):
 
 
 def anchors(index, terms, window, near, slop):
-    """What windows are looked up by: distinct (term, ahead, digest, item, n, place, other).
+    """What windows are looked up by: distinct (term, ahead, digest, item, n, place, other, least).
 
     The word at `place` of the item is `term`, and that at `other` has the digest and lies `ahead` words behind it in the
     document. A window may lack `window - near` words, each of which is in two pairs of neighbours, so of its rarest
-    pairs twice as many and one more hold a match; where it has fewer pairs, of its rarest words so many and one
-    more do, as pairs with themselves. Windows that lack more in the whole corpus are left out.
+    pairs twice as many and two more hold `least` = 2 of a match; where it has fewer pairs, of its rarest words so many and one
+    more hold one, as pairs with themselves. Windows that lack more in the whole corpus are left out.
     """
     counts = index.filter(F.col("term") != END).groupBy("term").agg(F.count("*").alias("seen"))
-    seen = terms.join(counts, "term", "left").select("item", "place", "n", "term", F.coalesce("seen", F.lit(0)).alias("seen"))
+    seen = terms.join(counts, "term", "left").select("item", "place", "n", "term", F.coalesce("seen", F.lit(0)).cast("double").alias("seen"))
     item = Window.partitionBy("item").orderBy("place")
     after = [F.lead(c).over(item).alias(f"{c}2") for c in ("term", "seen")]
     span = lambda last: item.rangeBetween(0, window - 1 + last)
     word = F.struct("seen", "place", "term", F.col("place").alias("place2"), F.col("term").alias("term2"))
-    pair = F.struct(F.least("seen", "seen2").alias("seen"), "place", "term", (F.col("place") + 1).alias("place2"), "term2")
+    pair = F.struct((F.col("seen") * F.col("seen2")).alias("seen"), "place", "term", (F.col("place") + 1).alias("place2"), "term2")
     each = seen.select("*", *after).select("*", word.alias("word"), F.when(F.col("term2").isNotNull(), pair).alias("pair"))
     size = F.least("n", F.lit(window))
     missing = size - F.least("n", F.lit(near))
@@ -97,37 +102,41 @@ def anchors(index, terms, window, near, slop):
         "item", "place", "n", missing.alias("missing"), size.alias("size"),
         F.array_sort(F.collect_list("word").over(span(0))).alias("words"), F.array_sort(F.collect_list("pair").over(span(-1))).alias("pairs"),
     ).filter(F.col("place") <= F.greatest(F.col("n") - window, F.lit(0)))
-    paired = F.col("size") - 1 >= 2 * F.col("missing") + 1
-    rare = F.when(paired, F.slice("pairs", F.lit(1), 2 * F.col("missing") + 1)).otherwise(F.slice("words", F.lit(1), F.col("missing") + 1))
+    paired = F.col("size") - 1 >= 2 * F.col("missing") + 2
+    rare = F.when(paired, F.slice("pairs", F.lit(1), 2 * F.col("missing") + 2)).otherwise(F.slice("words", F.lit(1), F.col("missing") + 1))
     alive = F.element_at("words", F.col("missing") + 1)["seen"] > 0
-    chosen = lists.filter(alive).select("item", "n", F.inline(rare)).filter("seen > 0").distinct()
-    digest = lambda c: F.hash(F.lower(F.col(c)))
+    chosen = lists.filter(alive).select("item", "n", F.when(paired, 2).otherwise(1).alias("least"), F.inline(rare)).filter("seen > 0").distinct()
     turns = []
     for shift in range(1 - slop, slop + 2):  # how many words further on the second word lies
         first, second = (("term", "place"), ("term2", "place2")) if shift >= 0 else (("term2", "place2"), ("term", "place"))
         here = chosen.filter("place != place2") if shift else chosen.filter("term = term2")
         turns.append(here.select(
-            F.col(first[0]).alias("term"), F.lit(abs(shift)).alias("ahead"), digest(second[0]).alias("digest"),
-            "item", "n", F.col(first[1]).alias("place"), F.col(second[1]).alias("other")))
+            F.col(first[0]).alias("term"), F.lit(abs(shift)).alias("ahead"), digest(F.col(second[0])).alias("digest"),
+            "item", "n", F.col(first[1]).alias("place"), F.col(second[1]).alias("other"), "least"))
     return reduce(DataFrame.union, turns).distinct()
 
 
 def diagonals(index, terms, window, near, slop):
-    """(doc_id, version, item, diagonal) in the groups of diagonals that hold the words of an anchor.
+    """(doc_id, version, item, diagonal) in the groups of diagonals that hold the anchors of a match.
 
     The groups are those of `near_items`: of the diagonals within `slop` of each other, all
     are returned, also those that hold none of the anchors.
     """
     rare = broadcast_if_small(stored(anchors(index, terms, window, near, slop), "anchors"), max_rows=ANCHORS)
-    ahead = [F.struct(F.lit(0).alias("ahead"), F.hash(F.lower("term")).alias("digest"))]
+    ahead = [F.struct(F.lit(0).alias("ahead"), digest(F.col("term")).alias("digest"))]
     ahead += [F.struct(F.lit(k).alias("ahead"), F.col(f"next{k}").alias("digest")) for k in range(1, slop + 2)]
     seen = index.filter(F.col("term") != END).select("doc_id", "version", "pos", "term", F.inline(F.array(*ahead)))
     seen = seen.join(rare, ["term", "ahead", "digest"])
     one, two = F.col("pos") - F.col("place"), F.col("pos") + F.col("ahead") - F.col("other")
-    groups = seen.select("doc_id", "version", "item", F.greatest(one, two).alias("low"), (F.least(one, two) + slop).alias("high"))
-    # Group g holds the diagonals g - slop .. g; all of those of the groups low .. high.
-    line = F.explode(F.sequence(F.col("low") - slop, F.col("high"))).alias("diagonal")
-    return groups.filter("low <= high").distinct().select("doc_id", "version", "item", line).distinct()
+    low, high = F.greatest(one, two), F.least(one, two) + slop
+    group = F.explode(F.sequence(low, high)).alias("group")
+    pairs = seen.filter(low <= high).select("doc_id", "version", "item", "least", F.least("place", "other").alias("place"), group)
+    key = ["doc_id", "version", "item", "group"]
+    held = pairs.groupBy(*key).agg(F.sort_array(F.collect_set("place")).alias("places"), F.min("least").alias("least"))
+    steps = F.zip_with(F.slice("places", F.lit(2), F.size("places")), F.slice("places", F.lit(1), F.size("places") - 1), lambda b, a: b - a)
+    held = held.filter((F.col("least") == 1) | F.exists(steps, lambda step: step < window - 1))
+    line = F.explode(F.sequence(F.col("group") - slop, F.col("group"))).alias("diagonal")
+    return held.select("doc_id", "version", "item", line).distinct()
 
 
 def matches(index, terms, window, near, slop):
