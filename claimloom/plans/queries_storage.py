@@ -33,6 +33,14 @@ def claims_csv(spark, sf):
     return scans.read_claims(spark, path).select(*schemas.RAW_COLUMNS, F.col(schemas.CORRUPT).isNotNull().alias("is_malformed"))
 
 
+def broken_csv(spark, sf):
+    """Whole documents as CSV, whose texts hold line breaks and quotes, read by splits."""
+    path = new_path(spark, "documents-csv")
+    docs = views.documents(spark, sf).select(F.col("doc_id").cast("string").alias("doc_id"), F.concat(F.col("text"), F.lit('"\n"end')).alias("text"), "lang")
+    docs.write.options(escape='"', header=True, quoteAll=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+    return scans.read_claims(spark, path, ["doc_id", "text", "lang"]).drop(schemas.CORRUPT)
+
+
 def reordered_csv(spark, sf):
     """The claims under a header in another order, with a column that is not asked for."""
     path = new_path(spark, "claims-reordered")
@@ -147,6 +155,7 @@ MIXED = ("mixed_v", (
 
 QUERIES = {
     "claims_csv_scan": (claims_csv, with_views(f"select *, false as is_malformed from ({CSV_CLAIMS_SQL})")),
+    "csv_quoted_breaks": (broken_csv, "select cast(doc_id as varchar) as doc_id, concat(text, '\"', chr(10), '\"end') as text, lang from documents"),
     "claims_csv_by_name": (reordered_csv, with_views(CSV_CLAIMS_SQL)),
     "mixed_layout_merge": (mixed_merge, with_views(
         MERGED_SQL, MIXED, ("claims_kept", KEPT_SQL.replace("claims_v", "mixed_v")), ("kept_v", "select * from claims_kept"),

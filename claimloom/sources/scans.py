@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from claimloom import schemas
+from claimloom.sources.csvsplit import records
 
 # Quoted line breaks and doubled quotes survive; values are not trimmed.
 CSV_OPTIONS = {
@@ -35,24 +36,34 @@ def _marked_csv(spark, path, names, header):
     )
 
 
-def read_claims(spark, path, columns=schemas.RAW_COLUMNS, header=True):
+def _split_csv(spark, path, names, header):
+    """What `_marked_csv` reads, by as many tasks as the files have splits."""
+    rows = records(spark, path, header)
+    fields = schemas.strings([*names, schemas.CORRUPT])
+    options = {k: str(v).lower() if isinstance(v, bool) else v for k, v in CSV_OPTIONS.items() if k != "multiLine"}
+    options |= {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": schemas.CORRUPT}
+    return rows.select(F.explode_outer(F.array(F.from_csv("value", fields.simpleString(), options))).alias("row")).select("row.*")
+
+
+def read_claims(spark, path, columns=schemas.RAW_COLUMNS, header=True, split=True):
     """Claims CSV: `columns`, found by name, and `_corrupt_record`; an empty field is null.
 
     A file whose header lacks one of the columns is refused; others it has are left out.
     Without a header the columns are those given, in order. A row with too few or too
     many fields keeps its raw text in `_corrupt_record`, so it can be counted or refused.
 
-    A quoted value may span lines, so one file is one task: land many files, or
-    convert to Parquet once and work from there.
+    A quoted value may span lines; by the number of quotes before a line `csvsplit` tells whether it does, so a file is
+    as many tasks as it has splits. With `split=False` a file is one task, and quotes within unquoted values are allowed.
     """
     names = csv_header(spark, path) if header else list(columns)
     missing = [c for c in columns if c not in names]
     if missing:
         raise ValueError(f"{path} has no column {', '.join(missing)}; its header is {', '.join(names)}")
-    return _marked_csv(spark, path, names, header).select(*columns, schemas.CORRUPT)
+    read = _split_csv if split else _marked_csv
+    return read(spark, path, names, header).select(*columns, schemas.CORRUPT)
 
 
-def read_claims_ragged(spark, path, columns=schemas.WIDE_COLUMNS, header=True):
+def read_claims_ragged(spark, path, columns=schemas.WIDE_COLUMNS, header=True, split=True):
     """Claims CSV whose rows may hold fewer or more fields than the header, in file order.
 
     A short row keeps its fields, gets nulls at the end and its raw text in
@@ -61,7 +72,7 @@ def read_claims_ragged(spark, path, columns=schemas.WIDE_COLUMNS, header=True):
     names = csv_header(spark, path) if header else list(columns)
     if sorted(names) != sorted(columns):
         raise ValueError(f"{path} has the header {', '.join(names)}, not {', '.join(columns)}")
-    return _marked_csv(spark, path, names, header)
+    return (_split_csv if split else _marked_csv)(spark, path, names, header)
 
 
 REVIEW = T.StructType([
