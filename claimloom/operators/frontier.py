@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from claimloom.functions.html import unescape
+from claimloom.session import stored
 from claimloom.sizing import broadcast_if_small
 
 # The value as it is written: in double quotes, in single ones, or bare.
@@ -80,24 +81,26 @@ def allowed_urls(urls, rules):
     """Drop URLs that robots rules (host, prefix, allow) disallow.
 
     The longest matching prefix wins, allow wins a tie, no match allows; a rule that
-    disallows the empty prefix disallows nothing. Only
-    matching pairs leave the join; the aggregate is keyed by URL, so a host with
-    most of the URLs is spread over all tasks.
+    disallows the empty prefix disallows nothing. A URL is asked for once per length that prefixes of its
+    host have, by equality of host and prefix, so its work does not grow with the rules of
+    the host. The aggregate is keyed by URL, so a host with most of the URLs is spread over all tasks.
     """
     host = F.lower(F.regexp_extract("url", HOST, 1))
     path = F.regexp_extract("url", PATH, 1)
     targets = urls.select("url").distinct().select(
         "url", host.alias("host"), F.when(path == "", F.lit("/")).otherwise(path).alias("path")
     )
-    rule = broadcast_if_small(
-        rules.filter((F.col("prefix") != "") | F.col("allow")).select(F.lower("host").alias("rule_host"), "prefix", "allow")
-    )
-    matched = targets.join(
-        rule,
-        (F.col("host") == F.col("rule_host")) & F.col("path").startswith(F.col("prefix")),
-        "left",
-    )
+    rule = rules.filter((F.col("prefix") != "") | F.col("allow")).groupBy(F.lower("host").alias("host"), "prefix").agg(
+        F.max("allow").alias("allow"))
+    rule = stored(rule.filter("host is not null and prefix is not null"), "crawl-rules")
+    lengths = rule.groupBy("host").agg(F.collect_set(F.char_length("prefix")).alias("lengths"))
+    asked = targets.join(broadcast_if_small(stored(lengths, "prefix-lengths")), "host", "left")
+    # Lengths that the path has, and its beginnings of these lengths.
+    fitting = F.filter("lengths", lambda n: n <= F.char_length("path"))
+    starts = F.transform(fitting, lambda n: F.substring(F.col("path"), F.lit(1), n))
+    probes = asked.select("url", "host", F.explode_outer(starts).alias("prefix"))
+    matched = probes.join(broadcast_if_small(rule), ["host", "prefix"], "left")
     # Length and verdict in one number, so that the aggregate is a plain maximum.
-    strength = F.char_length("prefix") * 2 + F.col("allow").cast("int")
+    strength = F.when(F.col("allow").isNotNull(), F.char_length("prefix") * 2 + F.col("allow").cast("int"))
     verdict = matched.groupBy("url").agg(F.max(strength).alias("strongest"))
     return verdict.filter(F.coalesce(F.col("strongest") % 2 == 1, F.lit(True))).select("url")

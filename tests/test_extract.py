@@ -1,5 +1,6 @@
 """Extraction on literal pages."""
 
+import hashlib
 from urllib.parse import urljoin
 
 import pytest
@@ -157,3 +158,26 @@ def test_shapes_of_claim_reviews(spark, block):
 def test_other_types_are_no_claim_reviews(spark):
     page = '<script type="application/ld+json">{"@type":"NotClaimReview","claimReviewed":"c"}</script>'
     assert extract.extract_jsonld(spark.createDataFrame([("u", page)], "url string, html string")).count() == 0
+
+
+def test_rules_of_a_large_host_are_looked_up(spark):
+    """100,000 rules: each URL asks once per length of prefix, and the answer is that of trying all."""
+    rules = spark.range(100_000).select(
+        F.lit("big.org").alias("host"),
+        F.concat(F.lit("/"), F.substring(F.sha2(F.col("id").cast("string"), 256), F.lit(1), (1 + F.col("id") % 6).cast("int"))).alias("prefix"),
+        (F.col("id") % 3 == 0).alias("allow"),
+    )
+    urls = [f"https://big.org/{hashlib.sha256(str(i * 7).encode()).hexdigest()[:9]}" for i in range(300)] + ["https://big.org", "https://other.org/a"]
+    table = {}
+    for r in rules.collect():
+        table[r["prefix"]] = table.get(r["prefix"], False) or r["allow"]
+    want = set()
+    for url in urls:
+        path = url.removeprefix("https://big.org") if "big.org" in url else None
+        fits = [p for p in table if path and path.startswith(p)]
+        if not fits or table[max(fits, key=len)]:
+            want.add(url)
+    df = spark.createDataFrame([(u,) for u in urls], "url string")
+    out = allowed_urls(df, rules)
+    assert {r["url"] for r in out.collect()} == want and 0 < len(want) < len(urls)
+    assert "StartsWith" not in out._jdf.queryExecution().executedPlan().toString()
