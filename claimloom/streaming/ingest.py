@@ -13,10 +13,10 @@ from claimloom import schemas
 from claimloom.operators.dedupe import default_order, skip_collected, top_k
 from claimloom.operators.extract import extract_claims
 from claimloom.sources.scans import flatten_responses, response_rejects
+from claimloom.streaming.keyindex import KeyIndex
 
 KEY = "record_key"
-# Bounds a micro-batch. Each one reads the key column of the table, so use as large
-# batches as the cluster can hold.
+# Bounds a micro-batch.
 FILES_PER_BATCH = 1000
 KEY_FIELD = T.StructField(KEY, T.StringType())
 
@@ -39,13 +39,16 @@ def create_table(spark, schema, table):
 
 
 def append_new(batch, table, key=record_key):
-    """Append the rows of `batch` that the table lacks."""
+    """Append the rows of `batch` that the table lacks.
+
+    The keys of the table are looked up in its index, of which only the buckets of the batch are read.
+    """
     spark = batch.sparkSession
     keyed = batch.withColumn(KEY, key(batch.columns))
     first = top_k(keyed, [KEY], default_order(keyed, (KEY,)), 1, rank="_rank").drop("_rank")
     first = first.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        done = spark.read.schema(first.schema).parquet(table)
+        done = KeyIndex(spark, table, KEY).known_near(first)
         skip_collected(first, done, KEY).select(*first.columns).write.mode("append").parquet(table)
     finally:
         first.unpersist()
