@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 from claimloom import schemas
 from claimloom.functions.text import tokenize
 from claimloom.operators.dedupe import PARTS, top_k
-from claimloom.sizing import is_small
+from claimloom.session import stored
+from claimloom.sizing import broadcast_if_small, is_small
 
 
 def line_digest(*key):
@@ -134,6 +135,42 @@ def top_phrases(counts, n=200, per_length=False):
     return top_k(counts, by, [F.col("freq").desc(), F.col("phrase")], n)
 
 
+# Buckets that the grams of a language are summed in to bound their counts.
+BUCKETS = 1 << 16
+# Up to so many pairs of language and bucket are broadcast, of some 30 bytes each.
+MOST_BUCKETS = 1 << 19
+
+
+def frequent_phrases(docs, n=200, ns=(1, 2, 3), stopwords=None, buckets=BUCKETS):
+    """What `top_phrases(ngram_counts(docs, ns, stopwords), n)` returns, without shuffling every gram.
+
+    A gram occurs at most as often as its bucket, and buckets are summed in the map tasks to no more rows than there are
+    buckets. The grams of the `n` fullest buckets are counted; the n-th of them is a threshold that the n-th of all reaches.
+    Only grams of buckets that reach it too are counted then. So what is shuffled are the grams of few buckets, each once;
+    the tokens are written once and read by the three passes. Ties at the end are resolved as in the full ranking.
+    """
+    tokens = stored(docs.select("lang", tokenize("text").alias("t")), "tokens")
+    grams = gram_rows(tokens, ns, ["lang"], stopwords)
+    grams = grams.withColumn("bucket", F.pmod(F.xxhash64("n", "t1", "t2", "t3"), F.lit(buckets)).cast("int"))
+    sums = stored(grams.groupBy("lang", "bucket").agg(F.count(F.lit(1)).alias("most")), "gram-buckets")
+    fullest = stored(top_k(sums, ["lang"], [F.col("most").desc(), F.col("bucket")], n, rank="_rank").select("lang", "bucket"), "full-buckets")
+
+    def counted(picked, name):
+        few = broadcast_if_small(picked, max_rows=MOST_BUCKETS)
+        counts = grams.join(few, ["lang", "bucket"], "left_semi").groupBy("lang", "n", "t1", "t2", "t3").agg(F.count(F.lit(1)).alias("freq"))
+        return stored(counts.select("lang", "n", F.concat_ws(" ", "t1", "t2", "t3").alias("phrase"), "freq"), name)
+
+    first = counted(fullest, "counted-grams")
+    # One row per language that has `n` grams in them; the others have all their grams counted.
+    least = top_phrases(first, n).groupBy("lang").agg(F.count(F.lit(1)).alias("found"), F.min("freq").alias("freq"))
+    least = least.select("lang", F.when(F.col("found") >= n, F.col("freq")).otherwise(0).alias("least"))
+    rest = sums.join(broadcast_if_small(stored(least, "thresholds")), "lang").filter(F.col("most") >= F.col("least"))
+    rest = stored(rest.select("lang", "bucket").join(fullest, ["lang", "bucket"], "left_anti"), "other-buckets")
+    if rest.isEmpty():
+        return top_phrases(first, n)
+    return top_phrases(first.union(counted(rest, "more-counted-grams")), n)
+
+
 def build_seeds(seeds, phrases, k=100):
     """Query list: given seeds and at most `k` phrases per list, each query text once.
 

@@ -218,6 +218,10 @@ QUERIES = {
         with_views(GRAM_COUNTS_SQL.format(where=""), T, G),
     ),
     "top_phrases": (frequent, with_views(TOP_SQL, T, S, G, COUNTS)),
+    "top_phrases_by_threshold": (
+        lambda s, d: ph.frequent_phrases(views.corpus(s, d), TOP, stopwords=stopwords(s, d)),
+        with_views(TOP_SQL, T, S, G, COUNTS),
+    ),
     "yake_batches": (
         lambda s, d: batches(s, d).select("doc_id", "lang", "batch"),
         with_views("select doc_id, lang, batch from batch_v", B),
@@ -237,6 +241,19 @@ QUERIES = {
         lambda s, d: _rounded(phrase_scores(s, d), "score"),
         with_views("select lang, batch, phrase, kf, round(score, 6) as score from phrase_v", *YP),
     ),
+    # The same scores in one row a batch: all phrases, but a result that is quickly compared.
+    "yake_phrase_score_sums": (
+        lambda s, d: phrase_scores(s, d).groupBy("lang", "batch").agg(
+            F.count(F.lit(1)).alias("phrases"), F.sum("kf").alias("kf"), F.countDistinct(F.length("phrase")).alias("lengths"),
+            F.sum(F.round(F.col("score") * 1e5).cast("long")).alias("score_sum"),
+            F.max(F.round("score", 6)).alias("score_max"), F.min_by("phrase", F.struct(F.round("score", 6), "phrase")).alias("best"),
+        ),
+        with_views(
+            "select lang, batch, count(*) as phrases, cast(sum(kf) as bigint) as kf, count(distinct length(phrase)) as lengths, "
+            "cast(sum(cast(round(score * 1e5) as bigint)) as bigint) as score_sum, max(round(score, 6)) as score_max, "
+            "arg_min(phrase, (round(score, 6), phrase)) as best from phrase_v group by lang, batch", *YP,
+        ),
+    ),
     "yake_ranked_phrases": (
         lambda s, d: yake.merge_yake(phrase_scores(s, d), TOP),
         with_views("select * from yake_v", *YP, MERGED_YAKE),

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import statistics
 from collections import Counter, defaultdict
@@ -212,3 +213,31 @@ def test_large_stopword_table_gives_the_same_grams(spark, docs, monkeypatch):
     want = Counter(map(tuple, ph.ngram_counts(docs, stopwords=stop).collect()))
     monkeypatch.setattr(ph, "is_small", lambda df: False)
     assert Counter(map(tuple, ph.ngram_counts(docs, stopwords=stop).collect())) == want
+
+
+def test_frequent_phrases_equal_the_full_ranking(spark):
+    """With ties at the end, fewer grams than asked for, stopwords, and buckets that hold several grams."""
+    rng = random.Random(17)
+    words = [f"w{int(rng.paretovariate(0.8))}" for _ in range(6000)]
+    rows = [(("hi", "gu")[k % 2], " ".join(words[k * 15:k * 15 + 15])) for k in range(400)] + [("mr", "one two"), ("mr", None)]
+    docs = spark.createDataFrame(rows, "lang string, text string")
+    stop = spark.createDataFrame([("hi", "w1"), ("gu", "w2")], "lang string, token string")
+    for n, buckets in ((7, 1 << 16), (40, 97), (3, 5), (100_000, 1 << 10)):
+        want = ph.top_phrases(ph.ngram_counts(docs, stopwords=stop), n)
+        got = ph.frequent_phrases(docs, n, stopwords=stop, buckets=buckets)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())), (n, buckets)
+
+
+def test_frequent_phrases_count_few_grams(spark, path, monkeypatch):
+    """Of the different grams of the table less than a tenth is ever shuffled."""
+    sizes, real = {}, ph.stored
+
+    def stored(df, name):
+        sizes[name] = (out := real(df, name)).count()
+        return out
+
+    monkeypatch.setattr(ph, "stored", stored)
+    docs = views.corpus(spark, path)
+    ph.frequent_phrases(docs, 20).collect()
+    every = ph.ngram_counts(docs).count()
+    assert sizes["counted-grams"] + sizes.get("more-counted-grams", 0) < every / 10
