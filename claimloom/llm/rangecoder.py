@@ -5,10 +5,11 @@ eight kinds: the id that last followed the two before it (order 2), the id that
 followed the one before (order 1), an id seen before, by how early it appeared (five kinds),
 or a new one. Order 2 and order 1 give them by how often their last predictions held, order 0 by
 the kind before. The three are mixed by weights that follow which model has been right, the
-mixture drives a range coder, and what the kind leaves open is coded evenly.
+mixture drives a range coder, and what the kind leaves open is coded evenly. The models learn from stretch to
+stretch of a block; within one they stand still, so much of the work is done on whole stretches.
 
 All blocks of a batch are coded in step, as lanes of arrays: a block is sequential, blocks are not.
-Every sum is one of two numbers at a time, so decoding repeats what encoding computed bit by bit.
+Every sum is taken in a fixed order, so decoding repeats what encoding computed bit by bit.
 """
 
 import struct
@@ -29,14 +30,17 @@ START = np.array([0, 0, 0, 16, 64, 256, 1024, 0], np.int64)
 WIDTH = np.array([1, 1, 16, 48, 192, 768, BLOCK - 1024, 0], np.int64)
 KIND = np.append(np.repeat(np.arange(2, 7), WIDTH[2:7]), NEW)
 SCALE = 1 << 12
+#: Ids between two steps of learning, and how much of what was counted stays.
+STRETCH, KEEP = 256, np.float32(0.75)
+#: What is added to each count, and the share of a weight that goes to all models alike, so that nothing gets impossible.
+LEFT, FORGET = np.float32(0.4), 0.1
+#: How often in a row a prediction held: not yet made, made, held.
+TRUST = 3
+CONTEXTS = 1 << 13
 #: Sums of the shares below each kind; of whole numbers, so exact in any order.
 BELOW = np.triu(np.ones((KINDS, KINDS + 1), np.float32), 1)
-ROW = np.dtype((np.void, 4 * KINDS))
-#: How fast chances and weights move, and what of a move goes to all kinds alike, so that none gets impossible.
-RATE, FORGET, LEFT = np.float32(1 / 24), np.float32(1 / 64), np.float32(1 / 2400)
-CONTEXTS = 1 << 13
 TOP, LEAST = np.uint64(1 << 48), np.uint64(1 << 32)
-WORD = np.uint64(16)
+WORD, UNITS = np.uint64(16), np.uint64(12)
 
 
 def numbered(ids):
@@ -44,6 +48,8 @@ def numbered(ids):
     out = np.empty(ids.shape, np.int32)
     for start in range(0, len(ids), 64):
         part = ids[start:start + 64]
+        if part.max() < 1 << 16:
+            part = part.astype(np.uint16)  # sorted by counting
         rows = np.arange(len(part))[:, None]
         order = np.argsort(part, axis=1, kind="stable")
         ranked = part[rows, order]
@@ -58,80 +64,66 @@ def numbered(ids):
 
 
 class Model:
-    """The predictions of every lane, and what they learn."""
+    """The predictions of every lane, and what they learn. Arrays of a stretch are (step, lane)."""
 
     def __init__(self, lanes, vocab):
-        self.lane, self.vocab = np.arange(lanes), np.broadcast_to(vocab, lanes)
-        self.seen, self.kind = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-        self.last, self.before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-        # The successors of one id and of two: place * 4 + how often in a row it held, up to 3; 0 is none.
+        self.lanes, self.lane, self.vocab = lanes, np.arange(lanes), np.broadcast_to(vocab, lanes)
+        # The successors of two ids and of one: place * 4 + trust.
         self.next = np.zeros(lanes * (CONTEXTS + BLOCK + 1), np.uint16)
         self.home = self.lane * CONTEXTS, lanes * CONTEXTS + self.lane * (BLOCK + 1)
-        # A row of chances for each state of order 2, order 1 and order 0 of a lane.
-        self.chances = np.full((lanes * (4 + 4 + KINDS), KINDS), 1 / KINDS, np.float32)
-        self.whole = self.chances.view(ROW).reshape(-1)
-        self.states = np.array([[0], [4 * lanes], [8 * lanes]]) + self.lane * np.array([[4], [4], [KINDS]])
+        # Rows of each lane's states of order 2, order 1 and order 0.
+        self.first = 0, lanes * TRUST, 2 * lanes * TRUST
+        self.counts = np.zeros((lanes * (2 * TRUST + KINDS), KINDS), np.float32)
         self.weights = np.full((3, lanes), 1 / 3, np.float32)
-        self.own = np.arange(3)[:, None] * (lanes * KINDS) + self.lane * KINDS
-        # Room for one step, so that none is asked for at every step.
-        self.given, self.weighed = np.empty((2, 3, lanes, KINDS), np.float32)
-        self.bounds, self.at, self.rows = np.empty((lanes, KINDS + 1), np.float32), np.empty((2, lanes), np.int64), np.empty((3, lanes), np.int64)
-
-    def predict(self):
-        """Bounds of the kinds of the next id, of SCALE: (lanes, KINDS + 1)."""
-        np.add(self.home[0], (self.before * 40503 + self.last * 2741) & (CONTEXTS - 1), out=self.at[0])
-        np.add(self.home[1], self.last, out=self.at[1])
-        self.guess = self.next.take(self.at).astype(np.int64)
-        self.trust = self.guess & 3
-        np.add(self.states[:2], self.trust, out=self.rows[:2])
-        np.add(self.states[2], self.kind, out=self.rows[2])
-        self.chances.take(self.rows, axis=0, out=self.given, mode="clip")
-        np.multiply(self.given, self.weights[:, :, None], out=self.weighed)
-        mixed = self.weighed[0]
-        mixed += self.weighed[1]
-        mixed += self.weighed[2]
+        self.mix()
+
+    def mix(self):
+        """Chances of each state, and bounds of the kinds, of SCALE, for each state of the three orders together."""
+        some = self.counts + LEFT
+        total = some[:, 0].copy()
+        for k in range(1, KINDS):
+            total += some[:, k]
+        self.chances = some / total[:, None]
+        two, one, none = (self.chances[a:b].reshape(self.lanes, -1, KINDS) for a, b in zip(self.first, (*self.first[1:], len(some))))
+        weight = [w[:, None, None] for w in self.weights]
+        both = (two * weight[0])[:, :, None] + (one * weight[1])[:, None]
+        mixed = both[:, :, :, None] + (none * weight[2])[:, None, None]
         mixed *= np.float32(SCALE - 2 * KINDS)
         np.floor(mixed, out=mixed)
         mixed += np.float32(1)
-        return np.matmul(mixed, BELOW, out=self.bounds)
+        self.bounds = (mixed.reshape(-1, KINDS) @ BELOW).astype(np.int32)
 
-    def kind_of(self, place):
-        """The first kind that says which id the one at `place` of the block's different ids is."""
-        kind = KIND.take(place)
-        kind[place == self.seen] = NEW
-        held = (self.guess >> 2 == place) & (self.trust > 0)
-        kind[held[1]] = HIT1
-        kind[held[0]] = HIT2
-        return kind
-
-    def rest(self, kind):
-        """How many ids the kind leaves open."""
-        width = np.minimum(WIDTH.take(kind), np.maximum(self.seen - START.take(kind), 1))
+    def guess(self, before, last):
+        """Where the predictions of the next id are kept, and what they are: order 2 and order 1."""
+        at = self.home[0] + ((before * 40503 + last * 2741) & (CONTEXTS - 1)), self.home[1] + last
+        return at, [self.next.take(x).astype(np.int64) for x in at]
+
+    def row(self, guess, kind):
+        """Row of `bounds` for the predictions and the kind before."""
+        return ((self.lane * TRUST + (guess[0] & 3)) * TRUST + (guess[1] & 3)) * KINDS + kind
+
+    def rest(self, kind, seen):
+        """How many ids the kind leaves open when so many different ones are known."""
+        width = np.minimum(WIDTH.take(kind), np.maximum(seen - START.take(kind), 1))
         return np.where(kind == NEW, self.vocab, width)
 
-    def place_of(self, kind, left):
-        """The inverse of `kind_of`, `left` being what was coded evenly."""
-        place = START.take(kind) + left
-        for which, places in ((NEW, self.seen), (HIT1, self.guess[1] >> 2), (HIT2, self.guess[0] >> 2)):
-            at = kind == which
-            place[at] = places[at]
-        return place
-
-    def learn(self, place, kind):
-        at = self.own + kind
-        chance = self.given.take(at)
-        weights = self.weights * chance
-        weights *= (1 - FORGET) / weights.sum(0)
-        weights += FORGET / 3
-        self.weights = weights
-        self.given *= 1 - RATE
-        self.given += LEFT / KINDS
-        self.given.reshape(-1)[at] += RATE - LEFT
-        self.whole[self.rows] = self.given.view(ROW)[..., 0]
-        held = (self.guess >> 2 == place) & (self.trust > 0)
-        self.next[self.at] = np.where(held, self.guess + (self.trust < 3), (place << 2) + 1).astype(np.uint16)
-        self.seen = self.seen + (kind == NEW)
-        self.before, self.last, self.kind = self.last, place + 1, kind
+    def learn(self, at, guess, before, place, kind):
+        """Takes in a stretch: the predictions, the kind before, the place and the kind of each of its ids."""
+        rows = [self.lane * TRUST + (guess[0] & 3), self.first[1] + self.lane * TRUST + (guess[1] & 3), self.first[2] + self.lane * KINDS + before]
+        share = [w * self.chances.reshape(-1).take(row * KINDS + kind) for w, row in zip(self.weights, rows)]
+        total = share[0] + share[1]
+        total += share[2]
+        for j in range(3):
+            held = (share[j] / total).sum(0) / np.float32(len(kind))
+            self.weights[j] = held * np.float32(1 - FORGET) + np.float32(FORGET / 3)
+        more = np.zeros(self.counts.size, np.int64)
+        for row in rows:
+            more += np.bincount((row * KINDS + kind).reshape(-1), minlength=more.size)
+        self.counts = self.counts * KEEP + more.reshape(self.counts.shape).astype(np.float32)
+        for where, what in zip(at, guess):
+            trust = np.where((what >> 2 == place) & (what & 3 > 0), 2, 1)
+            self.next[where.reshape(-1)] = (place * 4 + trust).astype(np.uint16).reshape(-1)  # the last of a place stays
+        self.mix()
 
 
 class Range:
@@ -140,14 +132,6 @@ class Range:
     def __init__(self, lanes):
         self.low, self.width = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 64) - 1, np.uint64)
 
-    def narrow(self, low, size, unit):
-        self.low = self.low + low.astype(np.uint64) * unit
-        self.width = size.astype(np.uint64) * unit
-
-    def pick(self, number, unit):
-        self.low = self.low + number.astype(np.uint64) * unit
-        self.width = unit
-
     def settled(self):
         """The lanes whose next 16 bits are settled, their low ends before these are shifted out; None if there is none."""
         same = (self.low ^ (self.low + self.width)) < TOP
@@ -155,8 +139,10 @@ class Range:
         at = np.flatnonzero(same | small)
         if not len(at):
             return None
-        low = self.low[at]
-        width = np.where(same[at], self.width[at], (~low + np.uint64(1)) & (LEAST - np.uint64(1)))
+        low, width = self.low[at], self.width[at]
+        cut = ~same[at]
+        if cut.any():
+            width = np.where(cut, (~low + np.uint64(1)) & (LEAST - np.uint64(1)), width)
         self.low[at], self.width[at] = low << WORD, width << WORD
         return at, low
 
@@ -164,24 +150,45 @@ class Range:
 def encode(ids, vocab):
     """The 16-bit words of each block of `ids` (lanes, length), as bytes."""
     lanes, length = ids.shape
-    places = numbered(ids)
+    places = np.ascontiguousarray(numbered(ids).T)
+    numbers = np.ascontiguousarray(ids.T)
     model, coder = Model(lanes, vocab), Range(lanes)
     out, used = np.zeros((lanes, 2 * length + 8), np.uint16), np.zeros(lanes, np.int64)
     flat, base = out.reshape(-1), np.arange(lanes) * out.shape[1]
-    columns, numbers = np.ascontiguousarray(places.T), np.ascontiguousarray(ids.T)
-    for step in range(length):
-        bounds = model.predict()
-        place = columns[step].astype(np.int64)
-        kind = model.kind_of(place)
-        start = bounds.take(model.lane * (KINDS + 1) + kind)
-        coder.narrow(start, bounds.take(model.lane * (KINDS + 1) + kind + 1) - start, coder.width >> np.uint64(12))
-        left = np.where(kind == NEW, numbers[step], np.where(kind < 2, 0, place - START.take(kind)))
-        coder.pick(left, coder.width // model.rest(kind).astype(np.uint64))
-        while (done := coder.settled()) is not None:
-            at, low = done
-            flat[base[at] + used[at]] = low >> np.uint64(48)
-            used[at] += 1
-        model.learn(place, kind)
+    # One and two ids before the stretch as place + 1, the kind before it, and how many different ids are known.
+    last, before, kind_before, known = (np.zeros(lanes, np.int64) for _ in range(4))
+    for start in range(0, length, STRETCH):
+        place = places[start:start + STRETCH].astype(np.int64)
+        steps = len(place)
+        one = np.concatenate([last[None], place[:-1] + 1])
+        two = np.concatenate([before[None], one[:-1]])
+        seen = np.maximum.accumulate(np.concatenate([known[None], place + 1]), axis=0)
+        at, guess = model.guess(two, one)
+        kind = KIND.take(place)
+        kind[place == seen[:-1]] = NEW
+        for hit, what in ((HIT1, guess[1]), (HIT2, guess[0])):
+            kind[(what >> 2 == place) & (what & 3 > 0)] = hit
+        earlier = np.concatenate([kind_before[None], kind[:-1]])
+        cell = model.row(guess, earlier) * (KINDS + 1) + kind
+        low = model.bounds.take(cell)
+        size = (model.bounds.take(cell + 1) - low).astype(np.uint64)
+        low = low.astype(np.uint64)
+        left = np.where(kind == NEW, numbers[start:start + STRETCH], np.where(kind < 2, 0, place - START.take(kind))).astype(np.uint64)
+        rest = model.rest(kind, seen[:-1]).astype(np.uint64)
+        for step in range(steps):
+            unit = coder.width >> UNITS
+            wide = size[step] * unit
+            wide //= rest[step]
+            unit *= low[step]
+            unit += left[step] * wide
+            coder.low += unit
+            coder.width = wide
+            while (done := coder.settled()) is not None:
+                lane, word = done
+                flat[base[lane] + used[lane]] = word >> np.uint64(48)
+                used[lane] += 1
+        model.learn(at, guess, earlier, place, kind)
+        last, before, kind_before, known = place[-1] + 1, one[-1], kind[-1], seen[-1]
     for shift in (48, 32, 16, 0):
         flat[base + used] = (coder.low >> np.uint64(shift)) & np.uint64(0xFFFF)
         used += 1
@@ -201,28 +208,48 @@ def decode(words, length, vocab):
     for k in range(4):
         code = (code << WORD) | stream[:, k].astype(np.uint64)
     model, coder = Model(lanes, vocab), Range(lanes)
-    names, lane = np.zeros((lanes, BLOCK + 1), np.int32), model.lane
+    names, home = np.zeros(lanes * (BLOCK + 1), np.int32), model.lane * (BLOCK + 1)
     out = np.empty((length, lanes), np.int32)
-    for step in range(length):
-        bounds = model.predict()
-        unit = coder.width >> np.uint64(12)
-        value = ((code - coder.low) // unit).astype(np.int64)
-        kind = (bounds[:, 1:KINDS] <= value[:, None]).sum(1)
-        start = bounds.take(lane * (KINDS + 1) + kind)
-        coder.narrow(start, bounds.take(lane * (KINDS + 1) + kind + 1) - start, unit)
-        open_ids = model.rest(kind)
-        unit = coder.width // open_ids.astype(np.uint64)
-        left = np.minimum(((code - coder.low) // unit).astype(np.int64), open_ids - 1)
-        coder.pick(left, unit)
-        place = np.minimum(model.place_of(kind, left), BLOCK)
-        new = np.flatnonzero(kind == NEW)
-        names[new, place[new]] = left[new]
-        out[step] = names[lane, place]
-        while (done := coder.settled()) is not None:
-            at, _ = done
-            code[at] = (code[at] << WORD) | flat[base[at] + np.minimum(read[at], limit)]
-            read[at] += 1
-        model.learn(place, kind)
+    last, before, kind, seen = (np.zeros(lanes, np.int64) for _ in range(4))
+    for start in range(0, length, STRETCH):
+        steps = min(STRETCH, length - start)
+        ats, guesses = np.empty((2, steps, lanes), np.int64), np.empty((2, steps, lanes), np.int64)
+        earlier, places, kinds = (np.empty((steps, lanes), np.int64) for _ in range(3))
+        for step in range(steps):
+            at, guess = model.guess(before, last)
+            ats[0, step], ats[1, step] = at
+            guesses[0, step], guesses[1, step] = guess
+            earlier[step] = kind
+            row = model.row(guess, kind)
+            unit = coder.width >> UNITS
+            value = ((code - coder.low) // unit).astype(np.int32)
+            kind = (model.bounds.take(row, axis=0)[:, 1:KINDS] <= value[:, None]).sum(1)
+            cell = row * (KINDS + 1) + kind
+            low = model.bounds.take(cell)
+            wide = (model.bounds.take(cell + 1) - low).astype(np.uint64) * unit
+            coder.low += low.astype(np.uint64) * unit
+            rest = model.rest(kind, seen)
+            wide //= rest.astype(np.uint64)
+            left = np.minimum(((code - coder.low) // wide).astype(np.int64), rest - 1)
+            coder.low += left.astype(np.uint64) * wide
+            coder.width = wide
+            new = kind == NEW
+            place = np.where(new, seen, START.take(kind) + left)
+            for hit, what in ((HIT1, guess[1]), (HIT2, guess[0])):
+                mine = kind == hit
+                place[mine] = what[mine] >> 2
+            place = np.minimum(place, BLOCK)
+            fresh = np.flatnonzero(new)
+            names[home[fresh] + place[fresh]] = left[fresh]
+            out[start + step] = names.take(home + place)
+            while (done := coder.settled()) is not None:
+                lane = done[0]
+                code[lane] = (code[lane] << WORD) | flat[base[lane] + np.minimum(read[lane], limit)]
+                read[lane] += 1
+            places[step], kinds[step] = place, kind
+            seen = seen + new
+            before, last = last, np.minimum(place + 1, BLOCK)
+        model.learn(ats, guesses, earlier, places, kinds)
     return np.ascontiguousarray(out.T)
 
 

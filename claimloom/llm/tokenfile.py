@@ -24,7 +24,7 @@ from claimloom.sizing import broadcast_if_small
 #: Bytes of text that a shard should hold; a task holds the memory of one batch of blocks, not of a shard.
 SHARD_BYTES = 64 << 20
 #: Bytes of texts whose different pieces are encoded once, and of pieces that the tokenizer gets at once.
-TEXTS, PIECES = 8 << 20, 128 << 10
+TEXTS, PIECES = 16 << 20, 128 << 10
 #: First bytes of the characters of two and three bytes that may be blanks.
 TWO, THREE = 0xC2, (0xE1, 0xE2, 0xE3)
 
