@@ -4,11 +4,12 @@ A sample of the pieces of text proposes the phrases that are frequent in it at a
 threshold. The full pass counts them and their negative border - the phrases that were not
 proposed, but whose every part was. What turns out frequent in the border may belong to longer
 frequent phrases that nobody has counted, so an expansion pass counts what such failures leave
-open, until the border is closed. A last pass reads the frequent phrases out.
+open, until the border is closed.
 
-The passes tell phrases by 64-bit digests and test them against bitmaps of digests. Both err on one
-side only: a digest that two phrases share, or a bit that is set by another, has more phrases
-counted, never fewer. The last pass counts the phrases themselves, so the result is exact.
+The passes tell phrases by 64-bit digests and test them against bitmaps of digests. A bit that is set by another
+digest has more phrases counted, never fewer. Each frequent phrase is spelt out by one portion of text only, the one with
+the least number among those that hold it, as the counting found. Last the phrases of the result and the halves they were
+cut into are counted by themselves; if a count differs, two phrases share a digest, and all frequent phrases are counted so.
 """
 
 import zlib
@@ -33,7 +34,7 @@ DRAWN = 128
 #: Bits of a bitmap for each digest in it, and the most bits (64 MB); beyond these more phrases pass, and are counted.
 BITS, MOST_BITS = 32, 29
 #: Bytes of text that are worked on at once, and digests that a task adds up before it hands them on.
-TEXTS, HELD = 8 << 20, 3_000_000
+TEXTS, HELD = 4 << 20, 1_000_000
 SEPARATORS = b".,;:!?\n\x0b\x0c\r"
 LETTERS = bytes.maketrans(bytes(range(65, 91)) + b"\t" + SEPARATORS, bytes(range(97, 123)) + b" " + b"\n" * len(SEPARATORS))
 FACTOR, PROBES = np.uint64(0x9E3779B97F4A7C15), (np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F))
@@ -112,19 +113,20 @@ def candidates(codes, own, known, failed=None, longest=LONGEST, tested=LONGEST):
 
 
 def by_language(batches):
-    """(lang, texts) of portions of batches; null is `und`, a null text empty."""
+    """(lang, texts, number) of portions of batches; null is `und`, a null text empty. The number is a digest of the texts."""
     for batch in portions(batches, "text", TEXTS):
         langs, texts = pc.fill_null(batch.column("lang"), "und"), batch.column("text").cast(pa.binary())
         for lang in langs.unique():
-            yield lang.as_py().encode(), [x or b"" for x in texts.filter(pc.equal(langs, lang)).to_pylist()]
+            own = [x or b"" for x in texts.filter(pc.equal(langs, lang)).to_pylist()]
+            yield lang.as_py().encode(), own, np.uint64(xxhash.xxh3_64_intdigest(b"\n".join(own)))
 
 
-def added(digests, lengths, counts):
-    """The same with each digest once."""
+def added(digests, lengths, counts, portions):
+    """The same with each digest once: its length, count and least portion."""
     order = np.argsort(digests, kind="stable")
     digests = digests[order]
     first = np.flatnonzero(np.append(True, digests[1:] != digests[:-1]))
-    return digests[first], lengths[order][first], np.add.reduceat(counts[order], first)
+    return digests[first], lengths[order][first], np.add.reduceat(counts[order], first), np.minimum.reduceat(portions[order], first)
 
 
 class Sums:
@@ -133,32 +135,35 @@ class Sums:
     def __init__(self):
         self.parts, self.size = [], 0
 
-    def add(self, digests, length):
+    def add(self, digests, length, portion):
         if len(digests):
             ranked = np.sort(digests)
             first = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1]))
-            self.put(ranked[first], length, np.diff(np.append(first, len(ranked))))
+            self.put(ranked[first], length, np.diff(np.append(first, len(ranked))), portion)
 
-    def put(self, digests, length, counts):
-        self.parts.append((digests, np.full(len(digests), length, np.int8), counts.astype(np.int64)))
+    def put(self, digests, length, counts, portion):
+        number = np.full(len(digests), portion, np.uint64).view(np.int64)
+        self.parts.append((digests, np.full(len(digests), length, np.int8), counts.astype(np.int32), number))
         self.size += len(digests)
 
     def rows(self, last=False):
         if not self.size or not (last or self.size > HELD):
             return
-        digests, lengths, counts = added(*(np.concatenate(x) for x in zip(*self.parts)))
-        if not last and len(digests) < HELD // 2:
-            self.parts, self.size = [(digests, lengths, counts)], len(digests)
+        found = added(*(np.concatenate(x) for x in zip(*self.parts)))
+        if not last and len(found[0]) < HELD // 2:
+            self.parts, self.size = [found], len(found[0])
             return
         self.parts, self.size = [], 0
+        digests, lengths, counts, numbers = found
         for k in range(0, len(digests), 100_000):
             part = slice(k, k + 100_000)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(digests[part].view(np.int64)), pa.array(lengths[part]), pa.array(counts[part])], ["digest", "length", "count"])
+                [pa.array(digests[part].view(np.int64)), pa.array(lengths[part]), pa.array(counts[part].astype(np.int64)), pa.array(numbers[part])],
+                ["digest", "length", "count", "portion"])
 
 
 def counted(docs, least, shortest=1, longest=LONGEST, known=None, failed=None, tested=LONGEST, share=1):
-    """(digest, length, count) of phrases that occur `least` times or more, of those whose parts are all in `known`.
+    """(digest, length, count, portion) of phrases that occur `least` times or more, of those whose parts are all in `known`.
 
     With `failed`, those that hold such a phrase take the place of these. Words are counted if `shortest` is 1. `share`: one piece in so many is looked at.
     """
@@ -166,25 +171,26 @@ def counted(docs, least, shortest=1, longest=LONGEST, known=None, failed=None, t
         kept("collocations")
         old, lost = (x and Bitmap(x.value) for x in (known, failed))
         sums = Sums()
-        for lang, texts in by_language(batches):
+        for lang, texts, portion in by_language(batches):
             codes, names = words_of(texts, share)
             if not len(codes):
                 continue
             own = digests(names, lang)
             if shortest == 1:
                 occur = np.bincount(codes[codes >= 0], minlength=len(names))
-                sums.put(own[occur > 0], 1, occur[occur > 0])
+                sums.put(own[occur > 0], 1, occur[occur > 0], portion)
             done = candidates(codes, own, old, None, longest) if lost else None
             for length, at, found in candidates(codes, own, old, lost, longest, tested):
                 if done:
                     found = found[~np.isin(at, next(done)[1], assume_unique=True)]
                 if length >= shortest:
-                    sums.add(found, length)
+                    sums.add(found, length, portion)
             yield from sums.rows()
         yield from sums.rows(last=True)
 
-    rows = docs.mapInArrow(run, "digest long, length byte, count long")
-    return rows.groupBy("digest").agg(F.max("length").alias("length"), F.sum("count").alias("count")).filter(F.col("count") >= least)
+    rows = docs.mapInArrow(run, "digest long, length byte, count long, portion long")
+    found = rows.groupBy("digest").agg(F.max("length").alias("length"), F.sum("count").alias("count"), F.min("portion").alias("portion"))
+    return found.filter(F.col("count") >= least)
 
 
 def bits_for(number):
@@ -229,7 +235,7 @@ def _shared(docs, data):
 
 
 def frequent(docs, least, share=SAMPLE):
-    """(digest, length, count) of all phrases of up to LONGEST words with `least` occurrences or more, and some more.
+    """(digest, length, count, portion) of all phrases of up to LONGEST words with `least` occurrences or more, and some more.
 
     `docs`: (lang, text). Two phrases that share a digest are counted together. The border of what was proposed fails
     where it holds a frequent phrase. The expansion then counts all phrases that hold a failure and whose other parts
@@ -249,36 +255,70 @@ def frequent(docs, least, share=SAMPLE):
     return found
 
 
-def read_out(docs, found, least):
-    """(lang, phrase, length, count) of the phrases with a digest in `found`, and a row without a phrase for the words of each language."""
+def marks(digests, portions):
+    """One digest of a phrase and a portion."""
+    return (digests ^ (portions * PROBES[0])) * FACTOR
+
+
+def spelt(docs, found, named=None):
+    """(lang, phrase, length, digest, count) of the phrases with a digest in `found`, and a row without a phrase for the words of each portion.
+
+    With `named`, digests of phrases and portions, only those portions spell them out; else all do.
+    """
     shared = _shared(docs, bitmap(found, bits_for(found.count())))
+    owners = named and _shared(docs, bitmap(named, bits_for(named.count())))
 
     def run(batches):
         kept("collocations")
-        known = Bitmap(shared.value)
-        for lang, texts in by_language(batches):
+        known, mine = Bitmap(shared.value), owners and Bitmap(owners.value)
+        for lang, texts, portion in by_language(batches):
             codes, names = words_of(texts)
             words = codes >= 0
-            rows = [(None, 0, int(words.sum()))]
+            rows = [(None, 0, 0, int(words.sum()))]
+
+            def wanted(digests):
+                good = known.has(digests)
+                return good & mine.has(marks(digests, portion)) if mine else good
+
             if len(codes):
                 own = digests(names, lang)
                 occur = np.bincount(codes[words], minlength=len(names))
-                rows += [(names[k], 1, int(occur[k])) for k in np.flatnonzero((occur > 0) & known.has(own))]
+                for k in np.flatnonzero((occur > 0) & wanted(own)):
+                    rows.append((names[k], 1, int(own.view(np.int64)[k]), int(occur[k])))
                 for length, at, now in candidates(codes, own, known):
                     now, first, times = np.unique(now, return_index=True, return_counts=True)
-                    good = known.has(now)
-                    for place, n in zip(at[first[good]].tolist(), times[good].tolist()):
-                        rows.append((b" ".join([names[c] for c in codes[place:place + length].tolist()]), length, n))
+                    good = wanted(now)
+                    for digest, place, n in zip(now.view(np.int64)[good].tolist(), at[first[good]].tolist(), times[good].tolist()):
+                        rows.append((b" ".join([names[c] for c in codes[place:place + length].tolist()]), length, digest, n))
             for k in range(0, len(rows), 20_000):
-                phrases, lengths, counts = zip(*rows[k:k + 20_000])
+                phrases, lengths, all_digests, counts = zip(*rows[k:k + 20_000])
                 text = pa.array(phrases, pa.binary()).cast(pa.string(), safe=False)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang.decode()] * len(text)), text, pa.array(lengths, pa.int32()), pa.array(counts, pa.int64())],
-                    ["lang", "phrase", "length", "count"])
+                    [pa.array([lang.decode()] * len(text)), text, pa.array(lengths, pa.int32()), pa.array(all_digests, pa.int64()), pa.array(counts, pa.int64())],
+                    ["lang", "phrase", "length", "digest", "count"])
+
+    return docs.mapInArrow(run, "lang string, phrase string, length int, digest long, count long")
+
+
+def named_counts(docs, found):
+    """(lang, phrase, length, count) of the frequent phrases by the counts of their digests, and a row without a phrase for each language."""
+    def run(batches):
+        for batch in batches:
+            one, two = (batch.column(c).to_numpy().view(np.uint64) for c in ("digest", "portion"))
+            yield pa.RecordBatch.from_arrays([pa.array(marks(one, two).view(np.int64))], ["digest"])
 
-    rows = docs.mapInArrow(run, "lang string, phrase string, length int, count long")
-    summed = rows.groupBy("lang", "phrase").agg(F.max("length").alias("length"), F.sum("count").alias("count"))
-    return summed.filter(F.col("phrase").isNull() | (F.col("count") >= least))
+    owners = stored(found.select("digest", "portion").mapInArrow(run, "digest long"), "phrase-portions")
+    rows = stored(spelt(docs, found, owners), "spelt-phrases")
+    names = rows.filter("phrase is not null").select("lang", "phrase", "length", "digest").distinct()
+    totals = rows.filter("phrase is null").groupBy("lang", "phrase", "length").agg(F.sum("count").alias("count"))
+    counts = found.groupBy("digest").agg(F.max("count").alias("count"))
+    return names.join(counts, "digest").select("lang", "phrase", "length", "count").union(totals)
+
+
+def whole_counts(docs, found, least=1):
+    """(lang, phrase, length, count) of the phrases with a digest in `found`, each counted by itself, and a row without a phrase for each language."""
+    rows = spelt(docs, found).groupBy("lang", "phrase").agg(F.max("length").alias("length"), F.sum("count").alias("count"))
+    return rows.filter(F.col("phrase").isNull() | (F.col("count") >= least))
 
 
 def parts_of(words, length, shortest=1):
@@ -291,7 +331,7 @@ def parts_of(words, length, shortest=1):
 
 
 def scored(counts, share=100):
-    """The candidates of `counts` (see `read_out`) with l, r, n and score of their worst cut, without those inside longer ones."""
+    """The candidates of `counts` (see `whole_counts`) with the halves, l, r, n and score of their worst cut, without those inside longer ones."""
     phrases = counts.filter("phrase is not null").select("lang", "phrase", "length", F.col("count").alias("a"))
     totals = counts.filter("phrase is null").select("lang", F.col("count").alias("n"))
     long = phrases.filter("length > 1").withColumn("words", F.split("phrase", " "))
@@ -304,13 +344,43 @@ def scored(counts, share=100):
     big = lambda c: F.col(c).cast("decimal(16,0)")
     score = F.call_function("div", F.lit(1000).cast("decimal(4,0)") * big("a") * big("n"), big("l") * big("r"))
     worst = cuts.join(one, ["lang", "first"]).join(two, ["lang", "rest"]).join(broadcast_if_small(totals), "lang").groupBy("lang", "phrase").agg(
-        F.min(F.struct(score.alias("score"), "k", "l", "r", "a", "n")).alias("it"))
+        F.min(F.struct(score.alias("score"), "k", "l", "r", "a", "n", "first", "rest")).alias("it"))
     inside = long.filter("length > 2").select(
         "lang", F.col("a").alias("longer"), F.explode(parts_of(F.col("words"), F.col("length"), 2)).alias("phrase"))
     inside = inside.groupBy("lang", "phrase").agg(F.max("longer").alias("longer"))
     left = worst.join(inside, ["lang", "phrase"], "left")
     left = left.filter(F.col("longer").isNull() | (100 * F.col("longer") < share * F.col("it.a")))
-    return left.select("lang", "phrase", "it.a", "it.l", "it.r", "it.n", "it.score")
+    return left.select("lang", "phrase", "it.a", "it.l", "it.r", "it.n", "it.score", "it.first", "it.rest")
+
+
+def best(counts, inside, top):
+    """The `top` candidates of each language."""
+    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
+    ranked = scored(counts, inside).withColumn("rank", F.row_number().over(order).cast("long"))
+    return stored(ranked.filter(F.col("rank") <= top), "ranked-phrases")
+
+
+def agree(docs, ranked):
+    """Whether the phrases of a result and their halves, counted by themselves, have the counts it gives."""
+    each = F.array(*(F.struct(F.col(name).alias("phrase"), F.col(n).alias("times")) for name, n in (("phrase", "a"), ("first", "l"), ("rest", "r"))))
+    told = stored(ranked.select("lang", F.inline(each)).distinct(), "told-counts")
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for lang, phrase in zip(batch.column("lang").to_pylist(), batch.column("phrase").cast(pa.binary()).to_pylist()):
+                words = [int(x) for x in digests(phrase.split(b" "), lang.encode())]
+                for start in range(len(words)):  # all its parts, without which it is not looked for
+                    part = words[start]
+                    out.append(part)
+                    for word in words[start + 1:]:
+                        part = (part * int(FACTOR) + word) % (1 << 64)
+                        out.append(part)
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(out, np.uint64).view(np.int64))], ["digest"])
+
+    asked = stored(told.select("lang", "phrase").mapInArrow(run, "digest long").distinct(), "told-digests")
+    real = whole_counts(docs, asked).filter("phrase is not null").select("lang", "phrase", F.col("count").alias("times"))
+    return told.join(real, ["lang", "phrase", "times"], "left_anti").isEmpty()
 
 
 def collocations(docs, least=100, top=2000, inside=100, share=SAMPLE, text="text", lang="lang"):
@@ -325,12 +395,14 @@ def collocations(docs, least=100, top=2000, inside=100, share=SAMPLE, text="text
     least `inside` per cent of their occurrences are left out. A null text is empty, a null lang is `und`, one language with that
     of that name; repeated rows count each. Only the named columns are read. An empty table, and a language without candidates, gives no rows.
 
-    Counts are exact for whole texts of all documents; `share` sets how large the sample is (one piece in so many), which
+    Counts are of whole texts of all documents, by 64-bit digests; those of the result are held against counts of the
+    phrases themselves, and if they differ all are counted so. `share` sets how large the sample is (one piece in so many), which
     changes the work and not the result.
     """
     rows = spread(docs.select(F.col(lang).alias("lang"), F.col(text).alias("text")))
-    counts = stored(read_out(rows, frequent(rows, least, share).select("digest"), least), "phrase-counts")
-    ranked = scored(counts, inside)
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    return ranked.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top).select(
-        "lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
+    found = frequent(rows, least, share)
+    counts = stored(named_counts(rows, found), "phrase-counts")
+    ranked = best(counts, inside, top)
+    if not agree(rows, ranked):
+        ranked = best(stored(whole_counts(rows, found.select("digest"), least), "phrase-counts"), inside, top)
+    return ranked.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")

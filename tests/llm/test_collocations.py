@@ -101,7 +101,7 @@ def test_sums_are_handed_on(monkeypatch):
     for _ in range(60):
         part = rng.integers(0, 90, 30).astype(np.uint64)
         want.update(part.tolist())
-        sums.add(part, 3)
+        sums.add(part, 3, np.uint64(_ + 7))
         out += [r for b in sums.rows() for r in b.to_pylist()]
         most = max(most, sums.size)
     out += [r for b in sums.rows(last=True) for r in b.to_pylist()]
@@ -109,6 +109,7 @@ def test_sums_are_handed_on(monkeypatch):
     for r in out:
         found[r["digest"]] += r["count"]
     assert found == want and most <= 50 and {r["length"] for r in out} == {3}
+    assert min(r["portion"] for r in out) == 7
 
 
 def test_portions_by_language(monkeypatch):
@@ -117,12 +118,20 @@ def test_portions_by_language(monkeypatch):
     langs = [("en", None, "fr")[k % 3] for k in range(50)]
     batch = pa.RecordBatch.from_pydict({"lang": langs, "text": texts})
     out = defaultdict(list)
-    for lang, part in mined.by_language([batch]):
+    for lang, part, _ in mined.by_language([batch]):
         out[lang] += part
     assert {k: sorted(v) for k, v in out.items()} == {
         k.encode(): sorted(t.encode() for t, x in zip(texts, langs) if (x or "und") == k) for k in ("en", "fr", "und")}
 
 
+def test_shared_digests_are_noticed(spark, monkeypatch):
+    """Counts of digests that are wrong in the result lead to counts of the phrases themselves."""
+    real, rows = mined.named_counts, random_rows(6)
+    wrong = mined.F.when(mined.F.col("phrase") == "a b", mined.F.col("count") + 1).otherwise(mined.F.col("count"))
+    monkeypatch.setattr(mined, "named_counts", lambda docs, found: real(docs, found).withColumn("count", wrong))
+    assert got(spark, rows, least=6, top=25) == brute(rows, 6, 25)
+
+
 def test_long_text_ties_and_repeated_rows(spark):
     rows = [("en", "p q r s t u v " * 20_000), ("fr", "b a, a b, " * 5), ("fr", "b a, a b, " * 5)]
     assert got(spark, rows, least=5, top=3) == brute(rows, 5, 3)
