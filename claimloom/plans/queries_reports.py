@@ -8,6 +8,7 @@ from claimloom.plans import archive, merge, views
 from claimloom.plans.queries_claims import KEPT, by_source
 from claimloom.plans.queries_pages import BOILERPLATE_TEXT, C, E
 from claimloom.plans.views import with_views
+from claimloom.session import stored
 
 SUMMARY_SQL = (
     "select language, existing_rows, api_rows_added, archive_rows_added, unlabelled_rows, existing_rows + "
@@ -41,6 +42,14 @@ def _balance_sql(by, source):
     )
 
 
+def landed_uniqueness(spark, sf):
+    claims = views.claims(spark, sf).drop("doc_id", "review_title", "matched_query", "claim_date")
+    sketches = stored(reports.landing_sketches(claims, ("data_source",)), "landing-sketches")
+    both = reports.merged_uniqueness(sketches).unionByName(reports.uniqueness(claims.drop("data_source")))
+    close = lambda c, name: (F.max(c) <= F.min(c) * 1.02).alias(name)
+    return both.agg(F.max("rows").alias("rows"), close("unique_rows", "rows_close"), close("unique_urls", "urls_close"))
+
+
 QUERIES = {
     "merge_summary": (merge_accounting, with_views(SUMMARY_SQL.format(source="claims_v"))),
     "merge_summary_unlabelled": (
@@ -95,6 +104,11 @@ QUERIES = {
             "(select count(distinct review_url) from claims_v) as unique_urls"
         ),
     ),
+    # Merged from one sketch a landing, and held against the exact count of all of them.
+    "uniqueness_by_landing": (
+        landed_uniqueness,
+        with_views("select count(*) as rows, true as rows_close, true as urls_close from claims_v"),
+    ),
     "source_yield_ratio": (
         lambda s, d: reports.yield_ratio(views.claims(s, d)),
         with_views(

@@ -210,3 +210,21 @@ def test_shared_folder_is_the_named_one():
         assert "spark.checkpoint.dir" in str(e)
     else:
         raise AssertionError("a cluster without a named folder must be refused")
+
+
+def test_uniqueness_of_landings_from_sketches(spark):
+    """Merged sketches of overlapping landings: within 2 % on many rows, exact on few, a landing written twice counts once."""
+    path = new_path(spark, "landing-sketches")
+    landing = lambda a, b: spark.range(a, b).select(
+        F.concat(F.lit("u"), F.pmod("id", F.lit(40_000))).alias("review_url"), (F.col("id") % 70_000).alias("v"))
+    parts = {"one": landing(0, 60_000), "two": landing(30_000, 90_000), "three": landing(0, 0)}
+    for name, df in [*parts.items(), ("two", parts["two"])]:
+        reports.add_landing(df, name, path)
+    got = reports.merged_uniqueness(spark.read.parquet(path)).first()
+    want = reports.uniqueness(parts["one"].union(parts["two"])).first()
+    assert got["rows"] == want["rows"] == 120_000
+    for c in ("unique_rows", "unique_urls"):
+        assert abs(got[c] - want[c]) <= 0.02 * want[c]
+    few = spark.createDataFrame([("a", 1), ("a", 1), (None, 2), ("b", 1)], "review_url string, v int")
+    assert tuple(reports.merged_uniqueness(reports.landing_sketches(few)).first()) == (4, 3, 2)
+    assert tuple(reports.merged_uniqueness(reports.landing_sketches(few.limit(0), ("v",))).first()) == (0, 0, 0)
