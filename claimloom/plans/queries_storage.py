@@ -84,6 +84,15 @@ def appended(spark, sf):
     return spark.read.schema(claims.schema).parquet(table)
 
 
+def snapshots(spark, sf):
+    """Two whole appends, and between them one whose writer stopped before it was committed."""
+    table, claims = new_path(spark, "snapshots"), views.claims(spark, sf)
+    sinks.append_snapshot(claims.filter(F.col("data_source") == schemas.EXTERNAL), table)
+    claims.write.parquet(f"{table}/data/stopped")
+    sinks.append_snapshot(claims.filter(F.col("data_source") != schemas.EXTERNAL), table)
+    return sinks.read_snapshot(spark, table, claims.schema)
+
+
 def split_by_language(spark, sf):
     path = new_path(spark, "by-language")
     kept = clean.rename_query(clean.keep_languages(views.claims(spark, sf)))
@@ -187,6 +196,7 @@ QUERIES = {
     "corpus_scan": (
         corpus_lines, with_views("select lang, md5(concat(lang, ':', text)) as line_id, text from lines_v", LINES),
     ),
+    "snapshot_append": (snapshots, with_views("select * from claims_v")),
     "crash_safe_append": (appended, with_views("select * from claims_v")),
     "language_split_output": (
         split_by_language,

@@ -1,5 +1,7 @@
 """Sinks. Each writes in parallel with Spark's own job commit."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from claimloom.operators.clean import align
@@ -12,6 +14,29 @@ def append_claims(df, table):
     df.write.mode("append").parquet(table)
 
 
+def append_snapshot(df, table):
+    """Append to a table whose readers see whole appends only.
+
+    The rows go to a folder of their own, and one row in one file then names it: as long as that file is
+    not there, `read_snapshot` knows nothing of the folder, whichever of its files are. Appends that run at once do not meet.
+    """
+    part = uuid.uuid4().hex
+    df.write.parquet(f"{table}/data/{part}")
+    commit = df.sparkSession.createDataFrame([(part,)], "part string").coalesce(1)
+    commit.write.mode("append").parquet(f"{table}/commits")
+
+
+def read_snapshot(spark, table, schema):
+    """The rows of all whole appends; what was not committed when this is called is not read. One name an append comes to the driver."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{table}/commits")
+    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        return spark.createDataFrame([], schema)
+    parts = [r["part"] for r in spark.read.schema("part string").parquet(f"{table}/commits").collect()]
+    if not parts:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(*(f"{table}/data/{part}" for part in sorted(parts)))
+
+
 # Written so that every value reads back as it was; only null and empty become one.
 CSV = {
     "header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False,

@@ -3,6 +3,7 @@
 import random
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -11,6 +12,7 @@ from claimloom.operators import dedupe, reports
 from claimloom.plans import merge, views
 from claimloom.plans.queries_claims import merged
 from claimloom.session import new_path
+from claimloom.sources import sinks
 from claimloom.streaming import ingest
 
 SOURCED = T.StructType([*schemas.RAW.fields, T.StructField("data_source", T.StringType())])
@@ -228,3 +230,22 @@ def test_uniqueness_of_landings_from_sketches(spark):
     few = spark.createDataFrame([("a", 1), ("a", 1), (None, 2), ("b", 1)], "review_url string, v int")
     assert tuple(reports.merged_uniqueness(reports.landing_sketches(few)).first()) == (4, 3, 2)
     assert tuple(reports.merged_uniqueness(reports.landing_sketches(few.limit(0), ("v",))).first()) == (0, 0, 0)
+
+
+def test_readers_see_whole_appends_only(spark, monkeypatch):
+    """A writer that stops between two files, one that stops before its commit, and a reader that looked before an append."""
+    table = new_path(spark, "snapshot-table")
+    assert sinks.read_snapshot(spark, table, "n long").count() == 0
+    sinks.append_snapshot(spark.range(0, 10).toDF("n"), table)
+    early = sinks.read_snapshot(spark, table, "n long")
+    # One of the files of an append, at the place where its writer would have put all.
+    spark.range(10, 12).toDF("n").coalesce(1).write.parquet(f"{table}/data/half")
+    stop = lambda *a, **k: (_ for _ in ()).throw(RuntimeError("stopped"))
+    with monkeypatch.context() as m:
+        m.setattr(type(spark), "createDataFrame", stop)
+        with pytest.raises(RuntimeError, match="stopped"):
+            sinks.append_snapshot(spark.range(20, 30).toDF("n"), table)
+    assert sorted(r["n"] for r in sinks.read_snapshot(spark, table, "n long").collect()) == list(range(10))
+    sinks.append_snapshot(spark.range(20, 30).toDF("n"), table)
+    assert sorted(r["n"] for r in sinks.read_snapshot(spark, table, "n long").collect()) == [*range(10), *range(20, 30)]
+    assert early.count() == 10
