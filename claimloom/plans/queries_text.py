@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from claimloom.functions.text import tokenize
+from claimloom.operators import inflections, linesketch, sitetext
 from claimloom.operators import phrases as ph
 from claimloom.operators import yake
 from claimloom.plans import seeds as seed_plan
@@ -183,6 +184,86 @@ def corpus_lines(spark, sf):
 LINES = ("lines_v", "select lang, unnest(string_split(text, chr(10))) as text from corpus_v")
 
 
+def sketched_lines(spark, sf):
+    """The line cap from the sketches of three landings."""
+    path, lines = new_path(spark, "line-sketches"), views.corpus(spark, sf)
+    for i in range(3):
+        linesketch.add_lines(lines.filter(F.col("doc_id") % 3 == i), i, path, SAMPLE, "doc_id", LANGS)
+    return linesketch.capped_lines(spark, path, SAMPLE, "doc_id", LANGS)
+
+
+INFLECTED = {
+    "lang": "lang",
+    "text": "concat(text, ' ', replace(text, ' ', case lang when 'gu' then 'ોમાં ' else 'ों ' end))",
+}
+SUFFIXES_SQL = (
+    "select lang, token, left(token, length(token) - k) as stem, right(token, k) as suffix from vocab_v, "
+    "(values (1), (2), (3)) as ks(k) where length(token) - k >= 2"
+)
+ENDINGS_SQL = (
+    "select c.lang, suffix, count(v.token) as stems from cut_v c left join vocab_v v on v.lang = c.lang and v.token = c.stem "
+    "group by all having count(v.token) >= 20 and count(v.token) * 100 >= count(*) * 50"
+)
+FORMS_SQL = (
+    "select c.lang, c.token, c.stem, c.suffix, e.stems from cut_v c join stop_v s on s.lang = c.lang and s.token = c.stem "
+    "join ending_v e on e.lang = c.lang and e.suffix = c.suffix where not exists (select 1 from stop_v x where "
+    "x.lang = c.lang and x.token = c.token) qualify row_number() over (partition by c.lang, c.token order by length(stem) desc) = 1"
+)
+INFLECTED_V = ("inflected_v", "select " + ", ".join(f"{e} as {n}" for n, e in INFLECTED.items()) + " from corpus_v")
+FORMS = [
+    T, S, INFLECTED_V, ("vocab_v", f"select distinct lang, unnest({TOKENS}) as token from inflected_v where lang is not null"),
+    ("cut_v", SUFFIXES_SQL), ("ending_v", ENDINGS_SQL),
+]
+
+
+def inflected(spark, sf):
+    """The corpus with each line said twice, the second time with endings."""
+    return views._select(views.corpus(spark, sf), INFLECTED)
+
+
+SITE_PAGES = {
+    "host": "concat(source, '.example.org')",
+    "url": "concat('https://', source, '.example.org/a/', cast(doc_id as STRING))",
+    "text": (
+        "case when doc_id % 9 = 4 then concat('Read every check that ', source, ' has published here!') when doc_id % 9 < 3 then text "
+        "else concat(text, chr(10), 'Read every check that ', source, ' has published here. Write to us about it, please. ', text) end"
+    ),
+}
+KEY_SQL = r"trim(regexp_replace(lower({p}), '[^\p{{L}}\p{{M}}\p{{Nd}}]+', ' ', 'g'))"
+PIECES_SQL = (
+    "select host, url, i, piece, " + KEY_SQL.format(p="piece") + " as key from (select host, url, unnest(range(len(p))) as i, unnest(p) as piece "
+    r"from (select host, url, regexp_extract_all(text, '[^.!?।॥\n]*[.!?।॥\n]+|[^.!?।॥\n]+') as p from site_pages_v))"
+)
+SENTENCES_SQL = (
+    "select p.host, key as sentence, count(distinct url) as pages, host_pages from piece_v p join (select host, count(distinct url) as "
+    "host_pages from site_pages_v group by host) h on h.host = p.host where len(string_split(key, ' ')) >= 4 group by p.host, key, host_pages "
+    "having count(distinct url) >= 5 and count(distinct url) * 100 >= host_pages * 10"
+)
+MARKED_SQL = (
+    "select url, bool_and(x.sentence is not null) filter (key <> '') as every, bool_or(x.sentence is not null) as cut, "
+    "string_agg(piece, '' order by i) filter (key <> '' and x.sentence is null) as own "
+    "from piece_v p left join sentence_v x on x.host = p.host and x.sentence = p.key group by url"
+)
+SITE = [
+    ("site_pages_v", views._sql(SITE_PAGES, "documents")), ("piece_v", PIECES_SQL), ("sentence_v", SENTENCES_SQL),
+]
+
+
+def site_pages(spark, sf):
+    return views._select(views.documents(spark, sf), SITE_PAGES)
+
+
+def site_sentences(spark, sf):
+    pages = site_pages(spark, sf)
+    return sitetext.spelt(pages, stored(sitetext.site_sentences(pages, F.col("host")), "site-sentences"), F.col("host"))
+
+
+def site_marks(spark, sf):
+    pages = site_pages(spark, sf)
+    found = stored(sitetext.site_sentences(pages, F.col("host")), "site-sentences")
+    return sitetext.mark_site_text(pages, found, F.col("host"), "text").select("url", "is_site_text", "own_text")
+
+
 def _rounded(df, *columns):
     return df.withColumns({c: F.round(c, 6) for c in columns})
 
@@ -206,6 +287,25 @@ QUERIES = {
             "by lang order by md5(concat(lang, ':', text))) as r from lines_v) where r <= " + str(SAMPLE), LINES,
         ),
     ),
+    "corpus_line_cap_sketched": (
+        sketched_lines,
+        with_views(
+            "select * exclude (r) from (select *, row_number() over (partition by lang order by "
+            f"md5(concat_ws(':', lang, cast(doc_id as varchar)))) as r from corpus_v) where r <= {SAMPLE}"
+        ),
+    ),
+    "stopword_inflections": (
+        lambda s, d: inflections.inflected_stopwords(inflected(s, d), stopwords(s, d)), with_views(FORMS_SQL, *FORMS),
+    ),
+    "site_sentences": (site_sentences, with_views("select * from sentence_v", *SITE)),
+    "site_text_marks": (
+        site_marks,
+        with_views(
+            "select s.url, coalesce(every, false) as is_site_text, case when not cut or cut is null then text "
+            r"else nullif(trim(regexp_replace(own, '[ \t\n\r\f\x{00A0}]+', ' ', 'g')), '') end as own_text "
+            "from site_pages_v s left join marked_v m on m.url = s.url", *SITE, ("marked_v", MARKED_SQL),
+        ),
+    ),
     "stopword_removal": (
         lambda s, d: ph.drop_stopwords(ph.token_rows(views.corpus(s, d)), stopwords(s, d)),
         with_views(
