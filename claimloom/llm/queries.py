@@ -162,8 +162,18 @@ ASSIGN_SQL = (
     "(" + "|".join(map(either_case, ("password", "passwd", "secret", "token", "api_?key"))) + ")"
     r"""["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
 )
-CLASS_SQL = " ".join(f"when regexp_matches(m, '{pattern}') then {bits}" for _, pattern, bits in secrets.CLASSES)
-ALLOWED_SQL = " or ".join(f"regexp_matches(m, '{pattern}')" for pattern in secrets.ALLOWED)
+# Written out here and not taken from the operator, so that a mistake there shows.
+PIECES_SQL = (
+    "(?i)(?:example|sample|dummy|placeholder|changeme|redacted|lorem)"
+    "|[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}|[0-9]{4}-[0-9]{2}-[0-9]{2}"
+)
+CLASS_SQL = (
+    "when regexp_matches(m, '^([0-9a-f-]+|[0-9A-F-]+)$') then 3.0 when regexp_matches(m, '^[A-Za-z0-9]+$') then 3.6 else 3.7"
+)
+SPARED_SQL = (
+    "(contains(m, '_') and regexp_matches(m, '^[A-Z0-9_]+$')) or regexp_matches(m, '^[a-z]+([-_/][a-z0-9]+)+$') "
+    "or not regexp_matches(m, '[A-Za-z]') or not regexp_matches(m, '[0-9]')"
+)
 OP8_SQL = f"""
 with t as (select row_number() over () as r, doc_id, coalesce(text, '') as text from documents),
 found as (
@@ -176,10 +186,17 @@ placed as (select r, kind, k, ms[i] as m, cast(list_sum(list_transform(gs[1:i],
   + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) as bigint) as a from each),
 base as (select r, kind, k, a, a + length(m) as z from placed
   where k < 4 and (k > 1 or length(regexp_extract(m, '{ASSIGN_SQL}', 2)) >= 12)),
-cand as (select r, a, m, case {CLASS_SQL} end as least from placed p where k = 4 and regexp_matches(m, '[0-9]') and not ({ALLOWED_SQL})
-  and not exists (select 1 from base b where b.r = p.r and b.a < p.a + length(p.m) and p.a < b.z)),
+cand as (select r, a, m, unnest(range(0, length(m))) as p from placed where k = 4 and regexp_matches(m, '[0-9]')),
+free as (select *, p - row_number() over (partition by r, a order by p) as g from cand c
+  where not exists (select 1 from base b where b.r = c.r and b.a <= c.a + c.p and c.a + c.p < b.z)),
+isle as (select r, a + min(p) as a, string_agg(substr(m, p + 1, 1), '' order by p) as m from free group by r, a, g),
+cuts as (select r, a, string_split_regex(m, '{PIECES_SQL}') as gs, regexp_extract_all(m, '{PIECES_SQL}') as ms from isle),
+part as (select r, gs[i] as m, cast(a + coalesce(list_sum(list_transform(gs[1:i - 1], lambda x: length(x))), 0)
+  + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) as bigint) as a
+  from (select *, unnest(range(1, len(gs) + 1)) as i from cuts)),
+left_over as (select r, a, m, case {CLASS_SQL} end as least from part where length(m) >= 20 and not ({SPARED_SQL})),
 win as (select r, a, least, w, unnest(string_split(substr(m, w + 1, 20), '')) as c
-  from (select *, unnest(range(0, length(m) - 19)) as w from cand)),
+  from (select *, unnest(range(0, length(m) - 19)) as w from left_over)),
 ent as (select r, a, least, w, -sum(n / 20 * log2(n / 20)) as h from (select r, a, least, w, c, count(*) as n from win group by all) group by all),
 spans as (select r, kind, k, a, z from base union all
   select r, 'entropy', 4, a + min(w), a + max(w) + 20 from ent where round(h, 9) >= least group by r, a),

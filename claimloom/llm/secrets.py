@@ -1,7 +1,7 @@
 """Secret scan: three fixed shapes, and sliding-window entropy over other candidate strings.
 
-A candidate is a run of token letters with a letter and a digit. A window slides
-over it; the counts of its letters change by one letter in and one letter out, and so
+A candidate is a run of token letters with a digit, or what other spans and allowed
+pieces leave of one. A window slides over it; the counts of its letters change by one letter in and one letter out, and so
 does the sum of n * log2(n) from which the Shannon entropy follows. The letters in a
 window are counted per character class of the candidate (hex, letters and digits, or
 base64), which sets the entropy that random text of the class reaches. Built-in
@@ -73,12 +73,10 @@ def windows(candidates, window):
     return steps.select(*run, "i", F.sum("step").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("sum"))
 
 
-def entropy_spans(found, base, window, classes, allowed):
+def entropy_spans(found, window, classes, allowed):
     """(doc_id, version, kind, start, end): from the first to the last window of a candidate that is random enough."""
     key = ["doc_id", "version"]
-    free = found.filter(~F.greatest(*(F.col("match").rlike(x) for x in allowed))) if allowed else found
-    a, b = free.alias("a"), base.alias("b")
-    free = a.join(b, same_doc() & (F.col("a.start") < F.col("b.end")) & (F.col("b.start") < F.col("a.end")), "left_anti")
+    free = found.filter(~F.greatest(F.lit(False), F.lit(False), *(F.col("match").rlike(x) for x in allowed)))
     least = F.lit(classes[-1][2])
     for _, pattern, bits in reversed(classes[:-1]):
         least = F.when(F.col("match").rlike(pattern), F.lit(bits)).otherwise(least)
@@ -93,14 +91,14 @@ def entropy_spans(found, base, window, classes, allowed):
     )
 
 
-def scan(docs, window=20, classes=CLASSES, allowed=ALLOWED, doc_id="doc_id", text="text", cut=False):
+def scan(docs, window=20, classes=CLASSES, allowed=ALLOWED, doc_id="doc_id", text="text"):
     """The secrets of each document, one row per row of `docs`.
 
     Columns: doc_id, version (digest of the text), secrets: array of (kind, start,
     end) by start and then kind as in KINDS; code points, end exclusive. Kind
-    `entropy` never overlaps a span of another kind. A candidate that touches another
-    span, or holds something of the allow list, is left out whole; with `cut` it is cut
-    there and its parts are looked at.
+    `entropy` never overlaps a span of another kind. A candidate is cut at other spans
+    and at PIECES, and each part of `window` letters or more is looked at by itself;
+    parts that `allowed` names are no secrets.
 
     A null or empty text has no secret. A null doc_id keeps its row. Repeated rows
     give equal rows; rows with one id and other texts are scanned apart. Whole texts
@@ -113,11 +111,8 @@ def scan(docs, window=20, classes=CLASSES, allowed=ALLOWED, doc_id="doc_id", tex
     hits = stored(matches(texts, [("assign", ASSIGN), ("access", ACCESS), ("hex", HEX), ("candidate", CANDIDATE % window)]), "secret-hits")
     value = F.regexp_extract("match", ASSIGN, 2)
     base = hits.filter((F.col("kind") != "candidate") & ((F.col("kind") != "assign") | (F.char_length(value) >= ASSIGN_CHARS)))
-    candidates = hits.filter("kind = 'candidate'")
-    if cut:
-        candidates = parts(candidates, base).filter(F.char_length("match") >= window)
-        candidates = stored(candidates.withColumn("end", F.col("start") + F.char_length("match")), "secret-parts")
-    more = entropy_spans(candidates, base, window, classes, allowed)
+    candidates = parts(hits.filter("kind = 'candidate'"), base).filter(F.char_length("match") >= window)
+    more = entropy_spans(stored(candidates, "secret-parts"), window, classes, allowed)
     rank = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
     spans = base.select(*key, *span).union(more.select(*key, *span)).groupBy(key).agg(
         F.array_sort(F.collect_list(F.struct("start", rank.alias("rank"), "end", "kind"))).alias("found")
