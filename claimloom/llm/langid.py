@@ -13,17 +13,17 @@ from pyspark.sql import functions as F
 
 from claimloom.llm.codes import chunks
 from claimloom.llm.sample import first_by_digest
-from claimloom.llm.spans import keyed
+from claimloom.llm.spans import few, keyed
 from claimloom.llm.worker import kept, portions
+from claimloom.session import stored
 from claimloom.sizing import spread
 
 UNKNOWN = "und"
 #: Hash buckets of each n-gram length, and the lengths.
 BUCKETS = 1 << 12
 ORDERS = (1, 2, 3)
-#: What is learned from, at most: documents of a language, and languages (the most frequent).
+#: What is learned from, at most: documents of a language. Every language is learned.
 PER_LANG = 500
-LANGS = 256
 SMOOTH = 0.02
 #: A second-best codeword with less than this much more loss makes a text ambiguous.
 AMBIGUOUS = 0.5
@@ -74,16 +74,16 @@ def held_out():
     return F.crc32(F.col("doc_id").cast("string")) % 4 == 2
 
 
-def profiles(rows, per_lang=PER_LANG, langs=LANGS):
+def profiles(rows, per_lang=PER_LANG):
     """{language: mean relative n-gram frequencies}, of up to `per_lang` documents each.
 
-    The documents are the first by a digest of their id. N-gram counts are summed by
-    Spark; what comes to the driver is one number per language and bucket.
+    The documents are the first by a digest of their id; of rows with one language and id that with the lowest digest of its
+    text. N-gram counts are summed by Spark; what comes to the driver is one number per language and bucket, 100 KB a language.
     """
-    counted = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(langs)
-    ids = rows.select("doc_id", "lang").join(F.broadcast(counted.select("lang")), "lang", "left_semi")
-    chosen = first_by_digest(ids, "lang", "doc_id", per_lang).select("doc_id").distinct()
-    sample = rows.join(F.broadcast(chosen), "doc_id", "left_semi").select("lang", "text")
+    ids = first_by_digest(rows.select("doc_id", "lang"), "lang", "doc_id", per_lang)
+    chosen = few(stored(ids.distinct(), "lang-sample"))
+    drawn = rows.join(chosen, ["lang", "doc_id"], "left_semi")
+    sample = drawn.groupBy("lang", "doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("lang", "text")
 
     def run(batches):
         sums = {}
@@ -158,7 +158,8 @@ class Model:
         if not self.langs:
             return [UNKNOWN] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool), n
         mean = total / np.maximum(n, 1)[:, None] * np.sqrt(np.minimum(n, SURE))[:, None]
-        loss = np.logaddexp(0, -mean[:, None, :] * self.code[None]) @ self.worth
+        # The loss log(1 + exp(-m * c)) of a bit c = -1 is that of c = 1 and m more.
+        loss = (np.logaddexp(0, -mean) @ self.worth)[:, None] + (mean * self.worth) @ ((1 - self.code.T) / 2)
         ranked = np.sort(loss, axis=1)
         best = loss.argmin(1)
         odds = np.exp(ranked[:, :1] - ranked).sum(1)
@@ -167,9 +168,9 @@ class Model:
         return langs, np.where(n > 0, 1 / odds, 0.0), close | (n == 0), n
 
 
-def train(docs, per_lang=PER_LANG, langs=LANGS):
-    """A Model of the languages of `docs` (doc_id, lang, text), held-out documents left aside."""
-    return Model(profiles(training_rows(docs), per_lang, langs))
+def train(docs, per_lang=PER_LANG):
+    """A Model of all languages of `docs` (doc_id, lang, text), held-out documents left aside."""
+    return Model(profiles(training_rows(docs), per_lang))
 
 
 def predict(docs, model, doc_id="doc_id", text="text"):

@@ -69,3 +69,46 @@ def test_long_texts_are_read_whole(spark):
     text = TEXTS["de"] * 3 + TEXTS["en"] * 30000
     total, n = model.sums([text, text[:100]])
     assert n.tolist() == [sum(map(str.isalpha, text)), sum(map(str.isalpha, text[:100]))]
+
+
+def plain_loss(model, text):
+    """Loss of each codeword, straight from its definition: n-grams, margins and bits one by one."""
+    shown = [c if c.isalpha() else " " for c in text]
+    at, margin = [i for i, c in enumerate(shown) if c != " "], np.zeros(model.code.shape[1])
+    for i in at:
+        digest = 0
+        for n in langid.ORDERS:
+            letter = shown[i + n - 1] if i + n - 1 < len(shown) else " "
+            digest = (digest + ord(letter) * int(langid.FACTORS[n - 1])) % 2**32
+            mixed = (digest ^ (digest >> 15)) * 0x2C1B3C6D % 2**32
+            margin += model.weights[(mixed >> 20) + (n - 1) * langid.BUCKETS]
+    margin *= min(len(at), langid.SURE) ** 0.5 / max(len(at), 1)
+    return [sum(w * np.log1p(np.exp(-m * c)) for w, m, c in zip(model.worth, margin, code)) for code in model.code]
+
+
+def test_decoding_against_its_definition(spark):
+    model = langid.train(frame(spark, [(i, t, lang) for i in range(40) for lang, t in TEXTS.items()] + [(i + 50, "ca va bien merci " * 2, "fr") for i in range(9)]))
+    texts = ["the dog", "der hund", "merci bien", "x9y", TEXTS["de"] + TEXTS["en"], "q"]
+    langs, score, ambiguous, n = model.predict(texts)
+    for text, lang, s, unsure in zip(texts, langs, score, ambiguous):
+        loss = np.array(plain_loss(model, text))
+        ranked = np.sort(loss)
+        assert model.langs[loss.argmin()] == lang
+        assert s == pytest.approx(1 / np.exp(ranked[0] - loss).sum(), rel=1e-4)
+        assert unsure == (ranked[1] - ranked[0] < langid.AMBIGUOUS)
+
+
+def test_every_language_is_learned(spark):
+    names = [f"l{i:03}" for i in range(300)]
+    words = {k: " ".join(chr(0x4E00 + (i * 37 + j) % 9000) * 2 for j in range(12)) for i, k in enumerate(names)}
+    rows = [(i * 8 + j, words[k], k) for i, k in enumerate(names) for j in range(3)]
+    model = langid.train(frame(spark, rows))
+    learned = {r["lang"] for r in langid.training_rows(frame(spark, rows)).select("lang").distinct().collect()}
+    assert len(learned) > 256 and set(model.langs) == learned
+    right = [lang == k for lang, k in zip(model.predict([words[k] for k in model.langs])[0], model.langs)]
+    assert sum(right) / len(right) >= 0.98
+
+
+def test_repeated_ids_do_not_grow_the_sample(spark):
+    rows = frame(spark, [(1, f"{TEXTS['en']} {i}", "en") for i in range(300)] + [(i, TEXTS["de"], "de") for i in range(9)])
+    assert langid.train(rows).langs == ["de", "en"]
