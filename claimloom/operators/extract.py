@@ -25,11 +25,9 @@ def extract_jsonld(pages):
 
 
 def _template(pages, claim):
-    """`claim` sees the page as `html` and as `lines`, which is built once per page."""
-    read = pages.filter(F.col("html").rlike(_HAS_CLAIM)).withColumn(
-        "lines", hx.visible_lines("html")
-    )
-    found = F.struct(claim.alias("claim_text"), hx.result_of("lines").alias("rating"))
+    """`claim` sees the page as `boxes`, which is built once per page."""
+    read = pages.filter(F.col("html").rlike(_HAS_CLAIM)).withColumn("boxes", hx.page_boxes("html"))
+    found = F.struct(claim.alias("claim_text"), hx.result_of("boxes").alias("rating"))
     # A filter right on the claim would be pushed down and evaluate it twice.
     rows = read.select("url", F.inline_outer(F.array(found)))
     return rows.filter(F.col("claim_text").isNotNull())
@@ -37,12 +35,12 @@ def _template(pages, claim):
 
 def extract_template_a(pages):
     """Claim and result of pages with a "Claim / Fact" box."""
-    return _template(pages, hx.template_a_claim("lines"))
+    return _template(pages, hx.template_a_claim("boxes"))
 
 
 def extract_template_b(pages):
-    """Claim and result of pages with inline strong labels."""
-    return _template(pages, hx.template_b_claim("html"))
+    """Claim and result of pages with inline bold labels."""
+    return _template(pages, hx.template_b_claim("boxes"))
 
 
 def extract_claims(pages, language=None, keep_empty=False):
@@ -64,13 +62,13 @@ def extract_claims(pages, language=None, keep_empty=False):
     # Null where the JSON-LD branch holds or no template can match, so that the
     # HTML work is done only for the pages that need it, and once.
     read = read.withColumn(
-        "lines",
-        F.when(~structured & F.col("html").rlike(_HAS_CLAIM), hx.visible_lines("html")),
+        "boxes",
+        F.when(~structured & F.col("html").rlike(_HAS_CLAIM), hx.page_boxes("html")),
     )
-    needs_html = F.col("lines").isNotNull()
+    needs_html = F.col("boxes").isNotNull()
     null = F.lit(None).cast("string")
     fallback = F.struct(
-        F.coalesce(hx.template_a_claim("lines"), hx.template_b_claim("html")).alias("claim_text"),
+        F.coalesce(hx.template_a_claim("boxes"), hx.template_b_claim("boxes")).alias("claim_text"),
         null.alias("claimant"),
         null.alias("claim_date"),
         null.alias("publisher_name"),
@@ -78,7 +76,7 @@ def extract_claims(pages, language=None, keep_empty=False):
         hx.page_title("html").alias("review_title"),
         F.col("url").alias("review_url"),
         null.alias("review_date"),
-        hx.result_of("lines").alias("rating"),
+        hx.result_of("boxes").alias("rating"),
         null.alias("language"),
     )
     claims = F.when(needs_html, F.array(fallback)).otherwise(F.col("found"))

@@ -1,6 +1,7 @@
 """Extraction on literal pages."""
 
 import hashlib
+import time
 from urllib.parse import urljoin
 
 import pytest
@@ -181,3 +182,33 @@ def test_rules_of_a_large_host_are_looked_up(spark):
     out = allowed_urls(df, rules)
     assert {r["url"] for r in out.collect()} == want and 0 < len(want) < len(urls)
     assert "StartsWith" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("page,claim", [
+    # Label, text and fact in boxes of their own within one box; attributes that hold tags' ends.
+    ('<div class="a>b"><div data-x=\'1 > 0\'><span title="x > y"><b>Claim</b></span></div><div><div>deep <i a=">">text</i></div></div><div><b>Fact</b></div><div>f</div></div>', "deep text"),
+    # A box without a fact label ends there: that of another box is not its end.
+    ("<div><b>Claim</b><p>open end</p></div><div><p>other</p></div><aside><b>Fact</b><p>f</p></aside>", None),
+    ("<div><b>Claim</b><p>lost</p></div><p>between</p><div><b>Claim</b><p>kept</p><b>Fact</b></div>", "kept"),
+    # Neighbouring boxes, and boxes left open.
+    ("<div><h3>Claim:</h3><p>side</p></div><div><h3>Fact:</h3><p>f</p></div>", "side"),
+    ("<nav><ul><li>Claim<li>Fact</ul></nav><section><div><b>Claim</b></div><p>first<p>second<div>Fact</div>", "first second"),
+    ("<p><strong class='x>y'><span>Claim –</span></strong> a <b>bold</b><br>b <b>Fact –</b> f</p>", "a bold b"),
+    ("<div><p><strong>Claim –</strong> no end of paragraph</div><p>elsewhere</p>", "no end of paragraph"),
+    ("<p><b><strong>Claim:</strong></b> one<p>two</p>", "one"),
+    ("<p>Claim – is no label</p><p><em>Claim –</em> nor this</p>", None),
+    ("<p title=don't><strong>Claim –</strong> quote</p>", "quote"),
+])
+def test_nested_and_attribute_heavy_markup(spark, page, claim):
+    rows = run(spark, f"<html><body>{page}</body></html>")
+    assert [r["claim_text"] for r in rows] == ([claim] if claim else [])
+
+
+@pytest.mark.parametrize("piece", ["<div", "<div>", "<strong>Claim –</strong>", "<p title=\"", "<b>Claim</b><p>x", "<script>", "Claim\n<br>", "<!--", "</div>Fact<br>"])
+def test_unclosed_tags_take_linear_time(spark, piece):
+    def seconds(n):
+        start = time.perf_counter()
+        run(spark, "claim " + piece * (n // len(piece)), keep_empty=True)
+        return time.perf_counter() - start
+    seconds(1000)
+    assert seconds(800_000) < 20
