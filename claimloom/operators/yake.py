@@ -33,11 +33,22 @@ def yake_batches(docs, size=1000, id="doc_id", languages=schemas.LANGUAGES):
     )
 
 
+# Bytes of text that a task scores: its tokens, some 50 bytes of rows each and three phrases a token, stay in memory.
+PLACED_BYTES = 4 << 20
+
+
+def _placed(batches, id):
+    """Whole texts by (lang, batch), in as many partitions as keep their tokens from being spilled."""
+    docs = batches.select("lang", "batch", id, "text")
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
+    tasks = max(docs.sparkSession.sparkContext.defaultParallelism, -(-size // PLACED_BYTES))
+    return docs.repartition(int(tasks), "lang", "batch")
+
+
 def _sentences(batches, id):
     """One row per sentence: (lang, batch, s), with `sent` counted over the batch."""
-    docs = batches.select("lang", "batch", id, sentence_tokens("text").alias("sents"))
     # The one shuffle before the phrases are merged: whole documents, placed by batch.
-    docs = docs.repartition("lang", "batch")
+    docs = _placed(batches, id).select("lang", "batch", id, sentence_tokens("text").alias("sents"))
     before = Window.partitionBy("lang", "batch").orderBy(id).rowsBetween(
         Window.unboundedPreceding, -1
     )
@@ -58,12 +69,9 @@ def _stop_marks(rows, stopwords, name="term"):
     return marked.withColumn("stop", F.col("_stop").isNotNull()).drop("_stop")
 
 
-PLACE, LEFT, RIGHT = 0, 1, 2
-
-
-def _marks(sentences):
-    """Per token: one row for its place and one for each neighbour in the sentence."""
-    occurrences = sentences.withColumn("t", F.transform("s", lambda x: F.lower(x))).selectExpr(
+def _occurrences(sentences):
+    """One row per token: its sentence, its place in it, its neighbours and how it is spelt."""
+    rows = sentences.withColumn("t", F.transform("s", lambda x: F.lower(x))).selectExpr(
         "lang", "batch", "sent",
         "posexplode_outer(arrays_zip(s, t, slice(t, 2, size(t)), "
         "concat(array(cast(null as string)), t))) as (pos, z)",
@@ -72,23 +80,15 @@ def _marks(sentences):
         "z.s as raw", "z.t as term", "z.`2` as right", "z.`3` as left",
     )
     capital = (F.col("pos") > 0) & F.col("raw").rlike(CAPITAL)
-    zero = F.lit(0)
+    return rows.filter(F.col("term").isNotNull()).select(
+        "lang", "batch", "term", "sent", "left", "right",
+        (F.shiftleft(F.col("sent").cast("bigint"), SENT_BITS) + F.col("pos")).alias("place"),
+        F.col("raw").rlike(ACRONYM).cast("int").alias("acronym"), capital.cast("int").alias("capital"),
+    )
 
-    def mark(kind, at, near, acronym=zero, capital=zero):
-        return F.struct(
-            F.lit(kind).alias("kind"), "term", at.cast("bigint").alias("at"),
-            near.cast("string").alias("near"), acronym.alias("acronym"), capital.alias("capital"),
-        )
 
-    rows = occurrences.filter(F.col("term").isNotNull()).select("lang", "batch", F.inline_outer(F.array(
-        mark(
-            PLACE, F.col("sent"), F.lit(None),
-            F.col("raw").rlike(ACRONYM).cast("int"), capital.cast("int"),
-        ),
-        mark(LEFT, F.lit(None), F.col("left")),
-        mark(RIGHT, F.lit(None), F.col("right")),
-    )))
-    return rows.filter((F.col("kind") == PLACE) | F.col("near").isNotNull())
+# A token's place in a batch is one number: its sentence above these bits, its position below.
+SENT_BITS = 32
 
 
 def yake_terms(batches, id="doc_id", stopwords=None):
@@ -97,50 +97,23 @@ def yake_terms(batches, id="doc_id", stopwords=None):
     The mean and deviation of the frequency are those of the terms that are no stopwords,
     if the batch has any.
     """
-    return _terms(_sentences(batches, id), stopwords)
+    return _terms(_sentences(batches, id), stopwords).drop("stop", "places")
 
 
 def _terms(sentences, stopwords):
-    # One row per term and sentence, and per term and neighbour: distinct counts
-    # become plain counts of these rows.
-    seen = _marks(sentences).groupBy(
-        "lang", "batch", "term", "kind", "at", "near"
-    ).agg(
-        F.count(F.lit(1)).alias("c"),
+    """Features of each term of each batch, whether it is a stopword, and the places of its tokens."""
+    stats = _occurrences(sentences).groupBy("lang", "batch", "term").agg(
+        F.count(F.lit(1)).alias("tf"),
         F.sum("acronym").alias("acronyms"),
         F.sum("capital").alias("capitals"),
-    )
-    # The digest comes first so that the sort compares numbers; the term follows,
-    # so that equal digests do not mix terms.
-    group = Window.partitionBy("digest", "lang", "batch", "term", "kind")
-    upto = F.sum("c").over(group.orderBy("at").rowsBetween(Window.unboundedPreceding, 0))
-    placed = seen.withColumn("digest", F.xxhash64("lang", "batch", "term")).withColumns(
-        {"upto": upto, "total": F.sum("c").over(group)}
-    )
-
-    def middle(offset):
-        # Sentence of the occurrence at this place when all are in order.
-        place = F.floor((F.col("total") - 1 + offset) / 2)
-        here = (F.col("upto") > place) & (F.col("upto") - F.col("c") <= place)
-        return F.max(F.when((F.col("kind") == PLACE) & here, F.col("at")))
-
-    def total(kind):
-        return F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("c"))), F.lit(0))
-
-    def distinct(kind):
-        return F.count_if(F.col("kind") == kind)
-
-    stats = placed.groupBy("lang", "batch", "term").agg(
-        total(PLACE).alias("tf"),
-        F.sum("acronyms").alias("acronyms"),
-        F.sum("capitals").alias("capitals"),
-        ((middle(0) + middle(1)) / 2).alias("median_sent"),
-        distinct(PLACE).alias("sents"),
-        total(LEFT).alias("lefts"),
-        distinct(LEFT).alias("distinct_lefts"),
-        total(RIGHT).alias("rights"),
-        distinct(RIGHT).alias("distinct_rights"),
-        F.max("at").alias("last_sent"),
+        F.median("sent").alias("median_sent"),
+        F.size(F.collect_set("sent")).alias("sents"),
+        F.count("left").alias("lefts"),
+        F.size(F.collect_set("left")).alias("distinct_lefts"),
+        F.count("right").alias("rights"),
+        F.size(F.collect_set("right")).alias("distinct_rights"),
+        F.max("sent").alias("last_sent"),
+        F.collect_list("place").alias("places"),
     )
     batch = Window.partitionBy("lang", "batch")
     # Each sentence holds a token, so the last index counts the sentences.
@@ -168,7 +141,7 @@ def _terms(sentences, stopwords):
     )
     return features.select(
         "lang", "batch", "term", "tf",
-        "f_case", "f_pos", "f_norm", "f_rel", "f_sent", score.alias("score"),
+        "f_case", "f_pos", "f_norm", "f_rel", "f_sent", score.alias("score"), "stop", "places",
     )
 
 
@@ -176,18 +149,16 @@ def yake_phrases(batches, stopwords=None, ns=(1, 2, 3), id="doc_id"):
     """Score of each candidate phrase of each batch: the product of its terms' scores over kf * (1 + their sum).
 
     A candidate lies within a sentence and neither begins nor ends with a stopword; one in
-    the middle adds nothing to product and sum. Each token gets its term's score, then
-    the tokens are lined up: every step works on the placement by (lang, batch), as
-    long as the session lets a join do with part of its keys (`session.get_spark`).
+    the middle adds nothing to product and sum. Each term is scored with the places of its tokens,
+    and the tokens are then lined up by them: every step works on the placement by (lang, batch), and
+    tokens and scores never have to be joined.
     """
     if not set(ns) <= {1, 2, 3}:
         raise ValueError("phrases of one to three tokens are supported")
-    sentences = _sentences(batches, id)
-    tokens = sentences.select("lang", "batch", "sent", F.posexplode_outer("s").alias("pos", "raw"))
-    tokens = tokens.select("lang", "batch", "sent", "pos", F.lower("raw").alias("term"))
-    scores = _stop_marks(_terms(sentences, stopwords).select("lang", "batch", "term", "score"), stopwords)
-    scored = tokens.join(scores.hint("merge"), ["lang", "batch", "term"])
-    line = Window.partitionBy("lang", "batch", "sent").orderBy("pos")
+    terms = _terms(_sentences(batches, id), stopwords)
+    scored = terms.select("lang", "batch", "term", "score", "stop", F.explode_outer("places").alias("place"))
+    scored = scored.withColumn("sent", F.shiftright("place", SENT_BITS))
+    line = Window.partitionBy("lang", "batch", "sent").orderBy("place")
     near = scored.select(
         "lang", "batch",
         *(F.lead(c, i).over(line).alias(f"{name}{i + 1}") for c, name in (("term", "t"), ("score", "s"), ("stop", "stop")) for i in range(3)),

@@ -241,3 +241,22 @@ def test_frequent_phrases_count_few_grams(spark, path, monkeypatch):
     ph.frequent_phrases(docs, 20).collect()
     every = ph.ngram_counts(docs).count()
     assert sizes["counted-grams"] + sizes.get("more-counted-grams", 0) < every / 10
+
+
+def test_tokens_are_shuffled_once_whatever_the_session_says(spark, path, monkeypatch):
+    """No join meets tokens and scores, and the partitions that hold the tokens grow in number with the text."""
+    monkeypatch.setattr(yake, "PLACED_BYTES", 1 << 14)
+    conf = {"spark.sql.requireAllClusterKeysForCoPartition": "true", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        b = yake.yake_batches(views.corpus(spark, path), 10, languages=("hi", "gu", "mr", "es"))
+        plan = yake.yake_phrases(b)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning(lang" in line and "batch" in line]
+    assert len(dealt) == 1 and "SortMergeJoin" not in plan
+    size = b.agg(F.sum(F.octet_length("text"))).first()[0]
+    assert f", {-(-size // (1 << 14))})" in dealt[0] and size > 8 << 14
