@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 
 from claimloom import schemas
@@ -99,3 +100,50 @@ def test_empty(spark, tmp_path):
     assert csvsplit.records(spark, str(tmp_path)).collect() == []
     (tmp_path / "x.csv").write_text(",".join(schemas.RAW_COLUMNS) + "\n")
     assert scans.read_claims(spark, str(tmp_path)).collect() == []
+
+
+def test_broken_lines_are_not_shuffled(spark, tmp_path, small, monkeypatch):
+    """Of a file whose records all span lines, only the ends of splits leave their task; also if the states of splits are not broadcast."""
+    body = "a,b,c\n" + "".join(f'{i},"one\ntwo, ""said""\n\n{i}",z\n' for i in range(500))
+    (tmp_path / "x.csv").write_text(body)
+    want = rows(scans.read_claims(spark, str(tmp_path), COLUMNS, split=False))
+    small(2000)
+    kept, real = {}, csvsplit.stored
+    monkeypatch.setattr(csvsplit, "stored", lambda df, name: kept.setdefault(name, real(df, name)))
+    df = scans.read_claims(spark, str(tmp_path), COLUMNS)
+    assert rows(df) == want and len(want) == 500
+    splits = csvsplit.lines(spark, str(tmp_path)).rdd.getNumPartitions()
+    assert splits > 5 and 0 < kept["csv-parts"].count() <= 2 * splits
+    assert "Exchange hashpartitioning(file" in (plan := df._jdf.queryExecution().executedPlan().toString())
+    assert "FileScan text" not in plan.split("Exchange hashpartitioning(file")[-1]
+    monkeypatch.setattr(csvsplit, "is_small", lambda df: False)
+    kept.clear()
+    assert rows(scans.read_claims(spark, str(tmp_path), COLUMNS)) == want
+
+
+def test_records_over_splits_and_batches():
+    """Whole records and ends of splits make up the file, wherever splits and batches begin."""
+    rng = random.Random(5)
+    for _ in range(300):
+        records = [rng.choice(["plain", "", 'a,"b"', '"x\ny"', '"\n\n"', '"l\n""q""\n\nz",1']) for _ in range(rng.randrange(1, 25))]
+        data, inside, at, k = [], False, 0, 0
+        for line in "\n".join(records).split("\n"):
+            if not data or rng.random() < 0.2:
+                at, within = at + 10, inside
+            data.append({"file": "f", "split": at, "value": line, "within": within, "header": k == 0})
+            inside, k = inside ^ (line.count('"') % 2 == 1), k + 1
+        table, size = pa.Table.from_pylist(data), rng.randrange(1, 12)
+
+        def run(ends):
+            return [r for b in csvsplit._records(ends)(iter(table.to_batches(size))) for r in b.to_pylist()]
+
+        joined, header = [], None
+        for part in sorted(run(True), key=lambda r: (r["split"], r["place"])):
+            if part["place"] == csvsplit.LAST:
+                joined.append(part["value"])
+                header = (len(joined) - 1) if part["header"] else header
+            else:
+                joined[-1] += "\n" + part["value"]
+        if header is not None:
+            del joined[header]
+        assert sorted([r["value"] for r in run(False)] + joined) == sorted(records[1:])
