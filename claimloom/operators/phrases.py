@@ -83,6 +83,17 @@ def _blank_stopwords(rows, stopwords, columns):
     return rows
 
 
+def _token_rows(tokens, longest, keep, stopwords):
+    """One row (t1, t2, t3) per token: it and the two behind it, null for a stopword among the first `longest`."""
+    rows = tokens.selectExpr(
+        *keep,
+        "inline_outer(arrays_zip(t, slice(t, 2, size(t)), slice(t, 3, size(t)))) as (t1, t2, t3)",
+    ).filter("t1 is not null")
+    if stopwords is not None:
+        rows = _blank_stopwords(rows, stopwords, ("t1", "t2", "t3")[:longest])
+    return rows
+
+
 def gram_rows(tokens, ns=(1, 2, 3), keep=("lang",), stopwords=None):
     """Rows with a token array `t` → one row (n, t1, t2, t3) per 1-, 2- or 3-gram.
 
@@ -91,12 +102,7 @@ def gram_rows(tokens, ns=(1, 2, 3), keep=("lang",), stopwords=None):
     """
     if not set(ns) <= {1, 2, 3}:
         raise ValueError("grams of one to three tokens are supported")
-    rows = tokens.selectExpr(
-        *keep,
-        "inline_outer(arrays_zip(t, slice(t, 2, size(t)), slice(t, 3, size(t)))) as (t1, t2, t3)",
-    ).filter("t1 is not null")
-    if stopwords is not None:
-        rows = _blank_stopwords(rows, stopwords, ("t1", "t2", "t3")[: max(ns)])
+    rows = _token_rows(tokens, max(ns), keep, stopwords)
     none = F.lit(None).cast("string")
 
     def gram(n):
@@ -116,17 +122,63 @@ def gram_rows(tokens, ns=(1, 2, 3), keep=("lang",), stopwords=None):
     )
 
 
+def _longest_rows(tokens, longest, single, keep, stopwords):
+    """One row (t1, gram) per token for itself, without a gram, if `single`, and one for the longest gram of two to `longest` tokens that it begins.
+
+    `group` is a number of the second token of the gram.
+    """
+    rest = ["t2"] if longest == 2 else ["t2", F.when(F.col("t2").isNotNull(), F.col("t3"))]
+    most = F.struct("t1", F.pmod(F.xxhash64("t2"), F.lit(GROUPS)).alias("group"), F.concat_ws(" ", "t1", *rest).alias("gram"))
+    alone = F.struct("t1", F.lit(None).cast("bigint").alias("group"), F.lit(None).cast("string").alias("gram"))
+    both = [F.when(F.col("t2").isNotNull(), most)] + [alone] * single
+    rows = _token_rows(tokens, longest, keep, stopwords).filter(F.col("t1").isNotNull())
+    return rows.select(*keep, F.explode_outer(F.array(*both)).alias("g")).filter(F.col("g").isNotNull()).select(*keep, "g.*")
+
+
+# Bytes of text whose grams are put together before any is shuffled.
+PORTION_BYTES = 16 << 20
+# The grams that begin with one token are dealt by their second token into so many groups, since a third of all grams may begin with few tokens.
+GROUPS = 64
+
+
 def ngram_counts(docs, ns=(1, 2, 3), stopwords=None):
     """Frequency of each gram per language, over whole lines.
 
-    Counts are summed in the map tasks first, so a frequent gram or a large
-    language does not make a large partition.
+    Lines are dealt into portions of about PORTION_BYTES. What is shuffled of a portion are its tokens with their counts, and for each
+    task that counts, one text of the longest grams, in order, so that it compresses. Grams of two tokens are counted from the longest
+    ones that begin with them, which go where their first token and the group of the second say.
     """
-    tokens = docs.select("lang", tokenize("text").alias("t"))
-    counts = gram_rows(tokens, ns, ["lang"], stopwords).groupBy("lang", "n", "t1", "t2", "t3").agg(
-        F.count(F.lit(1)).alias("freq")
+    longest = max(ns)
+    if longest == 1:
+        counts = gram_rows(docs.select("lang", tokenize("text").alias("t")), ns, ["lang"], stopwords)
+        counts = counts.groupBy("lang", "n", "t1", "t2", "t3").agg(F.count(F.lit(1)).alias("freq"))
+        return counts.select("lang", "n", F.col("t1").alias("phrase"), "freq")
+    if not set(ns) <= {1, 2, 3}:
+        raise ValueError("grams of one to three tokens are supported")
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
+    tasks = int(max(docs.sparkSession.sparkContext.defaultParallelism, -(-size // PORTION_BYTES)))
+    # By what the line is and where it was read, so that copies are spread and a task that runs again deals as before.
+    dealt = docs.select(F.pmod(F.xxhash64(F.spark_partition_id(), *docs.columns), F.lit(tasks)).cast("int").alias("part"), "lang", "text")
+    tokens = dealt.repartitionById(tasks, "part").select("part", "lang", tokenize("text").alias("t"))
+    rows = _longest_rows(tokens, longest, 1 in ns, ["part", "lang"], stopwords)
+    to = F.pmod(F.xxhash64("lang", "t1", "group"), F.lit(tasks)).cast("int").alias("to")
+    token = F.when(F.col("gram").isNull(), F.col("t1")).alias("token")
+    packed = rows.select("part", "lang", to, token, "gram").groupBy("part", "lang", "to", "token").agg(
+        F.count(F.lit(1)).alias("freq"), F.array_join(F.sort_array(F.collect_list("gram")), "\n").alias("grams")
+    )
+    placed = packed.drop("part").repartitionById(tasks, "to")
+    single = F.col("token").isNotNull()
+    each = placed.select(
+        "lang", "to", "token", F.when(single, F.col("freq")).otherwise(1).alias("freq"), F.explode_outer(F.split("grams", "\n")).alias("gram")
     )
-    return counts.select("lang", "n", F.concat_ws(" ", "t1", "t2", "t3").alias("phrase"), "freq")
+    long = F.length(F.translate("gram", " ", "")) + 2 == F.length("gram")
+    phrases = {
+        1: F.when(single, F.col("token")), 2: F.when(~single, F.substring_index("gram", " ", 2)), 3: F.when(~single & long, F.col("gram")),
+    }
+    some = [F.when(phrases[n].isNotNull(), F.struct(F.lit(n).alias("n"), phrases[n].alias("phrase"))) for n in sorted(set(ns))]
+    each = each.select("lang", "to", "freq", F.explode_outer(F.array(*some)).alias("g")).filter(F.col("g").isNotNull())
+    counts = each.select("lang", "to", "freq", "g.*").groupBy("lang", "to", "n", "phrase").agg(F.sum("freq").alias("freq"))
+    return counts.select("lang", "n", "phrase", "freq")
 
 
 def top_phrases(counts, n=200, per_length=False):

@@ -260,3 +260,30 @@ def test_tokens_are_shuffled_once_whatever_the_session_says(spark, path, monkeyp
     assert len(dealt) == 1 and "SortMergeJoin" not in plan
     size = b.agg(F.sum(F.octet_length("text"))).first()[0]
     assert f", {-(-size // (1 << 14))})" in dealt[0] and size > 8 << 14
+
+
+def test_grams_of_portions_and_groups_are_counted_together(spark, monkeypatch):
+    """Every choice of lengths, with copies, lines without words or language, and stopwords, dealt into many portions."""
+    monkeypatch.setattr(ph, "PORTION_BYTES", 1 << 9)
+    rng = random.Random(3)
+    words = [f"w{int(rng.paretovariate(0.9))}" for _ in range(3000)]
+    rows = [(("hi", "gu", None)[k % 3], " ".join(words[k * 9:k * 9 + rng.randrange(9)])) for k in range(300)] + [("hi", "w1 w2 w3")] * 50 + [("mr", None)]
+    docs = spark.createDataFrame(rows, "lang string, text string")
+    for ns in ((1,), (2,), (3,), (1, 2), (1, 3), (2, 3), (1, 2, 3)):
+        for stop in (set(), {("hi", "w1"), ("gu", "w2")}):
+            table = spark.createDataFrame(sorted(stop), "lang string, token string") if stop else None
+            want = Counter()
+            for lang, text in rows:
+                for n in ns:
+                    want.update((lang, n, " ".join(g)) for g in grams((text or "").split(), n) if not any((lang, t) in stop for t in g))
+            got = ph.ngram_counts(docs, ns, table).collect()
+            assert Counter({(r["lang"], r["n"], r["phrase"]): r["freq"] for r in got}) == want and len(got) == len(want)
+
+
+def test_counting_grams_shuffles_less_than_they_take(spark, path, tmp_path):
+    """One text a counting task and portion, and no row per gram."""
+    plan = ph.ngram_counts(views.corpus(spark, path))._jdf.queryExecution().executedPlan().toString()
+    dealt = [line for line in plan.splitlines() if "Exchange" in line and "hashpartitioning(doc_id" not in line]
+    assert len(dealt) == 2 and all("shufflepartitionidpassthrough" in line for line in dealt)
+    packed = plan[plan.index(dealt[0]):plan.index(dealt[1])]
+    assert "collect_list(gram" in packed
