@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from claimloom import schemas
 from claimloom.functions.text import sentence_tokens
 from claimloom.operators.dedupe import top_k
-from claimloom.operators.phrases import stop_table, line_digest
+from claimloom.operators.phrases import MOST_BUCKETS, line_digest, stop_table
+from claimloom.session import stored
+from claimloom.sizing import broadcast_if_small
 
 ACRONYM = r"^\p{Lu}[\p{Lu}\p{Nd}]+$"
 CAPITAL = r"^\p{Lu}"
@@ -187,13 +189,51 @@ def yake_phrases(batches, stopwords=None, ns=(1, 2, 3), id="doc_id"):
     )
 
 
+# Buckets that the phrases of a language are dealt to, to bound their scores. Up to so many scores are merged without bounds.
+BUCKETS = 1 << 15
+FEW = 1 << 20
+
+
+def _merged(scores, digits):
+    return scores.groupBy("lang", "phrase").agg(
+        F.round(F.avg("score"), digits).alias("score"), F.count(F.lit(1)).alias("batches")
+    )
+
+
 def merge_yake(scores, n=200, digits=8):
     """One ranked list per language: mean score over the batches of a phrase.
 
     Scores are rounded before ranking, since the order of a floating-point sum is
     not fixed; ties go by phrase.
+
+    No mean is below the lowest score in the bucket of its phrase. So the phrases of the buckets with the lowest scores are merged, all
+    their batches; the n-th of them is a threshold, and only buckets with a score that reaches it too are merged then. Phrases of the
+    others are not shuffled; `scores` are computed once for the bounds and once (seldom twice) for the means.
     """
-    merged = scores.groupBy("lang", "phrase").agg(
-        F.round(F.avg("score"), digits).alias("score"), F.count(F.lit(1)).alias("batches")
-    )
-    return top_k(merged, ["lang"], [F.col("score"), F.col("phrase")], n)
+    scores = scores.select("lang", "phrase", "score")
+    keyed = scores.withColumn("bucket", F.pmod(F.xxhash64("phrase"), F.lit(BUCKETS)).cast("int"))
+    # A mean without scores is null and comes first.
+    low = F.min(F.coalesce("score", F.lit(float("-inf"))))
+    bounds = stored(keyed.groupBy("lang", "bucket").agg(low.alias("low"), F.count(F.lit(1)).alias("rows")), "score-bounds")
+    if (bounds.agg(F.sum("rows")).first()[0] or 0) <= FEW:
+        return top_k(_merged(scores, digits), ["lang"], [F.col("score"), F.col("phrase")], n)
+    lowest = stored(top_k(bounds, ["lang"], [F.col("low"), F.col("bucket")], 4 * n, rank="_rank").select("lang", "bucket"), "low-buckets")
+
+    def merged(picked, name):
+        few = broadcast_if_small(picked.select(F.col("lang").alias("_lang"), F.col("bucket").alias("_bucket")), max_rows=MOST_BUCKETS)
+        held = keyed.join(few, keyed["lang"].eqNullSafe(few["_lang"]) & (keyed["bucket"] == few["_bucket"]), "left_semi")
+        return stored(_merged(held, digits), name)
+
+    first = merged(lowest, "low-phrases")
+    order = [F.col("score"), F.col("phrase")]
+    # One row a language; one with fewer than `n` phrases has all its buckets merged already.
+    least = top_k(first, ["lang"], order, n).groupBy(F.col("lang").alias("_lang")).agg(F.max("score").alias("most"))
+    slack = F.lit(10.0 ** -digits) + F.abs("most") * 1e-9  # of rounding
+    least = broadcast_if_small(stored(least.select("_lang", (F.col("most") + slack).alias("most")), "score-thresholds"))
+    rest = bounds.join(least, bounds["lang"].eqNullSafe(least["_lang"])).filter(F.col("most").isNull() | (F.col("low") <= F.col("most")))
+    known = lowest.select(F.col("lang").alias("_known"), F.col("bucket").alias("_bucket"))
+    rest = rest.join(known, F.col("lang").eqNullSafe(F.col("_known")) & (F.col("bucket") == F.col("_bucket")), "left_anti").select("lang", "bucket")
+    rest = stored(rest, "other-buckets")
+    if not rest.isEmpty():
+        first = first.unionByName(merged(rest, "other-phrases"))
+    return top_k(first, ["lang"], order, n)

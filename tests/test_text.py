@@ -287,3 +287,35 @@ def test_counting_grams_shuffles_less_than_they_take(spark, path, tmp_path):
     assert len(dealt) == 2 and all("shufflepartitionidpassthrough" in line for line in dealt)
     packed = plan[plan.index(dealt[0]):plan.index(dealt[1])]
     assert "collect_list(gram" in packed
+
+
+def test_merged_scores_equal_the_full_ranking(spark, monkeypatch):
+    """With ties, low scores beside high ones, languages of few phrases or none, missing scores, and buckets that hold many phrases."""
+    rng = random.Random(5)
+    rows = [(("hi", "gu", None)[k % 3], f"p{int(rng.paretovariate(0.7))}", rng.choice([0.5, 1e-9, rng.random(), rng.random() ** 6])) for k in range(4000)]
+    rows += [("mr", "one", 0.25), ("mr", "two", None), ("mr", "two", 0.5), ("gu", "none", None)]
+    scores = spark.createDataFrame(rows, "lang string, phrase string, score double")
+    for n, buckets in ((1, 1 << 15), (7, 1 << 15), (40, 97), (3, 5), (5000, 64)):
+        monkeypatch.setattr(yake, "BUCKETS", buckets)
+        monkeypatch.setattr(yake, "FEW", 1 << 20)
+        want = yake.merge_yake(scores, n)
+        monkeypatch.setattr(yake, "FEW", 0)
+        got = yake.merge_yake(scores, n)
+        assert got.columns == want.columns and sorted(map(repr, got.collect())) == sorted(map(repr, want.collect())), (n, buckets)
+
+
+def test_merging_scores_shuffles_few_phrases(spark, monkeypatch):
+    """Of many phrases with other scores less than a fifth is merged."""
+    sizes, real = {}, yake.stored
+
+    def stored(df, name):
+        sizes[name] = (out := real(df, name)).count()
+        return out
+
+    monkeypatch.setattr(yake, "stored", stored)
+    monkeypatch.setattr(yake, "FEW", 0)
+    base = F.pmod(F.xxhash64(F.col("id") % 40_000), F.lit(1_000_003)) / 1_000_003
+    scores = spark.range(100_000).select(
+        F.lit("hi").alias("lang"), F.concat(F.lit("p"), F.col("id") % 40_000).alias("phrase"), (base * (1 + F.col("id") % 7)).alias("score"))
+    assert yake.merge_yake(scores, 20).count() == 20
+    assert sizes["low-phrases"] + sizes.get("other-phrases", 0) < 40_000 / 5
