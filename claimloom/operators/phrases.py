@@ -4,7 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from claimloom import schemas
-from claimloom.functions.text import tokenize
+from claimloom.functions.text import pack, tokenize, unpack
 from claimloom.operators.dedupe import PARTS, top_k
 from claimloom.session import stored
 from claimloom.sizing import broadcast_if_small, is_small
@@ -145,7 +145,7 @@ def ngram_counts(docs, ns=(1, 2, 3), stopwords=None):
     """Frequency of each gram per language, over whole lines.
 
     Lines are dealt into portions of about PORTION_BYTES. What is shuffled of a portion are its tokens with their counts, and for each
-    task that counts, one text of the longest grams, in order, so that it compresses. Grams of two tokens are counted from the longest
+    task that counts, one text of the longest grams, in order, so that it compresses, with one byte a letter (`pack`). Grams of two tokens are counted from the longest
     ones that begin with them, which go where their first token and the group of the second say.
     """
     longest = max(ns)
@@ -158,15 +158,16 @@ def ngram_counts(docs, ns=(1, 2, 3), stopwords=None):
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
     tasks = int(max(docs.sparkSession.sparkContext.defaultParallelism, -(-size // PORTION_BYTES)))
     # By what the line is and where it was read, so that copies are spread and a task that runs again deals as before.
-    dealt = docs.select(F.pmod(F.xxhash64(F.spark_partition_id(), *docs.columns), F.lit(tasks)).cast("int").alias("part"), "lang", "text")
-    tokens = dealt.repartitionById(tasks, "part").select("part", "lang", tokenize("text").alias("t"))
+    part = F.pmod(F.xxhash64(F.spark_partition_id(), *docs.columns), F.lit(tasks)).cast("int").alias("part")
+    dealt = docs.select(part, "lang", "text").withColumn("text", pack("text")).repartitionById(tasks, "part")
+    tokens = dealt.withColumn("text", unpack("text")).select("part", "lang", tokenize("text").alias("t"))
     rows = _longest_rows(tokens, longest, 1 in ns, ["part", "lang"], stopwords)
     to = F.pmod(F.xxhash64("lang", "t1", "group"), F.lit(tasks)).cast("int").alias("to")
     token = F.when(F.col("gram").isNull(), F.col("t1")).alias("token")
     packed = rows.select("part", "lang", to, token, "gram").groupBy("part", "lang", "to", "token").agg(
         F.count(F.lit(1)).alias("freq"), F.array_join(F.sort_array(F.collect_list("gram")), "\n").alias("grams")
     )
-    placed = packed.drop("part").repartitionById(tasks, "to")
+    placed = packed.drop("part").withColumn("grams", pack("grams")).repartitionById(tasks, "to").withColumn("grams", unpack("grams"))
     single = F.col("token").isNotNull()
     each = placed.select(
         "lang", "to", "token", F.when(single, F.col("freq")).otherwise(1).alias("freq"), F.explode_outer(F.split("grams", "\n")).alias("gram")

@@ -10,7 +10,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from claimloom import schemas
-from claimloom.functions.text import sentence_tokens
+from claimloom.functions.text import pack, sentence_tokens, unpack
 from claimloom.operators.dedupe import top_k
 from claimloom.operators.phrases import MOST_BUCKETS, line_digest, stop_table
 from claimloom.session import stored
@@ -44,7 +44,8 @@ def _placed(batches, id):
     docs = batches.select("lang", "batch", id, "text")
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
     tasks = max(docs.sparkSession.sparkContext.defaultParallelism, -(-size // PLACED_BYTES))
-    return docs.repartition(int(tasks), "lang", "batch")
+    placed = docs.withColumn("text", pack("text")).repartition(int(tasks), "lang", "batch")
+    return placed.withColumn("text", unpack("text"))
 
 
 def _sentences(batches, id):

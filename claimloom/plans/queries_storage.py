@@ -11,7 +11,7 @@ from claimloom.plans.queries_claims import KEPT, KEPT_SQL, MERGED_SQL, PRIORITY,
 from claimloom.plans.queries_pages import BOILERPLATE_TEXT, C, E
 from claimloom.plans.queries_text import (
     FREQUENT, LINES, MERGED_YAKE, PICKED, TOP, YP,
-    corpus_lines, frequent, phrase_scores,
+    corpus_lines, frequent, phrase_scores, stopwords,
 )
 from claimloom.operators.yake import merge_yake
 from claimloom.plans.views import with_views
@@ -118,9 +118,9 @@ def merged_files(spark, sf):
 
 
 def phrase_files(spark, sf):
-    path = new_path(spark, "phrases")
-    counted = frequent(spark, sf).withColumn("method", F.lit("frequent_ngrams"))
-    scored = merge_yake(phrase_scores(spark, sf), TOP).withColumn("method", F.lit("yake_phrases"))
+    path, stop = new_path(spark, "phrases"), stopwords(spark, sf)
+    counted = frequent(spark, sf, stop).withColumn("method", F.lit("frequent_ngrams"))
+    scored = merge_yake(phrase_scores(spark, sf, stop), TOP).withColumn("method", F.lit("yake_phrases"))
     sinks.write_phrases(
         counted.unionByName(scored.drop("batches"), allowMissingColumns=True), path
     )

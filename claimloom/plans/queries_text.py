@@ -147,17 +147,16 @@ def stopwords(spark, sf):
 
 
 def batches(spark, sf):
-    return yake.yake_batches(views.corpus(spark, sf), BATCH, languages=LANGS)
+    return yake.yake_batches(views.corpus_as_read(spark, sf), BATCH, languages=LANGS)
 
 
-def frequent(spark, sf):
-    return ph.top_phrases(
-        ph.ngram_counts(views.corpus(spark, sf), stopwords=stopwords(spark, sf)), TOP
-    )
+def frequent(spark, sf, stop=None):
+    stop = stopwords(spark, sf) if stop is None else stop
+    return ph.top_phrases(ph.ngram_counts(views.corpus_as_read(spark, sf), stopwords=stop), TOP)
 
 
-def phrase_scores(spark, sf):
-    return yake.yake_phrases(batches(spark, sf), stopwords(spark, sf))
+def phrase_scores(spark, sf, stop=None):
+    return yake.yake_phrases(batches(spark, sf), stopwords(spark, sf) if stop is None else stop)
 
 
 def seed_terms(spark, sf):
@@ -168,7 +167,7 @@ def seed_terms(spark, sf):
 
 def seed_list(spark, sf):
     phrases = seed_plan.ranked_phrases(
-        views.corpus(spark, sf), stopwords(spark, sf), TOP, BATCH, languages=LANGS
+        views.corpus_as_read(spark, sf), stopwords(spark, sf), TOP, BATCH, languages=LANGS
     )
     return ph.build_seeds(seed_terms(spark, sf), phrases, 100)
 
@@ -314,7 +313,7 @@ QUERIES = {
         ),
     ),
     "ngram_counts": (
-        lambda s, d: ph.ngram_counts(views.corpus(s, d)),
+        lambda s, d: ph.ngram_counts(views.corpus_as_read(s, d)),
         with_views(GRAM_COUNTS_SQL.format(where=""), T, G),
     ),
     "top_phrases": (frequent, with_views(TOP_SQL, T, S, G, COUNTS)),

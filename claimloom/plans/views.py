@@ -134,6 +134,11 @@ def corpus(spark, sf_dir):
     return _select(documents(spark, sf_dir), CORPUS)
 
 
+def corpus_as_read(spark, sf_dir):
+    """`corpus` in the partitions it is read in, for operators that deal the texts out themselves."""
+    return _select(table(spark, sf_dir, "documents"), CORPUS)
+
+
 def claims(spark, sf_dir):
     keyed = documents(spark, sf_dir).selectExpr(
         "*", *(f"{e} as {name}" for name, e in CLAIM_KEYS.items())

@@ -10,9 +10,10 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from claimloom.functions.text import pack, unpack
 from claimloom.operators import phrases as ph
 from claimloom.operators import yake
-from claimloom.plans import views
+from claimloom.plans import queries_storage, queries_text, views
 from claimloom.sources import scans
 
 DOCS = [
@@ -319,3 +320,34 @@ def test_merging_scores_shuffles_few_phrases(spark, monkeypatch):
         F.lit("hi").alias("lang"), F.concat(F.lit("p"), F.col("id") % 40_000).alias("phrase"), (base * (1 + F.col("id") % 7)).alias("score"))
     assert yake.merge_yake(scores, 20).count() == 20
     assert sizes["low-phrases"] + sizes.get("other-phrases", 0) < 40_000 / 5
+
+
+def test_packed_texts_come_back(spark):
+    """Of both scripts, mixed and others, with every ASCII character, and bytes that are no text."""
+    every = "".join(map(chr, range(128)))
+    long = "यह दावा झूठा है। ૧ ક્યાં" * 30
+    texts = [None, "", "-", "d", "दावा", "दावा झूठा\nहै, Modi 12", "દાવો ખોટો છે", long, long + every, "દાવો " * 90 + every, every, "தமிழ் அறிவு", "😀 न", "".join(map(chr, range(0x900, 0xB00)))]
+    raw = [None if t is None else t.encode() for t in texts] + ["दावा".encode() * 9 + b"\xe0\xa4 A", b"\xff\xe0"]
+    rows = spark.createDataFrame([(bytearray(b) if b is not None else None,) for b in raw], "b binary").select(F.col("b").cast("string").alias("t"))
+    packed = rows.select("t", pack("t").alias("p"))
+    back = packed.select(F.col("t").cast("binary").alias("t"), unpack("p").cast("binary").alias("u"), F.octet_length("p").alias("size")).collect()
+    assert [r["u"] for r in back] == [r["t"] for r in back] and [None if r["t"] is None else bytes(r["t"]) for r in back] == raw
+    assert all(r["size"] < len(r["t"]) / 2 for r in back if r["t"] in ("दावा".encode(), "દાવો ખોટો છે".encode()))
+
+
+def test_texts_are_packed_and_not_spread_before_they_are_dealt(spark, path):
+    """Grams and keyword scores deal the texts out themselves, one byte a letter; no shuffle takes them before."""
+    for df in (queries_text.QUERIES["ngram_counts"][0](spark, path), queries_text.phrase_scores(spark, path)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(doc_id" not in plan
+        lines = plan.splitlines()
+        dealt = [k for k, line in enumerate(lines) if "shufflepartitionidpassthrough" in line or "hashpartitioning(lang" in line and "batch" in line]
+        assert dealt and all("IsDevanagari" in lines[k + 1] for k in dealt)
+
+
+def test_phrase_lists_count_stopwords_once(spark, path, monkeypatch):
+    calls, real = [], queries_text.stopwords
+    for module in (queries_text, queries_storage):
+        monkeypatch.setattr(module, "stopwords", lambda s, d: calls.append(1) or real(s, d))
+    queries_storage.phrase_files(spark, path)
+    assert len(calls) == 1
