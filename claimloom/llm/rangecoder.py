@@ -132,17 +132,22 @@ class Range:
     def __init__(self, lanes):
         self.low, self.width = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 64) - 1, np.uint64)
 
-    def settled(self):
-        """The lanes whose next 16 bits are settled, their low ends before these are shifted out; None if there is none."""
-        same = (self.low ^ (self.low + self.width)) < TOP
-        small = self.width < LEAST
-        at = np.flatnonzero(same | small)
-        if not len(at):
-            return None
+    def settled(self, at=None):
+        """The lanes, of `at` if given, whose next 16 bits are settled, and their low ends before these are shifted out; None if there is none.
+
+        A lane of TOP or wider has none, and only one that had some just now can have more before the next id.
+        """
+        if at is None:
+            at = np.flatnonzero(self.width < TOP)
         low, width = self.low[at], self.width[at]
-        cut = ~same[at]
-        if cut.any():
-            width = np.where(cut, (~low + np.uint64(1)) & (LEAST - np.uint64(1)), width)
+        same = (low ^ (low + width)) < TOP
+        some = np.flatnonzero(same | (width < LEAST))
+        if not len(some):
+            return None
+        if len(some) < len(at):
+            at, low, width, same = at[some], low[some], width[some], same[some]
+        if not same.all():
+            width = np.where(same, width, (~low + np.uint64(1)) & (LEAST - np.uint64(1)))
         self.low[at], self.width[at] = low << WORD, width << WORD
         return at, low
 
@@ -183,7 +188,8 @@ def encode(ids, vocab):
             unit += left[step] * wide
             coder.low += unit
             coder.width = wide
-            while (done := coder.settled()) is not None:
+            lane = None
+            while (done := coder.settled(lane)) is not None:
                 lane, word = done
                 flat[base[lane] + used[lane]] = word >> np.uint64(48)
                 used[lane] += 1
@@ -242,7 +248,8 @@ def decode(words, length, vocab):
             fresh = np.flatnonzero(new)
             names[home[fresh] + place[fresh]] = left[fresh]
             out[start + step] = names.take(home + place)
-            while (done := coder.settled()) is not None:
+            lane = None
+            while (done := coder.settled(lane)) is not None:
                 lane = done[0]
                 code[lane] = (code[lane] << WORD) | flat[base[lane] + np.minimum(read[lane], limit)]
                 read[lane] += 1

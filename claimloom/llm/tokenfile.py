@@ -23,18 +23,24 @@ from claimloom.sizing import broadcast_if_small
 
 #: Bytes of text that a shard should hold; a task holds the memory of one batch of blocks, not of a shard.
 SHARD_BYTES = 64 << 20
-#: Bytes of texts whose different pieces are encoded once, and of pieces that the tokenizer gets at once.
-TEXTS, PIECES = 16 << 20, 128 << 10
+#: Bytes of texts that are cut at once, of pieces that the tokenizer gets at once, and of different pieces whose ids a worker keeps.
+TEXTS, PIECES, KNOWN = 12 << 20, 128 << 10, 10 << 20
+#: Pieces whose ids are put together at once.
+TOGETHER = 1 << 17
 #: First bytes of the characters of two and three bytes that may be blanks.
 TWO, THREE = 0xC2, (0xE1, 0xE2, 0xE3)
+#: ASCII letters, and the characters that no match holds behind a letter; an apostrophe may begin a match of its own with letters.
+LETTERS = np.array([chr(k).isalpha() and k < 128 for k in range(256)])
+MARKS = frozenset(b'\n!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~')
 
 
 class Pieces:
-    """Ids of texts by the tokenizers library, each different piece of a portion encoded once.
+    """Ids of texts by the tokenizers library, each different piece encoded once as long as it is kept.
 
     The byte-level pattern always starts a new match at a blank that stands alone between two
-    characters that are no blanks, so a text may be cut there (`safe_cuts`), and such pieces may be
-    strung together anew. The first and the last piece of a text are encoded by themselves.
+    characters that are no blanks, and at a mark behind a letter, so a text may be cut there (`safe_cuts`, `mark_cuts`), and such pieces may be
+    strung together anew: those that begin with a blank one after the other, those that begin with a mark behind a
+    letter each. The first and the last piece of a text are encoded by themselves.
     """
 
     def __init__(self, path):
@@ -48,6 +54,14 @@ class Pieces:
         self.width[list(names.values())] = [len(name) for name in names]
         for number, token in self.tokenizer.get_added_tokens_decoder().items():
             self.width[number] = len(token.content.encode())
+        added = b"".join(token.content.encode() for token in self.tokenizer.get_added_tokens_decoder().values())
+        self.marks = bytes(k in MARKS and k not in added for k in range(256))  # an added token is never cut
+        self.forget()
+
+    def forget(self):
+        """Pieces that are kept, and where their ids are in a row."""
+        self.known, self.flat = pa.array([], pa.binary()), np.empty(0, np.int32)
+        self.start, self.size = np.empty(0, np.int32), np.empty(0, np.int32)
 
     def encoded(self, texts):
         """Ids of each text, in portions that bound the library's memory."""
@@ -76,6 +90,35 @@ class Pieces:
             raise ValueError("the tokenizer joins letters across a single blank; its pattern is not the byte-level one")
         return ids, last + 1
 
+    def learn(self, pieces):
+        """Keeps the ids of new inner pieces, a binary array without repeats."""
+        ends = np.frombuffer(pieces.buffers()[1], np.int32)[pieces.offset:pieces.offset + len(pieces)]
+        blank = np.frombuffer(pieces.buffers()[2], np.uint8)[ends] == 32
+        words, words_upto = self.strung(pieces.filter(pa.array(blank)))
+        marked = pieces.filter(pa.array(~blank))
+        turns = np.zeros(2 * len(marked), np.int64)
+        turns[1::2] = np.arange(1, len(marked) + 1)
+        marks, marks_upto = self.strung(pa.concat_arrays([pa.array([b" a"], pa.binary()), marked]).take(pa.array(turns)))
+        upto, size = np.empty(len(pieces), np.int64), np.empty(len(pieces), np.int64)
+        upto[blank], size[blank] = words_upto, np.diff(words_upto, prepend=0)
+        upto[~blank], size[~blank] = len(words) + marks_upto[1::2], marks_upto[1::2] - marks_upto[::2]
+        self.start = np.append(self.start, (len(self.flat) + upto - size).astype(np.int32))
+        self.size = np.append(self.size, size.astype(np.int32))
+        self.flat = np.concatenate([self.flat, words, marks])
+
+    def numbers(self, pieces):
+        """Which of the kept pieces the inner pieces are; new ones are kept."""
+        if self.known.nbytes > KNOWN:
+            self.forget()
+        if not len(pieces):
+            return np.empty(0, np.int32)
+        found = pa.chunked_array([self.known, pieces]).dictionary_encode().chunks[-1]
+        new = found.dictionary.slice(len(self.known))
+        if len(new):
+            self.learn(new)
+            self.known = found.dictionary
+        return found.indices.to_numpy()
+
     def ids(self, texts):
         """Ids of all texts (bytes), in a row, and the number of each text; bytes that are no UTF-8 are read as U+FFFD."""
         ends, data = np.cumsum([len(x) for x in texts], dtype=np.int64), b"".join(texts)
@@ -86,24 +129,33 @@ class Pieces:
         except UnicodeDecodeError:
             return self.ids([x.decode("utf-8", "replace").encode() for x in texts])
         bounds = np.unique(np.append(ends, 0))
-        cuts = np.sort(np.concatenate([safe_cuts(np.frombuffer(data, np.uint8)), bounds]))
+        cuts = np.sort(np.concatenate([safe_cuts(np.frombuffer(data, np.uint8)), mark_cuts(data, self.marks), bounds]))
         cuts = cuts[np.append(True, cuts[1:] > cuts[:-1])]
         outer = np.zeros(len(cuts), bool)
         outer[np.searchsorted(cuts, bounds)] = True
         outer = outer[:-1] | outer[1:]
         pieces = pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(cuts.astype(np.int32).tobytes()), pa.py_buffer(data)])
-        inner = pieces.filter(pa.array(~outer)).dictionary_encode()
-        ids, upto = self.strung(inner.dictionary)
+        at = self.numbers(pieces.filter(pa.array(~outer)))
         edges = list(self.encoded([x.decode() for x in pieces.filter(pa.array(outer)).to_pylist()]))
-        sizes, start = np.empty(len(pieces), np.int64), np.empty(len(pieces), np.int64)
-        at = inner.indices.to_numpy()
-        sizes[~outer], start[~outer] = np.diff(upto, prepend=0)[at], np.append(0, upto)[at]
+        sizes, start = np.empty(len(pieces), np.int32), np.empty(len(pieces), np.int32)
+        sizes[~outer], start[~outer] = self.size.take(at), self.start.take(at)
         sizes[outer] = [len(x) for x in edges]
-        start[outer] = len(ids) + np.cumsum(sizes[outer]) - sizes[outer]
-        flat, upto = np.concatenate([ids, *edges]), np.cumsum(sizes)
-        ids = flat[np.arange(upto[-1]) + np.repeat(start - (upto - sizes), sizes)]
-        last = np.append(0, upto)[np.searchsorted(cuts, ends)]
-        return ids, np.diff(last, prepend=0)
+        start[outer] = len(self.flat) + np.cumsum(sizes[outer]) - sizes[outer]
+        flat, upto = np.concatenate([self.flat, *edges]), np.append(0, np.cumsum(sizes, dtype=np.int64))
+        ids = np.empty(upto[-1], np.int32)
+        for a in range(0, len(pieces), TOGETHER):
+            b = min(a + TOGETHER, len(pieces))
+            place = np.arange(upto[a], upto[b])
+            place += np.repeat(start[a:b] - upto[a:b], sizes[a:b])
+            flat.take(place, out=ids[upto[a]:upto[b]], mode="clip")
+        return ids, np.diff(upto[np.searchsorted(cuts, ends)], prepend=0)
+
+
+def mark_cuts(data, marks):
+    """Places of marks (a table of 256 bytes) behind an ASCII letter."""
+    at = np.flatnonzero(np.frombuffer(data.translate(marks), bool))
+    at = at[at > 0]
+    return at[LETTERS[np.frombuffer(data, np.uint8)[at - 1]]]
 
 
 def safe_cuts(data):

@@ -94,6 +94,33 @@ def test_pieces_equal_whole_texts():
     assert sizes.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
 
 
+def test_pieces_are_encoded_once_while_they_are_kept(monkeypatch):
+    """Over several portions, behind marks too; forgetting costs time and nothing else."""
+    tokenizer = Tokenizer.from_file(PATH)
+    marks = [f"one{chr(k)}two one{chr(k)} two{chr(k)}{chr(k)}x it's{chr(k)}'s {chr(k)}one a{chr(k)}\n\n  b" for k in range(128)]
+    marks += ["Fin.\nNow, go.\n\n- so (it) is;the <|endoftext|> x<|endoftext|>.y one<|endoftext|>", "été.Là one…two １.a ab.\u2003c", "we'll.I've,they're\n'd a'.b ' a.'"]
+    portions = [marks, TEXTS, marks[::-1], TEXTS + marks]
+    for bound in (tokenfile.KNOWN, 0):
+        monkeypatch.setattr(tokenfile, "KNOWN", bound)
+        own, learned, real = tokenfile.Pieces(PATH), [], tokenfile.Pieces.learn
+        monkeypatch.setattr(own, "learn", lambda pieces: learned.extend(pieces.to_pylist()) or real(own, pieces))
+        for portion in portions:
+            ids, sizes = own.ids([(x or "").encode() for x in portion])
+            want = [tokenizer.encode(x or "", add_special_tokens=False).ids for x in portion]
+            assert sizes.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
+        assert learned and (len(learned) == len(set(learned))) == (bound > 0)
+
+
+def test_added_tokens_are_not_cut(tmp_path):
+    added = Tokenizer.from_file(PATH)
+    added.add_special_tokens(["[MASK]", "no.end"])
+    path = str(tmp_path / "added.json")
+    added.save(path)
+    texts = ["one [MASK] two[MASK], no.end one.two no.end.", "a [MASK]b c.no.end d"]
+    ids, _ = tokenfile.Pieces(path).ids([x.encode() for x in texts])
+    assert ids.tolist() == [i for x in texts for i in added.encode(x, add_special_tokens=False).ids]
+
+
 def test_whole_table(spark, path):
     rows = [(r["doc_id"], r["text"]) for r in read(spark, path, "documents").orderBy("doc_id").collect()]
     assert found(op11_token_files(spark, path)) == library(rows)
