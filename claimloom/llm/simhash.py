@@ -101,7 +101,8 @@ def links(fps, distance=2):
     home = sides.select("fp", "side", flip(F.col("low"), syndrome(F.col("low"))).alias("anchor"))
     visit = sides.select(F.col("fp").alias("other"), "side", F.explode_outer(anchors(F.col("low"))).alias("anchor"))
     close = (F.col("fp") < F.col("other")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= distance)
-    met = home.join(visit, (home["side"] == visit["side"]) & (home["anchor"] == visit["anchor"]) & close)
+    # Spark takes the 15.5 anchors of a row for one and would broadcast them all.
+    met = home.join(visit.hint("merge"), (home["side"] == visit["side"]) & (home["anchor"] == visit["anchor"]) & close)
     return met.select(F.col("fp").alias("a"), F.col("other").alias("b")).distinct()
 
 

@@ -71,6 +71,15 @@ def test_all_links_within_two_bits(spark):
         assert {tuple(r) for r in simhash.links(df, distance).collect()} == want
 
 
+def test_links_broadcast_nothing(spark, tmp_path):
+    spark.range(20_000).select(F.xxhash64("id").alias("fp")).write.parquet(str(tmp_path / "fps"))
+    found = simhash.links(spark.read.parquet(str(tmp_path / "fps")))
+    plans = [found._jdf.queryExecution().executedPlan().toString()]
+    found.collect()
+    plans.append(found._jdf.queryExecution().executedPlan().toString())
+    assert all("Broadcast" not in plan and "SortMergeJoin" in plan for plan in plans)
+
+
 def test_anchors_are_code_words_within_two_bits(spark):
     low = [0, 1, 5, 2**31 - 1, 123456789]
     rows = spark.createDataFrame([(x,) for x in low], "low long").select("low", simhash.anchors(F.col("low")).alias("all")).collect()
