@@ -118,3 +118,16 @@ def test_the_library_does_without_the_subpackage(monkeypatch):
     assert not any(re.match(r"op\d|pipeline", name) for name in __spark_entry__.queries())
     with pytest.raises(ModuleNotFoundError):
         import corpus_pipeline  # noqa: F401
+
+
+def test_near_duplicates_broadcast_no_anchors(spark, path, monkeypatch):
+    plans, links = [], test_simhash.simhash.links
+
+    def watched(*args):
+        found = links(*args)
+        plans.append(found._jdf.queryExecution().executedPlan().toString())
+        return found
+
+    monkeypatch.setattr(test_simhash.simhash, "links", watched)
+    corpus_pipeline.near_duplicates(spark, read(spark, path, "documents"), path)
+    assert len(plans) == 1 and "Broadcast" not in plans[0]
