@@ -13,7 +13,7 @@ from claimloom import schemas
 from claimloom.functions.text import pack, sentence_tokens, unpack
 from claimloom.operators.dedupe import top_k
 from claimloom.operators.phrases import MOST_BUCKETS, line_digest, stop_table
-from claimloom.session import stored
+from claimloom.session import stored, stored_dense
 from claimloom.sizing import broadcast_if_small
 
 ACRONYM = r"^\p{Lu}[\p{Lu}\p{Nd}]+$"
@@ -209,10 +209,10 @@ def merge_yake(scores, n=200, digits=8):
 
     No mean is below the lowest score in the bucket of its phrase. So the phrases of the buckets with the lowest scores are merged, all
     their batches; the n-th of them is a threshold, and only buckets with a score that reaches it too are merged then. Phrases of the
-    others are not shuffled; `scores` are computed once for the bounds and once (seldom twice) for the means.
+    others are not shuffled. The scores are stored, since they cost far more to compute than to read; few are merged as they come.
     """
     scores = scores.select("lang", "phrase", "score")
-    keyed = scores.withColumn("bucket", F.pmod(F.xxhash64("phrase"), F.lit(BUCKETS)).cast("int"))
+    keyed = stored_dense(scores, "phrase-scores").withColumn("bucket", F.pmod(F.xxhash64("phrase"), F.lit(BUCKETS)).cast("int"))
     # A mean without scores is null and comes first.
     low = F.min(F.coalesce("score", F.lit(float("-inf"))))
     bounds = stored(keyed.groupBy("lang", "bucket").agg(low.alias("low"), F.count(F.lit(1)).alias("rows")), "score-bounds")

@@ -322,6 +322,27 @@ def test_merging_scores_shuffles_few_phrases(spark, monkeypatch):
     assert sizes["low-phrases"] + sizes.get("other-phrases", 0) < 40_000 / 5
 
 
+def test_scores_are_computed_once(spark, docs, monkeypatch):
+    """Of many scores the bounds and the means are made from one stored table."""
+    plans = []
+
+    def watched(real):
+        def stored(df, name):
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+            return real(df, name)
+
+        return stored
+
+    for name in ("stored", "stored_dense"):
+        if hasattr(yake, name):
+            monkeypatch.setattr(yake, name, watched(getattr(yake, name)))
+    monkeypatch.setattr(yake, "FEW", 0)
+    scores = yake.yake_phrases(docs.filter("lang <> 'xx'").withColumn("batch", F.lit(0).cast("bigint")))
+    ranked = yake.merge_yake(scores, 3)
+    plans.append(ranked._jdf.queryExecution().executedPlan().toString())
+    assert ranked.count() == 6 and sum("regexp_extract_all" in plan for plan in plans) == 1
+
+
 def test_packed_texts_come_back(spark):
     """Of both scripts, mixed and others, with every ASCII character, and bytes that are no text."""
     every = "".join(map(chr, range(128)))
