@@ -150,9 +150,10 @@ def ngram_counts(docs, ns=(1, 2, 3), stopwords=None):
     """
     longest = max(ns)
     if longest == 1:
-        counts = gram_rows(docs.select("lang", tokenize("text").alias("t")), ns, ["lang"], stopwords)
-        counts = counts.groupBy("lang", "n", "t1", "t2", "t3").agg(F.count(F.lit(1)).alias("freq"))
-        return counts.select("lang", "n", F.col("t1").alias("phrase"), "freq")
+        rows = docs.select("lang", F.explode_outer(tokenize("text")).alias("token")).filter(F.col("token").isNotNull())
+        rows = rows if stopwords is None else drop_stopwords(rows, stopwords)
+        counts = rows.groupBy("lang", "token").agg(F.count(F.lit(1)).alias("freq"))
+        return counts.select("lang", F.lit(1).alias("n"), F.col("token").alias("phrase"), "freq")
     if not set(ns) <= {1, 2, 3}:
         raise ValueError("grams of one to three tokens are supported")
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]

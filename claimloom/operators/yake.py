@@ -73,7 +73,7 @@ def _stop_marks(rows, stopwords, name="term"):
 
 
 def _occurrences(sentences):
-    """One row per token: its sentence, its place in it, its neighbours and how it is spelt."""
+    """One row per token: its place in the batch, 64-bit digests of its neighbours and how it is spelt."""
     rows = sentences.withColumn("t", F.transform("s", lambda x: F.lower(x))).selectExpr(
         "lang", "batch", "sent",
         "posexplode_outer(arrays_zip(s, t, slice(t, 2, size(t)), "
@@ -84,7 +84,7 @@ def _occurrences(sentences):
     )
     capital = (F.col("pos") > 0) & F.col("raw").rlike(CAPITAL)
     return rows.filter(F.col("term").isNotNull()).select(
-        "lang", "batch", "term", "sent", "left", "right",
+        "lang", "batch", "term", *(F.when(F.col(c).isNotNull(), F.xxhash64(c)).alias(c) for c in ("left", "right")),
         (F.shiftleft(F.col("sent").cast("bigint"), SENT_BITS) + F.col("pos")).alias("place"),
         F.col("raw").rlike(ACRONYM).cast("int").alias("acronym"), capital.cast("int").alias("capital"),
     )
@@ -105,18 +105,22 @@ def yake_terms(batches, id="doc_id", stopwords=None):
 
 def _terms(sentences, stopwords):
     """Features of each term of each batch, whether it is a stopword, and the places of its tokens."""
-    stats = _occurrences(sentences).groupBy("lang", "batch", "term").agg(
-        F.count(F.lit(1)).alias("tf"),
-        F.sum("acronym").alias("acronyms"),
-        F.sum("capital").alias("capitals"),
-        F.median("sent").alias("median_sent"),
-        F.size(F.collect_set("sent")).alias("sents"),
-        F.count("left").alias("lefts"),
-        F.size(F.collect_set("left")).alias("distinct_lefts"),
-        F.count("right").alias("rights"),
-        F.size(F.collect_set("right")).alias("distinct_rights"),
-        F.max("sent").alias("last_sent"),
-        F.collect_list("place").alias("places"),
+    # Lists alone, and of numbers: sets and medians cost several times as much to keep, write and merge for every term.
+    lists = _occurrences(sentences).groupBy("lang", "batch", "term").agg(
+        F.count(F.lit(1)).alias("tf"), F.sum("acronym").alias("acronyms"), F.sum("capital").alias("capitals"),
+        F.sort_array(F.collect_list("place")).alias("places"), F.collect_list("left").alias("left"), F.collect_list("right").alias("right"),
+    )
+
+    def sent(i):
+        return F.shiftright(F.element_at("places", i.cast("int")), SENT_BITS)
+
+    stats = lists.select(
+        "lang", "batch", "term", "tf", "acronyms", "capitals", "places",
+        ((sent(F.floor((F.col("tf") + 1) / 2)) + sent(F.floor(F.col("tf") / 2) + 1)) / 2).alias("median_sent"),
+        F.size(F.array_distinct(F.transform("places", lambda x: F.shiftright(x, SENT_BITS)))).alias("sents"),
+        F.size("left").alias("lefts"), F.size(F.array_distinct("left")).alias("distinct_lefts"),
+        F.size("right").alias("rights"), F.size(F.array_distinct("right")).alias("distinct_rights"),
+        sent(F.lit(-1)).alias("last_sent"),
     )
     batch = Window.partitionBy("lang", "batch")
     # Each sentence holds a token, so the last index counts the sentences.
@@ -162,9 +166,13 @@ def yake_phrases(batches, stopwords=None, ns=(1, 2, 3), id="doc_id"):
     scored = terms.select("lang", "batch", "term", "score", "stop", F.explode_outer("places").alias("place"))
     scored = scored.withColumn("sent", F.shiftright("place", SENT_BITS))
     line = Window.partitionBy("lang", "batch", "sent").orderBy("place")
+    token = F.struct("term", "score", "stop")
     near = scored.select(
-        "lang", "batch",
-        *(F.lead(c, i).over(line).alias(f"{name}{i + 1}") for c, name in (("term", "t"), ("score", "s"), ("stop", "stop")) for i in range(3)),
+        "lang", "batch", F.col("term").alias("t1"), F.col("score").alias("s1"), F.col("stop").alias("stop1"),
+        F.lead(token, 1).over(line).alias("x2"), F.lead(token, 2).over(line).alias("x3"),
+    ).select(
+        "lang", "batch", "t1", "s1", "stop1",
+        *(F.col(f"x{i}.{c}").alias(f"{name}{i}") for i in (2, 3) for c, name in (("term", "t"), ("score", "s"), ("stop", "stop"))),
     )
     none = F.lit(None)
 

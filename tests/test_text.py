@@ -159,6 +159,19 @@ def test_yake_stopwords(spark, docs):
     assert not {"है", "ने", "modi ने", "ने कहा", "दावा झूठा है", "झूठा है"} & by.keys()
 
 
+def test_terms_keep_lists_of_numbers(spark):
+    """No set or median is kept for every term; medians of even and odd counts, spellings and neighbours are as published."""
+    rng = random.Random(8)
+    words = ["दावा", "झूठा", "BJP", "Modi", "modi", "है", "ने", "कहा", "यह"] + [f"w{i}" for i in range(40)]
+    rows = [(i, "hi", " ".join(rng.choice(words) + rng.choice(["", "", "", ".", "\n"]) for _ in range(rng.randrange(30)))) for i in range(60)]
+    batches = spark.createDataFrame(rows, "doc_id long, lang string, text string").withColumn("batch", F.lit(0).cast("bigint"))
+    terms = yake.yake_terms(batches)
+    plan = terms._jdf.queryExecution().executedPlan().toString()
+    assert "collect_set" not in plan and "percentile" not in plan
+    got, want = {r["term"]: r["score"] for r in terms.collect()}, brute_yake(rows)
+    assert got.keys() == want.keys() and all(abs(got[t] - want[t]) < 1e-9 for t in got)
+
+
 def test_batches_are_bounded_per_language(spark, path):
     rows = yake.yake_batches(views.corpus(spark, path), 10, languages=("hi", "gu", "mr", "es")).groupBy("lang", "batch").count().collect()
     per_lang = Counter(r["lang"] for r in rows)
