@@ -340,12 +340,12 @@ QUERIES = {
         lambda s, d: _rounded(phrase_scores(s, d), "score"),
         with_views("select lang, batch, phrase, kf, round(score, 6) as score from phrase_v", *YP),
     ),
-    # The same scores in one row a batch: all phrases, but a result that is quickly compared.
+    # The same scores in one row a batch: all phrases, but a result that is quickly compared. No score is negative, so halves round up.
     "yake_phrase_score_sums": (
         lambda s, d: phrase_scores(s, d).groupBy("lang", "batch").agg(
-            F.count(F.lit(1)).alias("phrases"), F.sum("kf").alias("kf"), F.countDistinct(F.length("phrase")).alias("lengths"),
-            F.sum(F.round(F.col("score") * 1e5).cast("long")).alias("score_sum"),
-            F.max(F.round("score", 6)).alias("score_max"), F.min_by("phrase", F.struct(F.round("score", 6), "phrase")).alias("best"),
+            F.count(F.lit(1)).alias("phrases"), F.sum("kf").alias("kf"), F.size(F.collect_set(F.length("phrase"))).cast("long").alias("lengths"),
+            F.sum(F.floor(F.col("score") * 1e5) + (F.pmod(F.col("score") * 1e5, F.lit(1.0)) >= 0.5).cast("long")).alias("score_sum"),
+            F.round(F.max("score"), 6).alias("score_max"), F.min_by("phrase", F.struct(F.round("score", 6), "phrase")).alias("best"),
         ),
         with_views(
             "select lang, batch, count(*) as phrases, cast(sum(kf) as bigint) as kf, count(distinct length(phrase)) as lengths, "
