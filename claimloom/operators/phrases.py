@@ -165,7 +165,8 @@ def ngram_counts(docs, ns=(1, 2, 3), stopwords=None):
     rows = _longest_rows(tokens, longest, 1 in ns, ["part", "lang"], stopwords)
     to = F.pmod(F.xxhash64("lang", "t1", "group"), F.lit(tasks)).cast("int").alias("to")
     token = F.when(F.col("gram").isNull(), F.col("t1")).alias("token")
-    packed = rows.select("part", "lang", to, token, "gram").groupBy("part", "lang", "to", "token").agg(
+    # Rows are sorted by these keys: by the number that tells most apart first, by names last.
+    packed = rows.select("part", "lang", to, token, "gram").groupBy("to", "part", "lang", "token").agg(
         F.count(F.lit(1)).alias("freq"), F.array_join(F.sort_array(F.collect_list("gram")), "\n").alias("grams")
     )
     placed = packed.drop("part").withColumn("grams", pack("grams")).repartitionById(tasks, "to").withColumn("grams", unpack("grams"))
@@ -173,9 +174,9 @@ def ngram_counts(docs, ns=(1, 2, 3), stopwords=None):
     each = placed.select(
         "lang", "to", "token", F.when(single, F.col("freq")).otherwise(1).alias("freq"), F.explode_outer(F.split("grams", "\n")).alias("gram")
     )
-    long = F.length(F.translate("gram", " ", "")) + 2 == F.length("gram")
+    each = each.withColumn("pair", F.substring_index("gram", " ", 2))
     phrases = {
-        1: F.when(single, F.col("token")), 2: F.when(~single, F.substring_index("gram", " ", 2)), 3: F.when(~single & long, F.col("gram")),
+        1: F.when(single, F.col("token")), 2: F.when(~single, F.col("pair")), 3: F.when(~single & (F.col("pair") != F.col("gram")), F.col("gram")),
     }
     some = [F.when(phrases[n].isNotNull(), F.struct(F.lit(n).alias("n"), phrases[n].alias("phrase"))) for n in sorted(set(ns))]
     each = each.select("lang", "to", "freq", F.explode_outer(F.array(*some)).alias("g")).filter(F.col("g").isNotNull())
