@@ -106,7 +106,8 @@ def yake_terms(batches, id="doc_id", stopwords=None):
 def _terms(sentences, stopwords):
     """Features of each term of each batch, whether it is a stopword, and the places of its tokens."""
     # Lists alone, and of numbers: sets and medians cost several times as much to keep, write and merge for every term.
-    lists = _occurrences(sentences).groupBy("lang", "batch", "term").agg(
+    # Rows are sorted by these keys: numbers tell most apart, names come last.
+    lists = _occurrences(sentences).groupBy("batch", "lang", "term").agg(
         F.count(F.lit(1)).alias("tf"), F.sum("acronym").alias("acronyms"), F.sum("capital").alias("capitals"),
         F.sort_array(F.collect_list("place")).alias("places"), F.collect_list("left").alias("left"), F.collect_list("right").alias("right"),
     )
@@ -122,7 +123,7 @@ def _terms(sentences, stopwords):
         F.size("right").alias("rights"), F.size(F.array_distinct("right")).alias("distinct_rights"),
         sent(F.lit(-1)).alias("last_sent"),
     )
-    batch = Window.partitionBy("lang", "batch")
+    batch = Window.partitionBy("batch", "lang")
     # Each sentence holds a token, so the last index counts the sentences.
     content = F.when(~F.col("stop"), F.col("tf"))
     spread = _stop_marks(stats, stopwords).withColumns({
@@ -165,7 +166,7 @@ def yake_phrases(batches, stopwords=None, ns=(1, 2, 3), id="doc_id"):
     terms = _terms(_sentences(batches, id), stopwords)
     scored = terms.select("lang", "batch", "term", "score", "stop", F.explode_outer("places").alias("place"))
     scored = scored.withColumn("sent", F.shiftright("place", SENT_BITS))
-    line = Window.partitionBy("lang", "batch", "sent").orderBy("place")
+    line = Window.partitionBy("batch", "sent", "lang").orderBy("place")
     token = F.struct("term", "score", "stop")
     near = scored.select(
         "lang", "batch", F.col("term").alias("t1"), F.col("score").alias("s1"), F.col("stop").alias("stop1"),

@@ -172,6 +172,16 @@ def test_terms_keep_lists_of_numbers(spark):
     assert got.keys() == want.keys() and all(abs(got[t] - want[t]) < 1e-9 for t in got)
 
 
+def test_rows_are_sorted_by_numbers_before_names(spark, docs):
+    """Terms, tokens in their lines, and grams on their way to the tasks that count them; no gram is translated to count its blanks."""
+    batches = yake.yake_batches(docs, 10, languages=("hi", "gu"))
+    plan = yake.yake_phrases(batches)._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"ObjectHashAggregate\(keys=\[batch#\d+L?, lang#\d+, term#", plan)
+    assert re.search(r"Sort \[batch#\d+L? ASC NULLS FIRST, sent#\d+L? ASC NULLS FIRST, lang#", plan)
+    plan = ph.ngram_counts(docs)._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"ObjectHashAggregate\(keys=\[to#\d+, part#\d+, lang#", plan) and "translate(gram#" not in plan
+
+
 def test_batches_are_bounded_per_language(spark, path):
     rows = yake.yake_batches(views.corpus(spark, path), 10, languages=("hi", "gu", "mr", "es")).groupBy("lang", "batch").count().collect()
     per_lang = Counter(r["lang"] for r in rows)
